@@ -39,6 +39,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], total: int, rows: str = "_rows", part: int = 1000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each key once and in ``rows`` how often
+    ``left`` has it. Keys with more than 1 / ``part`` of the ``total`` rows, fewer than ``part``
+    keys by count, are joined by broadcast, so a hot key never lands in one task; the others
+    by shuffle. Both sides should be stashed tables: they are read twice."""
+    floor = max(total // part, 1000)
+    often = right.where(F.col(rows) > F.lit(floor))
+    seldom = right.where(F.col(rows) <= F.lit(floor))
+    if not often.limit(1).count():
+        return left.join(right, keys)
+    spread = left.join(F.broadcast(often), keys)
+    others = left.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(seldom, keys)
+    return spread.unionByName(others)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names clash with ``names``, whatever their case."""
     taken = {n.lower() for n in names}

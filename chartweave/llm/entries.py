@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import bpe, mixing, neardup, sharding, token_counts
+from chartweave.llm import ann, bpe, chunk_dedup, langid, mixing, neardup, quality, search, sharding, token_counts
 
 #: Folder of the public tokenizer files on every machine of the cluster.
 TOKENIZERS = "/opt/tokenizers"
@@ -39,6 +39,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_documents(spark, sf_dir), F.col("doc_id") % 50 == 0)
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long")
@@ -48,12 +52,33 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_spans(_documents(spark, sf_dir))
+
+
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     counted = token_counts.count_tokens(docs, tokenizer("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", token_counts.words_within("word_end_tokens", 2048).alias("words_within_limit"))
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score_documents(docs.select("doc_id", "text"), quality.fit_on_labels(docs, labels))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    langs, table = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict_languages(docs.select("doc_id", "text"), langs, table)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(_documents(spark, sf_dir))
 
@@ -63,8 +88,22 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source", "times")
 
 
+ALL = (
+    op1_byte_bpe,
+    op2_bm25_top_k,
+    op3_jump_shards,
+    op4_repeated_spans,
+    op5_posting_lists,
+    op6_token_counts,
+    op7_line_quality,
+    op8_language_mixture,
+    op9_near_duplicates,
+    op10_source_mix,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_jump_shards, op6_token_counts, op9_near_duplicates, op10_source_mix)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
