@@ -5,10 +5,49 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chartweave.llm import _shared
+from chartweave.llm import _shared, bpe, chunk_dedup, entries, mixing, neardup, quality
 
-STAGES: list = []
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier accepts."""
+    model = quality.fit_on_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score_documents(docs, model)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return neardup.keep_one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that earlier documents have are cut out."""
+    return chunk_dedup.remove_repeats(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources want them."""
+    return mixing.mix_documents(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids, and whether decoding them gives the text back."""
+    path = entries.tokenizer("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(docs.select("doc_id", "source", "text"), path, entries.PATTERN)
+    decoded = bpe.decode_documents(encoded, path, entries.PATTERN)
+    same = F.col("decoded") == F.coalesce(F.encode("text", "utf-8"), F.lit(b"").cast("binary"))
+    return decoded.select("doc_id", "source", F.size("tokens").cast("long").alias("n_tokens"), "tokens", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("near_duplicates", one_of_each),
+    ("substrings", without_repeats),
+    ("mix", mixed),
+    ("tokens", tokens),
+]
 #: Classifiers, digests of chunks and merges are beyond SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
