@@ -1,174 +1,173 @@
 """Exact top-k search by BM25 with block-max dynamic pruning, per shard, merged exactly.
 
 Statistics (documents, mean length, document frequencies) are global. A shard is up to
-``shard_rows`` documents of a task: an inverted index of term, documents and impacts, with
-the largest impact for every term and block of 64 documents. A query takes its terms from
-the largest possible contribution down and adds their postings up; once the k-th best sum
-so far exceeds what the remaining terms could add anywhere, documents outside are out, and
-of those inside only documents stay whose sum and whose block's largest remaining impacts
-reach the k-th best: the test of block-max WAND, made for all documents of a shard at once.
-The survivors are scored in full, in the order of the terms, so equal documents get equal
-scores in every shard. Each shard's best k are merged by score.
+``shard_rows`` documents of a task: an inverted index of term, documents and impacts. Terms
+in more than a sixteenth of the shard's documents are kept as dense rows, with the largest
+impact of every block of 64 documents. A query adds up its rare terms first. Then its
+frequent terms come from the largest possible contribution down, and before each step the
+test of block-max WAND is made for all documents at once: a document stays only if its sum,
+with the largest impacts that its block has for the terms still to come, can reach the k-th
+best sum so far. Documents that stay to the end have full scores. Each shard's best k are
+merged by score.
+
+Terms are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z in lower
+case, and are held as 64-bit digests.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.llm._shared import stash, texts_of
+from chartweave.llm._shared import LOWER, span_hashes, stash, steps, text_bytes, word_spans
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-_TERM = re.compile(r"[^\W_]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def terms(text: str) -> list[str]:
-    """Runs of letters and digits, A-Z in lower case."""
-    return _TERM.findall(text.translate(_LOWER))
+#: Decimals of a score; sums in another order agree in them.
+DECIMALS = 9
+_BETWEEN = np.ones(256, bool)
+_BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def term_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Step by step over the rows: the step's first row, its rows' lengths in terms, and row,
+    term and count of every distinct term of a row, in order of row and term."""
+    every, offsets = text_bytes(column)
+    for low, high in steps(offsets):
+        data = LOWER[every[offsets[low] : offsets[high]]]
+        own = offsets[low : high + 1] - offsets[low]
+        starts, ends, first = word_spans(data, own, _BETWEEN)
+        term = span_hashes(data, starts, ends).view(np.int64)
+        length = np.diff(first)
+        row = np.repeat(np.arange(high - low), length)
+        order = np.lexsort((term, row))
+        term, row = term[order], row[order]
+        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (row[1:] != row[:-1])]) if len(term) else np.zeros(0, int)
+        yield low, length, row[new], term[new], np.diff(np.r_[new, len(term)])
 
 
 def statistics(docs: DataFrame) -> tuple[DataFrame, int, float]:
     """(term, df) over all documents, their number and the mean number of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        terms, counts, held = [], [], 0
         rows = length = 0
 
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64()), pa.nulls(len(c), pa.int64())], names=["term", "df", "length"])
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            t, n = np.concatenate(terms), np.concatenate(counts)
+            order = np.argsort(t, kind="stable")
+            t, n = t[order], n[order]
+            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            return t[first], np.add.reduceat(n, first)
+
+        def out(t: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(t), 100_000):
+                part = t[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[at : at + 100_000]), pa.nulls(len(part), pa.int64())], names=["term", "df", "length"])
 
         for batch in batches:
-            for t in texts_of(batch):
-                found = terms(t)
-                rows, length = rows + 1, length + len(found)
-                seen.update(set(found))
-            if len(seen) > 500_000:
-                yield out(seen)
-                seen = Counter()
-        if seen:
-            yield out(seen)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([rows]), pa.array([length])], names=["term", "df", "length"])
-
-    counted = stash(docs.select("text").mapInArrow(run, "term string, df long, length long"), "search-terms")
-    whole = counted.where("term IS NULL").agg(F.sum("df"), F.sum("length")).first()
+            rows += batch.num_rows
+            for _, lengths, _, term, _ in term_counts(batch.column(0)):
+                length += int(lengths.sum())
+                if len(term):
+                    t, n = np.unique(term, return_counts=True)
+                    terms.append(t), counts.append(n)
+                    held += len(t)
+                if held > 3_000_000:
+                    t, n = merged()
+                    terms, counts, held = [t], [n], len(t)
+                    if held > 2_000_000:
+                        yield from out(t, n)
+                        terms, counts, held = [], [], 0
+        if terms:
+            yield from out(*merged())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([rows]), pa.array([length])], names=["term", "df", "length"])
+
+    counted = stash(docs.select("text").mapInArrow(run, "term long, df long, length long"), "search-terms")
+    whole = counted.where("length IS NOT NULL").agg(F.sum("df"), F.sum("length")).first()
     n = whole[0] or 0
-    return counted.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")), n, (whole[1] or 0) / n if n else 0.0
+    return counted.where("length IS NULL").groupBy("term").agg(F.sum("df").alias("df")), n, (whole[1] or 0) / n if n else 0.0
 
 
 class Shard:
     """The inverted index of some documents, over the terms that the queries ask for."""
 
-    def __init__(self, ids: list[int], texts: list[str], wanted: dict[str, int], mean_length: float):
-        term_parts, tf_parts, lengths = [], [], []
-        get = wanted.get
-        for t in texts:
-            found = terms(t)
-            lengths.append(len(found))
-            counts = Counter(found)
-            own = [(w, c) for w, c in ((get(x), c) for x, c in counts.items()) if w is not None]
-            term_parts.append(np.fromiter((w for w, _ in own), np.int32, len(own)))
-            tf_parts.append(np.fromiter((c for _, c in own), np.float64, len(own)))
+    def __init__(self, ids: np.ndarray, parts: list[tuple], length: np.ndarray, words: int, mean_length: float):
         n = len(ids)
-        term = np.concatenate(term_parts) if n else np.zeros(0, np.int32)
-        tf = np.concatenate(tf_parts) if n else np.zeros(0)
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in term_parts])
-        length = np.array(lengths, float)
+        self.ids = ids
+        doc, term, tf = (np.concatenate(x) for x in zip(*parts))
         norm = K1 * (1 - B + B * length / mean_length) if mean_length else np.ones(n)
+        impact = tf * (K1 + 1) / (tf + norm[doc])
         order = np.argsort(term, kind="stable")
-        self.ids = np.array(ids, np.int64)
-        self.doc = doc[order]
-        self.impact = (tf * (K1 + 1) / (tf + norm[doc]))[order]
-        self.start = np.searchsorted(term[order], np.arange(len(wanted) + 1))
-        self.top = np.zeros(len(wanted))
-        filled = np.flatnonzero(np.diff(self.start))
-        if len(filled):
-            self.top[filled] = np.maximum.reduceat(self.impact, self.start[filled])
-        # block maxima of long lists; a short list is its own bound
-        self.blocks = -(-n // BLOCK)
-        self.block_top: dict[int, np.ndarray] = {}
-        for w in np.flatnonzero(np.diff(self.start) > n // 16).tolist():
+        self.doc, self.impact = doc[order].astype(np.int32), impact[order]
+        self.start = np.searchsorted(term[order], np.arange(words + 1))
+        frequent = np.flatnonzero(np.diff(self.start) > max(n // 16, BLOCK))
+        self.row_of = np.full(words, -1)
+        self.row_of[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), -(-n // BLOCK) * BLOCK))
+        for r, w in enumerate(frequent.tolist()):
             a, b = self.start[w], self.start[w + 1]
-            block = self.doc[a:b] // BLOCK
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            tops = np.zeros(self.blocks)
-            tops[block[first]] = np.maximum.reduceat(self.impact[a:b], first)
-            self.block_top[w] = tops
+            self.dense[r, self.doc[a:b]] = self.impact[a:b]
+        self.tops = self.dense.reshape(len(frequent), -1, BLOCK).max(axis=2) if n else np.zeros((len(frequent), 0))
 
     def gather(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Sums of weighted impacts of the words' postings for every document."""
         a, n = self.start[words], self.start[words + 1] - self.start[words]
-        total = int(n.sum())
-        at = np.arange(total) + np.repeat(a - np.r_[0, np.cumsum(n[:-1])], n)
+        at = np.arange(int(n.sum())) + np.repeat(a - np.r_[0, np.cumsum(n[:-1])], n)
         return np.bincount(self.doc[at], weights=self.impact[at] * np.repeat(weights, n), minlength=len(self.ids))
 
-    def best(self, words: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents with a positive score; ties to smaller ids.
-        ``words`` ascend, which is the order of summing."""
-        own = self.start[words + 1] > self.start[words]
-        words, weights = words[own], weights[own]
-        if not len(words):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights * self.top[words]
+    def best(self, words: np.ndarray, weights: np.ndarray, k: int, step: int = 12) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best documents with a positive score; ties to smaller ids."""
+        row = self.row_of[words]
+        rare = (row < 0) & (self.start[words + 1] > self.start[words])
+        n = len(self.ids)
+        sums = self.gather(words[rare], weights[rare]) if rare.any() else np.zeros(n)
+        rows, share = row[row >= 0], weights[row >= 0]
+        bound = share * self.tops[rows].max(axis=1) if len(rows) else share
         order = np.argsort(-bound, kind="stable")
-        rest = np.r_[np.cumsum(bound[order][::-1])[::-1], 0.0]
-        sums, done, floor = np.zeros(len(self.ids)), 0, 0.0
-        step = max(8, len(order) // 4)
-        while done < len(order):
-            upto = min(len(order), done + step)
-            sums += self.gather(words[order[done:upto]], weights[order[done:upto]])
-            done = upto
-            if len(sums) > k:
-                floor = np.partition(sums, len(sums) - k)[len(sums) - k]
-            if done < len(order) and floor > rest[done]:
-                break
-        slack = 1e-9 * (1 + rest[0])
-        alive = np.flatnonzero(sums + rest[done] >= max(floor - slack, 1e-300))
-        if done < len(order) and len(alive) > 4 * k:
-            left = order[done:]
-            ahead = np.zeros(self.blocks)
-            for w, weight, top in zip(words[left].tolist(), weights[left].tolist(), bound[left].tolist()):
-                tops = self.block_top.get(w)
-                ahead += top if tops is None else weight * tops
-            alive = alive[sums[alive] + ahead[alive // BLOCK] >= floor - slack]
-        scores = self.exact(alive, words, weights)
-        good = scores > 0
-        alive, scores = alive[good], scores[good]
+        rows, share, alive = rows[order], share[order], None
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            here = sums if alive is None else sums[alive]
+            if len(here) > k:
+                floor = np.partition(here, len(here) - k)[len(here) - k]
+                ahead = share[at:] @ self.tops[rows[at:]]
+                if floor > 0 and (alive is not None or floor > ahead.max() * 0.5):
+                    alive = np.arange(n) if alive is None else alive
+                    alive = alive[here + ahead[alive // BLOCK] >= floor * (1 - 1e-12)]
+            if alive is None:
+                sums += share[part] @ self.dense[rows[part], :n]
+            elif len(alive) * 4 > n:
+                sums += share[part] @ self.dense[rows[part], :n]
+            else:
+                sums[alive] += share[part] @ self.dense[np.ix_(rows[part], alive)]
+        if alive is None:
+            alive = np.arange(n)
+        if len(alive) > k:
+            floor = np.partition(sums[alive], len(alive) - k)[len(alive) - k]
+            alive = alive[sums[alive] >= floor * (1 - 1e-12) - 10.0**-DECIMALS]
+        scores = np.round(sums[alive], DECIMALS)
+        alive, scores = alive[scores > 0], scores[scores > 0]
         first = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive[first]], scores[first]
 
-    def exact(self, docs: np.ndarray, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Full scores, the terms summed in ascending order."""
-        out = np.zeros(len(docs))
-        if not len(docs):
-            return out
-        for w, weight in zip(words.tolist(), weights.tolist()):
-            a, b = self.start[w], self.start[w + 1]
-            at = np.searchsorted(self.doc[a:b], docs)
-            at[at == b - a] = 0
-            hit = self.doc[a:b][at] == docs
-            out[hit] += weight * self.impact[a:b][at[hit]]
-        return out
-
 
 def top_k(docs: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 20_000, query_block: int = 8192) -> DataFrame:
     """(query_id, rank, doc_id, score): for each row for which ``is_query`` holds the ``k``
     best rows of the whole table, itself included, by BM25 with k1 = 1.2, b = 0.75 and
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a term that a query holds n times counts n times.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a term that a query holds n times counts n
+    times. Scores are rounded to 9 decimals.
 
     Whole texts on both sides. Rows whose score is 0 are not found, so null, empty and
     wordless texts neither ask nor answer. Ties go to the smaller doc_id. Rows with a null
     doc_id count in the statistics only; rows that repeat a doc_id are found once, with
-    their best score. An empty table gives no rows. Queries go to all shards in blocks of
-    ``query_block``, whose size bounds what is broadcast at once."""
+    their best score, and ask once, with the first text in order. An empty table gives no
+    rows. Queries go to all shards in blocks of ``query_block``, whose size bounds what is
+    broadcast at once."""
     spark = docs.sparkSession
     schema = "query_id long, doc_id long, score double"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -176,55 +175,59 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 20_0
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, words, counts = [], [], []
-            for q, t in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                own = Counter(terms(t))
-                ids += [q] * len(own)
-                words += own.keys()
-                counts += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["query_id", "term", "n"])
-
-    queries = docs.where(F.col("doc_id").isNotNull() & is_query).dropDuplicates(["doc_id"])
+            ids = batch.column(0).to_numpy()
+            for low, _, row, term, count in term_counts(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low + row]), pa.array(term), pa.array(count)], names=["query_id", "term", "n"])
+
+    queries = docs.where(F.col("doc_id").isNotNull() & is_query).groupBy("doc_id").agg(F.min("text").alias("text"))
     weight = F.col("n") * F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    asked = queries.mapInArrow(ask, "query_id long, term string, n long").join(frequencies, "term")
-    asked = stash(asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("terms")), "search-queries")
-    blocks = max(1, -(-asked.count() // query_block))
+    asked = stash(queries.mapInArrow(ask, "query_id long, term long, n long").join(frequencies, "term").select("query_id", "term", weight.alias("weight")), "search-queries")
+    blocks = max(1, -(-asked.select("query_id").distinct().count() // query_block))
     shards = max(spark.sparkContext.defaultParallelism, -(-n // shard_rows))
     found = spark.createDataFrame([], schema)
     for block in range(blocks):
-        # at most about query_block queries reach the driver and the executors at a time
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == F.lit(block)).orderBy("query_id").toPandas()
-        vocabulary = {t: i for i, t in enumerate(sorted({t["term"] for own in rows["terms"] for t in own}))}
-        plan = [
-            (int(q), np.array([vocabulary[t["term"]] for t in own], np.int32), np.array([t["weight"] for t in own]))
-            for q, own in zip(rows["query_id"], rows["terms"])
-        ]
-        shared = spark.sparkContext.broadcast((vocabulary, plan))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pd.DataFrame]:
-            ids: list[int] = []
-            texts: list[str] = []
+        # about query_block queries at most reach the driver and the executors at a time
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == F.lit(block)).toPandas()
+        vocabulary, word = np.unique(rows["term"].to_numpy(), return_inverse=True)
+        q_ids, weights = rows["query_id"].to_numpy(), rows["weight"].to_numpy()
+        order = np.lexsort((word, q_ids))
+        q_ids, word, weights = q_ids[order], word[order].astype(np.int32), weights[order]
+        first = np.flatnonzero(np.r_[True, q_ids[1:] != q_ids[:-1]]) if len(q_ids) else np.zeros(0, int)
+        shared = spark.sparkContext.broadcast((vocabulary, q_ids[first], np.r_[first, len(q_ids)], word, weights))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids: list[np.ndarray] = []
+            parts: list[tuple] = []
+            lengths: list[np.ndarray] = []
 
             def answer() -> pa.RecordBatch:
-                vocabulary, plan = shared.value
-                shard = Shard(ids, texts, vocabulary, mean_length)
+                vocabulary, queries, bounds, words, weights = shared.value
+                shard = Shard(np.concatenate(ids), parts, np.concatenate(lengths).astype(float), len(vocabulary), mean_length)
                 q_col, d_col, s_col = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-                for q, words, weights in plan:
-                    best, scores = shard.best(words, weights, k)
+                for i, q in enumerate(queries.tolist()):
+                    own = slice(bounds[i], bounds[i + 1])
+                    best, scores = shard.best(words[own], weights[own], k)
                     q_col.append(np.full(len(best), q)), d_col.append(best), s_col.append(scores)
-                ids.clear(), texts.clear()
+                ids.clear(), parts.clear(), lengths.clear()
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (q_col, d_col, s_col)], names=["query_id", "doc_id", "score"])
 
+            held = 0
             for batch in batches:
-                for i, t in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                    if i is not None:
-                        ids.append(i), texts.append(t)
-                        if len(ids) >= shard_rows:
-                            yield answer()
-            if ids:
+                own_ids = batch.column(0).to_numpy()
+                for low, length, row, term, count in term_counts(batch.column(1)):
+                    at = np.minimum(np.searchsorted(shared.value[0], term), max(len(shared.value[0]) - 1, 0))
+                    hit = shared.value[0][at] == term if len(shared.value[0]) else np.zeros(len(term), bool)
+                    ids.append(own_ids[low : low + len(length)])
+                    parts.append((row[hit] + held, at[hit].astype(np.int32), count[hit]))
+                    lengths.append(length)
+                    held += len(length)
+                    if held >= shard_rows:
+                        yield answer()
+                        held = 0
+            if held:
                 yield answer()
 
-        found = found.unionByName(docs.coalesce(shards).mapInArrow(search, schema))
+        found = found.unionByName(docs.where("doc_id IS NOT NULL").coalesce(shards).mapInArrow(search, schema))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     once = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
