@@ -28,8 +28,8 @@ from chartweave.llm._shared import append_columns, list_array, texts_of
 
 #: Entries of the per-worker memories of pre-tokens and of token pairs; a full memory starts anew
 #: (of pre-tokens the one before is kept as well).
-PIECE_MEMORY = 300_000
-PAIR_MEMORY = 1_000_000
+PIECE_MEMORY = 200_000
+PAIR_MEMORY = 500_000
 #: Characters below this code point are split by a pattern of explicit ranges.
 _PLAIN_TOP = 0x250
 _BEYOND_PLAIN = re.compile(f"[^\\x00-\\u{_PLAIN_TOP - 1:04x}]")
@@ -184,12 +184,26 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and ranks of a rank file: base64 token and rank a line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+
+
+@functools.lru_cache(maxsize=2)
+def load_bytes(path: str) -> list[bytes]:
+    """The bytes of every id, all that decoding needs."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBPE:
-    """The codec of a rank file (base64 token and rank a line), once per Python worker."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-    return ByteBPE(ranks, pattern)
+    """The codec of a rank file, once per Python worker."""
+    return ByteBPE(read_ranks(path), pattern)
 
 
 def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
@@ -209,19 +223,19 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
     return append_columns(df, [T.StructField(tokens, T.ArrayType(T.IntegerType()))], run)
 
 
-def decode_documents(df: DataFrame, path: str, pattern: str, tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:
+def decode_documents(df: DataFrame, path: str, tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:
     """``df`` with a column ``decoded`` (binary): the bytes of each row's ids. Null ids give
     null, no ids give no bytes, an id outside the table fails the job. No shuffle."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        codec = load(path, pattern)
+        bytes_of = load_bytes(path)
         column = batch.column(batch.schema.get_field_index(tokens))
         flat, out = column.values.to_numpy(zero_copy_only=False), []
-        if len(flat) and (flat.min() < 0 or flat.max() >= len(codec.bytes_of)):
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(bytes_of)):
             raise ValueError("token id outside the rank table")
         offsets = column.offsets.to_numpy()
         for i, ok in enumerate(column.is_valid().to_pylist()):
-            out.append(codec.decode(flat[offsets[i] : offsets[i + 1]].tolist()) if ok else None)
+            out.append(b"".join([bytes_of[t] for t in flat[offsets[i] : offsets[i + 1]].tolist()]) if ok else None)
         return [pa.array(out, pa.binary())]
 
     return append_columns(df, [T.StructField(decoded, T.BinaryType())], run)
