@@ -141,8 +141,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
         return spark.createDataFrame([], schema)
     # a bounded sample by hash of the id; every row is indexed
     share = min(1.0, s.sample_rows / total)
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * s.sample_rows).select("v").toPandas()
-    sample = np.stack(picked["v"].to_numpy()) if len(picked) else np.array([rows.first()["v"]])
+    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * s.sample_rows).select("v").toArrow()["v"].combine_chunks()
+    sample = picked.flatten().to_numpy().reshape(len(picked), -1) if len(picked) else np.array([rows.first()["v"]])
     lists = int(np.clip(total // s.list_rows, 1, s.lists))
     index = fit_centroids(sample, lists, float(np.sqrt(top)) * (1 + 1e-12), s.neighbours)
     lists = len(index.points)
@@ -162,7 +162,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
                 yield pd.DataFrame({"list": near[r, c], "vec_id": part["vec_id"].to_numpy()[r], "v": part["v"].to_numpy()[r]})
 
     postings = stash(rows.mapInPandas(post, "list int, vec_id long, v array<double>"), "ann-postings")
-    sizes = postings.groupBy("list").count().toPandas()  # one row a list
+    sizes = postings.groupBy("list").count().toArrow().to_pandas()  # one row a list
     held = int(sizes["count"].sum())
     part_rows = max(s.part_rows, held // 65_536)
     parts = dict(zip(sizes["list"].tolist(), (-(-sizes["count"] // part_rows)).tolist()))

@@ -70,7 +70,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[k])], names=["lang", "bucket", "n"])
 
     named = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    rows = named.mapInArrow(run, kind).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = named.mapInArrow(run, kind).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(rows["lang"].unique())
     if len(langs) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")

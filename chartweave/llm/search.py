@@ -187,9 +187,10 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 20_0
     found = spark.createDataFrame([], schema)
     for block in range(blocks):
         # about query_block queries at most reach the driver and the executors at a time
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == F.lit(block)).toPandas()
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == F.lit(block)).toArrow()
         vocabulary, word = np.unique(rows["term"].to_numpy(), return_inverse=True)
         q_ids, weights = rows["query_id"].to_numpy(), rows["weight"].to_numpy()
+        del rows
         order = np.lexsort((word, q_ids))
         q_ids, word, weights = q_ids[order], word[order].astype(np.int32), weights[order]
         first = np.flatnonzero(np.r_[True, q_ids[1:] != q_ids[:-1]]) if len(q_ids) else np.zeros(0, int)
