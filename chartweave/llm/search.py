@@ -37,7 +37,7 @@ def term_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     """Step by step over the rows: the step's first row, its rows' lengths in terms, and row,
     term and count of every distinct term of a row, in order of row and term."""
     every, offsets = text_bytes(column)
-    for low, high in steps(offsets):
+    for low, high in steps(offsets, 1 << 20):
         data = LOWER[every[offsets[low] : offsets[high]]]
         own = offsets[low : high + 1] - offsets[low]
         starts, ends, first = word_spans(data, own, _BETWEEN)
@@ -100,11 +100,15 @@ class Shard:
         n = len(ids)
         self.ids = ids
         doc, term, tf = (np.concatenate(x) for x in zip(*parts))
-        norm = K1 * (1 - B + B * length / mean_length) if mean_length else np.ones(n)
-        impact = tf * (K1 + 1) / (tf + norm[doc])
+        parts.clear()  # the postings are held once
         order = np.argsort(term, kind="stable")
-        self.doc, self.impact = doc[order].astype(np.int32), impact[order]
-        self.start = np.searchsorted(term[order], np.arange(words + 1))
+        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=words))]
+        self.doc, tf = doc[order], tf[order].astype(float)
+        del doc, term, order
+        norm = K1 * (1 - B + B * length / mean_length) if mean_length else np.ones(n)
+        self.impact = norm[self.doc]
+        self.impact += tf
+        np.divide(tf * (K1 + 1), self.impact, out=self.impact)
         frequent = np.flatnonzero(np.diff(self.start) > max(n // 16, BLOCK))
         self.row_of = np.full(words, -1)
         self.row_of[frequent] = np.arange(len(frequent))
@@ -219,7 +223,7 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 20_0
                     at = np.minimum(np.searchsorted(shared.value[0], term), max(len(shared.value[0]) - 1, 0))
                     hit = shared.value[0][at] == term if len(shared.value[0]) else np.zeros(len(term), bool)
                     ids.append(own_ids[low : low + len(length)])
-                    parts.append((row[hit] + held, at[hit].astype(np.int32), count[hit]))
+                    parts.append(((row[hit] + held).astype(np.int32), at[hit].astype(np.int32), count[hit].astype(np.int32)))
                     lengths.append(length)
                     held += len(length)
                     if held >= shard_rows:
