@@ -108,7 +108,9 @@ class Shard:
         norm = K1 * (1 - B + B * length / mean_length) if mean_length else np.ones(n)
         self.impact = norm[self.doc]
         self.impact += tf
-        np.divide(tf * (K1 + 1), self.impact, out=self.impact)
+        tf *= K1 + 1
+        np.divide(tf, self.impact, out=self.impact)
+        del tf
         frequent = np.flatnonzero(np.diff(self.start) > max(n // 16, BLOCK))
         self.row_of = np.full(words, -1)
         self.row_of[frequent] = np.arange(len(frequent))
