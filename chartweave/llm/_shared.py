@@ -61,17 +61,22 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def append_columns(
-    df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]]
+    df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], after: Callable[[], None] | None = None
 ) -> DataFrame:
     """``df`` with new columns that ``compute`` makes for each Arrow batch. Columns of the
-    same names (any case) are replaced."""
+    same names (any case) are replaced. ``after`` runs at a task's end: workers live on for
+    other work, and what a task remembered should not."""
     base = without(df, *[f.name for f in fields])
     schema = T.StructType([*base.schema.fields, *fields])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names=names)
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names=names)
+        finally:
+            if after:
+                after()
 
     return base.mapInArrow(run, schema)
 

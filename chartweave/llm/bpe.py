@@ -28,8 +28,8 @@ from chartweave.llm._shared import append_columns, list_array, texts_of
 
 #: Entries of the per-worker memories of pre-tokens and of token pairs; a full memory starts anew
 #: (of pre-tokens the one before is kept as well).
-PIECE_MEMORY = 200_000
-PAIR_MEMORY = 500_000
+PIECE_MEMORY = 150_000
+PAIR_MEMORY = 250_000
 #: Characters below this code point are split by a pattern of explicit ranges.
 _PLAIN_TOP = 0x250
 _BEYOND_PLAIN = re.compile(f"[^\\x00-\\u{_PLAIN_TOP - 1:04x}]")
@@ -96,6 +96,10 @@ class ByteBPE:
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what the memory held before it was full
 
+    def forget(self) -> None:
+        """Drop the remembered pre-tokens."""
+        self.pieces, self.older = {}, {}
+
     def merged(self, s: str) -> list[int]:
         """What repeated merging of the lowest-ranked, leftmost pair makes of ``s``."""
         parts, rank = list(s), self.rank
@@ -220,7 +224,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
         lengths = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
         return [list_array(np.frombuffer(b"".join(rows), "<i4"), lengths, pa.int32())]
 
-    return append_columns(df, [T.StructField(tokens, T.ArrayType(T.IntegerType()))], run)
+    return append_columns(df, [T.StructField(tokens, T.ArrayType(T.IntegerType()))], run, lambda: load(path, pattern).forget())
 
 
 def decode_documents(df: DataFrame, path: str, tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:
