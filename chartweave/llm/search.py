@@ -118,7 +118,7 @@ class Shard:
         for r, w in enumerate(frequent.tolist()):
             a, b = self.start[w], self.start[w + 1]
             self.dense[r, self.doc[a:b]] = self.impact[a:b]
-        self.tops = self.dense.reshape(len(frequent), -1, BLOCK).max(axis=2) if n else np.zeros((len(frequent), 0))
+        self.tops = self.dense.reshape(len(frequent), -(-n // BLOCK), BLOCK).max(axis=2)
 
     def gather(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Sums of weighted impacts of the words' postings for every document."""
