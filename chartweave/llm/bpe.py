@@ -96,10 +96,6 @@ class ByteBPE:
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what the memory held before it was full
 
-    def forget(self) -> None:
-        """Drop the remembered pre-tokens."""
-        self.pieces, self.older = {}, {}
-
     def merged(self, s: str) -> list[int]:
         """What repeated merging of the lowest-ranked, leftmost pair makes of ``s``."""
         parts, rank = list(s), self.rank
@@ -224,7 +220,22 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
         lengths = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
         return [list_array(np.frombuffer(b"".join(rows), "<i4"), lengths, pa.int32())]
 
-    return append_columns(df, [T.StructField(tokens, T.ArrayType(T.IntegerType()))], run, lambda: load(path, pattern).forget())
+    return append_columns(df, [T.StructField(tokens, T.ArrayType(T.IntegerType()))], run, load.cache_clear)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with ``tokens`` and ``decoded``: what encode_documents and then decode_documents
+    give, in one pass, so that a task needs one Python worker."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        codec = load(path, pattern)
+        rows = [codec.encode(t) for t in texts_of(batch, text)]
+        lengths = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
+        decoded = [codec.decode(np.frombuffer(r, "<i4").tolist()) for r in rows]
+        return [list_array(np.frombuffer(b"".join(rows), "<i4"), lengths, pa.int32()), pa.array(decoded, pa.binary())]
+
+    fields = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return append_columns(df, fields, run, load.cache_clear)
 
 
 def decode_documents(df: DataFrame, path: str, tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:

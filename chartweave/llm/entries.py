@@ -31,8 +31,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_documents(_documents(spark, sf_dir).select("doc_id", "text"), path, PATTERN).drop("text")
-    decoded = bpe.decode_documents(encoded, path)
+    decoded = bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), path, PATTERN)
     ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
     return decoded.select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
