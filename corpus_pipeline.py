@@ -35,8 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids, and whether decoding them gives the text back."""
     path = entries.tokenizer("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_documents(docs.select("doc_id", "source", "text"), path, entries.PATTERN)
-    decoded = bpe.decode_documents(encoded, path)
+    decoded = bpe.round_trip(docs.select("doc_id", "source", "text"), path, entries.PATTERN)
     same = F.col("decoded") == F.coalesce(F.encode("text", "utf-8"), F.lit(b"").cast("binary"))
     return decoded.select("doc_id", "source", F.size("tokens").cast("long").alias("n_tokens"), "tokens", same.alias("round_trip"))
 
