@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a numpy step works on at once; a longer text makes a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
+#: Rows of an Arrow batch that a column function gets at once.
+STEP_ROWS = 1000
 
 _own_folder: list[str] = []
 
@@ -73,7 +75,9 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names=names)
+                for at in range(0, batch.num_rows, STEP_ROWS):
+                    part = batch.slice(at, STEP_ROWS)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=names)
         finally:
             if after:
                 after()
