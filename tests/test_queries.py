@@ -7,12 +7,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from chartweave.plans import corpus, history
+from chartweave.plans import answers, corpus, history
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = history.SQL | corpus.SQL
-QUERIES = history.QUERIES | corpus.QUERIES
+SQL = history.SQL | corpus.SQL | answers.SQL
+QUERIES = history.QUERIES | corpus.QUERIES | answers.QUERIES
 
 
 def plain(df: pd.DataFrame) -> list:
