@@ -81,3 +81,53 @@ def pick_rotated(pool: Column, index: Column, count: int) -> Column:
     n = F.size(pool)
     picks = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.element_at(pool, F.pmod(index + i, n) + F.lit(1)))
     return F.when(n > 0, picks).otherwise(F.array().cast("array<string>"))
+
+
+def classify_sentences(sentences: DataFrame, rules: list[tuple[str, str]], otherwise: str) -> DataFrame:
+    """``sentences`` with ``kind``: that of the first rule (pattern, kind) found in it."""
+    ordered = [F.when(F.col("sentence").rlike("(?iu)" + pattern), F.lit(kind)) for pattern, kind in rules]
+    return sentences.withColumn("kind", F.coalesce(*ordered, F.lit(otherwise)))
+
+
+def extract_facts(classified: DataFrame, skip: str = "skip", same: int = 48) -> DataFrame:
+    """(stay_id, kind, pos, fact): sentences without their closing marks, the first of those
+    of a kind that begin with the same ``same`` characters in any case. Partial minima are
+    taken before the shuffle, so repeats do not travel."""
+    facts = classified.where(F.col("kind") != skip).withColumn("fact", F.regexp_replace("sentence", r"[.;]+$", ""))
+    first = F.min(F.struct("pos", "fact")).alias("f")
+    return facts.groupBy("stay_id", "kind", F.lower(F.substring("fact", 1, same)).alias("_key")).agg(first).select("stay_id", "kind", "f.pos", "f.fact")
+
+
+def dated_snippets(stays: DataFrame, default_year: Column, text: str = "narrative", least: int = 8) -> DataFrame:
+    """(stay_id, day, snippet): each day.month[.year] mark with the text up to the next one,
+    if longer than ``least``; marks without a year get ``default_year``, no dates go."""
+    mark = r"\d{1,2}\.\d{1,2}(?:\.(?:\d{4}|\d{2}))?"
+    parts = F.split(F.col(text), rf"(?<![0-9A-Za-zА-Яа-я.])(?={mark}(?![0-9]))")
+    rows = stays.select("stay_id", default_year.cast("string").alias("_year"), F.explode(parts).alias("_part"))
+    found = F.split(F.regexp_extract("_part", f"^({mark})(?![0-9])", 1), r"\.")
+    year = F.coalesce(F.try_element_at(found, F.lit(3)), F.col("_year"))
+    whole = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    day = F.try_to_date(F.concat_ws("-", whole, F.lpad(F.try_element_at(found, F.lit(2)), 2, "0"), F.lpad(F.try_element_at(found, F.lit(1)), 2, "0")), "yyyy-MM-dd")
+    told = rows.withColumns({"day": day, "snippet": trim_space(F.regexp_replace("_part", f"^{mark}(?![0-9])", ""))})
+    return told.where(F.col("day").isNotNull() & (F.length("snippet") > least)).select("stay_id", "day", "snippet")
+
+
+def take_unused(days: DataFrame, pool: DataFrame) -> DataFrame:
+    """(stay_id, day, item): the n-th entry of a stay's pool (item, pos; equal items once) goes
+    to its n-th day, so no entry is used twice. A stay has few days and entries."""
+    first = pool.groupBy("stay_id", "item").agg(F.min("pos").alias("pos"))
+    placed = first.withColumn("_n", F.row_number().over(Window.partitionBy("stay_id").orderBy("pos", "item")))
+    numbered = days.select("stay_id", "day").withColumn("_n", F.row_number().over(Window.partitionBy("stay_id").orderBy("day")))
+    return numbered.join(placed, ["stay_id", "_n"]).select("stay_id", "day", "item")
+
+
+def forbidden_items(observed: DataFrame, most: int = 22) -> DataFrame:
+    """(stay_id, day, forbidden): what was observed (day, item) on the other days of the stay
+    and not on this one, in the order of days, each once, the first ``most`` as the feature
+    asks. One shuffle; a stay's rows are bounded by its days."""
+    everything = F.sort_array(F.collect_set(F.struct("day", "item")))
+    rows = observed.groupBy("stay_id").agg(everything.alias("_all"))
+    each = rows.select("stay_id", "_all", F.explode(F.array_distinct(F.transform("_all", lambda x: x["day"]))).alias("day"))
+    own = F.transform(F.filter("_all", lambda x: x["day"] == F.col("day")), lambda x: x["item"])
+    rest = F.array_distinct(F.transform("_all", lambda x: x["item"]))
+    return each.select("stay_id", "day", F.slice(F.array_except(rest, own), 1, most).alias("forbidden"))

@@ -121,3 +121,28 @@ def export_batch_text(children: DataFrame) -> DataFrame:
 
 def export_filename(doc_type: Column, day: Column, extension: str = "docx") -> Column:
     return F.concat(F.lit("diary_"), doc_type, F.lit("_"), F.date_format(day, "yyyy-MM-dd"), F.lit("." + extension))
+
+
+#: The months as they stand in a date.
+MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
+
+
+def exam_stamp(diary_date: Column, title: Column, created_at: Column) -> Column:
+    """The day of the examination in its official form: the date of the answers (ISO or
+    day.month.year), else that in the title, else the day the document was made."""
+
+    def dotted(text: Column) -> Column:
+        return F.try_to_date(F.nullif(F.regexp_extract(text, r"(\d{2}\.\d{2}\.\d{4})", 1), F.lit("")), "dd.MM.yyyy")
+
+    iso = F.try_to_date(F.regexp_extract(diary_date, r"^\d{4}-\d{2}-\d{2}$", 0), "yyyy-MM-dd")
+    day = F.coalesce(iso, dotted(diary_date), dotted(title), F.to_date(created_at))
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(day))
+    return F.concat(F.lit("«"), F.date_format(day, "dd"), F.lit("» "), month, F.lit(" "), F.date_format(day, "yyyy"), F.lit(" г."))
+
+
+def apply_substitutions(text: Column, values: Column, stamp: Column, clock: str = "10 час. 00 мин.") -> Column:
+    """Placeholders of the map ``values`` filled, date and time by ``stamp`` and ``clock``
+    before all others; blank values are skipped, unknown placeholders stay."""
+    fixed = F.replace(F.replace(text, F.lit("[ДАТА]"), stamp), F.lit("[ВРЕМЯ]"), F.lit(clock))
+    pairs = F.filter(F.coalesce(F.map_entries(values), F.array().cast("array<struct<key:string,value:string>>")), lambda e: (e["key"] != "") & (F.coalesce(e["value"], F.lit("")) != ""))
+    return F.aggregate(F.array_sort(pairs), fixed, lambda done, e: F.replace(done, e["key"], e["value"]))

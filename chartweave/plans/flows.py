@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from chartweave.operators import chunks as c
 from chartweave.operators import redaction as r
+from chartweave.operators import stays as s
+from chartweave.operators import text as t
 from chartweave.plans.corpus import NOTES, notes
 from chartweave.plans.history import table
 from chartweave.streaming import streams
@@ -70,6 +72,45 @@ def t9_line_kinds(spark, d):
     return c.line_kinds(docs, "doc_ref", ["diagnosis"]).groupBy("doc_ref", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"), F.sum(F.length("value")).alias("chars"))
 
 
+RULES = [(r"(?=.*\bthe\b)(?=.*\band\b)", "contrast"), ("stra", "skip"), ("the", "early")]
+
+
+def p6_extract_facts(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("stay_id"), F.col("text").alias("narrative"))
+    return s.extract_facts(s.classify_sentences(s.sentence_rows(docs), RULES, "later")).groupBy("stay_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("long").alias("places"), F.sum(F.length("fact")).alias("chars"))
+
+
+def p7_dated_snippets(spark, d):
+    rows = notes(spark, d).select(F.col("doc_ref").alias("stay_id"), F.concat("text", F.lit(", 5.3 second mark, 31.02.24 no such day, 1.2 short")).alias("narrative"))
+    return s.dated_snippets(rows, F.lit(2001)).select("stay_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "snippet")
+
+
+def _observed(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("stay_id"), F.to_date("l_shipdate").alias("day"), F.concat("l_returnflag", F.lit("-"), (F.col("l_partkey") % 4).cast("string")).alias("item"), F.col("l_linenumber").alias("pos"))
+
+
+def p13_take_unused(spark, d):
+    seen = _observed(spark, d)
+    return s.take_unused(seen.select("stay_id", "day").distinct(), seen.select("stay_id", "item", "pos")).select("stay_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "item")
+
+
+def p15_forbidden_items(spark, d):
+    return s.forbidden_items(_observed(spark, d)).select("stay_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.array_join(F.array_sort("forbidden"), ",").alias("forbidden"))
+
+
+def t2_exam_stamps(spark, d):
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey") % 4
+    given = F.when(key == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(key == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).when(key == 2, F.lit("2024-02-31"))
+    return o.select("o_orderkey", t.exam_stamp(given, F.when(key == 2, F.lit("Day of 09.03.2020")).otherwise(F.lit("Day")), F.col("o_orderdate")).alias("stamp"))
+
+
+def t3_substitutions(spark, d):
+    c_ = table(spark, d, "customer")
+    values = F.create_map(F.lit("[NAME]"), F.col("c_name"), F.lit("[HEAD]"), F.lit(""), F.lit("[ДАТА]"), F.lit("never"))
+    return c_.select("c_custkey", t.apply_substitutions(F.lit("[ДАТА] [ВРЕМЯ] [NAME] [HEAD] [OTHER]"), values, F.lit("day")).alias("text"))
+
+
 def _events(spark, d):
     kept = spark.read.parquet(f"{d}/events.parquet").schema
     # event times need a zone; sums are told in the session's zone again
@@ -87,7 +128,7 @@ def w5_removed_counts(spark, d):
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "type", "removed")
 
 
-QUERIES = {f.__name__: f for f in (c9_chunk_documents, c9_chunk_notes, c12_ingest_stats, e7_format_samples, h8_normalize_titles, p9_anchor_dates, p18_speech_levels, r14_label_counts, r16_recall_report, t9_line_kinds, w2_dedup_points, w5_removed_counts)}
+QUERIES = {f.__name__: f for f in (c9_chunk_documents, c9_chunk_notes, c12_ingest_stats, e7_format_samples, h8_normalize_titles, p6_extract_facts, p7_dated_snippets, p9_anchor_dates, p13_take_unused, p15_forbidden_items, p18_speech_levels, r14_label_counts, r16_recall_report, t2_exam_stamps, t3_substitutions, t9_line_kinds, w2_dedup_points, w5_removed_counts)}
 
 _GATE = " OR ".join(f"regexp_matches(x, '{r.PATTERNS[k]}')" for k in ("date", "phone", "doc_number"))
 SQL = {
@@ -100,6 +141,14 @@ SQL = {
     "p18_speech_levels": "SELECT doc_id, CASE WHEN lower(text) LIKE '%zzz%' THEN 'sounds' WHEN lower(text) LIKE '%stra%' THEN 'words' WHEN lower(text) LIKE '%the%' THEN 'expanded' ELSE 'unknown' END AS level FROM documents",
     "r14_label_counts": "SELECT unnest(['dates', 'phones', 'doc_number']) AS label, (SELECT count(*) FROM orders) AS removed",
     "r16_recall_report": "SELECT o_orderkey AS doc_ref, 3 AS expected, round(2 / 3.0, 6) AS recall, 'name' AS missed FROM orders",
+    "p6_extract_facts": r"""WITH r AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), '[\x01\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS xs FROM documents), e AS (SELECT doc_id AS stay_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM r),
+ k AS (SELECT stay_id, pos, CASE WHEN regexp_matches(lower(x), '\bthe\b') AND regexp_matches(lower(x), '\band\b') THEN 'contrast' WHEN lower(x) LIKE '%stra%' THEN 'skip' WHEN lower(x) LIKE '%the%' THEN 'early' ELSE 'later' END AS kind, regexp_replace(x, '[.;]+$', '') AS fact FROM e),
+ f AS (SELECT stay_id, kind, min(pos) AS pos, arg_min(fact, pos) AS fact FROM k WHERE kind <> 'skip' GROUP BY stay_id, kind, lower(substr(fact, 1, 48))) SELECT stay_id, kind, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places, CAST(sum(length(fact)) AS BIGINT) AS chars FROM f GROUP BY 1, 2""",
+    "p7_dated_snippets": f"""WITH {NOTES} SELECT doc_ref AS stay_id, regexp_replace(text, '(?s)^.*?(\\d\\d)\\.(\\d\\d)\\.(\\d{{4}}).*$', '\\3-\\2-\\1') AS day, regexp_replace(text, '(?s)^.*?\\d\\d\\.\\d\\d\\.\\d{{4}} ', '') || ',' AS snippet FROM notes UNION ALL SELECT doc_ref, '2001-03-05', 'second mark,' FROM notes""",
+    "p13_take_unused": "WITH x AS (SELECT l_orderkey AS stay_id, CAST(l_shipdate AS DATE) AS day, l_returnflag || '-' || (l_partkey % 4) AS item, l_linenumber AS pos FROM lineitem), p AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY pos, item) AS n FROM (SELECT stay_id, item, min(pos) AS pos FROM x GROUP BY 1, 2)), y AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY day) AS n FROM (SELECT DISTINCT stay_id, day FROM x)) SELECT y.stay_id, CAST(day AS VARCHAR) AS day, item FROM y JOIN p ON y.stay_id = p.stay_id AND y.n = p.n",
+    "p15_forbidden_items": "WITH x AS (SELECT DISTINCT l_orderkey AS stay_id, CAST(l_shipdate AS DATE) AS day, l_returnflag || '-' || (l_partkey % 4) AS item FROM lineitem), y AS (SELECT DISTINCT stay_id, day FROM x) SELECT y.stay_id, CAST(y.day AS VARCHAR) AS day, coalesce(string_agg(DISTINCT o.item, ',' ORDER BY o.item), '') AS forbidden FROM y LEFT JOIN x o ON o.stay_id = y.stay_id AND o.day <> y.day AND NOT EXISTS (SELECT 1 FROM x z WHERE z.stay_id = y.stay_id AND z.day = y.day AND z.item = o.item) GROUP BY y.stay_id, y.day",
+    "t2_exam_stamps": f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN '«09» марта 2020 г.' ELSE '«' || strftime(o_orderdate, '%d') || '» ' || {t.MONTHS!r}[month(o_orderdate)] || strftime(o_orderdate, ' %Y г.') END AS stamp FROM orders",
+    "t3_substitutions": "SELECT c_custkey, 'day 10 час. 00 мин. ' || c_name || ' [HEAD] [OTHER]' AS text FROM customer",
     "t9_line_kinds": f"WITH {NOTES}, k AS (SELECT doc_ref, unnest(string_split(text, chr(10))) AS line FROM notes) SELECT doc_ref, 'text' AS kind, count(*) AS n, NULL AS label, sum(length(trim(line))) AS chars FROM k GROUP BY 1 UNION ALL SELECT doc_ref, 'labelled', 1, 'Diagnosis', 8 FROM notes UNION ALL SELECT doc_ref, 'blank', 1, NULL, 0 FROM notes",
     "w2_dedup_points": "SELECT DISTINCT user_id || '-' || event_type AS point_id FROM events",
     "w5_removed_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS type, count(*) AS removed FROM events GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)",
