@@ -17,7 +17,7 @@ QUERIES = history.QUERIES | corpus.QUERIES | answers.QUERIES | flows.QUERIES
 
 def plain(df: pd.DataFrame) -> list:
     def text(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
             return "null"
         if isinstance(x, float):
             return f"{x:.5f}"
