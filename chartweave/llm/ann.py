@@ -82,6 +82,13 @@ class Centroids:
         found.sort()
         return [c for d, c in found[:most] if d <= best * ratio * ratio]
 
+    def widen(self, q: np.ndarray, chosen: list[int], sizes: np.ndarray, enough: int) -> list[int]:
+        """``chosen`` and the next nearest lists, until they hold ``enough`` rows or are all."""
+        order = ((self.points - q) ** 2).sum(axis=1).argsort(kind="stable")
+        rest = order[~np.isin(order, chosen)]
+        held = sizes[chosen].sum() + sizes[rest].cumsum()
+        return [*chosen, *rest[: int(np.searchsorted(held, enough)) + 1].tolist()]
+
     @property
     def entry(self) -> np.ndarray:
         return np.arange(0, len(self.points), max(1, len(self.points) // 8))
@@ -127,7 +134,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
     vec_id) holds the ``k`` other rows of largest inner product that the lists hold.
 
     Scores are sums of products in double precision on the vectors as they are. Ties go to
-    the smaller vec_id, so among any number of equal vectors the first ones are found.
+    the smaller vec_id, so among any number of equal vectors the first ones are found. A
+    query gets ``k`` rows, or all others if there are fewer: where the lists near it hold too
+    few, further lists are searched.
     Vectors that are null, zero or have null or non-finite components take no part; lengths
     must agree. Rows that repeat a vec_id count once (the smallest vector). An empty table
     and a single row give no rows."""
@@ -141,7 +150,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
         return spark.createDataFrame([], schema)
     # a bounded sample by hash of the id; every row is indexed
     share = min(1.0, s.sample_rows / total)
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * s.sample_rows).select("v").toArrow()["v"].combine_chunks()
+    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * s.sample_rows).toArrow().sort_by("vec_id")["v"].combine_chunks()
     sample = picked.flatten().to_numpy().reshape(len(picked), -1) if len(picked) else np.array([rows.first()["v"]])
     lists = int(np.clip(total // s.list_rows, 1, s.lists))
     index = fit_centroids(sample, lists, float(np.sqrt(top)) * (1 + 1e-12), s.neighbours)
@@ -183,6 +192,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
     for (list_no, _), g in group_of.items():
         groups_of.setdefault(list_no, []).append(g)
     shared = spark.sparkContext.broadcast(groups_of)
+    list_sizes = np.zeros(lists, np.int64)
+    list_sizes[sizes["list"].to_numpy()] = sizes["count"].to_numpy()
+    enough = (k + 1) * max(replicas, 1)  # rows among which are k other vectors, whatever the copies
     most = max(1, int(np.ceil(s.most_lists * lists)))
     search_ratio = s.search_ratio
 
@@ -192,7 +204,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
             for vec_id, v in zip(f["vec_id"], f["v"]):
                 q = np.append(np.asarray(v), 0.0)
                 wanted: dict[int, list[int]] = {}
-                for c in known.value.walk(q, search_ratio, most):
+                chosen = known.value.walk(q, search_ratio, most)
+                if list_sizes[chosen].sum() < enough:
+                    chosen = known.value.widen(q, chosen, list_sizes, enough)
+                for c in chosen:
                     for g in set(shared.value.get(c, ())):
                         wanted.setdefault(g, []).append(c)
                 for g, own_lists in wanted.items():

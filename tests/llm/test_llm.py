@@ -159,6 +159,9 @@ def test_nearest_neighbours(spark):
         assert q not in got[q] and len(got[q]) == 20
         hits, total = hits + len({*want} & {*got[q]}), total + 20
     assert hits / total >= 0.9
+    # lists too small for k rows: further lists make up for it
+    few = ann.nearest(table, F.col("vec_id") % 20 == 0, settings=ann.Settings(list_rows=5, most_lists=0.01, search_ratio=1.0)).groupBy("query_id").count()
+    assert {(r.query_id, r["count"]) for r in few.collect()} == {(q, 20) for q in range(0, 600, 20)}
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0 and ann.nearest(table.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
