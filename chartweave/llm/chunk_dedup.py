@@ -3,9 +3,11 @@
 A gear hash rolls over the bytes: h = (h << 1) + gear[byte]; the tested bits depend on the
 last 16 bytes only, so the same passage is cut at the same places wherever it stands, and an
 insertion shifts cuts near it alone. Cuts fall behind white space (in scripts without spaces
-behind any character of three bytes or more), so chunks hold whole words. A chunk whose
-digest stands in an earlier document too is repeated; runs of adjacent repeated chunks with
-``min_words`` words or more are the repeated spans. Single common phrases make no run.
+behind any character of three bytes or more), so chunks hold whole words. Digests are taken
+of windows: the fewest chunks side by side, from every chunk forwards and backwards, that
+have ``min_words`` words. A window whose digest stands in an earlier document is a passage
+that one document holds as a whole; overlapping or touching windows are one repeated span.
+Chunks that stand in different documents make no window.
 """
 
 from __future__ import annotations
@@ -75,12 +77,37 @@ def _forced(raw: np.ndarray, at: int) -> int:
     return at
 
 
-CHUNKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("place", T.LongType())])
+def unit_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words of rows end to end start; in scripts without spaces (Thai, Lao, Burmese,
+    Khmer, kana, Han) every character is a word."""
+    words = word_spans(raw, offsets)[0]
+    if not len(raw) or raw.max() < 0xE0:
+        return words
+    second = np.r_[raw[1:], np.uint8(0)]
+    pair = raw.astype(np.uint16) << 8 | second
+    bare = (pair >= 0xE0B8) & (pair <= 0xE0BB) | (pair >= 0xE180) & (pair <= 0xE182) | (pair >= 0xE19E) & (pair <= 0xE19F)
+    bare |= (pair >= 0xE2BA) & (pair <= 0xE9BF) | (pair >= 0xEFA4) & (pair <= 0xEFAB) | (pair >= 0xF0A0) & (pair <= 0xF0B3)
+    return np.union1d(words, np.flatnonzero(bare))
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, place) of all chunks; ``place`` packs the first byte (32 bits), the
-    length (16) and the number of words (15)."""
+def chunk_windows(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunks of the windows. ``starts`` and ``ends`` count the words before
+    and up to the end of every chunk, ``first`` and ``last`` are the chunks of its row."""
+    every = np.arange(len(starts))
+    to = np.searchsorted(ends, starts + min_words)
+    since = np.searchsorted(starts, ends - min_words, side="right") - 1
+    ahead = to <= last
+    back = since >= first
+    back[back] = to[since[back]] != every[back]
+    return np.r_[every[ahead], since[back]], np.r_[to[ahead], every[back]]
+
+
+WINDOWS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "digest", "place", "words")])
+
+
+def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, digest, place, words) of all windows; ``place`` packs the first byte and the
+    end, ``words`` the number of words before the window and up to its end (32 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,40 +123,51 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 base = np.repeat(own[:-1], counts)
                 ends = np.concatenate(bounds) + base
                 starts = np.r_[0, ends[:-1]]
-                starts[np.cumsum(np.r_[0, counts[:-1]])[counts > 0]] = own[:-1][counts > 0]
-                words = word_spans(part, own)[0]
-                n_words = np.searchsorted(words, ends) - np.searchsorted(words, starts)
-                place = (starts - base) << 31 | (ends - starts) << 15 | n_words
-                columns = [np.repeat(doc_ids[low:high], counts), span_hashes(part, starts, ends).view(np.int64), place]
-                for at in range(0, len(place), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 200_000], pa.int64()) for c in columns], names=CHUNKS.fieldNames())
+                at = np.cumsum(np.r_[0, counts[:-1]])
+                starts[at[counts > 0]] = own[:-1][counts > 0]
+                units = unit_starts(part, own)
+                before, upto = np.searchsorted(units, starts), np.searchsorted(units, ends)
+                first = np.repeat(at, counts)
+                a, b = chunk_windows(before, upto, first, first + np.repeat(counts, counts) - 1, max(min_words, 1))
+                zero = before[first[a]]
+                place = (starts[a] - base[a]) << 32 | (ends[b] - base[a])
+                words = (before[a] - zero) << 32 | (upto[b] - zero)
+                columns = [np.repeat(doc_ids[low:high], counts)[a], span_hashes(part, starts[a], ends[b]).view(np.int64), place, words]
+                for k in range(0, len(place), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000], pa.int64()) for c in columns], names=WINDOWS.fieldNames())
 
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return named.mapInArrow(run, CHUNKS)
+    return named.mapInArrow(run, WINDOWS)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """(doc_id, span_start, span_end, n_words, first_doc_id): byte spans of a document whose
-    chunks all stand in documents of smaller doc_id, with ``min_words`` words at least;
-    ``first_doc_id`` is the first document that has the span's first chunk.
+    """(doc_id, span_start, span_end, n_words, first_doc_id): byte spans of a document made of
+    windows of ``min_words`` words or more that stand, each as a whole, in documents of smaller
+    doc_id; ``first_doc_id`` is the first document that has the span's first window. Where a
+    script has no spaces, characters count as words.
 
     The first document keeps its passage and is not named. Repeats inside one document do
     not count, nor do rows that repeat a doc_id. Null ids and null or empty texts have no
     spans; an empty table gives none."""
-    chunks = stash(chunk_rows(docs), "dedup-chunks")
-    digests = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    windows = stash(window_rows(docs, min_words), "dedup-windows")
+    digests = windows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_rows"))
     shared = stash(digests.where("first_doc_id < _last").drop("_last"), "dedup-digests")
-    found = join_unique(chunks, shared, ["digest"], chunks.count(), part=10_000).where("doc_id > first_doc_id")
-    start = F.shiftright("place", 31)
-    end = start + F.shiftright("place", 15).bitwiseAND(F.lit(0xFFFF))
-    rows = found.select("doc_id", "first_doc_id", start.alias("start"), end.alias("end"), F.col("place").bitwiseAND(F.lit(0x7FFF)).alias("words")).dropDuplicates(["doc_id", "start"])
-    order = Window.partitionBy("doc_id").orderBy("start")
-    opens = (F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("start")).cast("int")
+    found = join_unique(windows, shared, ["digest"], windows.count(), part=10_000).where("doc_id > first_doc_id")
+    low = F.lit(0xFFFFFFFF).cast("long")
+    rows = found.select(
+        "doc_id", "first_doc_id",
+        F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(low).alias("end"),
+        F.shiftright("words", 32).alias("_before"), F.col("words").bitwiseAND(low).alias("_upto"),
+    ).dropDuplicates(["doc_id", "start", "end"])
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int")
     runs = rows.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
     spans = runs.groupBy("doc_id", "_run").agg(
-        F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.min_by("first_doc_id", "start").alias("first_doc_id")
+        F.min("start").alias("span_start"), F.max("end").alias("span_end"), (F.max("_upto") - F.min("_before")).alias("n_words"),
+        F.min_by("first_doc_id", F.struct("start", "end")).alias("first_doc_id"),
     )
-    return spans.where(F.col("n_words") >= F.lit(min_words)).select("doc_id", "span_start", "span_end", "n_words", "first_doc_id")
+    return spans.select("doc_id", "span_start", "span_end", "n_words", "first_doc_id")
 
 
 #: Rows of the table of spans per document that are broadcast at most; beyond, join by shuffle.

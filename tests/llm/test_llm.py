@@ -143,6 +143,47 @@ def test_repeated_passages(spark, odd, empty):
     assert ends[-1] == len(data) and (np.diff(np.r_[0, ends]) <= chunk_dedup.MAX_BYTES).all()
 
 
+def test_spans_are_passages_of_one_document(spark):
+    text = prose(60)
+    ends = chunk_dedup.chunk_bounds(np.frombuffer(text.encode(), np.uint8))
+    pieces = [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    # every chunk of the last text stands in an earlier one, but no two of them side by side
+    rows = [(i, f"{prose(30)} {p}{prose(30)}") for i, p in enumerate(pieces)] + [(1000, text)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 1000 not in {r.doc_id for r in chunk_dedup.repeated_spans(table).collect()}
+    # without spaces characters count
+    han = "".join(chr(0x4E00 + int(x)) for x in RNG.integers(0, 20000, 400))
+    other = ["".join(chr(0x4E00 + int(x)) for x in RNG.integers(0, 20000, 100)) for _ in range(2)]
+    got = chunk_dedup.repeated_spans(spark.createDataFrame([(1, other[0] + han), (2, other[1] + han)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_doc_id) for r in got] == [(2, 1)] and 200 <= got[0].n_words <= 400
+    assert (other[1] + han).encode()[got[0].span_start : got[0].span_end].decode() in han
+
+
+def test_spans_equal_brute_force(spark, docs):
+    """All spans of the documents from runs of chunks compared document by document."""
+    rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect())
+    wanted, seen = set(), {}
+    for doc, raw in rows:
+        ends = [0, *chunk_dedup.chunk_bounds(np.frombuffer(raw, np.uint8)).tolist()]
+        hit, own = np.zeros(len(ends) - 1, bool), set()
+        for i in range(len(ends) - 1):
+            for j in range(i + 1, len(ends)):
+                passage = raw[ends[i] : ends[j]]
+                # words start behind white space; a chunk border may stand inside a word
+                n = len(re.findall(rb"(?<![^ \t-\r])[^ \t-\r]", b" " + passage if i == 0 else raw[ends[i] - 1 : ends[j]]))
+                if n - (i > 0 and raw[ends[i] - 1 : ends[i]].strip(b" \t\n\v\f\r") != b"") >= 20:
+                    hit[i:j] |= passage in seen
+                    own.add(passage)
+                    if j - i > 12:
+                        break
+        for p in own:
+            seen.setdefault(p, doc)
+        edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(int)))
+        wanted |= {(doc, ends[a], ends[b]) for a, b in zip(edges[::2], edges[1::2])}
+    got = chunk_dedup.repeated_spans(docs).collect()
+    assert wanted and {(r.doc_id, r.span_start, r.span_end) for r in got} == wanted and len(got) == len(wanted)
+
+
 def test_nearest_neighbours(spark):
     x = RNG.normal(size=(600, 16))
     x[100:160] = x[100]
