@@ -11,8 +11,9 @@ alone has are dropped. In every other bucket pairs are compared by one-permutati
 (512 bins) that travel with the bucket's rows, and pairs that cannot be told to be below the
 threshold come out once, in the first table they share; pairs whose link is already certain
 through other pairs of the bucket do not come out. Every pair that comes out is confirmed on
-full sets. Oversize buckets are split by further tuples of the left collection, so a hot
-bucket is many smaller ones. Classes are the connected components of the confirmed links,
+full sets. In oversize buckets all members are first compared with one of them on full sets;
+those linked to it need not meet each other, the others meet them and each other in cells of
+bounded size, so a hot bucket is many small ones and every pair of it still meets. Classes are the connected components of the confirmed links,
 found by alternating star operations on the links as a table.
 """
 
@@ -33,10 +34,12 @@ BINS = 512
 #: Standard errors that a sketch's estimate must lie below the threshold to rule a link out:
 #: a pair exactly at the threshold is missed with a chance of 2e-4, like that of the tables.
 CERTAINTY = 3.5
-#: Rows of a bucket above which it is split by further tuples.
+#: Rows of a bucket above which it is dealt into cells of about so many rows.
 SPLIT_BUCKET = 3000
 #: Low bits of a table key that hold the number of the table; up to 16 bands.
 TABLE_BITS = 8
+#: Sets of a round's hubs that are broadcast at most; beyond, join by shuffle.
+BROADCAST_SETS = 1000
 #: Ids of one column are broadcast up to this many (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 500_000
 _rng = np.random.Generator(np.random.PCG64(977))
@@ -142,10 +145,10 @@ def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def _bucket_pairs(similarity: float):
     """Pairs of a partition sorted by bucket; buckets come out of the stream one by one."""
 
-    def pairs_of(ids, tables, sizes, lefts, rights, marks, out) -> None:
+    def pairs_of(ids, labels, table, sizes, lefts, rights, marks, out) -> None:
         n, bands = len(ids), lefts.shape[1]
         full = marks > 0
-        group = np.arange(n)
+        group = np.unique(labels, return_inverse=True)[1]
         for i in range(n - 1):
             rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
             if not len(rest):
@@ -162,12 +165,10 @@ def _bucket_pairs(similarity: float):
             if not near.any():
                 continue
             found, sure = rest[near], share[near] >= similarity + slack[near] + 1.0 / 255
-            if tables is not None:  # not of a split bucket: only in the first table they share
-                hit_l, hit_r = lefts[found] == lefts[i], rights[found] == rights[i]
-                first = hit_l.argmax(axis=1) * bands + hit_r.argmax(axis=1)
-                shown = found[first == tables]
-            else:
-                shown = found
+            # only in the first table they share
+            hit_l, hit_r = lefts[found] == lefts[i], rights[found] == rights[i]
+            first = hit_l.argmax(axis=1) * bands + hit_r.argmax(axis=1)
+            shown = found[first == table]
             a, b = np.minimum(ids[shown], ids[i]), np.maximum(ids[shown], ids[i])
             out.append(np.stack([a, b]))
             for g in np.unique(group[found[sure]]):
@@ -178,7 +179,7 @@ def _bucket_pairs(similarity: float):
         col = lambda name: t.column(name).chunk(0)
         key = col("_key").to_numpy()
         ids, sizes = col("doc_id").to_numpy(), col("n_shingles").to_numpy()
-        first = col("_first").to_numpy(zero_copy_only=False)
+        labels = col("_label").to_numpy()
         n = len(key)
         lefts = col("_left").flatten().to_numpy().reshape(n, -1)
         rights = col("_right").flatten().to_numpy().reshape(n, -1)
@@ -187,8 +188,8 @@ def _bucket_pairs(similarity: float):
         out: list[np.ndarray] = []
         for low, high in zip(cuts[:-1], cuts[1:]):
             if high - low > 1:
-                k = int(key[low]) & ((1 << TABLE_BITS) - 1) if first[low] else None
-                pairs_of(ids[low:high], k, sizes[low:high], lefts[low:high], rights[low:high], marks[low:high], out)
+                k = int(key[low]) & ((1 << TABLE_BITS) - 1)
+                pairs_of(ids[low:high], labels[low:high], k, sizes[low:high], lefts[low:high], rights[low:high], marks[low:high], out)
         both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
@@ -217,35 +218,100 @@ def _bucket_pairs(similarity: float):
     return run
 
 
-def candidate_pairs(nodes: DataFrame, similarity: float, bands: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a table and whose sketches do not rule a link out."""
+def table_rows(nodes: DataFrame, bands: int) -> DataFrame:
+    """(doc_id, _label, _key, _i, _l) of every node and table."""
     lefts = F.posexplode("_left").alias("_i", "_l")
-    rows = nodes.select("doc_id", lefts, "_right").select("doc_id", "_i", "_l", F.posexplode("_right").alias("_j", "_r"))
+    rows = nodes.select("doc_id", "_label", lefts, "_right").select("doc_id", "_label", "_i", "_l", F.posexplode("_right").alias("_j", "_r"))
     table = (F.col("_i") * F.lit(bands) + F.col("_j")).cast("long")
     # the key's low bits tell the table
     key = F.shiftleft(F.xxhash64("_l", "_r"), TABLE_BITS).bitwiseOR(table)
-    rows = rows.select("doc_id", key.alias("_key"))
-    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1")
-    shared = stash(counted, "near-buckets")
-    carried = shared.join(nodes, "doc_id")
-    usual = carried.where(F.col("_n") <= SPLIT_BUCKET).select("_key", "doc_id", F.lit(True).alias("_first"), "n_shingles", "_left", "_right", "_sketch")
-    dealt = usual
-    if shared.where(F.col("_n") > SPLIT_BUCKET).limit(1).count():
-        # members of a split bucket meet again under a further tuple of the left collection
-        dealt = usual.unionByName(_split(carried, bands))
-    dealt = dealt.repartition("_key").sortWithinPartitions("_key", "doc_id")
-    return dealt.mapInArrow(_bucket_pairs(similarity), "a long, b long").where("a <> b").distinct()
+    return rows.select("doc_id", "_label", key.alias("_key"), "_i", "_l")
+
+
+def dealt_rows(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the buckets, oversize ones as cells, and the links confirmed on the way.
+    Nodes of one ``_label`` are known to be one class and are not compared."""
+    rows = table_rows(nodes, bands)
+    # a bucket is oversize only if its left tuple is: twelve rows a node are counted, not 144
+    tuples = nodes.select(F.posexplode("_left").alias("_i", "_l")).groupBy("_i", "_l").agg(F.count(F.lit(1)).alias("_n"))
+    tuples = stash(tuples.where(F.col("_n") > SPLIT_BUCKET).drop("_n"), "near-tuples")
+    links, cells = None, None
+    if tuples.limit(1).count():
+        counts = rows.join(F.broadcast(tuples), ["_i", "_l"]).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+        oversize = stash(counts.where(F.col("_n") > SPLIT_BUCKET).drop("_n"), "near-oversize")
+        if oversize.limit(1).count():
+            hot = stash(rows.join(F.broadcast(oversize), "_key").select("doc_id", "_label", "_key"), "near-hot")
+            rows = rows.join(F.broadcast(oversize), "_key", "left_anti")
+            hot, links = _tied(docs, hot, percent)
+            cells = _cells(hot)
+    rows = rows.select("doc_id", "_label", "_key")
+    shared = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1").drop("_n")
+    shared = stash(shared if cells is None else shared.unionByName(cells), "near-buckets")
+    return shared.join(nodes.drop("_label"), "doc_id"), links
+
+
+def _tied(docs: DataFrame, hot: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``hot`` with the label of a hub that a node is linked to, and these links. The hub of a
+    bucket is one of its nodes, in most buckets of a family the same one; what stays unlinked
+    gets another hub, as long as a bucket's rest is oversize and hubs find links."""
+    done, rest, links = [], hot, None
+    while True:
+        hubs = rest.groupBy("_key").agg(F.min_by(F.struct("doc_id", "_label"), F.xxhash64("doc_id")).alias("_hub"), F.count(F.lit(1)).alias("_n"))
+        hubs = stash(hubs.where(F.col("_n") > SPLIT_BUCKET).select("_key", F.col("_hub.doc_id").alias("_hub"), F.col("_hub._label").alias("_own")), "near-hubs")
+        if not hubs.limit(1).count():
+            break
+        asked = rest.join(F.broadcast(hubs), "_key")
+        pairs = stash(asked.where("doc_id <> _hub AND _label <> _own").select(F.col("_hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-asked")
+        found = stash(confirmed_links(docs, pairs, percent, hubs=True).distinct(), "near-found")
+        links = found if links is None else links.unionByName(found)
+        linked = asked.join(found, (asked["_hub"] == found["a"]) & (asked["doc_id"] == found["b"]), "left")
+        ties = linked.withColumn("_tie", F.col("b").isNotNull() | (F.col("doc_id") == F.col("_hub")) | (F.col("_label") == F.col("_own")))
+        ties = stash(ties.select("_key", "doc_id", F.when(F.col("_tie"), F.col("_own")).otherwise(F.col("_label")).alias("_label"), "_tie"), "near-ties")
+        done += [ties.where("_tie").drop("_tie"), rest.join(F.broadcast(hubs.select("_key")), "_key", "left_anti")]
+        rest = ties.where("NOT _tie").drop("_tie")
+        if 10 * ties.where("_tie").count() < ties.count():
+            break
+    for part in done:
+        rest = rest.unionByName(part)
+    return stash(rest.select("doc_id", "_label", "_key"), "near-tied"), links
+
+
+def _cells(hot: DataFrame) -> DataFrame:
+    """Oversize buckets as cells: the nodes of a bucket's most frequent label are dealt into
+    blocks, the others too; every block of the others meets every block."""
+    sizes = hot.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.groupBy("_key").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_main"), F.max("_n").alias("_m"), F.sum("_n").alias("_all"))
+    half = F.lit(max(SPLIT_BUCKET // 2, 1))
+    count = lambda n: F.ceil(n / half).cast("int")
+    sizes = stash(sizes.where("_all > _m").select("_key", "_main", count(F.col("_m")).alias("_p"), count(F.col("_all") - F.col("_m")).alias("_q")), "near-sizes")
+    rows = hot.join(F.broadcast(sizes), "_key")
+    main = F.col("_label") == F.col("_main")
+    block = F.pmod(F.xxhash64("doc_id"), F.when(main, F.col("_p")).otherwise(F.col("_q"))).cast("int")
+    rows = rows.withColumn("_block", block)
+    each = lambda n, cell: F.transform(F.sequence(F.lit(0), n - 1), cell)
+    mine = F.col("_block")
+    against = each(F.col("_q"), lambda x: F.array(F.lit(0), mine, x))
+    others = F.concat(each(F.col("_p"), lambda x: F.array(F.lit(0), x, mine)), each(F.col("_q"), lambda x: F.array(F.lit(1), F.least(mine, x), F.greatest(mine, x))))
+    rows = rows.select("doc_id", "_label", "_key", F.explode(F.when(main, against).otherwise(others)).alias("_cell"))
+    table = F.col("_key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    key = F.shiftleft(F.xxhash64("_key", "_cell"), TABLE_BITS).bitwiseOR(table)
+    return rows.select("doc_id", "_label", key.alias("_key"))
 
 
-def _split(carried: DataFrame, bands: int) -> DataFrame:
-    hot = carried.where(F.col("_n") > SPLIT_BUCKET).select("*", F.posexplode("_left").alias("_i", "_l"))
-    table = F.col("_key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    hot = hot.where(F.col("_i") != F.floor(table / F.lit(bands)))
-    return hot.select(F.xxhash64("_key", "_i", "_l").alias("_key"), "doc_id", F.lit(False).alias("_first"), "n_shingles", "_left", "_right", "_sketch")
+PAIRS = "a long, b long"
+
+
+def candidate_pairs(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of nodes that share a table and whose sketches do not rule a link out,
+    and the links confirmed on the way."""
+    dealt, links = dealt_rows(docs, nodes, percent, bands)
+    dealt = dealt.repartition("_key").sortWithinPartitions("_key", "doc_id")
+    return dealt.mapInArrow(_bucket_pairs(percent / 100), PAIRS).where("a <> b").distinct(), links
 
 
-def confirmed_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * shared >= percent * together."""
+def confirmed_links(docs: DataFrame, pairs: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
+    """Pairs whose full sets have 100 * shared >= percent * together. With ``hubs`` a few ids
+    stand as ``a`` of most pairs."""
     wanted = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +322,10 @@ def confirmed_links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFram
     wanted = stash(wanted, "near-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(wanted), "doc_id")
     members = stash(texts.mapInArrow(sets, "doc_id long, members binary"), "near-sets")
-    both = pairs.join(members.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
+    ours = members.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
+    if hubs and pairs.select("a").distinct().count() <= BROADCAST_SETS:
+        ours = F.broadcast(ours.join(F.broadcast(pairs.select("a").distinct()), "a"))
+    both = pairs.join(ours, "a")
     both = both.join(members.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,9 +391,11 @@ def near_classes(docs: DataFrame, percent: int = 75, bands: int = 12, rows: int
     repeats = has_repeats(filled)
     if repeats:
         nodes = nodes.dropDuplicates(["doc_id", "_a", "_b"])
-    nodes = nodes.select("doc_id", "n_shingles", "_left", "_right", "_sketch")
-    pairs = stash(candidate_pairs(nodes, percent / 100, bands), "near-pairs")
-    links = confirmed_links(docs, pairs, percent)
+    nodes = nodes.select("doc_id", F.col("doc_id").alias("_label"), "n_shingles", "_left", "_right", "_sketch")
+    pairs, tied = candidate_pairs(docs, nodes, percent, bands)
+    links = confirmed_links(docs, stash(pairs, "near-pairs"), percent)
+    if tied is not None:
+        links = links.unionByName(tied)
     full = narrow.where("doc_id IS NOT NULL AND n_shingles > 0")
     total = known.count()
     if repeats:

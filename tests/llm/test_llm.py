@@ -282,6 +282,18 @@ def test_split_buckets_lose_nothing(docs, monkeypatch):
     assert got == {(a, c) for a, _, c in brute_classes(docs.select("doc_id", "text").collect())}
 
 
+def test_cells_of_hot_buckets_are_small(spark, monkeypatch):
+    base = prose(400).split()
+    rows = [(i, " ".join([*base[:200], f"copy{i}", *base[200:]])) for i in range(80)] + [(100 + i, prose(60)) for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "SPLIT_BUCKET", 10)
+    nodes = neardup.features(table, 12, 2).withColumn("_label", F.col("doc_id"))
+    dealt, links = neardup.dealt_rows(table, nodes, 75, 12)
+    sizes = [r["count"] for r in dealt.groupBy("_key").count().collect()]
+    assert max(sizes, default=0) <= 20 and links.count() >= 70
+    assert {(r.doc_id, r.component_id) for r in neardup.near_classes(table).collect()} == {(i, 0 if i < 80 else i) for i, _ in rows}
+
+
 def test_mix_hits_targets(spark, odd, empty, docs):
     plan = mixing.mix_plan(docs).toPandas()
     assert len(plan) == docs.count() and plan.times.between(0, 2).all()
