@@ -11,7 +11,8 @@ alone has are dropped. In every other bucket pairs are compared by one-permutati
 (512 bins) that travel with the bucket's rows, and pairs that cannot be told to be below the
 threshold come out once, in the first table they share; pairs whose link is already certain
 through other pairs of the bucket do not come out. Every pair that comes out is confirmed on
-full sets. In oversize buckets all members are first compared with one of them on full sets;
+full sets; where a link that a sketch took for certain fails, the nodes tied by it are compared
+once more, and then only confirmed links keep pairs from coming out. In oversize buckets all members are first compared with one of them on full sets;
 those linked to it need not meet each other, the others meet them and each other in cells of
 bounded size, so a hot bucket is many small ones and every pair of it still meets. Classes are the connected components of the confirmed links,
 found by alternating star operations on the links as a table.
@@ -142,8 +143,8 @@ def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def _bucket_pairs(similarity: float):
-    """Pairs of a partition sorted by bucket; buckets come out of the stream one by one."""
+def _bucket_pairs(similarity: float, trust: bool):
+    """Pairs (a, b, sure) of a partition sorted by bucket; sure ones tie groups with ``trust``; buckets come out of the stream one by one."""
 
     def pairs_of(ids, labels, table, sizes, lefts, rights, marks, out) -> None:
         n, bands = len(ids), lefts.shape[1]
@@ -170,9 +171,10 @@ def _bucket_pairs(similarity: float):
             first = hit_l.argmax(axis=1) * bands + hit_r.argmax(axis=1)
             shown = found[first == table]
             a, b = np.minimum(ids[shown], ids[i]), np.maximum(ids[shown], ids[i])
-            out.append(np.stack([a, b]))
-            for g in np.unique(group[found[sure]]):
-                group[group == g] = group[i]
+            out.append(np.stack([a, b, sure[first == table]]))
+            if trust:
+                for g in np.unique(group[found[sure]]):
+                    group[group == g] = group[i]
 
     def flush(tables: list[pa.Table]):
         t = pa.concat_tables(tables).combine_chunks()
@@ -190,8 +192,8 @@ def _bucket_pairs(similarity: float):
             if high - low > 1:
                 k = int(key[low]) & ((1 << TABLE_BITS) - 1)
                 pairs_of(ids[low:high], labels[low:high], k, sizes[low:high], lefts[low:high], rights[low:high], marks[low:high], out)
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        both = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2] > 0)], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -298,15 +300,15 @@ def _cells(hot: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_label", key.alias("_key"))
 
 
-PAIRS = "a long, b long"
+PAIRS = "a long, b long, sure boolean"
 
 
-def candidate_pairs(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b) of nodes that share a table and whose sketches do not rule a link out,
-    and the links confirmed on the way."""
+def candidate_pairs(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, trust: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b, sure) of nodes that share a table and whose sketches do not rule a link out,
+    and the links confirmed on the way. With ``trust`` pairs that sure ones tie are left out."""
     dealt, links = dealt_rows(docs, nodes, percent, bands)
     dealt = dealt.repartition("_key").sortWithinPartitions("_key", "doc_id")
-    return dealt.mapInArrow(_bucket_pairs(percent / 100), PAIRS).where("a <> b").distinct(), links
+    return dealt.mapInArrow(_bucket_pairs(percent / 100, trust), PAIRS).where("a <> b").distinct(), links
 
 
 def confirmed_links(docs: DataFrame, pairs: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
@@ -341,6 +343,34 @@ def confirmed_links(docs: DataFrame, pairs: DataFrame, percent: int, hubs: bool
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def all_links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Confirmed links that tie all classes. Pairs that a sure pair kept back are looked at again
+    where that pair has failed: among the nodes that sure pairs tie to it, with the classes
+    confirmed so far as labels."""
+    found, tied = candidate_pairs(docs, nodes, percent, bands)
+    pairs = stash(found, "near-pairs")
+    links = stash(_with(confirmed_links(docs, pairs.select("a", "b"), percent), tied), "near-confirmed")
+    sure = pairs.where("sure").select("a", "b")
+    failed = stash(sure.join(links, ["a", "b"], "left_anti"), "near-failed")
+    if not failed.limit(1).count():
+        return links
+    groups = stash(components(_with(sure, tied)), "near-sure")
+    # the smallest node of a component has no row there; b is never it
+    heads = stash(groups.join(failed.select(F.col("b").alias("node")), "node").select("component").distinct(), "near-heads")
+    opened = groups.join(few(heads), "component").select(F.col("node").alias("doc_id")).unionByName(heads.select(F.col("component").alias("doc_id")))
+    opened = stash(opened.distinct(), "near-opened")
+    classes = components(links.join(few(opened), links["a"] == opened["doc_id"]).select("a", "b"))
+    labels = opened.join(classes, opened["doc_id"] == classes["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("_label"))
+    again = stash(nodes.drop("_label").join(stash(labels, "near-labels"), "doc_id").select(*nodes.columns), "near-again")
+    found, more = candidate_pairs(docs, again, percent, bands, trust=False)
+    found = stash(found.select("a", "b").distinct(), "near-pairs")
+    return _with(links.unionByName(confirmed_links(docs, found, percent)), more)
+
+
+def _with(links: DataFrame, more: DataFrame | None) -> DataFrame:
+    return links if more is None else links.unionByName(more)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node with a link the smallest node it reaches.
 
@@ -392,10 +422,7 @@ def near_classes(docs: DataFrame, percent: int = 75, bands: int = 12, rows: int
     if repeats:
         nodes = nodes.dropDuplicates(["doc_id", "_a", "_b"])
     nodes = nodes.select("doc_id", F.col("doc_id").alias("_label"), "n_shingles", "_left", "_right", "_sketch")
-    pairs, tied = candidate_pairs(docs, nodes, percent, bands)
-    links = confirmed_links(docs, stash(pairs, "near-pairs"), percent)
-    if tied is not None:
-        links = links.unionByName(tied)
+    links = all_links(docs, nodes, percent, bands)
     full = narrow.where("doc_id IS NOT NULL AND n_shingles > 0")
     total = known.count()
     if repeats:

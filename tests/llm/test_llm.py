@@ -282,6 +282,36 @@ def test_split_buckets_lose_nothing(docs, monkeypatch):
     assert got == {(a, c) for a, _, c in brute_classes(docs.select("doc_id", "text").collect())}
 
 
+def patched_features(monkeypatch, rows):
+    """near_classes sees tuples and sketches made up here; sets stay those of the texts."""
+    table = {k: (left, right) for k, left, right in rows}
+    mark = bytes([7]) * neardup.BINS
+
+    def features(docs, bands, rows):
+        found = [(r.doc_id, 90 + r.doc_id, r.doc_id, r.doc_id, *map(list, table[r.doc_id]), mark) for r in docs.collect()]
+        return docs.sparkSession.createDataFrame(found, neardup.FEATURES)
+
+    monkeypatch.setattr(neardup, "features", features)
+
+
+def test_hot_bucket_keeps_pairs_with_one_shared_tuple(spark, monkeypatch):
+    words = prose(110).split()
+    rows = [(i, " ".join(words[: 104 + i])) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    patched_features(monkeypatch, [(i, (1, 10 + i), (2, 20 + i)) for i in range(6)])
+    monkeypatch.setattr(neardup, "SPLIT_BUCKET", 3)
+    assert {r.component_id for r in neardup.near_classes(table, bands=2).collect()} == {0}
+
+
+def test_pairs_behind_a_failed_sure_pair(spark, monkeypatch):
+    # 1 and 2 share 70 of 100 shingles, 3 has all of them; equal sketches take all for certain
+    words = prose(104).split()
+    rows = [(1, " ".join(words[15:])), (2, " ".join(words[:-15])), (3, " ".join(words))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    patched_features(monkeypatch, [(i, (1, 2), (3, 4)) for i in (1, 2, 3)])
+    assert {(r.doc_id, r.component_id) for r in neardup.near_classes(table, bands=2).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_cells_of_hot_buckets_are_small(spark, monkeypatch):
     base = prose(400).split()
     rows = [(i, " ".join([*base[:200], f"copy{i}", *base[200:]])) for i in range(80)] + [(100 + i, prose(60)) for i in range(5)]
