@@ -1,4 +1,4 @@
-"""Redaction of structured personal data: numbered dates, periods, phones, identifiers, ages.
+"""Redaction of structured personal data: numbered dates, periods, phones, identifiers.
 
 Each detector is a pattern with ASCII word borders. In Spark expressions a detector counts
 and flags; replacing needs all spans of a text resolved against each other, which is one
