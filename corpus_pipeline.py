@@ -47,7 +47,8 @@ STAGES = [
     ("mix", mixed),
     ("tokens", tokens),
 ]
-#: Classifiers, digests of chunks and merges are beyond SQL; the tests hold run() against brute force.
+#: Classifiers, digests of chunks and merges are beyond SQL; the tests of run() look at stages, columns,
+#: the number of rows and round trips only, those of the operators at results.
 ORACLE_SQL = None
 
 
