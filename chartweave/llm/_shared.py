@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,17 @@ STEP_BYTES = 1 << 19
 STEP_ROWS = 1000
 
 _own_folder: list[str] = []
+_folder_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of
-    this process where the session names none (tests in local mode)."""
+    this process where the session names none and runs in local mode, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-chartweave-"))
     return _own_folder[0]
@@ -34,11 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later steps start
-    from files that outlive any executor."""
+    from files that outlive any executor. ``drop`` deletes them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folder_of[table] = path
+    return table
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark can reach."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete stashed tables, once everything made from them is itself written."""
+    for table in tables:
+        if table is not None and (path := _folder_of.pop(table, None)):
+            delete_folder(table.sparkSession, path)
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], total: int, rows: str = "_rows", part: int = 1000) -> DataFrame:
@@ -49,7 +68,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     floor = max(total // part, 1000)
     often = right.where(F.col(rows) > F.lit(floor))
     seldom = right.where(F.col(rows) <= F.lit(floor))
-    if not often.limit(1).count():
+    if often.isEmpty():
         return left.join(right, keys)
     spread = left.join(F.broadcast(often), keys)
     others = left.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(seldom, keys)
@@ -62,6 +81,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_columns(
     df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], after: Callable[[], None] | None = None
 ) -> DataFrame:

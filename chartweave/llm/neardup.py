@@ -6,16 +6,17 @@ left and one of the right collection. So ``bands``**2 tables need 2 * bands * ro
 only. Two documents of similarity s share a table with probability
 (1 - (1 - s**rows)**bands)**2: 0.9999 at 0.75 with the defaults, more above.
 
-Documents with the same set are one node from the start. Table rows of keys that one node
-alone has are dropped. In every other bucket pairs are compared by one-permutation sketches
-(512 bins) that travel with the bucket's rows, and pairs that cannot be told to be below the
-threshold come out once, in the first table they share; pairs whose link is already certain
-through other pairs of the bucket do not come out. Every pair that comes out is confirmed on
+Documents with the same set are one node from the start. Tables hold ids only: keys that one
+node alone has are dropped, and of buckets with the same members, which near copies have in
+most of their tables, one is kept. The buckets left meet one-permutation sketches (512 bins),
+and pairs that cannot be told to be below the threshold come out; pairs whose link is already
+certain through other pairs of the bucket do not. Every pair that comes out is confirmed on
 full sets; where a link that a sketch took for certain fails, the nodes tied by it are compared
-once more, and then only confirmed links keep pairs from coming out. In oversize buckets all members are first compared with one of them on full sets;
-those linked to it need not meet each other, the others meet them and each other in cells of
-bounded size, so a hot bucket is many small ones and every pair of it still meets. Classes are the connected components of the confirmed links,
-found by alternating star operations on the links as a table.
+once more, and then only confirmed links keep pairs from coming out. In oversize buckets all
+members are first compared with one of them on full sets; those linked to it need not meet each
+other, the others meet them and each other in cells of bounded size, so a hot bucket is many
+small ones and every pair of it still meets. Classes are the connected components of the
+confirmed links, found by alternating star operations on the links as a table.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartweave.llm._shared import LOWER, join_unique, mix, span_hashes, stash, steps, text_bytes, word_spans
+from chartweave.llm._shared import LOWER, drop, join_unique, mix, span_hashes, stash, steps, text_bytes, word_spans
 
 SHINGLE = 5
 BINS = 512
@@ -37,8 +38,6 @@ BINS = 512
 CERTAINTY = 3.5
 #: Rows of a bucket above which it is dealt into cells of about so many rows.
 SPLIT_BUCKET = 3000
-#: Low bits of a table key that hold the number of the table; up to 16 bands.
-TABLE_BITS = 8
 #: Sets of a round's hubs that are broadcast at most; beyond, join by shuffle.
 BROADCAST_SETS = 1000
 #: Ids of one column are broadcast up to this many (8 bytes each), else joined by shuffle.
@@ -146,8 +145,8 @@ def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def _bucket_pairs(similarity: float, trust: bool):
     """Pairs (a, b, sure) of a partition sorted by bucket; sure ones tie groups with ``trust``; buckets come out of the stream one by one."""
 
-    def pairs_of(ids, labels, table, sizes, lefts, rights, marks, out) -> None:
-        n, bands = len(ids), lefts.shape[1]
+    def pairs_of(ids, labels, sizes, marks, out) -> None:
+        n = len(ids)
         full = marks > 0
         group = np.unique(labels, return_inverse=True)[1]
         for i in range(n - 1):
@@ -166,12 +165,7 @@ def _bucket_pairs(similarity: float, trust: bool):
             if not near.any():
                 continue
             found, sure = rest[near], share[near] >= similarity + slack[near] + 1.0 / 255
-            # only in the first table they share
-            hit_l, hit_r = lefts[found] == lefts[i], rights[found] == rights[i]
-            first = hit_l.argmax(axis=1) * bands + hit_r.argmax(axis=1)
-            shown = found[first == table]
-            a, b = np.minimum(ids[shown], ids[i]), np.maximum(ids[shown], ids[i])
-            out.append(np.stack([a, b, sure[first == table]]))
+            out.append(np.stack([np.minimum(ids[found], ids[i]), np.maximum(ids[found], ids[i]), sure]))
             if trust:
                 for g in np.unique(group[found[sure]]):
                     group[group == g] = group[i]
@@ -179,20 +173,15 @@ def _bucket_pairs(similarity: float, trust: bool):
     def flush(tables: list[pa.Table]):
         t = pa.concat_tables(tables).combine_chunks()
         col = lambda name: t.column(name).chunk(0)
-        key = col("_key").to_numpy()
-        ids, sizes = col("doc_id").to_numpy(), col("n_shingles").to_numpy()
-        labels = col("_label").to_numpy()
-        n = len(key)
-        lefts = col("_left").flatten().to_numpy().reshape(n, -1)
-        rights = col("_right").flatten().to_numpy().reshape(n, -1)
-        marks = np.frombuffer(b"".join(col("_sketch").to_pylist()), np.uint8).reshape(n, BINS)
+        key, ids = col("_key").to_numpy(), col("doc_id").to_numpy()
+        sizes, labels = col("n_shingles").to_numpy(), col("_label").to_numpy()
+        marks = np.frombuffer(b"".join(col("_sketch").to_pylist()), np.uint8).reshape(len(key), BINS)
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         out: list[np.ndarray] = []
         for low, high in zip(cuts[:-1], cuts[1:]):
             if high - low > 1:
-                k = int(key[low]) & ((1 << TABLE_BITS) - 1)
-                pairs_of(ids[low:high], labels[low:high], k, sizes[low:high], lefts[low:high], rights[low:high], marks[low:high], out)
-        both = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+                pairs_of(ids[low:high], labels[low:high], sizes[low:high], marks[low:high], out)
+        both = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2] > 0)], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,32 +213,35 @@ def table_rows(nodes: DataFrame, bands: int) -> DataFrame:
     """(doc_id, _label, _key, _i, _l) of every node and table."""
     lefts = F.posexplode("_left").alias("_i", "_l")
     rows = nodes.select("doc_id", "_label", lefts, "_right").select("doc_id", "_label", "_i", "_l", F.posexplode("_right").alias("_j", "_r"))
-    table = (F.col("_i") * F.lit(bands) + F.col("_j")).cast("long")
-    # the key's low bits tell the table
-    key = F.shiftleft(F.xxhash64("_l", "_r"), TABLE_BITS).bitwiseOR(table)
+    key = F.xxhash64("_i", "_j", "_l", "_r")
     return rows.select("doc_id", "_label", key.alias("_key"), "_i", "_l")
 
 
 def dealt_rows(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of the buckets, oversize ones as cells, and the links confirmed on the way.
-    Nodes of one ``_label`` are known to be one class and are not compared."""
+    """(doc_id, _key, _tied) of the buckets, oversize ones as cells, and the links confirmed on
+    the way. ``_tied`` is the label that such a link gives a node; nodes of one label are known
+    to be one class and are not compared."""
     rows = table_rows(nodes, bands)
     # a bucket is oversize only if its left tuple is: twelve rows a node are counted, not 144
     tuples = nodes.select(F.posexplode("_left").alias("_i", "_l")).groupBy("_i", "_l").agg(F.count(F.lit(1)).alias("_n"))
     tuples = stash(tuples.where(F.col("_n") > SPLIT_BUCKET).drop("_n"), "near-tuples")
-    links, cells = None, None
-    if tuples.limit(1).count():
+    links, cells, tied = None, None, None
+    if not tuples.isEmpty():
         counts = rows.join(F.broadcast(tuples), ["_i", "_l"]).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
         oversize = stash(counts.where(F.col("_n") > SPLIT_BUCKET).drop("_n"), "near-oversize")
-        if oversize.limit(1).count():
+        if not oversize.isEmpty():
             hot = stash(rows.join(F.broadcast(oversize), "_key").select("doc_id", "_label", "_key"), "near-hot")
             rows = rows.join(F.broadcast(oversize), "_key", "left_anti")
-            hot, links = _tied(docs, hot, percent)
-            cells = _cells(hot)
-    rows = rows.select("doc_id", "_label", "_key")
-    shared = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1").drop("_n")
-    shared = stash(shared if cells is None else shared.unionByName(cells), "near-buckets")
-    return shared.join(nodes.drop("_label"), "doc_id"), links
+            tied, links = _tied(docs, hot, percent)
+            cells = _cells(tied)
+            drop(hot)
+    counted = rows.select("doc_id", "_key").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key")))
+    # counted rows lie together by key: a bucket becomes an array of ids without another shuffle
+    members = counted.where("_n > 1").groupBy("_key").agg(F.sort_array(F.collect_list("doc_id")).alias("_ids")).select("_ids").distinct()
+    shared = members.select(F.explode("_ids").alias("doc_id"), F.xxhash64("_ids").alias("_key"), F.lit(None).cast("long").alias("_tied"))
+    buckets = stash(shared if cells is None else shared.unionByName(cells), "near-buckets")
+    drop(tuples, tied)
+    return buckets, links
 
 
 def _tied(docs: DataFrame, hot: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
@@ -260,11 +252,12 @@ def _tied(docs: DataFrame, hot: DataFrame, percent: int) -> tuple[DataFrame, Dat
     while True:
         hubs = rest.groupBy("_key").agg(F.min_by(F.struct("doc_id", "_label"), F.xxhash64("doc_id")).alias("_hub"), F.count(F.lit(1)).alias("_n"))
         hubs = stash(hubs.where(F.col("_n") > SPLIT_BUCKET).select("_key", F.col("_hub.doc_id").alias("_hub"), F.col("_hub._label").alias("_own")), "near-hubs")
-        if not hubs.limit(1).count():
+        if hubs.isEmpty():
             break
         asked = rest.join(F.broadcast(hubs), "_key")
         pairs = stash(asked.where("doc_id <> _hub AND _label <> _own").select(F.col("_hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-asked")
-        found = stash(confirmed_links(docs, pairs, percent, hubs=True).distinct(), "near-found")
+        found = confirmed_links(docs, pairs, percent, hubs=True)
+        drop(pairs)
         links = found if links is None else links.unionByName(found)
         linked = asked.join(found, (asked["_hub"] == found["a"]) & (asked["doc_id"] == found["b"]), "left")
         ties = linked.withColumn("_tie", F.col("b").isNotNull() | (F.col("doc_id") == F.col("_hub")) | (F.col("_label") == F.col("_own")))
@@ -295,9 +288,7 @@ def _cells(hot: DataFrame) -> DataFrame:
     against = each(F.col("_q"), lambda x: F.array(F.lit(0), mine, x))
     others = F.concat(each(F.col("_p"), lambda x: F.array(F.lit(0), x, mine)), each(F.col("_q"), lambda x: F.array(F.lit(1), F.least(mine, x), F.greatest(mine, x))))
     rows = rows.select("doc_id", "_label", "_key", F.explode(F.when(main, against).otherwise(others)).alias("_cell"))
-    table = F.col("_key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    key = F.shiftleft(F.xxhash64("_key", "_cell"), TABLE_BITS).bitwiseOR(table)
-    return rows.select("doc_id", "_label", key.alias("_key"))
+    return rows.select("doc_id", F.xxhash64("_key", "_cell").alias("_key"), F.col("_label").alias("_tied"))
 
 
 PAIRS = "a long, b long, sure boolean"
@@ -306,29 +297,31 @@ PAIRS = "a long, b long, sure boolean"
 def candidate_pairs(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, trust: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (a, b, sure) of nodes that share a table and whose sketches do not rule a link out,
     and the links confirmed on the way. With ``trust`` pairs that sure ones tie are left out."""
-    dealt, links = dealt_rows(docs, nodes, percent, bands)
-    dealt = dealt.repartition("_key").sortWithinPartitions("_key", "doc_id")
+    buckets, links = dealt_rows(docs, nodes, percent, bands)
+    sketched = buckets.join(nodes, "doc_id").select("_key", "doc_id", F.coalesce("_tied", "_label").alias("_label"), "n_shingles", "_sketch")
+    dealt = sketched.repartition("_key").sortWithinPartitions("_key", "doc_id")
     return dealt.mapInArrow(_bucket_pairs(percent / 100, trust), PAIRS).where("a <> b").distinct(), links
 
 
 def confirmed_links(docs: DataFrame, pairs: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
     """Pairs whose full sets have 100 * shared >= percent * together. With ``hubs`` a few ids
     stand as ``a`` of most pairs."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
+    roles = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(True).alias("_a"), F.lit(False).alias("_b")), F.struct(F.col("b").alias("doc_id"), F.lit(False).alias("_a"), F.lit(True).alias("_b"))))
+    wanted = pairs.select(roles.alias("r")).groupBy(F.col("r.doc_id").alias("_wanted")).agg(F.bool_or("r._a").alias("_a"), F.bool_or("r._b").alias("_b"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "members"])
+            found = [s.tobytes() for s in shingle_sets(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["doc_id", "_a", "_b", "members"])
 
     wanted = stash(wanted, "near-wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(wanted), "doc_id")
-    members = stash(texts.mapInArrow(sets, "doc_id long, members binary"), "near-sets")
-    ours = members.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    if hubs and pairs.select("a").distinct().count() <= BROADCAST_SETS:
-        ours = F.broadcast(ours.join(F.broadcast(pairs.select("a").distinct()), "a"))
-    both = pairs.join(ours, "a")
-    both = both.join(members.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(wanted), F.col("doc_id") == F.col("_wanted")).select("doc_id", "_a", "_b", "text")
+    members = stash(texts.mapInArrow(sets, "doc_id long, _a boolean, _b boolean, members binary"), "near-sets")
+    ours = members.where("_a").select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
+    if hubs and ours.count() <= BROADCAST_SETS:
+        ours = F.broadcast(ours)
+    # a few ids stand as ``a`` of most pairs: the other set goes to its pairs first
+    both = pairs.join(members.where("_b").select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").join(ours, "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +333,9 @@ def confirmed_links(docs: DataFrame, pairs: DataFrame, percent: int, hubs: bool
             good = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([good.column(0), good.column(1)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    found = stash(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near-found")
+    drop(wanted, members)
+    return found
 
 
 def all_links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> DataFrame:
@@ -349,10 +344,10 @@ def all_links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> Da
     confirmed so far as labels."""
     found, tied = candidate_pairs(docs, nodes, percent, bands)
     pairs = stash(found, "near-pairs")
-    links = stash(_with(confirmed_links(docs, pairs.select("a", "b"), percent), tied), "near-confirmed")
+    links = _with(confirmed_links(docs, pairs.select("a", "b"), percent), tied)
     sure = pairs.where("sure").select("a", "b")
     failed = stash(sure.join(links, ["a", "b"], "left_anti"), "near-failed")
-    if not failed.limit(1).count():
+    if failed.isEmpty():
         return links
     groups = stash(components(_with(sure, tied)), "near-sure")
     # the smallest node of a component has no row there; b is never it
@@ -364,7 +359,9 @@ def all_links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> Da
     again = stash(nodes.drop("_label").join(stash(labels, "near-labels"), "doc_id").select(*nodes.columns), "near-again")
     found, more = candidate_pairs(docs, again, percent, bands, trust=False)
     found = stash(found.select("a", "b").distinct(), "near-pairs")
-    return _with(links.unionByName(confirmed_links(docs, found, percent)), more)
+    links = _with(links.unionByName(confirmed_links(docs, found, percent)), more)
+    drop(pairs, failed, groups, heads, opened, found)
+    return links
 
 
 def _with(links: DataFrame, more: DataFrame | None) -> DataFrame:
@@ -380,27 +377,29 @@ def components(links: DataFrame) -> DataFrame:
     tables of their own, with one row a node: Spark then broadcasts them if they are small and
     splits the partition of a centre if not, which it cannot do to a join that shares its
     exchange with an aggregate."""
-    edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-links")
-    mark = _mark(edges)
+    edges, mark = _stars(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "near-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = stash(large.where("u <> v").distinct(), "near-down")
-        least = stash(down.groupBy("u").agg(F.min("v").alias("m")), "near-least")
-        small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stash(small.select("e.u", "e.v").where("u <> v").distinct(), "near-links")
-        again = _mark(edges)
-        if again == mark:
+        lower = stash(down.groupBy("u").agg(F.min("v").alias("m")), "near-least")
+        small = down.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        again, now = _stars(small.select("e.u", "e.v").where("u <> v"))
+        drop(edges, least, down, lower)
+        edges = again
+        if now == mark:
             break
-        mark = again
+        mark = now
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A number of rows and a checksum: equal for equal tables."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+def _stars(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The distinct edges as a table, with a number of rows and checksums observed as they are
+    written: equal for equal tables."""
+    seen, h = Observation(), F.xxhash64("u", "v")
+    counted = edges.distinct().observe(seen, F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum"))
+    return stash(counted, "near-links"), seen.get
 
 
 def near_classes(docs: DataFrame, percent: int = 75, bands: int = 12, rows: int = 2) -> DataFrame:
@@ -415,24 +414,28 @@ def near_classes(docs: DataFrame, percent: int = 75, bands: int = 12, rows: int
     filled = known.where("doc_id IS NOT NULL AND n_shingles > 0")
     keys = ["n_shingles", "_a", "_b"]
     groups = stash(filled.groupBy(*keys).agg(F.min("doc_id").alias("_rep"), F.count(F.lit(1)).alias("_rows")), "near-groups")
-    leads = groups.select(F.col("_rep").alias("doc_id"), *keys)
-    leads = F.broadcast(leads) if groups.count() <= BROADCAST_IDS else leads
-    nodes = filled.join(leads, ["doc_id", *keys])
-    repeats = has_repeats(filled)
+    repeats, copies = has_repeats(filled), None
     if repeats:
-        nodes = nodes.dropDuplicates(["doc_id", "_a", "_b"])
+        leads = groups.select(F.col("_rep").alias("doc_id"), *keys)
+        nodes = filled.join(leads, ["doc_id", *keys]).dropDuplicates(["doc_id", "_a", "_b"])
+    else:
+        # the copies, fewer than the leads, are what a join has to take away
+        leads = groups.select(F.col("_rep").alias("doc_id"))
+        copies = stash(filled.select("doc_id").join(leads, "doc_id", "left_anti"), "near-copies")
+        nodes = filled.join(few(copies), "doc_id", "left_anti")
     nodes = nodes.select("doc_id", F.col("doc_id").alias("_label"), "n_shingles", "_left", "_right", "_sketch")
     links = all_links(docs, nodes, percent, bands)
     full = narrow.where("doc_id IS NOT NULL AND n_shingles > 0")
     total = known.count()
     if repeats:
         # a doc_id that stands on several rows ties their sets together
-        own = join_unique(full, groups, keys, total).select("doc_id", "_rep").distinct()
+        own = stash(join_unique(full, groups, keys, total).select("doc_id", "_rep").distinct(), "near-own")
         first = own.groupBy("doc_id").agg(F.min("_rep").alias("_first"))
         links = links.unionByName(own.join(first, "doc_id").where("_rep <> _first").select(F.col("_first").alias("a"), F.col("_rep").alias("b")))
     found = components(links)
     # classes go to the groups of equal sets, one row each, before they meet the documents
     classes = stash(groups.join(found, groups["_rep"] == found["node"], "left").drop("node"), "near-classes")
+    drop(groups, copies)
     empty = narrow.where("doc_id IS NULL OR n_shingles = 0").withColumns({"_rep": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
     out = join_unique(full, classes, keys, total).drop("_rows").unionByName(empty)
     label = F.coalesce("component", "_rep", "doc_id")
@@ -445,7 +448,7 @@ def near_classes(docs: DataFrame, percent: int = 75, bands: int = 12, rows: int
 
 def has_repeats(docs: DataFrame) -> bool:
     """Whether a non-null doc_id stands on several rows."""
-    return bool(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -456,10 +459,13 @@ def few(ids: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are not kept; columns as they are. Repeated
     doc_ids keep one row (the one with the smallest text, as bytes). Rows with a null doc_id stay."""
-    gone = stash(near_classes(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    out = docs.join(few(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = stash(near_classes(docs, **options).where("NOT kept").select("doc_id").distinct(), "near-gone")
+    side = few(gone)
+    out = docs.join(side, docs["doc_id"] == side["doc_id"], "left_anti")
     if not has_repeats(docs):
         return out
+    # the columns of the input may have any name: they travel as one struct
+    rows = out.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     first = Window.partitionBy("doc_id").orderBy("text")
-    once = out.where("doc_id IS NOT NULL").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return once.unionByName(out.where("doc_id IS NULL"))
+    once = rows.where("doc_id IS NOT NULL").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return once.select("_row.*").unionByName(out.where("doc_id IS NULL"))
