@@ -9,6 +9,7 @@ the training documents turns it into a score of which ``THRESHOLD`` is the best
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,12 +166,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.
     label = np.repeat(y, np.diff(first))
     per = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum()) / np.diff(first)
     weight = np.repeat(per, np.diff(first))
+    del parts
+    # the matrix of features stays as it is in every round: single precision, one copy
     w, ties = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     same = np.array([[((label == 0) * 1.0).sum() - (y == 0).sum(), 0], [0, (label == 1).sum() - (y == 1).sum()]])
     for step in range(1, rounds + 1):
-        good, expected = marginals(x @ w, first, ties, pairs=True)
-        gradient = np.r_[x.T @ (weight * (label - good)) - decay * w, ((same - expected) / max(same.sum(), 1)).ravel() * 0.1 - decay * ties.ravel()]
+        good, expected = marginals(x @ w.astype(np.float32), first, ties, pairs=True)
+        gradient = np.r_[x.T @ (weight * (label - good)).astype(np.float32) - decay * w, ((same - expected) / max(same.sum(), 1)).ravel() * 0.1 - decay * ties.ravel()]
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -194,17 +197,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(4) == F.lit(2), F.lit(False))
 
 
+MODEL = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("weights", "ties")] + [T.StructField(n, T.DoubleType()) for n in ("slope", "shift")])
+
+
 def fit_on_labels(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) -> LineCRF:
     """Fit on at most ``most`` labelled documents outside the held-out part, half of them of
-    either label where there are enough, chosen by a hash of their ids. Whole texts. The ids
-    are chosen on the narrow table; only the chosen texts reach the driver."""
+    either label where there are enough, chosen by a hash of their ids. Whole texts; null is
+    empty. The ids are chosen on the narrow table, one task fits on their texts, and only the
+    weights reach the driver.
+
+    A doc_id with several labels counts as the lower one, one that stands on several rows has
+    its smallest text. Null ids and labels other than 0 and 1 take no part; without documents
+    of both labels the model gives every text the share of good ones (0.5 without any)."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64(F.lit(5), "doc_id")
-    chosen = [known.where(F.col("quality") == q).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(most // 2) for q in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "_id"))
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows[: 2 * most]], [int(r["quality"]) for r in rows[: 2 * most]])
+    chosen = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(most // 2) for q in (0, 1)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(ids, F.col("doc_id") == F.col("_id"))
+    texts = texts.groupBy("doc_id", "_quality").agg(F.min("_text").alias("_text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
+        rows.sort()
+        m = fit([t for _, _, t in rows], [q for _, q, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tolist()]), pa.array([m.ties.ravel().tolist()]), pa.array([m.slope]), pa.array([m.shift])], names=MODEL.fieldNames())
+
+    fitted = texts.repartition(1).mapInArrow(learn, MODEL).first()
+    if fitted is None:
+        return fit([], [])
+    return LineCRF(np.array(fitted["weights"]), np.array(fitted["ties"]).reshape(2, 2), fitted["slope"], fitted["shift"])
 
 
 def score_documents(docs: DataFrame, model: LineCRF, text: str = "text") -> DataFrame:
