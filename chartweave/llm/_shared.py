@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from weakref import WeakKeyDictionary
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ STEP_BYTES = 1 << 19
 STEP_ROWS = 1000
 
 _own_folder: list[str] = []
-_folder_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_folder_of: dict[DataFrame, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,6 +60,18 @@ def drop(*tables: DataFrame | None) -> None:
             delete_folder(table.sparkSession, path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, what was stashed inside."""
+    before = set(_folder_of.values())
+    try:
+        yield
+    finally:
+        for table, path in list(_folder_of.items()):
+            if path not in before:
+                drop(table)
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], total: int, rows: str = "_rows", part: int = 1000) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has each key once and in ``rows`` how often
     ``left`` has it. Keys with more than 1 / ``part`` of the ``total`` rows, fewer than ``part``

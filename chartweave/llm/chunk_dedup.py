@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartweave.llm._shared import SPACE, append_columns, join_unique, span_hashes, stash, steps, text_bytes, word_spans
+from chartweave.llm._shared import SPACE, append_columns, join_unique, spare, span_hashes, stash, steps, text_bytes, word_spans
 
 MIN_BYTES, MAX_BYTES = 16, 256
 #: One in so many word ends (characters, without spaces) is a cut.
@@ -102,17 +102,22 @@ def chunk_windows(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last:
     return np.r_[every[ahead], since[back]], np.r_[to[ahead], every[back]]
 
 
-WINDOWS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "digest", "place", "words")])
+WINDOWS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "text_key", "digest", "place", "words")])
+
+
+def text_key(text: Column) -> Column:
+    """A hash of a text: with the doc_id it tells rows apart that repeat a doc_id."""
+    return F.xxhash64(text)
 
 
 def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, digest, place, words) of all windows; ``place`` packs the first byte and the
+    """(doc_id, text_key, digest, place, words) of all windows; ``place`` packs the first byte and the
     end, ``words`` the number of words before the window and up to its end (32 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_bytes(batch.column(2))
+            doc_ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             for low, high in steps(offsets):
                 part = data[offsets[low] : offsets[high]]
                 own = offsets[low : high + 1] - offsets[low]
@@ -132,59 +137,67 @@ def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 zero = before[first[a]]
                 place = (starts[a] - base[a]) << 32 | (ends[b] - base[a])
                 words = (before[a] - zero) << 32 | (upto[b] - zero)
-                columns = [np.repeat(doc_ids[low:high], counts)[a], span_hashes(part, starts[a], ends[b]).view(np.int64), place, words]
+                columns = [np.repeat(doc_ids[low:high], counts)[a], np.repeat(keys[low:high], counts)[a], span_hashes(part, starts[a], ends[b]).view(np.int64), place, words]
                 for k in range(0, len(place), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000], pa.int64()) for c in columns], names=WINDOWS.fieldNames())
 
-    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     return named.mapInArrow(run, WINDOWS)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """(doc_id, span_start, span_end, n_words, first_doc_id): byte spans of a document made of
+    """(doc_id, text_key, span_start, span_end, n_words, first_doc_id): byte spans of a document made of
     windows of ``min_words`` words or more that stand, each as a whole, in documents of smaller
     doc_id; ``first_doc_id`` is the first document that has the span's first window. Where a
     script has no spaces, characters count as words.
 
     The first document keeps its passage and is not named. Repeats inside one document do
-    not count, nor do rows that repeat a doc_id. Null ids and null or empty texts have no
-    spans; an empty table gives none."""
+    not count, nor do those between rows that repeat a doc_id; such rows have spans of their own,
+    told apart by ``text_key``, and equal rows share them. Very long texts are cut whole, in
+    steps of their own. Where several documents have a passage, that of smallest doc_id is the
+    first. Null ids and null or empty texts have no spans; an empty table gives none."""
     windows = stash(window_rows(docs, min_words), "dedup-windows")
     digests = windows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_rows"))
     shared = stash(digests.where("first_doc_id < _last").drop("_last"), "dedup-digests")
     found = join_unique(windows, shared, ["digest"], windows.count(), part=10_000).where("doc_id > first_doc_id")
     low = F.lit(0xFFFFFFFF).cast("long")
     rows = found.select(
-        "doc_id", "first_doc_id",
+        "doc_id", "text_key", "first_doc_id",
         F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(low).alias("end"),
         F.shiftright("words", 32).alias("_before"), F.col("words").bitwiseAND(low).alias("_upto"),
-    ).dropDuplicates(["doc_id", "start", "end"])
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    ).dropDuplicates(["doc_id", "text_key", "start", "end"])
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int")
     runs = rows.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
-    spans = runs.groupBy("doc_id", "_run").agg(
+    spans = runs.groupBy("doc_id", "text_key", "_run").agg(
         F.min("start").alias("span_start"), F.max("end").alias("span_end"), (F.max("_upto") - F.min("_before")).alias("n_words"),
         F.min_by("first_doc_id", F.struct("start", "end")).alias("first_doc_id"),
     )
-    return spans.select("doc_id", "span_start", "span_end", "n_words", "first_doc_id")
+    return spans.select("doc_id", "text_key", "span_start", "span_end", "n_words", "first_doc_id")
 
 
-#: Rows of the table of spans per document that are broadcast at most; beyond, join by shuffle.
-BROADCAST_SPANS = 200_000
+#: Bytes of the table of spans that are broadcast at most (16 bytes a span, 24 a document);
+#: beyond, join by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text``; ``n_chars`` follows if there is
     one. A document of which only white space is left goes; all others, those with null or
-    empty text too, stay as they are."""
-    each = F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("_spans")
-    spans = stash(repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("_of")).agg(each), "dedup-spans")
-    side = F.broadcast(spans) if spans.count() <= BROADCAST_SPANS else spans
-    joined = docs.join(side, docs["doc_id"] == F.col("_of"), "left").drop("_of")
+    empty text too, stay as they are. Rows that repeat a doc_id lose their own spans only.
+    Columns of any other name are kept; an empty table stays empty."""
+    each = F.sort_array(F.collect_list(F.struct("span_start", "span_end")))
+    spans = stash(repeated_spans(docs, min_words).groupBy("doc_id", "text_key").agg(each.alias("spans")), "dedup-spans")
+    size = spans.agg(F.sum(F.size("spans") * 16 + 24)).first()[0] or 0
+    side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
+    cuts, new_text = spare(docs, "_spans"), spare(docs, "_text")
+    side = side.select(F.col("doc_id").alias("_of"), F.col("text_key").alias("_key"), F.col("spans").alias(cuts))
+    joined = docs.join(side, (docs["doc_id"].cast("long") == side["_of"]) & (text_key(docs["text"]) == side["_key"]), "left")
+    joined = joined.select(*[docs[f"`{c}`"] for c in docs.columns], side[cuts])
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts, spans_of = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("_spans"))
+        texts, spans_of = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index(cuts))
         out = []
         for t, own in zip(texts.to_pylist(), spans_of.to_pylist()):
             if own and t is not None:
@@ -196,7 +209,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
             out.append(t)
         return [pa.array(out, pa.string())]
 
-    cut = append_columns(joined, [T.StructField("_text", T.StringType())], run)
-    cut = cut.where(F.col("_spans").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return cut.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = append_columns(joined, [T.StructField(new_text, T.StringType())], run)
+    cut = cut.where(F.col(cuts).isNull() | F.col(new_text).rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col(new_text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length(new_text)).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
