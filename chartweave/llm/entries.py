@@ -5,23 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartweave.llm import ann, bpe, chunk_dedup, langid, mixing, neardup, quality, search, sharding, token_counts
 
-#: Folder of the public tokenizer files on every machine of the cluster.
-TOKENIZERS = "/opt/tokenizers"
-#: Fixed pattern that goes with the rank files: splits a text before the merges.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 
 def tokenizer(name: str) -> str:
-    """Path of a tokenizer file: beside the installed package where there is one."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    """Path of a public tokenizer file, the same on every machine of the cluster."""
     return public_tokenizers.path(name)
 
 
@@ -31,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), path, PATTERN)
+    decoded = bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
     return decoded.select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -84,7 +76,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_documents(spark, sf_dir))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source", "times")
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source", "times", "shards")
 
 
 ALL = (

@@ -17,6 +17,8 @@ source's permuted blocks, and rows are ordered inside the shard by a hash.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from chartweave.llm._shared import stash, without
 #: The table of blocks is broadcast up to this many rows (about 200 bytes each); beyond, it is
 #: joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Documents of a block, about.
+BLOCK_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -145,43 +149,79 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return runs.select("shard", "x.source_no", F.col("x.first").alias("first"), F.col("x.quota").alias("count"))
 
 
+@dataclass
+class Draw:
+    """Who takes part (``rows``: doc_id, source, size, _key, _block) and what is drawn
+    (``table``: one row a block of a source, with the runs of the shards)."""
+
+    rows: DataFrame
+    table: DataFrame
+    blocks: int
+    seed: int
+
+    def key(self) -> Column:
+        """The hash of a row, by its doc_id and text."""
+        return F.xxhash64(F.lit(self.seed), F.col("doc_id"), F.col("text"))
+
+    def block(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(self.seed + 1), key), F.lit(self.blocks)).cast("int")
+
+    def joined(self, rows: DataFrame, source: str = "source", block: str = "_block") -> DataFrame:
+        """``rows`` with the columns of their block; by broadcast if the table is small."""
+        side = self.table.withColumnsRenamed({"source": "_source", "_block": "_its_block"})
+        side = F.broadcast(side) if self.table.count() <= BROADCAST_ROWS else side
+        return rows.join(side, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col(block) == F.col("_its_block"))).drop("_source", "_its_block")
+
+    def shards_of(self, times: Column) -> Column:
+        """The output shard of each of a row's copies: copy ``c`` of a block is unit
+        c * blocks + place of its source, and every shard has a run of units."""
+
+        def shard_of(copy: Column) -> Column:
+            unit = copy * F.col("_blocks") + F.col("_place")
+            return F.element_at(F.filter("_runs", lambda r: (unit >= r["first"]) & (unit < r["first"] + r["count"])), 1)["shard"]
+
+        copies = F.when(times > 0, F.sequence(F.lit(0), times - F.lit(1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(copies, shard_of)
+
+    def border(self) -> DataFrame:
+        """Rows of the border blocks with ``_more``: 1 for those that go in, documents in
+        permuted order as far as the rest goes; the last one goes in if that brings the sum
+        nearer to the target. They are a prefix in the order of ``_key``."""
+        inside = Window.partitionBy("source_no", "_block").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        reach = F.col("_before") + F.sum("size").over(inside) - F.col("size") / F.lit(2.0)
+        return self.joined(self.rows).where("_border").withColumn("_more", (reach <= F.col("_rest")).cast("long"))
+
+
+def draw(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: int, blocks: int | None, shards: int, seed: int) -> Draw:
+    """Sizes, targets, drawn blocks and their shards. ``blocks`` per source: one for about
+    ``BLOCK_ROWS`` documents if None, at least 256 and at most 65,536."""
+    blocks = blocks or int(min(max(docs.count() // BLOCK_ROWS, 256), 65_536))
+    plan = Draw(docs, docs, blocks, seed)
+    narrow = docs.select("doc_id", "source", plan.key().alias("_key"), word_count(F.col("text")).alias("size"))
+    plan.rows = stash(narrow.withColumn("_block", plan.block(F.col("_key"))), "mix-rows")
+    table = _draw_blocks(plan.rows, weights, share, max_epochs, seed)
+    drawn = table.groupBy("source_no").agg((F.first("_epochs") * F.first("_blocks") + F.sum((F.col("_whole") | F.col("_border")).cast("long"))).alias("quota"))
+    run = F.struct("first", "count", "shard")
+    runs = split_quotas(drawn, shards, seed + 3).groupBy("source_no").agg(F.array_sort(F.collect_list(run)).alias("_runs"))
+    plan.table = stash(table.join(runs, "source_no"), "mix-blocks")
+    return plan
+
+
 def mix_plan(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, blocks: int = 256, shards: int = 8, seed: int = 17
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, blocks: int | None = None, shards: int = 8, seed: int = 17
 ) -> DataFrame:
-    """The plan of the mix, one row per document: doc_id, _key (hash of the row), source,
-    size, source_size, target, ``times`` (int, how often it is taken) and ``shards``
-    (array<int>, the output shard of each copy).
+    """The plan of the mix, one row per document: doc_id, source, size, source_size, target,
+    ``times`` (int, how often it is taken) and ``shards`` (array<int>, the output shard of
+    each copy).
 
     Null texts and texts without words have size 0; null doc_id and null source are keys
     like any other; of equal rows as many are taken as fit, it does not matter which. The
-    same rows give the same plan. An empty table gives no rows. ``blocks`` per source bounds
-    the table of block sizes; a hot source spreads over all its blocks."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    narrow = docs.select("doc_id", "source", key.alias("_key"), word_count(F.col("text")).alias("size"))
-    rows = stash(narrow.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_key")), F.lit(blocks)).cast("int")), "mix-rows")
-    table = _draw_blocks(rows, weights, share, max_epochs, seed)
-    drawn = table.groupBy("source_no").agg((F.first("_epochs") * F.first("_blocks") + F.sum((F.col("_whole") | F.col("_border")).cast("long"))).alias("quota"))
-    run = F.struct("first", "count", "shard")
-    runs = split_quotas(drawn, shards, seed + 3).groupBy("source_no").agg(F.array_sort(F.collect_list(run)).alias("_runs"))
-    table = stash(table.join(runs, "source_no"), "mix-blocks")
-    side = table.withColumnsRenamed({"source": "_source", "_block": "_its_block"})
-    side = F.broadcast(side) if table.count() <= BROADCAST_ROWS else side
-    joined = rows.join(side, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_its_block")))
-    # documents of border blocks in permuted order, as far as the rest goes; the last one
-    # goes in if that brings the sum nearer to the target
-    inside = Window.partitionBy("source_no", "_block").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = F.col("_before") + F.sum("size").over(inside) - F.col("size") / F.lit(2.0)
-    at_border = joined.where("_border").withColumn("_more", (reach <= F.col("_rest")).cast("long"))
-    elsewhere = joined.where("NOT _border").withColumn("_more", F.col("_whole").cast("long"))
-    taken = elsewhere.unionByName(at_border).withColumn("times", (F.col("_epochs") + F.col("_more")).cast("int"))
-
-    def shard_of(copy: Column) -> Column:
-        unit = copy * F.col("_blocks") + F.col("_place")
-        own = F.filter("_runs", lambda r: (unit >= r["first"]) & (unit < r["first"] + r["count"]))
-        return F.element_at(own, 1)["shard"]
-
-    copies = F.when(F.col("times") > 0, F.sequence(F.lit(0), F.col("times") - F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return taken.select("doc_id", "_key", "source", "size", "source_size", "target", "times", F.transform(copies, shard_of).alias("shards"))
+    same rows give the same plan. An empty table gives no rows. A hot source spreads over
+    all its blocks."""
+    plan = draw(docs, weights, share, max_epochs, blocks, shards, seed)
+    elsewhere = plan.joined(plan.rows).where("NOT _border").withColumn("_more", F.col("_whole").cast("long"))
+    taken = elsewhere.unionByName(plan.border()).withColumn("times", (F.col("_epochs") + F.col("_more")).cast("int"))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "times", plan.shards_of(F.col("times")).alias("shards"))
 
 
 def _draw_blocks(rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs: int, seed: int) -> DataFrame:
@@ -209,14 +249,38 @@ def _draw_blocks(rows: DataFrame, weights: tuple[float, ...], share: float, max_
     return table.withColumn("_whole", whole).withColumn("_border", (F.col("_before") < F.col("_rest")) & ~whole)
 
 
-def mix_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The mixed documents: ``docs`` as often as the plan takes them, with ``mix_shard`` and
-    ``mix_position`` (order inside the shard). The texts are shuffled once, to their plan."""
-    plan = mix_plan(docs, seed=seed, **options).where("times > 0").groupBy("_key").agg(F.collect_list("shards").alias("_draws"))
-    base = without(docs, "mix_shard", "mix_position", "_key").withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    nth = Window.partitionBy("_key").orderBy("_key")
-    rows = base.join(plan, "_key").withColumn("_nth", F.row_number().over(nth))
-    rows = rows.where(F.col("_nth") <= F.size("_draws")).withColumn("_draw", F.element_at("_draws", F.col("_nth")))
-    each = rows.select("*", F.posexplode("_draw").alias("_copy", "mix_shard"))
-    position = F.xxhash64(F.lit(seed + 4), F.col("mix_shard"), F.col("_key"), F.col("_nth"), F.col("_copy"))
-    return each.withColumn("mix_position", position).drop("_key", "_nth", "_draws", "_draw", "_copy")
+def mix_documents(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, blocks: int | None = None, shards: int = 8, seed: int = 17
+) -> DataFrame:
+    """The mixed documents: ``docs`` as often as ``mix_plan`` takes them, with ``mix_shard`` and
+    ``mix_position`` (order inside the shard, a hash). No shuffle of texts: a row's block tells
+    its copies and their shards, and of a border block the last hash that goes in.
+
+    Rows with that very hash (equal doc_id and text) of which only some go in are counted and
+    come out that often; their columns must be such that Spark can group by them. Nulls, empty
+    and very long texts are as in ``mix_plan``. Columns of any other name are kept, columns
+    named like the two new ones (any case) are replaced. An empty table gives no rows."""
+    plan = draw(docs, weights, share, max_epochs, blocks, shards, seed)
+    border = plan.border()
+    last = border.where("_more = 1").groupBy("source_no").agg(F.max("_key").alias("_cut"))
+    at_cut = border.join(F.broadcast(last), "source_no").where("_key = _cut").groupBy("source_no", "_cut").agg(F.sum("_more").alias("_fit"), F.count(F.lit(1)).alias("_equal"))
+    cuts = stash(at_cut, "mix-cuts")  # one row a source at most
+    # the columns of the input may have any name: they travel as one struct
+    base = without(docs, "mix_shard", "mix_position")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"), F.col("source").alias("_own_source"), plan.key().alias("_key"))
+    rows = plan.joined(rows.withColumn("_block", plan.block(F.col("_key"))), "_own_source").join(F.broadcast(cuts), "source_no", "left")
+    partly = F.coalesce(F.col("_border") & (F.col("_key") == F.col("_cut")) & (F.col("_fit") < F.col("_equal")), F.lit(False))
+    more = F.col("_whole") | (F.col("_border") & F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False)))
+    usual = rows.where(~partly).withColumn("times", (F.col("_epochs") + more.cast("long")).cast("int"))
+    each = usual.select("_row", "_key", F.posexplode(plan.shards_of(F.col("times"))).alias("_copy", "mix_shard"))
+    known = ["source_no", "_key", "_epochs", "_fit", "_blocks", "_place", "_runs"]
+    equal = rows.where(partly).groupBy("_row", *known).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("source_no").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.least(F.col("_fit") - F.coalesce(F.sum("_rows").over(before), F.lit(0)), F.col("_rows")), F.lit(0).cast("long"))
+    equal = equal.withColumn("_room", room).withColumn("_shards", plan.shards_of((F.col("_epochs") + F.lit(1)).cast("int")))
+    copies = equal.select("*", F.posexplode("_shards").alias("_copy", "mix_shard"))
+    often = F.when(F.col("_copy") < F.col("_epochs"), F.col("_rows")).otherwise(F.col("_room")).cast("int")
+    repeated = copies.select("_row", "_key", "_copy", "mix_shard", F.explode(F.array_repeat(F.lit(0), often)))
+    out = each.unionByName(repeated.drop("col"))
+    position = F.xxhash64(F.lit(seed + 4), F.col("mix_shard"), F.col("_key"), F.col("_copy"))
+    return out.select("_row.*", "mix_shard", position.alias("mix_position"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartweave.llm._shared import append_columns, span_hashes, steps, text_bytes, word_spans
+from chartweave.llm._shared import append_columns, span_hashes, steps, text_bytes, without, word_spans
 
 THRESHOLD = 0.7
 #: Labelled documents that the classifier is fitted on at most.
@@ -229,12 +229,13 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUM
     return LineCRF(np.array(fitted["weights"]), np.array(fitted["ties"]).reshape(2, 2), fitted["slope"], fitted["shift"])
 
 
-def score_documents(docs: DataFrame, model: LineCRF, text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: LineCRF, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from THRESHOLD on). Null and empty
-    texts are scored as one empty line; the score follows from the text alone. No shuffle."""
+    texts are scored as one empty line; the score follows from the text alone, so repeated rows
+    agree; columns of the new names (any case) are replaced; an empty table stays empty. No shuffle."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array(model.score(batch.column(batch.schema.get_field_index(text))), pa.float64())]
 
-    scored = append_columns(docs, [T.StructField("score", T.DoubleType())], run)
-    return scored.withColumn("predicted", (F.col("score") >= F.lit(THRESHOLD)).cast("int"))
+    scored = append_columns(without(docs, predicted), [T.StructField(score, T.DoubleType())], run)
+    return scored.withColumn(predicted, (F.col(score) >= F.lit(THRESHOLD)).cast("int"))

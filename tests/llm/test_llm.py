@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -47,9 +48,9 @@ def test_bpe_equals_library(spark, odd, empty, docs):
 
     path = entries.tokenizer("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
-    library = tiktoken.Encoding("own", pat_str=entries.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for table in (odd, empty, docs):
-        encoded = bpe.encode_documents(table, path, entries.PATTERN)
+        encoded = bpe.encode_documents(table, path, public_tokenizers.PATTERN)
         for r in bpe.decode_documents(encoded, path).collect():
             assert r.tokens == library.encode_ordinary(r.text or "")
             assert bytes(r.decoded) == (r.text or "").encode()
@@ -159,9 +160,8 @@ def test_spans_are_passages_of_one_document(spark):
     assert (other[1] + han).encode()[got[0].span_start : got[0].span_end].decode() in han
 
 
-def test_spans_equal_brute_force(spark, docs):
-    """All spans of the documents from runs of chunks compared document by document."""
-    rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect())
+def brute_spans(rows):
+    """All spans of (doc_id, bytes) in order, from runs of chunks compared document by document."""
     wanted, seen = set(), {}
     for doc, raw in rows:
         ends = [0, *chunk_dedup.chunk_bounds(np.frombuffer(raw, np.uint8)).tolist()]
@@ -180,7 +180,12 @@ def test_spans_equal_brute_force(spark, docs):
             seen.setdefault(p, doc)
         edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(int)))
         wanted |= {(doc, ends[a], ends[b]) for a, b in zip(edges[::2], edges[1::2])}
-    got = chunk_dedup.repeated_spans(docs).collect()
+    return wanted
+
+
+def test_spans_equal_brute_force(spark, docs):
+    wanted = brute_spans(sorted((r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()))
+    got = entries.op4_repeated_spans(spark, SF).collect()
     assert wanted and {(r.doc_id, r.span_start, r.span_end) for r in got} == wanted and len(got) == len(wanted)
 
 
@@ -359,6 +364,133 @@ def test_hypergeometric_follows_its_law(spark):
         assert abs(c / n - comb(7, k) * comb(13, 9 - k) / comb(20, 9)) < 0.002
 
 
+def test_mixed_documents_follow_the_plan(odd, empty, docs):
+    clash = "_key int, _nth int, _copy int, _draws int, _gone int, _of int, _spans int, _text int, MIX_SHARD int"
+    for table in (odd, docs):
+        wide = table.select("*", *[F.lit(7).alias(c.split()[0]) for c in clash.split(", ")])
+        plan, got = {}, {}
+        for r in mixing.mix_plan(wide).collect():
+            plan.setdefault(r.doc_id, []).extend(r.shards)
+        out = mixing.mix_documents(wide)
+        assert out.columns == [*wide.columns[:-1], "mix_shard", "mix_position"]
+        for r in out.collect():
+            got.setdefault(r.doc_id, []).append(r.mix_shard)
+        assert {k: sorted(v) for k, v in plan.items() if v} == {k: sorted(v) for k, v in got.items()}
+    assert mixing.mix_documents(empty).count() == 0
+
+
+def test_equal_rows_at_the_border(spark):
+    # one source of equal rows only: the border falls among them
+    rows = [(1, "a b c", "s")] * 40 + [(2, "d e", "t")] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(table, weights=(1, 9), max_epochs=4).groupBy("source").agg(F.sum("times").alias("n"), F.first("target").alias("t")).collect()
+    got = {r.source: r.n for r in mixing.mix_documents(table, weights=(1, 9), max_epochs=4).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert {r.source: r.n for r in plan} == got and all(abs(r.t - got[r.source] * {"s": 3, "t": 2}[r.source]) <= 3 for r in plan)
+
+
+def test_splitting_tree(spark):
+    """Exact quotas, disjoint runs that cover all units, equal shards, and the law of a split."""
+    quotas = {1: 37, 2: 5, 3: 0, 4: 58}
+    table = spark.createDataFrame(list(quotas.items()), "source_no int, quota long")
+    rows = mixing.split_quotas(table, 8, 3).collect()
+    for source, quota in quotas.items():
+        units = [u for r in rows if r.source_no == source for u in range(r["first"], r["first"] + r["count"])]
+        assert sorted(units) == list(range(quota))
+    sizes = [sum(r["count"] for r in rows if r.shard == s) for s in range(8)]
+    assert sum(sizes) == 100 and max(sizes) - min(sizes) <= 1
+    from math import comb
+
+    table = spark.createDataFrame([(1, 6), (2, 4)], "source_no int, quota long")
+    counts = np.zeros(6)
+    for seed in range(60):
+        counts[next(r["count"] for r in mixing.split_quotas(table, 2, seed).collect() if r.shard == 0 and r.source_no == 1)] += 1
+    want = np.array([comb(6, k) * comb(4, 5 - k) / comb(10, 5) for k in range(6)])
+    assert np.abs(counts / 60 - want).max() < 0.2
+    with pytest.raises(ValueError):
+        mixing.split_quotas(table, 3, 1)
+
+
+def test_rows_that_repeat_a_doc_id_keep_their_texts(spark):
+    passage, mine, other = prose(60), prose(80), "é" * 7 + " " + prose(150)
+    rows = [(1, passage), (2, f"{mine} {passage}"), (2, other), (2, other), (None, passage)]
+    clash = [F.lit(0).alias(c) for c in ("_of", "_spans", "_text", "_key", "_gone", "_quality")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").select("*", *clash)
+    out = chunk_dedup.remove_repeats(table)
+    texts = [r.text for r in out.collect()]
+    assert out.columns == table.columns and texts.count(other) == 2 and texts.count(passage) == 2 and len(texts) == 5
+    assert all(passage not in t for t in texts if t.startswith(mine))
+    kept = neardup.keep_one_of_each(table)
+    assert kept.columns == table.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2]
+
+
+def test_repeated_labels(spark, odd):
+    labels = spark.createDataFrame([(5, 1), (5, 0), (7, 1), (None, 1), (4, 2), (6, None)], "doc_id long, quality int")
+    model = quality.fit_on_labels(odd, labels)
+    assert np.isfinite(model.weights).all() and np.isfinite(model.slope)
+    none = quality.fit_on_labels(odd, labels.limit(0))
+    assert none.score(pa.array(["x", None]))[0] == pytest.approx(0.5)
+
+
+def test_stages_on_odd_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            rows = out.collect()
+            assert name == "tokens" or out.columns == table.columns
+            assert table is odd or not rows
+            if name == "tokens":
+                assert len(rows) == table.count() and all(r.round_trip for r in rows)
+
+
+def brute_pipeline(spark):
+    """The stages over sf0.001 in plain Python: the model's scores, all pairs of sets, windows
+    looked up document by document, targets by water filling, the library's token ids."""
+    import corpus_pipeline
+    import tiktoken
+
+    path = entries.tokenizer("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit_on_labels(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = sorted(docs.collect())
+    good = [r for r in rows if model.score(pa.array([r.text or ""]))[0] >= 0.7]
+    yield "quality", {r.doc_id: r.text for r in good}
+    first = {d: c for d, _, c in brute_classes(good)}
+    kept = [r for r in good if first[r.doc_id] == r.doc_id]
+    yield "near_duplicates", {r.doc_id: r.text for r in kept}
+    texts = {r.doc_id: (r.text or "").encode() for r in kept}
+    spans = brute_spans(sorted(texts.items()))
+    cut = {}
+    for doc, raw in texts.items():
+        at, parts = 0, []
+        for a, b in sorted((a, b) for d, a, b in spans if d == doc):
+            parts.append(raw[at:a])
+            at = b
+        rest = b"".join([*parts, raw[at:]])
+        if at == 0 or rest.strip(b" \t\n\v\f\r"):
+            cut[doc] = rest.decode()
+    yield "substrings", cut
+    yield "tokens", {doc: library.encode_ordinary(t) for doc, t in cut.items()}
+
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+
+    want = dict(brute_pipeline(spark))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+        assert {r.doc_id: r.text or "" for r in docs.collect()} == {k: v or "" for k, v in want[name].items()}, name
+    times = {r.doc_id: r.times for r in mixing.mix_plan(docs).collect()}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {k: v for k, v in times.items() if v} == {d: sum(r.doc_id == d for r in got) for d in {r.doc_id for r in got}}
+    assert all(list(r.tokens) == want["tokens"][r.doc_id] and r.n_tokens == len(r.tokens) and r.round_trip for r in got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
