@@ -8,9 +8,11 @@ only. Two documents of similarity s share a table with probability
 
 Documents with the same set are one node from the start. Tables hold ids only: keys that one
 node alone has are dropped, and of buckets with the same members, which near copies have in
-most of their tables, one is kept. The buckets left meet one-permutation sketches (512 bins),
-and pairs that cannot be told to be below the threshold come out; pairs whose link is already
-certain through other pairs of the bucket do not. Every pair that comes out is confirmed on
+most of their tables, one is kept. The buckets left meet one-permutation sketches (512 bins) of
+large sets and the 32-bit digests of small ones. Pairs that cannot be told to be below the
+threshold come out once, in the first table they share; pairs whose link is already certain
+through other pairs of the bucket do not: of each pair of groups one that a sketch or the
+digests take for certain comes out. Every pair that comes out is confirmed on
 full sets; where a link that a sketch took for certain fails, the nodes tied by it are compared
 once more, and then only confirmed links keep pairs from coming out. In oversize buckets all
 members are first compared with one of them on full sets; those linked to it need not meet each
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +35,15 @@ from chartweave.llm._shared import LOWER, drop, join_unique, mix, span_hashes, s
 
 SHINGLE = 5
 BINS = 512
+#: Members up to which a set travels to its buckets as a whole, in 32-bit digests.
+SMALL = 256
 #: Standard errors that a sketch's estimate must lie below the threshold to rule a link out:
 #: a pair exactly at the threshold is missed with a chance of 2e-4, like that of the tables.
 CERTAINTY = 3.5
 #: Rows of a bucket above which it is dealt into cells of about so many rows.
 SPLIT_BUCKET = 3000
+#: Low bits of a table key that hold the number of the table; up to 16 bands.
+TABLE_BITS = 8
 #: Sets of a round's hubs that are broadcast at most; beyond, join by shuffle.
 BROADCAST_SETS = 1000
 #: Ids of one column are broadcast up to this many (8 bytes each), else joined by shuffle.
@@ -89,14 +95,23 @@ def minhashes(members: np.ndarray, count: int) -> np.ndarray:
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """A byte for each of BINS bins: 0 if no member falls there, else a fingerprint of the
-    smallest."""
-    h = np.sort(mix(members + np.uint64(0x51ED270B)))
-    bins = (h >> np.uint64(64 - 9)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    out = np.zeros(BINS, np.uint8)
-    out[bins[first]] = (h[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return out.tobytes()
+    """What a bucket knows of a set: its sorted 32-bit digests if it has up to SMALL members,
+    else a byte for each of BINS bins, see ``marks_of``."""
+    h = np.unique((mix(members + np.uint64(0x51ED270B)) >> np.uint64(32)).astype(np.uint32))
+    if len(members) <= SMALL:
+        return h.tobytes()
+    return marks_of(h, np.zeros(len(h), int), 1).tobytes()
+
+
+def marks_of(digests: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """A byte for each row and bin: 0 if no digest falls there, else a fingerprint of the
+    smallest. Digests ascend in every row."""
+    bins = (digests >> np.uint32(32 - 9)).astype(np.int64)
+    first = np.ones(len(digests), bool)
+    first[1:] = (bins[1:] != bins[:-1]) | (row[1:] != row[:-1])
+    out = np.zeros((rows, BINS), np.uint8)
+    out[row[first], bins[first]] = (digests[first] % np.uint32(255) + np.uint32(1)).astype(np.uint8)
+    return out
 
 
 FEATURES = T.StructType(
@@ -142,13 +157,38 @@ def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def _bucket_pairs(similarity: float, trust: bool):
+def _bucket_pairs(percent: int, trust: bool):
     """Pairs (a, b, sure) of a partition sorted by bucket; sure ones tie groups with ``trust``; buckets come out of the stream one by one."""
 
-    def pairs_of(ids, labels, sizes, marks, out) -> None:
-        n = len(ids)
+    similarity = percent / 100
+
+    def enough_shared(flat, at, i: int, partners: np.ndarray) -> np.ndarray:
+        """Whether small set ``i`` and each of the small sets ``partners`` reach the threshold."""
+        own, lengths = flat[at[i] : at[i + 1]], at[partners + 1] - at[partners]
+        offsets = np.r_[0, np.cumsum(lengths)[:-1]]
+        theirs = flat[np.arange(lengths.sum()) + np.repeat(at[partners] - offsets, lengths)]
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        shared = np.add.reduceat(hit, offsets, dtype=np.int64)
+        return 100 * shared >= percent * (len(own) + lengths - shared)
+
+    def pairs_of(ids, labels, table, sizes, lefts, rights, marks, flat, at, out) -> None:
+        n, bands = len(ids), lefts.shape[1]
         full = marks > 0
         group = np.unique(labels, return_inverse=True)[1]
+        asked: list[np.ndarray] = []  # pairs that a sketch leaves open
+
+        def here(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether this is the first table that they share."""
+            return (lefts[i] == lefts[j]).argmax(axis=1) * bands + (rights[i] == rights[j]).argmax(axis=1) == table
+
+        def show(i: np.ndarray, j: np.ndarray, sure: bool) -> None:
+            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.full(len(i), int(sure))]))
+
+        def show_here(i: int, j: np.ndarray) -> None:
+            i = np.full(len(j), i)
+            first = here(i, j)
+            show(i[first], j[first], True)
+
         for i in range(n - 1):
             rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
             if not len(rest):
@@ -165,23 +205,53 @@ def _bucket_pairs(similarity: float, trust: bool):
             if not near.any():
                 continue
             found, sure = rest[near], share[near] >= similarity + slack[near] + 1.0 / 255
-            out.append(np.stack([np.minimum(ids[found], ids[i]), np.maximum(ids[found], ids[i]), sure]))
-            if trust:
-                for g in np.unique(group[found[sure]]):
-                    group[group == g] = group[i]
+            asked.append(np.stack([np.full((~sure).sum(), i), found[~sure]]))
+            if not trust:
+                show_here(i, found[sure])
+                continue
+            # one sure pair for every group that it ties to this one
+            ties, first = np.unique(group[found[sure]], return_index=True)
+            show_here(i, found[sure][first])
+            group[np.isin(group, ties)] = group[i]
+        if not asked:
+            return
+        i, j = np.concatenate(asked, axis=1)
+        open_still = (group[i] != group[j]) & here(i, j)
+        i, j = i[open_still], j[open_still]
+        whole = (sizes[i] <= SMALL) & (sizes[j] <= SMALL)
+        show(i[~whole], j[~whole], False)
+        # small sets are here as a whole: what they do not reach is no link
+        i, j = i[whole], j[whole]
+        for k in np.unique(i):
+            partners = j[i == k]
+            partners = partners[group[partners] != group[k]]
+            if len(partners):
+                linked = partners[enough_shared(flat, at, k, partners)]
+                if trust and len(linked):
+                    ties, first = np.unique(group[linked], return_index=True)
+                    linked = linked[first]
+                    group[np.isin(group, ties)] = group[k]
+                show(np.full(len(linked), k), linked, True)
 
     def flush(tables: list[pa.Table]):
         t = pa.concat_tables(tables).combine_chunks()
         col = lambda name: t.column(name).chunk(0)
         key, ids = col("_key").to_numpy(), col("doc_id").to_numpy()
         sizes, labels = col("n_shingles").to_numpy(), col("_label").to_numpy()
-        marks = np.frombuffer(b"".join(col("_sketch").to_pylist()), np.uint8).reshape(len(key), BINS)
+        n, table = len(key), col("_table").to_numpy()
+        lefts, rights = (col(c).flatten().to_numpy().reshape(n, -1) for c in ("_left", "_right"))
+        known, small = col("_sketch").to_pylist(), sizes <= SMALL
+        at = np.r_[0, np.cumsum([len(k) // 4 if few else 0 for k, few in zip(known, small)])]
+        flat = np.frombuffer(b"".join(k for k, few in zip(known, small) if few), np.uint32)
+        marks = marks_of(flat, np.repeat(np.arange(n), np.diff(at)), n)
+        marks[~small] = np.frombuffer(b"".join(k for k, few in zip(known, small) if not few), np.uint8).reshape(-1, BINS)
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         out: list[np.ndarray] = []
         for low, high in zip(cuts[:-1], cuts[1:]):
             if high - low > 1:
-                pairs_of(ids[low:high], labels[low:high], sizes[low:high], marks[low:high], out)
-        both = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
+                part = slice(low, high)
+                pairs_of(ids[part], labels[part], table[low], sizes[part], lefts[part], rights[part], marks[part], flat, at[low : high + 1], out)
+        both = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2] > 0)], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +283,18 @@ def table_rows(nodes: DataFrame, bands: int) -> DataFrame:
     """(doc_id, _label, _key, _i, _l) of every node and table."""
     lefts = F.posexplode("_left").alias("_i", "_l")
     rows = nodes.select("doc_id", "_label", lefts, "_right").select("doc_id", "_label", "_i", "_l", F.posexplode("_right").alias("_j", "_r"))
-    key = F.xxhash64("_i", "_j", "_l", "_r")
+    table = F.col("_i") * F.lit(bands) + F.col("_j")
+    # the key's low bits tell the table
+    key = F.shiftleft(F.xxhash64("_l", "_r"), TABLE_BITS).bitwiseOR(table.cast("long"))
     return rows.select("doc_id", "_label", key.alias("_key"), "_i", "_l")
 
 
+def table_of(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int")
+
+
 def dealt_rows(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, _key, _tied) of the buckets, oversize ones as cells, and the links confirmed on
+    """(doc_id, _key, _table, _tied) of the buckets, oversize ones as cells, and the links confirmed on
     the way. ``_tied`` is the label that such a link gives a node; nodes of one label are known
     to be one class and are not compared."""
     rows = table_rows(nodes, bands)
@@ -237,8 +313,10 @@ def dealt_rows(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> t
             drop(hot)
     counted = rows.select("doc_id", "_key").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key")))
     # counted rows lie together by key: a bucket becomes an array of ids without another shuffle
-    members = counted.where("_n > 1").groupBy("_key").agg(F.sort_array(F.collect_list("doc_id")).alias("_ids")).select("_ids").distinct()
-    shared = members.select(F.explode("_ids").alias("doc_id"), F.xxhash64("_ids").alias("_key"), F.lit(None).cast("long").alias("_tied"))
+    members = counted.where("_n > 1").groupBy("_key").agg(F.sort_array(F.collect_list("doc_id")).alias("_ids"))
+    # of tables that give the same bucket the first one stands for all
+    once = members.groupBy("_ids").agg(F.min(table_of(F.col("_key"))).alias("_table"))
+    shared = once.select(F.explode("_ids").alias("doc_id"), F.xxhash64("_ids").alias("_key"), "_table", F.lit(None).cast("long").alias("_tied"))
     buckets = stash(shared if cells is None else shared.unionByName(cells), "near-buckets")
     drop(tuples, tied)
     return buckets, links
@@ -288,7 +366,7 @@ def _cells(hot: DataFrame) -> DataFrame:
     against = each(F.col("_q"), lambda x: F.array(F.lit(0), mine, x))
     others = F.concat(each(F.col("_p"), lambda x: F.array(F.lit(0), x, mine)), each(F.col("_q"), lambda x: F.array(F.lit(1), F.least(mine, x), F.greatest(mine, x))))
     rows = rows.select("doc_id", "_label", "_key", F.explode(F.when(main, against).otherwise(others)).alias("_cell"))
-    return rows.select("doc_id", F.xxhash64("_key", "_cell").alias("_key"), F.col("_label").alias("_tied"))
+    return rows.select("doc_id", F.xxhash64("_key", "_cell").alias("_key"), table_of(F.col("_key")).alias("_table"), F.col("_label").alias("_tied"))
 
 
 PAIRS = "a long, b long, sure boolean"
@@ -298,9 +376,9 @@ def candidate_pairs(docs: DataFrame, nodes: DataFrame, percent: int, bands: int,
     """Pairs (a, b, sure) of nodes that share a table and whose sketches do not rule a link out,
     and the links confirmed on the way. With ``trust`` pairs that sure ones tie are left out."""
     buckets, links = dealt_rows(docs, nodes, percent, bands)
-    sketched = buckets.join(nodes, "doc_id").select("_key", "doc_id", F.coalesce("_tied", "_label").alias("_label"), "n_shingles", "_sketch")
+    sketched = buckets.join(nodes, "doc_id").select("_key", "_table", "doc_id", F.coalesce("_tied", "_label").alias("_label"), "n_shingles", "_left", "_right", "_sketch")
     dealt = sketched.repartition("_key").sortWithinPartitions("_key", "doc_id")
-    return dealt.mapInArrow(_bucket_pairs(percent / 100, trust), PAIRS).where("a <> b").distinct(), links
+    return dealt.mapInArrow(_bucket_pairs(percent, trust), PAIRS).where("a <> b").distinct(), links
 
 
 def confirmed_links(docs: DataFrame, pairs: DataFrame, percent: int, hubs: bool = False) -> DataFrame:

@@ -293,7 +293,7 @@ def patched_features(monkeypatch, rows):
     mark = bytes([7]) * neardup.BINS
 
     def features(docs, bands, rows):
-        found = [(r.doc_id, 90 + r.doc_id, r.doc_id, r.doc_id, *map(list, table[r.doc_id]), mark) for r in docs.collect()]
+        found = [(r.doc_id, 900 + r.doc_id, r.doc_id, r.doc_id, *map(list, table[r.doc_id]), mark) for r in docs.collect()]
         return docs.sparkSession.createDataFrame(found, neardup.FEATURES)
 
     monkeypatch.setattr(neardup, "features", features)
@@ -317,6 +317,22 @@ def test_pairs_behind_a_failed_sure_pair(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in neardup.near_classes(table, bands=2).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_pairs_of_a_family_at_the_threshold_grow_with_it(spark):
+    """Copies with two changed words each: about half of all pairs are links, the rest just none."""
+    base, rows = prose(60).split(), []
+    for i in range(120):
+        own = list(base)
+        for k in RNG.choice(60, 2, replace=False):
+            own[k] = f"w{i}x{k}"
+        rows.append((i, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = neardup.features(table, 12, 2).withColumn("_label", F.col("doc_id"))
+    pairs, _ = neardup.candidate_pairs(table, nodes, 75, 12)
+    want = brute_classes(table.collect())
+    assert pairs.count() <= 4 * len(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_classes(table).collect()) == want
+
+
 def test_cells_of_hot_buckets_are_small(spark, monkeypatch):
     base = prose(400).split()
     rows = [(i, " ".join([*base[:200], f"copy{i}", *base[200:]])) for i in range(80)] + [(100 + i, prose(60)) for i in range(5)]
