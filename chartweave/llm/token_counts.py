@@ -32,6 +32,11 @@ WORD_MEMORY = 400_000
 PAIR_MEMORY = 1_000_000
 
 
+#: Lower-case letters that differ from Python's. Sigma has no final form, and two
+#: letters are newer than Python's tables.
+LOWER_CASE = {0x03A3: 0x03C3, 0xA7CB: 0x0264, 0xA7DC: 0x019B}
+
+
 def byte_letters() -> dict[int, str]:
     """The usual printable letter of each byte in byte-level vocabularies: visible Latin-1
     characters stand for themselves, the others for code points from 256 on, in order."""
@@ -56,7 +61,7 @@ class PrefixCounter:
         self.letters = byte_letters()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = Splitter(pattern)
-        self.finditer = regex.compile(pattern).finditer
+        self.finditer = self.split.full.finditer
         self.special = [t["content"] for t in spec["added_tokens"] if not t["normalized"]]
         self.special_at = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.fit: dict[tuple[str, str, bool], bool] = {}
@@ -149,7 +154,7 @@ class PrefixCounter:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form of sigma
+            text = unicodedata.normalize("NFC", text).translate(LOWER_CASE)
         return text.lower()
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
