@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample with a penalty on size, so lists are ba
 vector is written to the list of its nearest centroid and, if it lies near a border, to
 further lists whose distance is within a ratio of the nearest. A query walks a graph of
 neighbouring centroids, held in memory, and searches the lists whose distance is within a
-ratio of the nearest one found. Largest inner product becomes smallest distance by one more
+ratio of the nearest one found; nothing else limits the walk. The ratio is fitted on the sample:
+the smallest one at which a wanted share of its true neighbours stands in searched lists. Largest inner product becomes smallest distance by one more
 coordinate, which lifts all vectors to the same norm.
 
 Lists are cut into parts of bounded size and dealt into groups; a task gets one group of
@@ -28,8 +29,9 @@ from chartweave.llm._shared import stash
 @dataclass
 class Settings:
     """Sample rows the centroids are fitted on, at most; lists, at most; rows of a group.
-    ``replica_ratio`` and ``replicas`` rule the copies of border vectors, ``search_ratio``
-    and ``most_lists`` (a share of all lists) the lists of a query."""
+    ``replica_ratio`` and ``replicas`` rule the copies of border vectors, ``search_ratio`` the
+    lists of a query; None: fitted so that ``recall`` of the neighbours of ``probes`` sample
+    rows are found. ``query_rows`` queries meet a group at once."""
 
     sample_rows: int = 20_000
     lists: int = 4096
@@ -38,8 +40,10 @@ class Settings:
     part_rows: int = 4000
     replicas: int = 4
     replica_ratio: float = 1.10
-    search_ratio: float = 1.25
-    most_lists: float = 0.45
+    search_ratio: float | None = None
+    recall: float = 0.96
+    probes: int = 400
+    query_rows: int = 20_000
     neighbours: int = 24
 
 
@@ -60,19 +64,19 @@ class Centroids:
         d = (x * x).sum(axis=1)[:, None] - 2 * x @ self.points.T + (self.points * self.points).sum(axis=1)
         return np.sqrt(np.maximum(d, 0))
 
-    def walk(self, q: np.ndarray, ratio: float, most: int) -> list[int]:
+    def walk(self, q: np.ndarray, ratio: float) -> list[int]:
         """Centroids near ``q``, nearest first: best-first search over the graph, ended when
-        the frontier lies beyond ``ratio`` times the nearest distance or ``most`` are found."""
+        the frontier lies beyond ``ratio`` times the nearest distance."""
         near = ((self.points[self.entry] - q) ** 2).sum(axis=1)
         seen = np.zeros(len(self.points), bool)
         seen[self.entry] = True
         frontier = [(float(d), int(c)) for d, c in zip(near, self.entry)]
         heapq.heapify(frontier)
         best, found = frontier[0][0], []
-        while frontier and len(found) < 2 * most:
+        while frontier:
             d, c = heapq.heappop(frontier)
             best = min(best, d)
-            if d > best * ratio * ratio and len(found) >= most:
+            if d > best * ratio * ratio:
                 break
             found.append((d, c))
             fresh = self.graph[c][~seen[self.graph[c]]]
@@ -80,7 +84,33 @@ class Centroids:
             for e, k in zip(((self.points[fresh] - q) ** 2).sum(axis=1).tolist(), fresh.tolist()):
                 heapq.heappush(frontier, (e, k))
         found.sort()
-        return [c for d, c in found[:most] if d <= best * ratio * ratio]
+        return [c for d, c in found if d <= best * ratio * ratio]
+
+    def lists_of(self, x: np.ndarray, replicas: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and lists of the postings of vectors ``x``."""
+        d = self.distances(self.lift(x))
+        near = np.argpartition(d, replicas - 1, axis=1)[:, :replicas] if replicas < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+        dist = np.take_along_axis(d, near, axis=1)
+        r, c = np.nonzero(dist <= np.maximum(dist.min(axis=1, keepdims=True), 1e-9) * ratio)
+        return r, near[r, c]
+
+    def fitted_ratio(self, sample: np.ndarray, s: Settings, k: int) -> float:
+        """The smallest search ratio that finds ``recall`` of the sample's own neighbours of up
+        to ``probes`` of its rows. In the whole table neighbours are nearer than in a sample."""
+        probes = sample[:: max(1, len(sample) // s.probes)]
+        replicas, needed = min(s.replicas, len(self.points)), []
+        owners: list[list[int]] = [[] for _ in sample]
+        for at in range(0, len(sample), 2048):
+            r, c = self.lists_of(sample[at : at + 2048], replicas, s.replica_ratio)
+            for row, list_no in zip((r + at).tolist(), c.tolist()):
+                owners[row].append(list_no)
+        for i, q in enumerate(probes):
+            scores = sample @ q
+            scores[i * max(1, len(sample) // s.probes)] = -np.inf
+            found = np.argpartition(-scores, min(k, len(scores) - 1))[:k]
+            d = self.distances(np.append(q, 0.0)[None])[0]
+            needed += [d[owners[j]].min() / max(d.min(), 1e-12) for j in found if np.isfinite(scores[j])]
+        return float(np.quantile(needed, s.recall)) * (1 + 1e-9) if needed else 1.0
 
     def widen(self, q: np.ndarray, chosen: list[int], sizes: np.ndarray, enough: int) -> list[int]:
         """``chosen`` and the next nearest lists, until they hold ``enough`` rows or are all."""
@@ -137,12 +167,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
     the smaller vec_id, so among any number of equal vectors the first ones are found. A
     query gets ``k`` rows, or all others if there are fewer: where the lists near it hold too
     few, further lists are searched.
-    Vectors that are null, zero or have null or non-finite components take no part; lengths
-    must agree. Rows that repeat a vec_id count once (the smallest vector). An empty table
-    and a single row give no rows."""
+    Vectors that are null, zero or have null or non-finite components take no part, nor do
+    those of another length than most (of equally frequent lengths the smallest rules). Rows
+    that repeat a vec_id count once (the smallest vector). An empty table and a single row give
+    no rows. The centroids are fitted on the driver, on ``sample_rows`` vectors at most."""
     s = settings or Settings()
     spark = vectors.sparkSession
     rows = stash(usable(vectors, vector).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-rows")
+    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+    rows = rows.where(F.size("v") == F.lit(length["n"] if length else 0))
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     total, top = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -157,18 +190,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
     lists = len(index.points)
     known = spark.sparkContext.broadcast(index)
     replicas, ratio = min(s.replicas, lists), s.replica_ratio
+    search_ratio = s.search_ratio or index.fitted_ratio(sample, s, k)
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 2048):
                 part = f.iloc[at : at + 2048]
                 x = np.stack(part["v"].to_numpy())
-                d = known.value.distances(known.value.lift(x))
-                near = np.argpartition(d, replicas - 1, axis=1)[:, :replicas] if replicas < lists else np.tile(np.arange(lists), (len(d), 1))
-                dist = np.take_along_axis(d, near, axis=1)
-                keep = dist <= np.maximum(dist.min(axis=1, keepdims=True), 1e-9) * ratio
-                r, c = np.nonzero(keep)
-                yield pd.DataFrame({"list": near[r, c], "vec_id": part["vec_id"].to_numpy()[r], "v": part["v"].to_numpy()[r]})
+                r, c = known.value.lists_of(x, replicas, ratio)
+                yield pd.DataFrame({"list": c, "vec_id": part["vec_id"].to_numpy()[r], "v": part["v"].to_numpy()[r]})
 
     postings = stash(rows.mapInPandas(post, "list int, vec_id long, v array<double>"), "ann-postings")
     sizes = postings.groupBy("list").count().toArrow().to_pandas()  # one row a list
@@ -195,8 +225,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
     list_sizes = np.zeros(lists, np.int64)
     list_sizes[sizes["list"].to_numpy()] = sizes["count"].to_numpy()
     enough = (k + 1) * max(replicas, 1)  # rows among which are k other vectors, whatever the copies
-    most = max(1, int(np.ceil(s.most_lists * lists)))
-    search_ratio = s.search_ratio
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -204,7 +232,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
             for vec_id, v in zip(f["vec_id"], f["v"]):
                 q = np.append(np.asarray(v), 0.0)
                 wanted: dict[int, list[int]] = {}
-                chosen = known.value.walk(q, search_ratio, most)
+                chosen = known.value.walk(q, search_ratio)
                 if list_sizes[chosen].sum() < enough:
                     chosen = known.value.widen(q, chosen, list_sizes, enough)
                 for c in chosen:
@@ -214,7 +242,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
                     out["grp"].append(g), out["vec_id"].append(vec_id), out["v"].append(v), out["lists"].append(own_lists)
             yield pd.DataFrame(out)
 
-    asked = rows.where(is_query).mapInPandas(ask, "grp int, vec_id long, v array<double>, lists array<int>")
+    queries = rows.where(is_query)
+    # a group meets its queries block by block
+    query_blocks = max(1, -(-queries.count() // s.query_rows))
+    asked = queries.mapInPandas(ask, "grp int, vec_id long, v array<double>, lists array<int>").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def search(key: tuple, held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         ids, found_q, found_v, found_s = held["vec_id"].to_numpy(), [], [], []
@@ -242,7 +274,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pd.DataFrame({"query_id": join(found_q, np.int64), "vec_id": join(found_v, np.int64), "score": join(found_s, float)})
 
-    met = dealt.groupBy("grp").cogroup(asked.groupBy("grp")).applyInPandas(search, "query_id long, vec_id long, score double")
+    met = dealt.groupBy("grp", "block").cogroup(asked.groupBy("grp", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
