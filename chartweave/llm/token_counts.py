@@ -32,9 +32,10 @@ WORD_MEMORY = 400_000
 PAIR_MEMORY = 1_000_000
 
 
-#: Lower-case letters that differ from Python's. Sigma has no final form, and two
-#: letters are newer than Python's tables.
-LOWER_CASE = {0x03A3: 0x03C3, 0xA7CB: 0x0264, 0xA7DC: 0x019B}
+#: Lower-case letters that differ from Python's. Sigma has no final form, the
+#: others are of Unicode 16 and 17.
+LOWER_CASE = {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+LOWER_CASE |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
 def byte_letters() -> dict[int, str]:

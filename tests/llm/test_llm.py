@@ -192,7 +192,7 @@ def test_spans_equal_brute_force(spark, docs):
 def test_nearest_neighbours(spark):
     x = RNG.normal(size=(600, 16))
     x[100:160] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (20, x[20].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (20, x[20].tolist()), (1004, [1.0] * 3), (1005, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
     for r in ann.nearest(table, F.col("vec_id") % 20 == 0, settings=ann.Settings(list_rows=40, group_rows=300, part_rows=50)).orderBy("query_id", "rank").collect():
@@ -206,11 +206,54 @@ def test_nearest_neighbours(spark):
         hits, total = hits + len({*want} & {*got[q]}), total + 20
     assert hits / total >= 0.9
     # lists too small for k rows: further lists make up for it
-    few = ann.nearest(table, F.col("vec_id") % 20 == 0, settings=ann.Settings(list_rows=5, most_lists=0.01, search_ratio=1.0)).groupBy("query_id").count()
+    few = ann.nearest(table, F.col("vec_id") % 20 == 0, settings=ann.Settings(list_rows=5, search_ratio=1.0)).groupBy("query_id").count()
     assert {(r.query_id, r["count"]) for r in few.collect()} == {(q, 20) for q in range(0, 600, 20)}
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0 and ann.nearest(table.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
+def test_registered_search_against_brute_force(spark):
+    """Recall and scores of the query as registered, and the share of lists that it searches."""
+    sf = "/root/testdata/sf0.1"
+    rows = ann.usable(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    found = {}
+    for r in entries.op5_posting_lists(spark, sf).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = total = 0
+    for q, got in found.items():
+        score = (x * x[ids == q][0]).cumsum(axis=1)[:, -1]
+        got.sort()
+        assert [r for r, _, _ in got] == list(range(1, 21)) and all(s == score[ids == v][0] for _, v, s in got)
+        assert sorted(got, key=lambda g: (-g[2], g[1])) == got
+        best = sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (-score[i], ids[i]))[:20]
+        hits, total = hits + len({ids[i] for i in best} & {v for _, v, _ in got}), total + 20
+    assert hits / total >= 0.9
+    s = ann.Settings()
+    index = ann.fit_centroids(x, max(1, len(x) // s.list_rows), float(np.sqrt((x * x).sum(axis=1).max())), s.neighbours)
+    ratio = index.fitted_ratio(x, s, 20)
+    share = np.mean([len(index.walk(np.append(q, 0.0), ratio)) for q in x[::20]]) / len(index.points)
+    print(f"recall {hits / total:.3f}, ratio {ratio:.3f}, share of lists {share:.2f}")
+    assert 1 < ratio and share < 1
+
+
+def test_every_kind_of_letter_as_the_libraries_have_it():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = entries.tokenizer("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
+    library, own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.load(path, public_tokenizers.PATTERN)
+    words = entries.tokenizer("word_bpe_49k.json")
+    counter, count = token_counts.load(words), Tokenizer.from_file(words)
+    edges = [ord(c) for c in bpe.LATER.encode().decode("unicode_escape") if c != "-"]
+    for c in {*range(0, 0x110000, 61), *edges, *(e + 1 for e in edges), *token_counts.LOWER_CASE}:
+        if not 0xD800 <= c < 0xE000:
+            text = f"{chr(c)}'s 1{chr(c)}a{chr(c)}"
+            assert np.frombuffer(own.encode(text), "<i4").tolist() == library.encode_ordinary(text), hex(c)
+            assert counter.total(text)[1] == len(count.encode(text, add_special_tokens=False).ids), hex(c)
+
+
 def auc(y, x):
     rank = np.argsort(np.argsort(x))
     n1, n0 = (y == 1).sum(), (y == 0).sum()
