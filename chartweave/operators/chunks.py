@@ -5,6 +5,7 @@ Cutting is sequential inside one text, so it is one Arrow-vectorised pass withou
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,68 +17,76 @@ from chartweave.operators import text as t
 MOST, OVERLAP, LEAST = 1200, 150, 40
 
 
-def soft_pieces(text: str, most: int = MOST, overlap: int = OVERLAP) -> Iterator[str]:
+def soft_pieces(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
     """Pieces of at most ``most`` characters, trimmed; each ends behind the last full stop
     with a blank or the last line end of its second half, where there is one, and the next
     begins ``overlap`` characters before that end."""
-    if len(text) <= most:
-        yield text
-        return
-    at, size = 0, len(text)
-    while True:
-        stop = min(at + most, size)
-        if stop < size:
-            border = max(text.rfind(mark, at, stop) for mark in (". ", "\n")) - at
-            stop = at + border + 1 if border > most // 2 else stop
-        if piece := text[at:stop].strip():
-            yield piece
-        if stop == size:
-            return
-        at = max(stop - overlap, at + 1)
-
-
-def sections(text: str, headings: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """(code, text) a section: a line that a heading's pattern starts opens one, what comes
-    before the first is ``full``."""
-    patterns = [(code, re.compile(p)) for code, p in headings]
-    parts: list[tuple[str, list[str]]] = []
-    for line in text.splitlines():
-        code = next((c for c, p in patterns if p.match(line)), None)
-        if code or not parts:
-            parts.append((code or "full", []))
-        parts[-1][1].append(line)
-    return [(code, "\n".join(rows)) for code, rows in parts]
-
-
-def record_chunks(text: str, doc_type: str, headings: list[tuple[str, str]], least: int = LEAST) -> list[tuple[str, str]]:
-    """(section, piece) of a record. Exams fall into sections, short sections go; a record
-    without any that stays, and every daily one, is cut whole."""
-    long = [(c, s.strip()) for c, s in sections(text, headings) if len(s.strip()) >= least] if doc_type == "exam_10d" else []
-    return [(c, piece) for c, s in long or [("full", text)] for piece in soft_pieces(s)]
+    stops = [m.end() for m in re.finditer(r"\.(?= )", text)]  # the blank belongs to the window too
+    breaks = [m.end() for m in re.finditer(r"\n", text)]
+
+    def end_of(start: int) -> int:
+        limit = start + most
+        if limit >= len(text):
+            return len(text)
+        fit = [*stops[: bisect_right(stops, limit - 1)][-1:], *breaks[: bisect_right(breaks, limit)][-1:]]
+        return max([c for c in fit if c - start > most // 2 + 1], default=limit)
+
+    bounds = [(0, end_of(0))]
+    while bounds[-1][1] < len(text):
+        begin = max(bounds[-1][1] - overlap, bounds[-1][0] + 1)
+        bounds.append((begin, end_of(begin)))
+    pieces = [text[a:b] if len(bounds) == 1 else text[a:b].strip() for a, b in bounds]
+    return [p for p in pieces if p or len(bounds) == 1]
+
+
+def sections(text: Column, headings: list[tuple[str, str]]) -> Column:
+    """array<struct<section, text>>: a line that a heading's pattern starts opens a section,
+    what comes before the first is ``full``."""
+    any_heading = "|".join(f"(?:{p})" for _, p in headings)
+    parts = F.split(text, f"\n(?={any_heading})")
+    code = lambda part: F.coalesce(*[F.when(part.rlike(f"^(?:{p})"), F.lit(c)) for c, p in headings], F.lit("full"))
+    return F.transform(parts, lambda part: F.struct(code(part).alias("section"), t.trim_space(part).alias("text")))
+
+
+def record_sections(text: Column, doc_type: Column, headings: list[tuple[str, str]], least: int = LEAST) -> Column:
+    """Exams fall into sections, those shorter than ``least`` go; a record without any that
+    stays, and every daily one, is one section ``full``."""
+    whole = F.array(F.struct(F.lit("full").alias("section"), text.alias("text")))
+    long = F.filter(sections(text, headings), lambda s: F.length(s["text"]) >= least)
+    return F.when((doc_type == "exam_10d") & (F.size(long) > 0), long).otherwise(whole)
+
+
+def _cut():
+    @F.pandas_udf("array<string>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if x is None else soft_pieces(x) for x in texts], dtype=object)
+
+    return cut
 
 
 def chunk_documents(docs: DataFrame, key: str, marker: str, headings: list[tuple[str, str]], exam_signal: str, syndrome: str, stems: list[tuple[str, str]], dynamics: list[tuple[str, str]]) -> DataFrame:
-    """(key, record, pos, doc_type, section, syndrome, diagnosis_class, dynamics, text): the
+    """(key, record, part, pos, doc_type, section, syndrome, diagnosis_class, dynamics, text): the
     chunks of every document. Metadata is read from the whole record. Null, empty and too
     short records have no chunks."""
     any_heading = "|".join(f"(?:{p})" for _, p in headings)
-    rows = t.split_records(docs, key, marker).withColumn("doc_type", t.classify_record(F.col("text"), f"^(?:{any_heading})", exam_signal, LEAST)).where("doc_type IS NOT NULL")
-
-    @F.pandas_udf("array<struct<section:string,text:string>>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, types in batches:
-            yield pd.Series([[{"section": c, "text": p} for c, p in record_chunks(x, d, headings)] for x, d in zip(texts, types)], dtype=object)
-
+    records = t.split_records(docs, key, marker).withColumn("text", t.trim_space(F.col("text")))
+    rows = records.withColumn("doc_type", t.classify_record(F.col("text"), f"^(?:{any_heading})", exam_signal, LEAST)).where("doc_type IS NOT NULL")
     found = F.regexp_extract("text", syndrome, 0)
     meta = rows.withColumns({"syndrome": t.normalize_stems(found, stems), "diagnosis_class": t.icd_class_first(F.col("text")), "dynamics": t.first_rule(F.col("text"), dynamics)})
-    whole = meta.withColumn("_chunks", cut("text", "doc_type")).drop("text")
-    return whole.select("*", F.posexplode("_chunks").alias("pos", "_c")).select(key, "record", "pos", "doc_type", "_c.section", "syndrome", "diagnosis_class", "dynamics", "_c.text")
+    parts = meta.select("*", F.posexplode(record_sections(F.col("text"), F.col("doc_type"), headings)).alias("_part", "_s")).drop("text")
+    # most sections are one piece; only long ones are cut outside Spark's expressions
+    long = F.length("_s.text") > MOST
+    pieces = F.when(long, _cut()(F.when(long, F.col("_s.text")))).otherwise(F.array("_s.text"))
+    each = parts.select("*", F.posexplode(pieces).alias("_piece", "_text"))
+    return each.select(key, "record", F.col("_part").alias("part"), F.col("_piece").alias("pos"), "doc_type", "_s.section", "syndrome", "diagnosis_class", "dynamics", F.col("_text").alias("text"))
 
 
 def ingest_stats(docs: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """Counters of a run, one row: ``docs`` after redaction (text, clean), and the chunks made."""
-    bare = F.coalesce("text", F.lit("")) == ""
-    seen = docs.agg(F.count(F.lit(1)).alias("seen"), F.count_if(~bare).alias("extracted"), F.count_if(bare).alias("skipped_extract"), F.count_if(~bare & ~F.col("clean")).alias("blocked_pii"))
+    bare = t.trim_space(F.coalesce("text", F.lit(""))) == ""
+    passed = F.coalesce(F.col("clean"), F.lit(False))
+    seen = docs.agg(F.count(F.lit(1)).alias("seen"), F.count_if(~bare).alias("extracted"), F.count_if(bare).alias("skipped_extract"), F.count_if(~bare & ~passed).alias("blocked_pii"))
     made = chunks.agg(F.count(F.lit(1)).alias("chunks_built"), F.count_distinct(key).alias("documents_cut"))
     counters = [F.struct(F.lit(c).alias("counter"), F.col(c).alias("value")) for c in seen.columns], [F.struct(F.lit(c).alias("counter"), F.col(c).alias("value")) for c in made.columns]
     return seen.select(F.inline(F.array(*counters[0]))).unionByName(made.select(F.inline(F.array(*counters[1]))))
@@ -100,11 +109,18 @@ def label_counts(removed: DataFrame, labels: DataFrame) -> DataFrame:
     return named.groupBy("label").agg(F.sum("removed").alias("removed")).where("removed > 0")
 
 
-def recall_report(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """(key, expected, recall, missed) a document: the share of expected types that were found."""
+def recall_report(expected: DataFrame, found: DataFrame, key: str, redacted: DataFrame | None = None) -> DataFrame:
+    """(key, expected, recall, missed) a document: the share of expected types that were found.
+    With ``redacted`` (key, text) also ``leaked``: how many of the expected raw ``value``s
+    still stand in the document's text."""
     hits = expected.select(key, "type").distinct().join(found.select(key, "type").distinct().withColumn("_hit", F.lit(True)), [key, "type"], "left")
     missed = F.sort_array(F.collect_list(F.when(F.col("_hit").isNull(), F.col("type"))))
-    return hits.groupBy(key).agg(F.count(F.lit(1)).alias("expected"), (F.count("_hit") / F.count(F.lit(1))).alias("recall"), missed.alias("missed"))
+    report = hits.groupBy(key).agg(F.count(F.lit(1)).alias("expected"), (F.count("_hit") / F.count(F.lit(1))).alias("recall"), missed.alias("missed"))
+    if redacted is None:
+        return report
+    held = expected.where("value <> ''").select(key, "value").distinct().join(redacted.select(key, "text"), key)
+    leaked = held.groupBy(key).agg(F.count_if(F.contains(F.col("text"), F.col("value"))).alias("leaked"))
+    return report.join(leaked, key, "left").withColumn("leaked", F.coalesce("leaked", F.lit(0)))
 
 
 def normalize_title(title: Column, suffix: str, renames: list[tuple[str, str]]) -> Column:

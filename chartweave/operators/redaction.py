@@ -1,95 +1,234 @@
-"""Redaction of structured personal data: numbered dates, periods, phones, identifiers.
+"""Redaction of personal data with a gate that fails closed.
 
-Each detector is a pattern with ASCII word borders. In Spark expressions a detector counts
-and flags; replacing needs all spans of a text resolved against each other, which is one
-pass in Python over Arrow batches."""
+Spark expressions count and flag single detectors. Replacing needs all spans of a text held
+against each other (structured data, institutions, names, entities from outside, protected
+clinical text), which is one pass in Python over Arrow batches; the gate looks at the result in
+the same pass. No step shuffles."""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartweave.functions.boundaries import BORDER, java
+from chartweave.functions import personal_data as known
+from chartweave.functions.boundaries import compiled, java
+from chartweave.operators.text import normalize_text, trim_space
 
-# What counts as each kind of personal data, with the placeholder that stands
-# for it. Patterns over digits and ASCII; \b is a border of ASCII word characters.
-PATTERNS = {
-    "period": r"\b\d{1,2}\.\d{1,2}(?:\.\d{2,4})?\s*[—–-]\s*\d{1,2}\.\d{1,2}(?:\.\d{2,4})?\b",
-    "date": r"\b(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2})\b",
-    "phone": r"(?:\+7|\b8)[\s\-]?\(?\d{3,4}\)?[\s\-]?\d{2,3}[\s\-]?\d{2}[\s\-]?\d{2}\b",
-    "doc_number": r"\b\d{7,}\b",
-    "id_doc": r"\b\d{3}-\d{3}-\d{3}\s?\d{2}\b",
-    "time": r"\b\d{1,2}:\d{2}(?::\d{2})?\b",
-}
-PLACEHOLDERS = {"period": "[ПЕРИОД]", "date": "[ДАТА]", "phone": "[ТЕЛЕФОН]", "doc_number": "[НОМЕР]", "id_doc": "[ДОКУМЕНТ]", "time": "[ВРЕМЯ]"}
-#: Kinds by default; clock times are redacted on request only.
-USUAL = ("period", "date", "phone", "doc_number", "id_doc")
 
-
-def detector_count(text: Column, kind: str) -> Column:
-    """How often a detector matches, for reports; overlaps between detectors count twice."""
-    return F.regexp_count(text, F.lit(java(PATTERNS[kind])))
-
-
-def gate_suspicions(text: Column) -> Column:
-    """What is left of structured data once placeholders are taken out: kinds in order."""
-    rest = F.regexp_replace(text, r"\[[А-Я]+\]", " ")
-    kinds = [F.when(rest.rlike(java(PATTERNS[k])), F.lit(k)) for k in ("date", "phone", "doc_number")]
-    return F.array_compact(F.array(*kinds))
-
-
-def resolve(spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans (start, end, priority, kind) that stay: the earliest start first, of these the
-    longest, then the lowest priority number; a span that overlaps a kept one goes."""
-    kept: list[tuple[int, int, str]] = []
-    for start, end, _, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
-        if not kept or start >= kept[-1][1]:
-            kept.append((start, end, kind))
-    return kept
+class Span(NamedTuple):
+    start: int
+    end: int
+    kind: str | None  # None: protected
 
 
-_compiled = {k: re.compile(p.replace(r"\b", BORDER).replace(r"\d", "[0-9]")) for k, p in PATTERNS.items()}
+def detector_count(text: Column, name: str, boundary: str = "ascii") -> Column:
+    """How often a detector matches, for reports; overlaps between detectors count twice."""
+    return F.regexp_count(text, F.lit(java(known.DETECTORS[name][1], boundary=boundary)))
 
 
-def redact_text(text: str, kinds: tuple[str, ...] = USUAL) -> tuple[str, dict[str, int]]:
-    """The text with placeholders and how many of each kind."""
-    spans = [(m.start(), m.end(), p, k) for p, k in enumerate(kinds) for m in _compiled[k].finditer(text)]
-    out, at, counts = [], 0, {}
-    for start, end, kind in resolve(spans):
-        out += [text[at:start], PLACEHOLDERS[kind]]
-        counts[kind] = counts.get(kind, 0) + 1
-        at = end
-    return "".join([*out, text[at:]]), counts
+def protected_count(text: Column) -> Column:
+    """How often protected clinical text stands in a text; patterns count apart."""
+    return functools.reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(java(p))) for p in known.PROTECTED])
 
 
-def redact_documents(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = USUAL) -> DataFrame:
-    """``docs`` with the text redacted, ``removed_count``, ``removed_by_type`` (map) and
-    ``clean`` from the gate. Null and empty texts are not clean. No shuffle."""
-    found = docs.withColumn("_red", _redact_udf(kinds)(F.coalesce(F.col(text), F.lit(""))))
-    rows = found.withColumns({text: F.col("_red.text"), "removed_by_type": F.col("_red.counts")}).drop("_red")
+def gate_suspicions(text: Column) -> Column:
+    """What is left of structured data once placeholders are taken out: kinds in order."""
+    rest = F.regexp_replace(text, known.PLACEHOLDER_MARK, " ")
+    return F.array_compact(F.array(*[F.when(rest.rlike(java(p)), F.lit(k)) for k, p in known.RESIDUAL.items()]))
+
+
+def resolve(spans: list[Span]) -> list[Span]:
+    """Spans that stay: the earliest start first, of these the longest, then the highest
+    priority. A span that overlaps a kept one goes; a protected one takes the place of an
+    unprotected one that it overlaps. Protected spans are not among the result."""
+    kept: list[Span] = []
+    for s in sorted(spans, key=lambda s: (s.start, -s.end, -known.PRIORITY.get(s.kind, 10))):
+        if not kept or s.start >= kept[-1].end:
+            kept.append(s)
+        elif s.kind is None and kept[-1].kind is not None:
+            kept[-1] = s
+    return [s for s in kept if s.kind is not None]
+
+
+_TOKEN = re.compile(r"[A-Za-zЀ-ԯ][A-Za-zЀ-ԯ-]*\.?")
+
+
+class Redactor:
+    """The compiled form of patterns and word lists, once per worker."""
+
+    def __init__(self, lexicon: known.Lexicon = known.USUAL, clock_time: bool = False, boundary: str = "ascii"):
+        names = [n for n in known.DETECTORS if clock_time or n not in known.ON_REQUEST]
+        self.detectors = [(known.DETECTORS[n][0], compiled(known.DETECTORS[n][1], boundary), n in known.NUMERIC) for n in names]
+        self.protected = [compiled(p, boundary) for p in known.PROTECTED]
+        self.residual = [compiled(p) for p in known.RESIDUAL.values()]
+        self.roles = [(k, compiled(p)) for k, p in known.ROLES]
+        self.initials = [compiled(known.SURNAME_INITIALS), compiled(known.INITIALS_SURNAME)]
+        self.patronymic = re.compile(known.PATRONYMIC)
+        tail = compiled(known.INSTITUTION_TAIL if boundary == "ascii" else known.INSTITUTION_TAIL_NAMED).pattern
+        upper = [w for w in lexicon.institutions if w.upper() == w]
+        lower = [w for w in lexicon.institutions if w.upper() != w]
+        # a border here is any letter or digit, Cyrillic too; the longest marker comes first
+        form = lambda words: rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))})(?![^\W_]){tail}"
+        self.institutions = [re.compile(form(w), f) for w, f in ((upper, 0), (lower, re.IGNORECASE)) if w]
+        self.no_names = {plain(w) for w in lexicon.no_names}
+        self.by_start: dict[str, list[str]] = {}
+        for word in map(plain, (*lexicon.first_names, *lexicon.surnames)):
+            self.by_start.setdefault(word[:4], []).append(word)
+        self.listed = functools.lru_cache(100_000)(self._listed)
+
+    def _listed(self, word: str) -> bool:
+        """Whether a word is a form of a listed name: four letters and all but the endings agree."""
+        word = plain(word)
+        if len(word) < 4:
+            return False
+        for name in self.by_start.get(word[:4], ()):
+            shared = next((i for i, (a, b) in enumerate(zip(name, word)) if a != b), min(len(name), len(word)))
+            if shared >= max(4, len(name) - 2, len(word) - 3):
+                return True
+        return False
+
+    def skipped(self, word: str) -> bool:
+        return plain(word.rstrip(".")) in self.no_names
+
+    def role(self, text: str, start: int) -> str:
+        """Whose name it is, by the words in the bytes before it."""
+        before = text[max(0, start - known.ROLE_BYTES) : start].encode()[-known.ROLE_BYTES :].decode(errors="ignore")
+        return next((k for k, p in self.roles if p.search(before)), "person")
+
+    def name_spans(self, text: str) -> Iterator[Span]:
+        """Names with initials; and runs of capitalised words next to each other, the whole run
+        if a patronymic stands in it, from the first listed name on otherwise."""
+        for pattern in self.initials:
+            for m in pattern.finditer(text):
+                yield Span(m.start(), m.end(), self.role(text, m.start()))
+        run: list[re.Match] = []
+        for m in [*_TOKEN.finditer(text), None]:
+            word = m[0] if m else ""
+            capital = word[:1].isupper() and word[:1] >= "Ѐ"
+            if m and capital and not self.skipped(word) and (len(word) >= 3 or word[1:] in ("", ".")):
+                run.append(m)
+                continue
+            if run:
+                anchors = [0] if any(self.patronymic.fullmatch(x[0].rstrip(".")) for x in run) else [i for i, x in enumerate(run) if self.listed(x[0])]
+                if anchors:
+                    start = run[anchors[0]].start()
+                    yield Span(start, run[-1].end(), self.role(text, start))
+                run = []
+
+    def spans(self, text: str) -> list[Span]:
+        cyrillic = re.search("[А-Яа-яЁё]", text) is not None
+        found = [Span(m.start(), m.end(), kind) for kind, p, numeric in self.detectors if numeric or cyrillic for m in p.finditer(text)]
+        if cyrillic:
+            found += [Span(m.start(), m.end(), "institution") for p in self.institutions for m in p.finditer(text)]
+            found += self.name_spans(text)
+        return found
+
+    def redact(self, text: str, entities: list[Span] = ()) -> tuple[str, dict[str, int]]:
+        """The text with placeholders and how many of each kind; never a value."""
+        found = [*self.spans(text), *entities]
+        if not found:
+            return text, {}
+        found += [Span(m.start(), m.end(), None) for p in self.protected for m in p.finditer(text)]
+        out, at, counts = [], 0, {}
+        for s in resolve(found):
+            out += [text[at : s.start], known.PLACEHOLDERS[s.kind]]
+            counts[s.kind] = counts.get(s.kind, 0) + 1
+            at = s.end
+        return "".join([*out, text[at:]]), counts
+
+    def suspicions(self, text: str) -> list[tuple[str, int, str]]:
+        """(type, position, reason) of what still looks like personal data; placeholders do not
+        count. Anything structured is told as a date, names as a person."""
+        masked = re.sub(known.PLACEHOLDER_MARK, lambda m: " " * len(m[0]), text)
+        found = [("date", m.start(), "residual structured pattern") for p in self.residual for m in p.finditer(masked)]
+        for m in _TOKEN.finditer(masked):
+            word = m[0]
+            if word[0] < "Ѐ" or not word[0].isupper() or self.skipped(word):
+                continue
+            if self.patronymic.fullmatch(word.rstrip(".")):
+                found.append(("person", m.start(), "residual patronymic"))
+            elif self.listed(word):
+                found.append(("person", m.start(), "residual dictionary name"))
+        return found
+
+
+def plain(word: str) -> str:
+    return word.strip().lower().replace("ё", "е")
+
+
+_OUT = "text string, counts map<string,int>, suspicions array<struct<type:string,position:int,reason:string>>"
+
+
+def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon = known.USUAL, clock_time: bool = False, boundary: str = "ascii", entities: str | None = None) -> DataFrame:
+    """``docs`` with the text normalised and redacted, ``removed_count``, ``removed_by_type``
+    (map), ``suspicions`` and ``clean`` from the gate. ``entities`` names a column of further
+    spans, array<struct<start:int,end:int,type:string>> by characters of the normalised text.
+    Null and blank texts are not clean. No shuffle."""
+    whole = F.coalesce(normalize_text(F.col(text)), F.lit(""))
+    more = F.col(entities) if entities else F.array().cast("array<struct<start:int,end:int,type:string>>")
+    # without a digit, a number sign or a Cyrillic letter nothing can be found: such texts stay here
+    asked = whole.rlike("[0-9№°А-Яа-яЁё]") | (F.size(more) > 0)
+    found = docs.withColumns({text: whole, "_more": more}).withColumn("_red", _pass(lexicon, clock_time, boundary)(F.when(asked, whole), F.col("_more")))
+    rows = found.withColumns({
+        text: F.coalesce("_red.text", text), "removed_by_type": F.coalesce("_red.counts", F.create_map().cast("map<string,int>")),
+        "suspicions": F.coalesce("_red.suspicions", F.array().cast("array<struct<type:string,position:int,reason:string>>")),
+    }).drop("_red", "_more")
     total = F.aggregate(F.map_values("removed_by_type"), F.lit(0), lambda a, x: a + x)
-    return rows.withColumns({"removed_count": total, "clean": (F.size(gate_suspicions(F.col(text))) == 0) & (F.col(text) != "")})
-
-
-def _redact_udf(kinds: tuple[str, ...]):
-    @F.pandas_udf("text string, counts map<string,int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            done = [redact_text(t, kinds) for t in texts]
-            yield pd.DataFrame({"text": [t for t, _ in done], "counts": [c for _, c in done]})
+    return rows.withColumns({"removed_count": total, "clean": (F.size("suspicions") == 0) & (trim_space(F.col(text)) != "")})
+
+
+def _pass(lexicon: known.Lexicon, clock_time: bool, boundary: str):
+    @F.pandas_udf(_OUT)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        redactor = Redactor(lexicon, clock_time, boundary)
+        for texts, entities in batches:
+            rows = []
+            for t, own in zip(texts, entities):
+                if t is None:
+                    rows.append((None, None, None))
+                    continue
+                done, counts = redactor.redact(t, [Span(e["start"], e["end"], e["type"]) for e in own])
+                rows.append((done, counts, [dict(zip(("type", "position", "reason"), s)) for s in redactor.suspicions(done)]))
+            yield pd.DataFrame(rows, columns=["text", "counts", "suspicions"])
 
     return run
 
 
 def gate_split(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Clean rows, and the quarantine: the others without their text, with the reason."""
-    reason = F.when(F.coalesce(F.col(text), F.lit("")) == "", "empty").otherwise("residual")
-    return docs.where("clean"), docs.where("NOT clean").withColumn("reason", reason).drop(text)
+    """Clean rows, and the quarantine: all others without their text, with the reason. A row
+    passes only if its verdict is true and its text is not blank: null verdicts, null and
+    blank texts are held back."""
+    blank = F.coalesce(trim_space(F.col(text)) == "", F.lit(True))
+    passed = F.coalesce(F.col("clean"), F.lit(False)) & ~blank
+    return docs.where(passed), docs.where(~passed).withColumn("reason", F.when(blank, "empty").otherwise("residual")).drop(text)
 
 
 def removed_by_type_report(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode("removed_by_type").alias("type", "n")).groupBy("type").agg(F.sum("n").alias("removed"))
+
+
+def redact_answers(answers: DataFrame, scope: str = "free_text", **options) -> tuple[DataFrame, DataFrame]:
+    """Long answers (response_id, qid, idx, kind, code, custom_text) with their texts redacted,
+    and a row for each response: ``passed`` and, if not, the ``blocked`` paths. Any text that
+    the gate holds back blocks its whole response, whose answers are not among the result.
+    ``scope`` "all_strings" redacts codes too. One shuffle, of paths only."""
+    if scope not in ("free_text", "all_strings"):
+        raise ValueError("scope is free_text or all_strings")
+    fields = ["custom_text"] if scope == "free_text" else ["custom_text", "code"]
+    out, bad = answers, F.array().cast("array<string>")
+    for field in fields:
+        path = F.concat(F.col("qid"), F.when(F.col("idx").isNotNull(), F.format_string("[%d]", "idx")).otherwise(""), F.lit(f".{field}" if field == "custom_text" else ""))
+        given = F.coalesce(trim_space(F.col(field)) != "", F.lit(False))
+        done = redact_documents(out.withColumn("_text", F.when(given, F.col(field))), "_text", **options)
+        out = done.withColumns({field: F.when(given, F.col("_text")).otherwise(F.col(field)), f"_bad_{field}": F.when(given & ~F.col("clean"), path)})
+        out = out.drop("_text", "removed_by_type", "removed_count", "suspicions", "clean")
+        bad = F.concat(bad, F.array_compact(F.array(f"_bad_{field}")))
+    verdicts = out.groupBy("response_id").agg(F.array_sort(F.flatten(F.collect_list(bad))).alias("blocked")).withColumn("passed", F.size("blocked") == 0)
+    passed = verdicts.where("passed").select("response_id")
+    return out.drop(*[f"_bad_{f}" for f in fields]).join(passed, "response_id", "left_semi"), verdicts

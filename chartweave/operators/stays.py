@@ -47,10 +47,15 @@ def sentence_rows(stays: DataFrame, text: str = "narrative") -> DataFrame:
 
 def nearest_days(items: DataFrame, days: DataFrame) -> DataFrame:
     """Items (stay_id, item, anchor) with the nearest planned ``day`` of their stay; of two
-    equally near days the earlier. Items meet the few days of their own stay only."""
-    met = items.join(days.select("stay_id", "day"), "stay_id")
-    near = F.min(F.struct(F.abs(F.datediff("day", "anchor")).alias("gap"), F.col("day").alias("day")))
-    return met.groupBy("stay_id", "item", "anchor").agg(near.alias("n")).select("stay_id", "item", "anchor", "n.day")
+    equally near days the earlier. A stay's days are first put into one sorted array, so an
+    item meets one row. Where the array has no gap the day follows by arithmetic."""
+    spans = days.groupBy("stay_id").agg(F.min("day").alias("_from"), F.max("day").alias("_to"), F.array_sort(F.collect_set("day")).alias("_all"))
+    met = items.join(spans, "stay_id")
+    inside = F.greatest(F.col("_from"), F.least(F.col("_to"), F.col("anchor")))
+    gapless = F.size("_all") == F.datediff("_to", "_from") + F.lit(1)
+    near = F.array_min(F.transform("_all", lambda d: F.struct(F.abs(F.datediff(d, F.col("anchor"))).alias("gap"), d.alias("day"))))
+    day = F.when(F.col("anchor").isNull(), F.col("_from")).when(gapless, inside).otherwise(near["day"])
+    return met.select("stay_id", "item", "anchor", day.alias("day"))
 
 
 def period_percent(days: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.operators.history import trim_space
@@ -43,18 +43,19 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("*", F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
 
 
+#: What ends a line besides \\n.
+LINE_ENDS = "\r\n|[\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]"
+
+
 def split_records(docs: DataFrame, key: str, marker: str, text: str = "text") -> DataFrame:
-    """(key, record, text): a record starts at each line that matches ``marker``; text before
-    the first one is a record of its own; a document without a marked line falls at blank
-    lines. One shuffle by document."""
-    rows = lines(docs.select(key, text), text)
-    marked = rows.withColumn("_starts", F.coalesce(F.col("line").rlike(marker), F.lit(False)).cast("int"))
-    by_doc = Window.partitionBy(key)
-    blank = F.when(trim_space(F.col("line")) == "", 1).otherwise(0)
-    rule = F.when(F.max("_starts").over(by_doc) == 1, F.col("_starts")).otherwise(blank)
-    numbered = marked.withColumn("_rule", rule).withColumn("record", F.sum("_rule").over(by_doc.orderBy("pos")))
-    whole = numbered.groupBy(key, "record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias(text))
-    return whole.withColumn(text, trim_space(F.col(text))).where(F.col(text) != "")
+    """(key, record, text): a record starts at each line that matches ``marker`` (anchored by
+    ^); text before the first one is a record of its own; a document without a marked line
+    falls at blank lines. Blank records go, numbers of the others stay. Every row is cut by
+    itself, so rows that repeat a key or have none do not mix. No shuffle."""
+    whole = F.regexp_replace(F.col(text), LINE_ENDS, "\n")
+    start = marker.removeprefix("^")
+    parts = F.when(whole.rlike(f"(?m)^(?:{start})"), F.split(whole, f"\n(?={start})")).otherwise(F.split(whole, r"\n\s*\n"))
+    return docs.select(F.col(key), F.posexplode(parts).alias("record", text)).where(trim_space(F.col(text)) != "")
 
 
 def count_headings(text: Column, heading: str) -> Column:

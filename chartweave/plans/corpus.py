@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chartweave.functions import personal_data as known
 from chartweave.operators import redaction as r
 from chartweave.operators import stays as s
 from chartweave.operators import text as t
@@ -28,27 +29,110 @@ NOTES = r"""notes AS (SELECT o_orderkey AS doc_ref, 'Общее' || chr(10) || '
  || chr(10) || 'Состояние с улучшением.' || chr(10) || '[ПЕРИОД] карта ' || (o_orderkey + 20000000) || ' без динамики' AS text FROM orders)"""
 
 
+# Notes of many shapes, one by the remainder of the order's key; {..} are filled from the row.
+FORMS = [
+    "Общее\n[ДАТА] {date} Диагноз: F{c}0.1. Тел. +7 812 123-45-{cc}\nСостояние с улучшением.\n[ПЕРИОД] карта {long} без динамики",
+    "[ДАТА] {date} Пациент Иванов Пётр Сергеевич, 14 лет, жалобы на сон. Диагноз: Ф{c}1.1. Состояние без динамики, контакт формальный.",
+    "Врач Петрова А.С. осмотрела. История болезни № {key}/2. Диагноз: R51, F{c}2.0; состояние с ухудшением.",
+    "[ПЕРИОД] с 1.02—9.02.2024 в ГБУЗ № 7 «Первая» лечение 25 мг, АД 120/80. Заметно улучшение сна, тел. 8-911-123-45-{cc}.",
+    "6 октября 2025 года и 2024-2025 гг. в возрасте до пятнадцати лет, 10 час. 18 мин., СНИЛС 123-456-789 {cc}.",
+    "направление № {key} от 2024-01-09; номер {long}; f{c}3 в тексте, ухудшение, позже улучшение.",
+    "",
+    None,
+    "Осмотр врача\nЖалобы: на сон, на тревогу, на аппетит и на шум в доме\nДиагноз: F{c}4.5, тревожный синдром, состояние с улучшением\nИтог",
+    " \n\t ",
+    "Первый абзац без отметок.\n\nВторой абзац, {date}.\n \nТретий абзац, f{c}5.",
+    "Мать: Сидорова Анна Петровна. Наличие жалоб; паралич; QTc=0.40, 123/70, 18-21, до 10:45.",
+    "Мария Кузнецова пришла сама. Паспорт 4010 123456, полис {long}, ул. Ленина, д. 5, с 5 мая по 6 мая, октябрь 2025 г.",
+]
+_FILL = {
+    "date": (lambda: F.date_format("o_orderdate", "dd.MM.yyyy"), "strftime(o_orderdate, '%d.%m.%Y')"),
+    "key": (lambda: F.col("o_orderkey").cast("string"), "CAST(o_orderkey AS VARCHAR)"),
+    "long": (lambda: (F.col("o_orderkey") + 20000000).cast("string"), "CAST(o_orderkey + 20000000 AS VARCHAR)"),
+    "cc": (lambda: F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"), "lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0')"),
+    "c": (lambda: (F.col("o_custkey") % 10).cast("string"), "CAST(o_custkey % 10 AS VARCHAR)"),
+}
+
+
+def varied_notes(spark, d):
+    """Notes of all forms made from orders; some are empty, blank or null."""
+    text = F.element_at(F.array(*[F.lit(f).cast("string") for f in FORMS]), (F.col("o_orderkey") % len(FORMS) + 1).cast("int"))
+    for name, (column, _) in _FILL.items():
+        text = F.replace(text, F.lit("{" + name + "}"), column())
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_ref"), text.alias("text"))
+
+
+def _sql_text(value):
+    return "NULL" if value is None else " || chr(10) || ".join("'" + part.replace("\t", "' || chr(9) || '") + "'" for part in value.split("\n"))
+
+
+def _filled(sql):
+    for name, (_, column) in _FILL.items():
+        sql = f"replace({sql}, '{{{name}}}', {column})"
+    return sql
+
+
+VARIED = f"varied AS (SELECT o_orderkey AS doc_ref, {_filled('[' + ', '.join(map(_sql_text, FORMS)) + f'][CAST(o_orderkey % {len(FORMS)} + 1 AS INT)]')} AS text FROM orders)"
+# In these forms no two detectors meet, so one after another gives what all at once give.
+_STEPS = [
+    (r"(Врач )" + known.SURNAME_INITIALS, r"\1[ФИО_ВРАЧА]"), (r"(Пациент )[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+ович|(Пациент )[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+евич", r"\1\2[ПАЦИЕНТ]"),
+    # a run of capitalised words goes on behind the full stop
+    (r"(Мать: )[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+овна\. Наличие", r"\1[РОДИТЕЛЬ]"), ("Мария Кузнецова", "[ФИО]"), (r"ГБУЗ № \d+ «[^»]*»", "[УЧРЕЖДЕНИЕ]"),
+    *[(known.DETECTORS[n][1], known.PLACEHOLDERS[known.DETECTORS[n][0]]) for n in known.DETECTORS if n not in known.ON_REQUEST],
+]
+_REDACTED = "coalesce(text, '')"
+for _pattern, _placeholder in _STEPS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{_placeholder}', 'g')"
+_MARKS = {k: p.strip("[]") for k, p in known.PLACEHOLDERS.items()}
+_HITS = ", ".join(f"len(regexp_extract_all(done, '\\[{m}\\]')) - len(regexp_extract_all(coalesce(text, ''), '\\[{m}\\]')) AS n_{k}" for k, m in _MARKS.items())
+_RESIDUAL = " OR ".join(f"regexp_matches(regexp_replace(done, '{known.PLACEHOLDER_MARK}', ' ', 'g'), '{p}')" for p in known.RESIDUAL.values())
+#: doc_ref, text as it was, done: redacted, n_<kind>: how many were removed, clean.
+DONE = f"{VARIED}, done AS (SELECT *, {_HITS}, trim(done, ' ' || chr(9) || chr(10)) <> '' AND NOT ({_RESIDUAL}) AS clean FROM (SELECT doc_ref, text, {_REDACTED} AS done FROM varied))"
+_TOTAL = " + ".join(f"n_{k}" for k in _MARKS)
+REMOVED = "SELECT doc_ref, unnest([" + ", ".join(f"'{k}'" for k in _MARKS) + "]) AS type, unnest([" + ", ".join(f"n_{k}" for k in _MARKS) + "]) AS n FROM done"
+
+
 def r1_normalize_text(spark, d):
     raw = F.concat(F.lit("﻿"), F.replace("text", F.lit(" "), F.lit(" ")), F.lit("\r\nx\ry"))
     return table(spark, d, "documents").select("doc_id", F.md5(t.normalize_text(raw)).alias("digest"))
 
 
+NUMBERED = {"period": "date_range_numeric", "date": "date_numeric", "phone": "phone", "doc_number": "bare_long_id", "id_doc": "snils", "time": "time_colon"}
+
+
 def r2_detector_counts(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", *[r.detector_count(F.col("text"), k).cast("long").alias(k) for k in r.PATTERNS])
+    return docs.select("doc_id", *[r.detector_count(F.col("text"), name).cast("long").alias(k) for k, name in NUMBERED.items()])
+
+
+def r2_all_detectors(spark, d):
+    return varied_notes(spark, d).select("doc_ref", *[r.detector_count(F.col("text"), n).cast("long").alias(n) for n in known.DETECTORS])
+
+
+def r7_protected_text(spark, d):
+    return varied_notes(spark, d).select("doc_ref", r.protected_count(F.col("text")).cast("long").alias("n"))
 
 
 def r10_redact_notes(spark, d):
-    return r.redact_documents(notes(spark, d)).select("doc_ref", "text", "removed_count", "clean")
+    return r.redact_documents(varied_notes(spark, d)).select("doc_ref", "text", "removed_count", "clean")
+
+
+def r11_suspicions(spark, d):
+    """The gate alone, over texts that nothing was done to."""
+    return varied_notes(spark, d).select("doc_ref", F.array_join(r.gate_suspicions(F.col("text")), ",").alias("kinds"))
 
 
 def r12_quarantine(spark, d):
+    return r.gate_split(r.redact_documents(varied_notes(spark, d)))[1].select("doc_ref", "reason")
+
+
+def r12_documents_held_back(spark, d):
     docs = table(spark, d, "documents").withColumn("clean", F.size(r.gate_suspicions(F.col("text"))) == 0)
     return r.gate_split(docs)[1].select("doc_id", "reason")
 
 
 def r13_removed_by_type(spark, d):
-    return r.removed_by_type_report(r.redact_documents(notes(spark, d)))
+    return r.removed_by_type_report(r.redact_documents(varied_notes(spark, d)))
 
 
 def f1_select_paths(spark, d):
@@ -60,11 +144,11 @@ def f2_source_ref(spark, d):
 
 
 def c1_split_records(spark, d):
-    return t.split_records(notes(spark, d), "doc_ref", r"^\[(?:ДАТА|ПЕРИОД)\]").groupBy("doc_ref").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("text")).alias("chars"))
+    return t.split_records(varied_notes(spark, d), "doc_ref", r"^\[(?:ДАТА|ПЕРИОД)\]").groupBy("doc_ref").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("chars"))
 
 
 def c5_icd_class(spark, d):
-    return notes(spark, d).select("doc_ref", t.icd_class_first(F.col("text")).alias("first_class"), t.diagnosis_class_any(F.lower("text")).alias("any_class"))
+    return varied_notes(spark, d).select("doc_ref", t.icd_class_first(F.col("text")).alias("first_class"), t.diagnosis_class_any(F.col("text")).alias("any_class"))
 
 
 def c7_syndromes(spark, d):
@@ -75,7 +159,7 @@ def c7_syndromes(spark, d):
 
 def c8_dynamics(spark, d):
     rules = [("улучш", "better"), ("ухудш", "worse"), ("без динамики", "same")]
-    return notes(spark, d).groupBy(t.first_rule(F.col("text"), rules).alias("dynamics")).agg(F.count(F.lit(1)).alias("n"))
+    return varied_notes(spark, d).groupBy(t.first_rule(F.col("text"), rules).alias("dynamics")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def c10_point_id(spark, d):
@@ -216,7 +300,7 @@ def s7_sample_for_audit(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        r1_normalize_text, r2_detector_counts, r10_redact_notes, r12_quarantine, r13_removed_by_type, f1_select_paths, f2_source_ref, c1_split_records, c5_icd_class, c7_syndromes, c8_dynamics, c10_point_id,
+        r1_normalize_text, r2_detector_counts, r2_all_detectors, r7_protected_text, r10_redact_notes, r11_suspicions, r12_quarantine, r12_documents_held_back, r13_removed_by_type, f1_select_paths, f2_source_ref, c1_split_records, c5_icd_class, c7_syndromes, c8_dynamics, c10_point_id,
         t1_fix_typos, t11_paragraphs, s4_upsert_points, s5_export_batches, s6_export_filename, s7_sample_for_audit, p1_validate_periods, p2_plan_days, p3_plan_counts, p4_sentences, p8_nearest_days, p10_period_percent,
         p16_weekend_notes, p17_weekend_recap, e2_l2_normalize, e3_cosine_top_k, e5_fallback_levels, e6_retrieve_with_fallback, e8_collection_count,
     )
@@ -225,16 +309,20 @@ QUERIES = {
 _Q = "'"
 SQL = {
     "r1_normalize_text": "SELECT doc_id, md5(replace(text, chr(13), '') || chr(10) || 'x' || chr(10) || 'y') AS digest FROM documents",
-    "r2_detector_counts": "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS {k if k not in ('date', 'time') else _dq}" for k, p in r.PATTERNS.items() for _dq in [f'"{k}"']) + " FROM documents",
-    "r10_redact_notes": rf"WITH {NOTES} SELECT doc_ref, regexp_replace(regexp_replace(regexp_replace(text, '\d\d\.\d\d\.\d{{4}}', '[ДАТА]'), '\+7 812 123-45-\d\d', '[ТЕЛЕФОН]'), 'карта \d+', 'карта [НОМЕР]') AS text, 3 AS removed_count, true AS clean FROM notes",
-    "r12_quarantine": "SELECT doc_id, CASE WHEN text = '' THEN 'empty' ELSE 'residual' END AS reason FROM (SELECT *, regexp_replace(text, '\\[[А-Я]+\\]', ' ', 'g') AS x FROM documents) WHERE " + " OR ".join(f"regexp_matches(x, '{r.PATTERNS[k]}')" for k in ("date", "phone", "doc_number")),
-    "r13_removed_by_type": "SELECT unnest(['date', 'phone', 'doc_number']) AS type, (SELECT count(*) FROM orders) AS removed",
+    "r2_detector_counts": "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{known.DETECTORS[n][1]}')) AS BIGINT) AS \"{k}\"" for k, n in NUMBERED.items()) + " FROM documents",
+    "r2_all_detectors": f"WITH {VARIED} SELECT doc_ref, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS {n}" for n, (_, p) in known.DETECTORS.items()) + " FROM varied",
+    "r7_protected_text": f"WITH {VARIED} SELECT doc_ref, CAST(" + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in known.PROTECTED) + " AS BIGINT) AS n FROM varied",
+    "r11_suspicions": f"WITH {VARIED} SELECT doc_ref, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN '{k}' END" for k, p in known.RESIDUAL.items()) + f") AS kinds FROM (SELECT doc_ref, regexp_replace(text, '{known.PLACEHOLDER_MARK}', ' ', 'g') AS x FROM varied)",
+    "r10_redact_notes": f"WITH {DONE} SELECT doc_ref, done AS text, CAST({_TOTAL} AS INT) AS removed_count, clean FROM done",
+    "r12_quarantine": f"WITH {DONE} SELECT doc_ref, CASE WHEN trim(done, ' ' || chr(9) || chr(10)) = '' THEN 'empty' ELSE 'residual' END AS reason FROM done WHERE NOT clean",
+    "r12_documents_held_back": "SELECT doc_id, CASE WHEN empty THEN 'empty' ELSE 'residual' END AS reason FROM (SELECT doc_id, coalesce(regexp_replace(text, '\\s', '', 'g'), '') = '' AS empty, regexp_replace(text, '" + known.PLACEHOLDER_MARK + "', ' ', 'g') AS x FROM documents) WHERE empty OR " + " OR ".join(f"regexp_matches(x, '{p}')" for p in known.RESIDUAL.values()),
+    "r13_removed_by_type": f"WITH {DONE} SELECT type, CAST(sum(n) AS BIGINT) AS removed FROM ({REMOVED}) GROUP BY 1 HAVING sum(n) > 0",
     "f1_select_paths": "SELECT page_id, url FROM pages WHERE regexp_matches(split_part(url, '/', -1), '(?i)page=1') OR (list_has_any(string_split(lower(url), '/')[:-2], ['fr', 'de']) AND NOT regexp_matches(split_part(url, '/', -1), '(?i)ref='))",
     "f2_source_ref": "SELECT page_id, 'src_' || substr(sha256(url), 1, 16) AS doc_ref FROM pages",
-    "c1_split_records": f"WITH {NOTES} SELECT doc_ref, 3 AS records, length(text) - 2 AS chars FROM notes",
-    "c5_icd_class": f"WITH {NOTES} SELECT doc_ref, 'F' || regexp_extract(text, 'F(\\d)0', 1) || 'x' AS first_class, 'F' || regexp_extract(text, 'F(\\d)0', 1) || 'x' AS any_class FROM notes",
+    "c1_split_records": f"WITH {VARIED}, p AS (SELECT doc_ref, unnest(CASE WHEN regexp_matches(text, '(?m)^\\[(ДАТА|ПЕРИОД)\\]') THEN string_split(regexp_replace(text, '\\n(\\[(ДАТА|ПЕРИОД)\\])', chr(1) || '\\1', 'g'), chr(1)) ELSE regexp_split_to_array(text, '\\n\\s*\\n') END) AS x FROM varied), q AS (SELECT doc_ref, length(regexp_replace(x, '\\s', '', 'g')) AS n FROM p) SELECT doc_ref, count(*) AS records, CAST(sum(n) AS BIGINT) AS chars FROM q WHERE n > 0 GROUP BY 1",
+    "c5_icd_class": f"WITH {VARIED} SELECT doc_ref, CASE WHEN regexp_extract(text, '(?:^|[^0-9A-Za-zА-Яа-яЁё_])([A-ZА-Я])\\d\\d', 1) IN ('F', 'Ф') THEN 'F' || regexp_extract(text, '(?:^|[^0-9A-Za-zА-Яа-яЁё_])[A-ZА-Я](\\d)\\d', 1) || 'x' END AS first_class, CASE WHEN regexp_matches(text, '(?i)(?:^|[^0-9A-Za-zА-Яа-яЁё_])[FФ]\\d\\d') THEN 'F' || regexp_extract(text, '(?i)(?:^|[^0-9A-Za-zА-Яа-яЁё_])[FФ](\\d)\\d', 1) || 'x' END AS any_class FROM varied",
     "c7_syndromes": "SELECT c_custkey, CASE WHEN x LIKE 'automobile%' THEN 'automobile' WHEN x LIKE 'build%' THEN 'building' WHEN x LIKE 'auto%' THEN 'car' ELSE x END AS syndrome FROM (SELECT c_custkey, lower(c_mktsegment) || '-form' AS x FROM customer)",
-    "c8_dynamics": "SELECT 'better' AS dynamics, count(*) AS n FROM orders",
+    "c8_dynamics": f"WITH {VARIED} SELECT CASE WHEN text LIKE '%улучш%' THEN 'better' WHEN text LIKE '%ухудш%' THEN 'worse' WHEN text LIKE '%без динамики%' THEN 'same' END AS dynamics, count(*) AS n FROM varied GROUP BY 1",
     "c10_point_id": f"SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT page_id, sha1(unhex('{NAMESPACE.replace('-', '')}') || CAST(sha256(html || chr(1) || 'daily' || chr(1) || 'full' || chr(1) || url) AS BLOB)) AS h FROM pages)",
     "t1_fix_typos": "SELECT item_id, replace(replace(text, 'the', 'teh'), 'teh ', 'THE ') AS text FROM benchmark",
     "t11_paragraphs": r"WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), q AS (SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM p) SELECT doc_id, greatest(count(*) FILTER (WHERE x <> ''), 1) AS n, CAST(sum(length(x)) AS BIGINT) AS chars FROM q GROUP BY 1",

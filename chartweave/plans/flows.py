@@ -8,7 +8,8 @@ from chartweave.operators import chunks as c
 from chartweave.operators import redaction as r
 from chartweave.operators import stays as s
 from chartweave.operators import text as t
-from chartweave.plans.corpus import NOTES, notes
+from chartweave.functions import personal_data as known
+from chartweave.plans.corpus import DONE, NOTES, REMOVED, VARIED, notes, varied_notes
 from chartweave.plans.history import table
 from chartweave.streaming import streams
 
@@ -29,25 +30,27 @@ def c9_chunk_notes(spark, d):
 
 
 def c12_ingest_stats(spark, d):
-    docs = table(spark, d, "documents").withColumn("clean", (F.size(r.gate_suspicions(F.col("text"))) == 0) & (F.col("text") != ""))
-    whole = docs.where("clean").select("doc_id")
-    return c.ingest_stats(docs, whole, "doc_id")
+    docs = r.redact_documents(varied_notes(spark, d))
+    return c.ingest_stats(docs, t.paragraphs(r.gate_split(docs)[0].select("doc_ref", "text")), "doc_ref")
 
 
 def e7_format_samples(spark, d):
-    s = table(spark, d, "conversations").where("turn < 7")
+    s = table(spark, d, "conversations")
     return c.format_samples(s.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.when(F.col("turn") == 1, " ").otherwise(F.col("text")).alias("text"), F.col("role").alias("doc_type"), F.lit("full").alias("section")).distinct())
 
 
 def r14_label_counts(spark, d):
-    return c.label_counts(r.removed_by_type_report(r.redact_documents(notes(spark, d))), spark.createDataFrame(LABELS, "type string, label string"))
+    return c.label_counts(r.removed_by_type_report(r.redact_documents(varied_notes(spark, d))), spark.createDataFrame(LABELS, "type string, label string"))
 
 
 def r16_recall_report(spark, d):
-    marked = r.redact_documents(notes(spark, d))
+    marked = r.redact_documents(varied_notes(spark, d))
     found = marked.select("doc_ref", F.explode("removed_by_type").alias("type", "n"))
-    wanted = notes(spark, d).select("doc_ref", F.explode(F.array(*map(F.lit, ["date", "phone", "name"]))).alias("type"))
-    return c.recall_report(wanted, found, "doc_ref").withColumns({"recall": F.round("recall", 6), "missed": F.array_join("missed", ",")})
+    raw = varied_notes(spark, d).where("text IS NOT NULL")
+    values = {"date": F.regexp_extract("text", r"\d\d\.\d\d\.\d{4}", 0), "patient": F.lit("Иванов"), "doc_number": F.regexp_extract("text", r"\d{8}", 0), "age": F.lit("14 лет")}
+    wanted = raw.select("doc_ref", F.explode(F.array(*[F.struct(F.lit(k).alias("type"), v.alias("value")) for k, v in values.items()])).alias("w")).select("doc_ref", "w.*")
+    report = c.recall_report(wanted, found, "doc_ref", marked)
+    return report.select("doc_ref", "expected", F.round("recall", 6).alias("recall"), F.array_join("missed", ",").alias("missed"), "leaked")
 
 
 def h8_normalize_titles(spark, d):
@@ -68,8 +71,8 @@ def p9_anchor_dates(spark, d):
 
 
 def t9_line_kinds(spark, d):
-    docs = notes(spark, d).withColumn("text", F.concat(F.lit("Diagnosis : one: two \n \n"), "text"))
-    return c.line_kinds(docs, "doc_ref", ["diagnosis"]).groupBy("doc_ref", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"), F.sum(F.length("value")).alias("chars"))
+    docs = varied_notes(spark, d).where("text IS NOT NULL").withColumn("text", F.concat(F.lit("Diagnosis : one: two \n \n"), "text"))
+    return c.line_kinds(docs, "doc_ref", ["diagnosis", "жалобы", "Мать"]).groupBy("doc_ref", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"), F.sum(F.length("value")).alias("chars"))
 
 
 # anchored: a look-ahead tried at every character costs the square of a sentence's length
@@ -131,17 +134,16 @@ def w5_removed_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (c9_chunk_documents, c9_chunk_notes, c12_ingest_stats, e7_format_samples, h8_normalize_titles, p6_extract_facts, p7_dated_snippets, p9_anchor_dates, p13_take_unused, p15_forbidden_items, p18_speech_levels, r14_label_counts, r16_recall_report, t2_exam_stamps, t3_substitutions, t9_line_kinds, w2_dedup_points, w5_removed_counts)}
 
-_GATE = " OR ".join(f"regexp_matches(x, '{r.PATTERNS[k]}')" for k in ("date", "phone", "doc_number"))
 SQL = {
     "c9_chunk_notes": f"""WITH {NOTES}, p AS (SELECT doc_ref, unnest(string_split(replace(replace(text, chr(10) || '[ДАТА]', chr(1) || '[ДАТА]'), chr(10) || '[ПЕРИОД]', chr(1) || '[ПЕРИОД]'), chr(1))) AS text FROM notes)
  SELECT doc_ref, 'daily' AS doc_type, 'full' AS section, CAST(NULL AS VARCHAR) AS syndrome, CASE WHEN text LIKE '%Диагноз: F%' THEN 'F' || regexp_extract(text, 'F(\\d)', 1) || 'x' END AS diagnosis_class, CASE WHEN text LIKE '%улучш%' THEN 'better' WHEN text LIKE '%без динамики%' THEN 'same' END AS dynamics, text FROM p WHERE length(text) >= 40""",
-    "c12_ingest_stats": rf"WITH x AS (SELECT text, ({_GATE}) AS hit FROM (SELECT *, regexp_replace(text, '\[[А-Я]+\]', ' ', 'g') AS x FROM documents)), n AS (SELECT count(*) AS a, count(*) FILTER (WHERE coalesce(text, '') <> '') AS b, count(*) FILTER (WHERE coalesce(text, '') = '') AS c, count(*) FILTER (WHERE text <> '' AND hit) AS d, count(*) FILTER (WHERE text <> '' AND NOT hit) AS e FROM x) SELECT unnest(['seen', 'extracted', 'skipped_extract', 'blocked_pii', 'chunks_built', 'documents_cut']) AS counter, unnest([a, b, c, d, e, e]) AS value FROM n",
-    "e7_format_samples": r"SELECT conv_id AS query_id, coalesce(string_agg((turn + 1) || '. [' || role || ', full]' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY turn, (turn + 1) || '. [' || role || ', full]' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g')) FILTER (WHERE turn <> 1 AND trim(coalesce(text, '')) <> ''), '') AS block FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE turn < 7) GROUP BY 1",
+    "c12_ingest_stats": rf"WITH {DONE}, x AS (SELECT clean, trim(done, ' ' || chr(9) || chr(10)) = '' AS bare, greatest(len(list_filter(regexp_split_to_array(done, '\n\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10)) <> '')), 1) AS parts FROM done), n AS (SELECT count(*) AS a, count(*) FILTER (WHERE NOT bare) AS b, count(*) FILTER (WHERE bare) AS c, count(*) FILTER (WHERE NOT bare AND NOT clean) AS d, CAST(coalesce(sum(parts) FILTER (WHERE clean), 0) AS BIGINT) AS e, count(*) FILTER (WHERE clean) AS f FROM x) SELECT unnest(['seen', 'extracted', 'skipped_extract', 'blocked_pii', 'chunks_built', 'documents_cut']) AS counter, unnest([a, b, c, d, e, f]) AS value FROM n",
+    "e7_format_samples": r"SELECT conv_id AS query_id, coalesce(string_agg((turn + 1) || '. [' || role || ', full]' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY turn, (turn + 1) || '. [' || role || ', full]' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g')) FILTER (WHERE turn <> 1 AND trim(coalesce(text, '')) <> ''), '') AS block FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY 1",
     "h8_normalize_titles": "SELECT o_orderkey, o_orderpriority || ' new' AS title FROM orders",
     "p9_anchor_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '1999-09-09' ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 10 * 2 AS INT) AS VARCHAR) END AS anchor FROM orders",
     "p18_speech_levels": "SELECT doc_id, CASE WHEN lower(text) LIKE '%zzz%' THEN 'sounds' WHEN lower(text) LIKE '%stra%' THEN 'words' WHEN lower(text) LIKE '%the%' THEN 'expanded' ELSE 'unknown' END AS level FROM documents",
-    "r14_label_counts": "SELECT unnest(['dates', 'phones', 'doc_number']) AS label, (SELECT count(*) FROM orders) AS removed",
-    "r16_recall_report": "SELECT o_orderkey AS doc_ref, 3 AS expected, round(2 / 3.0, 6) AS recall, 'name' AS missed FROM orders",
+    "r14_label_counts": f"WITH {DONE}, removed AS ({REMOVED}) SELECT CASE WHEN type IN ('date', 'period') THEN 'dates' WHEN type = 'phone' THEN 'phones' ELSE type END AS label, CAST(sum(n) AS BIGINT) AS removed FROM removed GROUP BY 1 HAVING sum(n) > 0",
+    "r16_recall_report": rf"WITH {DONE}, w AS (SELECT doc_ref, done, unnest(['date', 'patient', 'doc_number', 'age']) AS type, unnest([n_date, n_patient, n_doc_number, n_age]) > 0 AS hit, unnest([regexp_extract(text, '\d\d\.\d\d\.\d{{4}}'), 'Иванов', regexp_extract(text, '\d{{8}}'), '14 лет']) AS value FROM done WHERE text IS NOT NULL) SELECT doc_ref, count(*) AS expected, round(count(*) FILTER (WHERE hit) / 4.0, 6) AS recall, coalesce(string_agg(type, ',' ORDER BY type) FILTER (WHERE NOT hit), '') AS missed, count(*) FILTER (WHERE value <> '' AND contains(done, value)) AS leaked FROM w GROUP BY 1",
     "p6_extract_facts": r"""WITH r AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), '[\x01\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS xs FROM documents), e AS (SELECT doc_id AS stay_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM r),
  k AS (SELECT stay_id, pos, CASE WHEN regexp_matches(lower(x), '\bthe\b') AND regexp_matches(lower(x), '\band\b') THEN 'contrast' WHEN lower(x) LIKE '%stra%' THEN 'skip' WHEN lower(x) LIKE '%the%' THEN 'early' ELSE 'later' END AS kind, regexp_replace(x, '[.;]+$', '') AS fact FROM e),
  f AS (SELECT stay_id, kind, min(pos) AS pos, arg_min(fact, pos) AS fact FROM k WHERE kind <> 'skip' GROUP BY stay_id, kind, lower(substr(fact, 1, 48))) SELECT stay_id, kind, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places, CAST(sum(length(fact)) AS BIGINT) AS chars FROM f GROUP BY 1, 2""",
@@ -150,7 +152,7 @@ SQL = {
     "p15_forbidden_items": "WITH x AS (SELECT DISTINCT l_orderkey AS stay_id, CAST(l_shipdate AS DATE) AS day, l_returnflag || '-' || (l_partkey % 4) AS item FROM lineitem), y AS (SELECT DISTINCT stay_id, day FROM x) SELECT y.stay_id, CAST(y.day AS VARCHAR) AS day, coalesce(string_agg(DISTINCT o.item, ',' ORDER BY o.item), '') AS forbidden FROM y LEFT JOIN x o ON o.stay_id = y.stay_id AND o.day <> y.day AND NOT EXISTS (SELECT 1 FROM x z WHERE z.stay_id = y.stay_id AND z.day = y.day AND z.item = o.item) GROUP BY y.stay_id, y.day",
     "t2_exam_stamps": f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN '«09» марта 2020 г.' ELSE '«' || strftime(o_orderdate, '%d') || '» ' || {t.MONTHS!r}[month(o_orderdate)] || strftime(o_orderdate, ' %Y г.') END AS stamp FROM orders",
     "t3_substitutions": "SELECT c_custkey, 'day 10 час. 00 мин. ' || c_name || ' [HEAD] [OTHER]' AS text FROM customer",
-    "t9_line_kinds": f"WITH {NOTES}, k AS (SELECT doc_ref, unnest(string_split(text, chr(10))) AS line FROM notes) SELECT doc_ref, 'text' AS kind, count(*) AS n, NULL AS label, sum(length(trim(line))) AS chars FROM k GROUP BY 1 UNION ALL SELECT doc_ref, 'labelled', 1, 'Diagnosis', 8 FROM notes UNION ALL SELECT doc_ref, 'blank', 1, NULL, 0 FROM notes",
+    "t9_line_kinds": rf"WITH {VARIED}, l AS (SELECT doc_ref, unnest(string_split('Diagnosis : one: two ' || chr(10) || ' ' || chr(10) || text, chr(10))) AS line FROM varied WHERE text IS NOT NULL), h AS (SELECT doc_ref, line, regexp_extract(line, '^\s*([^:]+?)\s*:', 1) AS head FROM l), k AS (SELECT doc_ref, line, head, lower(head) IN ('diagnosis', 'жалобы', 'мать') AS known, regexp_matches(line, '^\s*$') AS bare FROM h) SELECT doc_ref, CASE WHEN bare THEN 'blank' WHEN known THEN 'labelled' ELSE 'text' END AS kind, count(*) AS n, max(head) FILTER (WHERE known) AS label, CAST(sum(length(regexp_replace(CASE WHEN known THEN regexp_replace(line, '^[^:]*:', '') ELSE line END, '^\s+|\s+$', '', 'g'))) AS BIGINT) AS chars FROM k GROUP BY 1, 2",
     "w2_dedup_points": "SELECT DISTINCT user_id || '-' || event_type AS point_id FROM events",
     "w5_removed_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS type, count(*) AS removed FROM events GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)",
 }

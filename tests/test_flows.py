@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -11,9 +12,28 @@ from chartweave.streaming import streams
 SF = "/root/testdata/sf0.001"
 
 
+def slow_pieces(text, most=1200, overlap=150):
+    """Piece by piece, trying every end from the longest down."""
+    if len(text) <= most:
+        return [text]
+    out, at = [], 0
+    while True:
+        end = min(at + most, len(text))
+        if end < len(text):
+            for e in range(end, at + most // 2 + 1, -1):
+                if text[e - 1] == "\n" or (text[e - 1] == "." and e < end and text[e] == " "):
+                    end = e
+                    break
+        if text[at:end].strip():
+            out.append(text[at:end].strip())
+        if end == len(text):
+            return out
+        at = max(end - overlap, at + 1)
+
+
 def test_pieces_are_short_and_lose_nothing():
     text = " ".join(f"Word{i}{'.' if i % 9 == 0 else ''}" for i in range(900))
-    pieces = list(c.soft_pieces(text))
+    pieces = c.soft_pieces(text)
     assert len(pieces) > 4 and all(len(p) <= 1200 for p in pieces)
     at = 0
     for p in pieces:  # every piece lies in the text, and begins before the last one ended
@@ -22,24 +42,45 @@ def test_pieces_are_short_and_lose_nothing():
         at = found + len(p)
     assert at == len(text)
     # 0-1200, 1050-2250, 2100-3300
-    assert list(c.soft_pieces("")) == [""] and [len(p) for p in c.soft_pieces("x" * 3300)] == [1200] * 3
+    assert c.soft_pieces("") == [""] and [len(p) for p in c.soft_pieces("x" * 3300)] == [1200] * 3
+    for most, overlap in ((20, 5), (7, 9), (40, 0)):
+        for step in range(3, 12):
+            odd = "".join(". " if i % step == 0 else "\n" if i % 17 == 0 else "x" for i in range(300))
+            assert c.soft_pieces(odd, most, overlap) == slow_pieces(odd, most, overlap)
 
 
-def test_sections_of_an_exam():
+def test_sections_of_an_exam(spark):
     text = "lead\nA: one\nmore\nB: two"
     heads = [("a", "A:"), ("b", "B:")]
-    assert c.sections(text, heads) == [("full", "lead"), ("a", "A: one\nmore"), ("b", "B: two")]
-    assert c.record_chunks(text, "exam_10d", heads, 6) == [("a", "A: one\nmore"), ("b", "B: two")]
-    assert c.record_chunks(text, "exam_10d", heads, 99) == c.record_chunks(text, "daily", heads) == [("full", text)]
+    row = spark.createDataFrame([(text,)], "text string")
+    of = lambda column: [tuple(x) for x in row.select(column.alias("x")).first().x]
+    assert of(c.sections(F.col("text"), heads)) == [("full", "lead"), ("a", "A: one\nmore"), ("b", "B: two")]
+    assert of(c.record_sections(F.col("text"), F.lit("exam_10d"), heads, 7)) == [("a", "A: one\nmore")]
+    assert of(c.record_sections(F.col("text"), F.lit("exam_10d"), heads, 99)) == of(c.record_sections(F.col("text"), F.lit("daily"), heads)) == [("full", text)]
+
+
+def slow_records(text):
+    marked, parts = False, [[]]
+    for line in text.splitlines():
+        if re.match(flows.MARKER, line):
+            marked = True
+            parts.append([])
+        parts[-1].append(line)
+    whole = ["\n".join(p) for p in parts] if marked else re.split(r"\n\s*\n", text)
+    return [p for p in whole if p.strip()]
 
 
 def test_chunks_of_documents_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {(r.doc_id, r.record, r.pos, r.text) for r in flows.c9_chunk_documents(spark, SF).collect()}
-    want = set()
-    for r in c.t.split_records(docs, "doc_id", flows.MARKER).where("length(text) >= 40").collect():
-        want |= {(r.doc_id, r.record, i, p) for i, p in enumerate(c.soft_pieces(r.text))}
-    assert got == want and len(got) > docs.count()
+    got = sorted((r.doc_id, r.text) for r in flows.c9_chunk_documents(spark, SF).collect())
+    want = [(r.doc_id, p) for r in docs.collect() for x in slow_records(r.text or "") if len(x.strip()) >= 40 for p in slow_pieces(x.strip())]
+    assert got == sorted(want) and len(got) > docs.count()
+
+
+def test_records_do_not_mix(spark):
+    rows = [(None, "a\r\n[ДАТА] b\u2028c"), (None, "x\n\ny"), (1, "one"), (1, "two\n[ПЕРИОД] three"), (2, None), (3, "")]
+    got = {(r.k, r.text) for r in c.t.split_records(spark.createDataFrame(rows, "k int, text string"), "k", flows.MARKER).collect()}
+    assert got == {(None, "a"), (None, "[ДАТА] b\nc"), (None, "x"), (None, "y"), (1, "one"), (1, "two"), (1, "[ПЕРИОД] three")}
 
 
 def test_office_files(spark, tmp_path):

@@ -1,29 +1,114 @@
+import pytest
+from pyspark.sql import functions as F
+
+from chartweave.functions import personal_data as known
+from chartweave.functions.boundaries import java
 from chartweave.operators import redaction as r
+from chartweave.plans import corpus
+
+R = r.Redactor()
+
+
+def done(text, **options):
+    return (r.Redactor(**options) if options else R).redact(text)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("с 01.02.2024-05.02.2024, затем 3/4/24, тел. 8 812 123-45-67, карта 20252184, 123-456-789 00", "с [ПЕРИОД], затем [ДАТА], тел. [ТЕЛЕФОН], карта [НОМЕР_ДОКУМЕНТА], [ДОКУМЕНТ]"),
+        ("«06» октября 2025 г., 6 мая, 2024-2025 гг., 10 час. 18 мин.", "[ДАТА], [ДАТА], [ДАТА], [ВРЕМЯ]"),
+        ("медицинская карта № 2025/7, протокол № 442.3, направление № 15", "[НОМЕР_ДОКУМЕНТА], [НОМЕР_ДОКУМЕНТА], направление [НОМЕР_ДОКУМЕНТА]"),
+        ("ей 14 лет, в возрасте до пятнадцати лет, адрес: дом, кв. 7", "ей [ВОЗРАСТ], [ВОЗРАСТ], [АДРЕС]"),
+        ("в ГБУЗ № 7 «Первая больница» и в больнице, улучшении и линии", "в [УЧРЕЖДЕНИЕ] и в [УЧРЕЖДЕНИЕ], улучшении и линии"),
+        ("врач Петрова А.С. и И.И. Сидоров", "врач [ФИО_ВРАЧА] и [ФИО_ВРАЧА]"),
+        ("пациента Иванова Петра Сергеевича, мать: Ольга Петровна", "пациента [ПАЦИЕНТ], мать: [РОДИТЕЛЬ]"),
+        ("Кузнецовой дали отдых", "[ФИО] дали отдых"),
+        ("Наличие паралича. Различие: Паралич", "Наличие паралича. Различие: Паралич"),
+        ("АД 120/80, 18-21, 0.40, 25 мг, F20.0, в 23:00, ЧСС 70", "АД 120/80, 18-21, 0.40, 25 мг, F20.0, в 23:00, ЧСС 70"),
+    ],
+)
+def test_what_is_replaced(text, want):
+    assert done(text)[0] == want
+
+
+def test_counts_never_values_and_options():
+    text, counts = done("14 лет и 15 лет, 8 812 123-45-67")
+    assert counts == {"age": 2, "phone": 1} and text == "[ВОЗРАСТ] и [ВОЗРАСТ], [ТЕЛЕФОН]"
+    assert done("в 23:00", clock_time=True) == ("в [ВРЕМЯ]", {"time": 1})
+    # Cyrillic neighbours of a border count only in Unicode's sense
+    hidden = "паспорт 4010 123456, с 5 мая по 6 мая, ул. Ленина"
+    assert "[ПЕРИОД]" not in done(hidden)[0]
+    assert done(hidden, boundary="unicode")[0] == "[ДОКУМЕНТ], [ПЕРИОД], [АДРЕС]"
 
 
-def test_kinds_are_replaced():
-    text, counts = r.redact_text("с 01.02.2024-05.02.2024, затем 3/4/24, тел. 8 812 123-45-67, карта 20252184, 123-456-789 00")
-    assert text == "с [ПЕРИОД], затем [ДАТА], тел. [ТЕЛЕФОН], карта [НОМЕР], [ДОКУМЕНТ]"
-    assert counts == {"period": 1, "date": 1, "phone": 1, "doc_number": 1, "id_doc": 1}
+def test_role_window_is_of_bytes():
+    assert done("врач " + "а" * 35 + " Петрова А.С.")[1] == {"doctor": 1}
+    assert done("врач " + "а" * 40 + " Петрова А.С.")[1] == {"person": 1}
 
 
-def test_clinical_numbers_stay():
-    text = "АД 120/80, 18-21, 0.40, 25 мг, F20.0, в 23:00"
-    assert r.redact_text(text) == (text, {})
-    assert r.redact_text("в 23:00", (*r.USUAL, "time"))[0] == "в [ВРЕМЯ]"
+def test_spans_that_stay():
+    s = r.Span
+    assert r.resolve([s(5, 30, "address"), s(0, 8, "age"), s(40, 42, "age"), s(40, 42, "person")]) == [s(0, 8, "age"), s(40, 42, "person")]
+    assert r.resolve([s(0, 10, "date"), s(4, 12, None), s(11, 20, "age"), s(30, 40, None), s(35, 50, "date")]) == []
+    assert r.resolve([s(0, 10, None), s(10, 12, "age")]) == [s(10, 12, "age")]
 
 
-def test_earliest_start_wins():
-    assert r.resolve([(5, 30, 0, "long"), (0, 8, 3, "early"), (40, 42, 1, "b"), (40, 42, 0, "a")]) == [(0, 8, "early"), (40, 42, "a")]
+def test_residues_hold_back():
+    kinds = [k for k, _, _ in R.suspicions("осталось 01.02.24, 14 лет, Петрович, Смирнова, [ФИО_ВРАЧА] [X_1] Паралич")]
+    assert kinds == ["date", "date", "person", "person"]
+    assert R.suspicions("[ДАТА] и [ПЕРИОД], состояние ровное") == []
 
 
-def test_redaction_is_idempotent_and_gate_splits(spark):
-    rows = spark.createDataFrame([(1, "дата 01.02.2024"), (2, ""), (3, None), (4, "чисто")], "doc_id long, text string")
+def test_recall_of_a_note():
+    note = "Пациент Иванов Пётр Сергеевич, 14 лет, карта № 2025, тел. 8 812 123-45-67, СНИЛС 123-456-789 00, 6 октября 2025 г., ГБУЗ «Первая», лечащий врач Петрова А.С."
+    text, counts = done(note)
+    assert set(counts) >= {"patient", "age", "doc_number", "phone", "id_doc", "date", "institution", "doctor"}
+    assert not any(x in text for x in ("Иванов", "Пётр", "2025", "8 812", "Первая", "Петрова")) and R.suspicions(text) == []
+
+
+def test_python_and_spark_agree_on_detectors(spark):
+    texts = [f.replace("{date}", "01.02.2024").replace("{key}", "7").replace("{long}", "20000007").replace("{cc}", "05").replace("{c}", "3") for f in corpus.FORMS if f]
+    for boundary in ("ascii",):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string")
+        got = rows.select("text", *[r.detector_count(F.col("text"), n).alias(n) for n in known.DETECTORS]).collect()
+        red = r.Redactor(clock_time=True, boundary=boundary)
+        for row in got:
+            assert [row[n] for n in known.DETECTORS] == [len(p.findall(row.text)) for _, p, _ in red.detectors]
+    assert spark.sql("SELECT 'аб' AS x").where(F.col("x").rlike(java(r"\bаб", boundary="unicode"))).count() == 1
+
+
+def test_documents_fail_closed(spark):
+    rows = spark.createDataFrame([(1, "дата 01.02.2024"), (2, ""), (3, None), (4, "чисто"), (5, " \n"), (6, "plain text"), (7, "Петров Иван Петрович")], "doc_id long, text string")
     once = r.redact_documents(rows)
     got = {x.doc_id: x for x in once.collect()}
-    assert got[1].text == "дата [ДАТА]" and got[1].removed_count == 1 and got[1].clean and got[4].clean
+    assert got[1].text == "дата [ДАТА]" and got[1].removed_count == 1 and got[1].clean and got[4].clean and got[7].text == "[ФИО]"
     clean, quarantine = r.gate_split(once)
-    assert {x.doc_id for x in clean.collect()} == {1, 4}
-    assert {(x.doc_id, x.reason) for x in quarantine.collect()} == {(2, "empty"), (3, "empty")} and "text" not in quarantine.columns
+    assert {x.doc_id for x in clean.collect()} == {1, 4, 6, 7}
+    assert {(x.doc_id, x.reason) for x in quarantine.collect()} == {(2, "empty"), (3, "empty"), (5, "empty")} and "text" not in quarantine.columns
+    # a verdict that is missing is no pass
+    odd = once.withColumn("clean", F.when(F.col("doc_id") == 4, F.lit(None)).when(F.col("doc_id") == 2, True).otherwise(False))
+    assert r.gate_split(odd)[0].count() == 0 and r.gate_split(odd)[1].where("doc_id = 4").first().reason == "residual"
     again = r.redact_documents(clean.select("doc_id", "text"))
     assert again.agg({"removed_count": "sum"}).first()[0] == 0
+    assert r.redact_documents(rows.limit(0)).count() == 0
+
+
+def test_entities_from_outside(spark):
+    rows = spark.createDataFrame([(1, "к Зубру пришли", [(2, 7, "person")]), (2, "пусто", [])], "doc_id long, text string, found array<struct<start:int,end:int,type:string>>")
+    assert [x.text for x in r.redact_documents(rows, entities="found").orderBy("doc_id").collect()] == ["к [ФИО] пришли", "пусто"]
+
+
+def test_answers_block_as_a_whole(spark, monkeypatch):
+    rows = [(1, "a", 0, "custom", None, "ему 14 лет"), (1, "b", None, "code", "x", None), (2, "a", None, "custom", None, "Петрович 9.9.25"), (2, "c", 3, "custom", None, "чисто")]
+    table = spark.createDataFrame(rows, "response_id long, qid string, idx int, kind string, code string, custom_text string")
+    passed, verdicts = r.redact_answers(table)
+    assert {(x.qid, x.custom_text) for x in passed.where("response_id = 1").collect()} == {("a", "ему [ВОЗРАСТ]"), ("b", None)}
+    assert all(x.passed for x in verdicts.collect())
+    plain = r.redact_documents
+    monkeypatch.setattr(r, "redact_documents", lambda df, text, **o: plain(df, text, **o).withColumn("clean", F.col("clean") & ~F.col(text).contains("чисто")))
+    passed, verdicts = r.redact_answers(table)
+    assert {x.response_id for x in passed.collect()} == {1}
+    assert {(x.response_id, x.passed, tuple(x.blocked)) for x in verdicts.collect()} == {(1, True, ()), (2, False, ("c[3].custom_text",))}
+    with pytest.raises(ValueError):
+        r.redact_answers(table, scope="none")
