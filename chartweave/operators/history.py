@@ -285,3 +285,10 @@ def days_to_resume(planned: DataFrame, children: DataFrame) -> DataFrame:
     """Planned days (stay_id, day) without a finished child that has content."""
     done = children.where((F.col("status") == "done") & (trim_space(F.coalesce("content", F.lit(""))) != "")).select("stay_id", "day")
     return planned.join(done, ["stay_id", "day"], "left_anti")
+
+
+def is_automatic_title(title: Column) -> Column:
+    """Whether a batch was named by its period: both days and their number, under either word
+    for a period and whatever status stands behind it."""
+    bare = F.regexp_replace(title, r"(?: · Формируется…| · ошибок: \d+| · Ошибка)+$", "")
+    return F.coalesce(trim_space(bare).rlike(r"^(?:Период|Пакет) · \d{2}\.\d{2}\.\d{4}–\d{2}\.\d{2}\.\d{4} \(\d+ дн\.\)$"), F.lit(False))

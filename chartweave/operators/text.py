@@ -137,10 +137,57 @@ def exam_stamp(diary_date: Column, title: Column, created_at: Column) -> Column:
 
     iso = F.try_to_date(F.regexp_extract(diary_date, r"^\d{4}-\d{2}-\d{2}$", 0), "yyyy-MM-dd")
     day = F.coalesce(iso, dotted(diary_date), dotted(title), F.to_date(created_at))
+    return official_date(day)
+
+
+def official_date(day: Column) -> Column:
     month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(day))
     return F.concat(F.lit("«"), F.date_format(day, "dd"), F.lit("» "), month, F.lit(" "), F.date_format(day, "yyyy"), F.lit(" г."))
 
 
+def rewrite_date_headers(text: Column) -> Column:
+    """Lines of a date and a time in digits in their official form; no such day, no change."""
+    header = r"^(\d{2}\.\d{2}\.\d{4})\s+время:\s+(\d{1,2}):(\d{2})$"
+
+    def rewritten(line: Column) -> Column:
+        plain = trim_space(F.replace(line, F.lit("**"), F.lit("")))
+        part = lambda n: F.regexp_extract(plain, header, n)
+        day = F.try_to_date(F.nullif(part(1), F.lit("")), "dd.MM.yyyy")
+        return F.coalesce(F.concat(official_date(day), F.lit(" время: "), F.lpad(part(2), 2, "0"), F.lit(" час. "), part(3), F.lit(" мин.")), line)
+
+    return F.array_join(F.transform(F.split(text, "\n"), rewritten), "\n")
+
+
+def case_number_line(text: Column, case_number: Column, daily: Column) -> Column:
+    """Texts that are not daily notes with one case-number line: in place of the first there
+    is, the others go; else in front. Without a number the line stays open."""
+    bare = trim_space(F.regexp_replace(F.coalesce(case_number, F.lit("")), r"^\s*ИБ [№N]", ""))
+    line = F.concat(F.lit("ИБ №"), F.when(F.contains(bare, F.lit("[")), "").otherwise(bare))
+    lines = F.split(text, "\n")
+    own = lambda x: x.rlike(r"(?iu)^\s*ИБ [№N]")
+    first = F.array_position(F.transform(lines, own), F.lit(True))
+    placed = F.filter(F.transform(lines, lambda x, i: F.when(~own(x), x).when(i + 1 == first, line)), lambda x: x.isNotNull())
+    return F.when(daily, text).when(first > 0, F.array_join(placed, "\n")).otherwise(F.concat(line, F.lit("\n"), text))
+
+
+def build_substitutions(documents: DataFrame, doctors: DataFrame, day: Column, clock: str = "10 час. 00 мин.") -> DataFrame:
+    """``documents`` (doctor_id, case_number) with ``substitutions``, a map from placeholders to
+    the official date, the time and the fields of the doctor's profile; blank fields are left
+    out, a position does not repeat that the doctor attends."""
+    d = doctors.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("full_name", "position", "head_full_name", "head_position", "head_institution")])
+    rows = documents.join(d, F.col("doctor_id") == F.col("_id"), "left")
+    position = F.regexp_replace("_position", r"(?iu)^\s*лечащий\s+врач\s*[,.\-–—:]?\s*", "")
+    fields = {"[ДАТА]": official_date(day), "[ВРЕМЯ]": F.lit(clock), "[ФИО_ВРАЧА]": F.col("_full_name"), "[ДОЛЖНОСТЬ_ВРАЧА]": position, "[ФИО_ЗАВ_ОТДЕЛЕНИЕМ]": F.col("_head_full_name"), "[ДОЛЖНОСТЬ_ЗАВ_ОТДЕЛЕНИЕМ]": F.col("_head_position"), "[ЛУ]": F.col("_head_institution"), "[НОМЕР_ИБ]": F.col("case_number")}
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), trim_space(v).alias("value")) for k, v in fields.items()]), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    return rows.withColumn("substitutions", F.map_from_entries(entries)).select(*documents.columns, "substitutions")
+
+
+def batch_filename(documents: DataFrame, by: str, day: str, extension: str = "docx") -> DataFrame:
+    """(by, filename) of a combined export: its first and last day, no personal data."""
+    span = documents.groupBy(by).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return span.select(by, F.concat(F.lit("diaries_batch_"), F.date_format("a", "yyyy-MM-dd"), F.lit("_to_"), F.date_format("b", "yyyy-MM-dd"), F.lit("." + extension)).alias("filename"))
+
+
 def apply_substitutions(text: Column, values: Column, stamp: Column, clock: str = "10 час. 00 мин.") -> Column:
     """Placeholders of the map ``values`` filled, date and time by ``stamp`` and ``clock``
     before all others; blank values are skipped, unknown placeholders stay."""

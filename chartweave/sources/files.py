@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 # Namespaces of the file formats.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 ODF_TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 
 
-def scan_corpus(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("docx", "odt", "doc")) -> DataFrame:
+def scan_corpus(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("docx", "odt", "doc", "xlsx")) -> DataFrame:
     """Files under ``root`` with one of the suffixes in any case, lock files left out:
     path, suffix, length, content. The content is read only where it is selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -41,7 +43,34 @@ def _odt(data: zipfile.ZipFile) -> Iterator[str]:
         yield "".join(p.itertext()).strip()
 
 
-READERS = {"docx": _docx, "odt": _odt}
+def _xlsx(data: zipfile.ZipFile) -> Iterator[str]:
+    """Rows of all sheets, cells that are not empty between bars; strings from the shared table."""
+
+    def said(node) -> str:
+        return "".join(x.text or "" for x in node.iter(f"{SHEET}t")).strip()
+
+    names = data.namelist()
+    shared = [said(x) for x in ElementTree.fromstring(data.read("xl/sharedStrings.xml")).findall(f"{SHEET}si")] if "xl/sharedStrings.xml" in names else []
+    sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+    for name in sheets:
+        for row in ElementTree.fromstring(data.read(name)).iter(f"{SHEET}row"):
+            cells = []
+            for cell in row.findall(f"{SHEET}c"):
+                value = (cell.findtext(f"{SHEET}v") or "").strip()
+                cells.append(shared[int(value)] if cell.get("t") == "s" and value else said(cell) if cell.get("t") == "inlineStr" else value)
+            yield " | ".join(filter(None, cells))
+
+
+READERS = {"docx": _docx, "odt": _odt, "xlsx": _xlsx}
+
+
+def read_history(spark: SparkSession, path: str, types: dict[str, str] | None = None, json: dict[str, str] | None = None, file_format: str = "parquet") -> DataFrame:
+    """A table of the relational history with its types: ``types`` casts columns (what cannot be
+    cast is null), ``json`` parses columns of JSON text by the schema given for them; text that
+    is no JSON is null. Other columns are as they are."""
+    rows = spark.read.format(file_format).load(path)
+    new = {c: F.col(c).try_cast(t) for c, t in (types or {}).items()} | {c: F.from_json(c, t) for c, t in (json or {}).items()}
+    return rows.withColumns(new)
 
 
 def extract_text(files: DataFrame) -> DataFrame:
@@ -55,7 +84,7 @@ def extract_text(files: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as data:
                         rows.append((path, "\n".join(filter(None, READERS[suffix](data))), None))
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, AttributeError) as error:
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, AttributeError, IndexError, ValueError) as error:
                     rows.append((path, None, "unsupported" if suffix not in READERS else type(error).__name__))
             yield pd.DataFrame(rows, columns=["path", "text", "extract_error"])
 

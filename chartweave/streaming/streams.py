@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartweave.operators import redaction
-from chartweave.operators import text as t
+from chartweave.operators.ingest import new_points
 
 _own_folder: list[str] = []
 
@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a folder of this process where the session names none."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-streams-"))
     return _own_folder[0]
@@ -43,12 +45,22 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def ingest(stream: DataFrame, key: str, marker: str, base: str):
-    """Start redacting, gating and cutting documents as they come. Every micro-batch writes
-    its own folder, so that one run again after a failure overwrites what it wrote."""
+def ingest(stream: DataFrame, key: str, chunk, load, base: str, name: str = ""):
+    """Start taking documents (key, text) as they come to points: redacted, gated, cut,
+    embedded. Every micro-batch writes folders of its own under ``base``, points and what was
+    held back, so that one run again after a failure overwrites what it wrote."""
 
     def step(batch: DataFrame, number: int) -> None:
-        clean, _ = redaction.gate_split(redaction.redact_documents(batch))
-        t.split_records(clean, key, marker).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        clean, held = redaction.gate_split(redaction.redact_documents(batch))
+        points = new_points(clean.select(key, "text"), chunk, load, name, "user_upload")
+        points.write.mode("overwrite").parquet(f"{base}/points/batch={number}")
+        held.select(key, "reason").write.mode("overwrite").parquet(f"{base}/quarantine/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+
+
+def uploaded_points(spark: SparkSession, base: str) -> DataFrame:
+    """The points of all batches so far; a point seen again is the one of the last batch."""
+    rows = spark.read.parquet(f"{base}/points")
+    last = Window.partitionBy("point_id").orderBy(F.col("batch").desc())
+    return rows.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", "batch")

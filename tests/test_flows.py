@@ -2,10 +2,12 @@ import io
 import re
 import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chartweave.operators import chunks as c
-from chartweave.plans import flows
+from chartweave.operators import ingest
+from chartweave.plans import corpus, flows, notes
 from chartweave.sources import files
 from chartweave.streaming import streams
 
@@ -94,17 +96,39 @@ def test_office_files(spark, tmp_path):
     cell = "<w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc>"
     doc = f"<w:document {w}><w:body><w:p><w:r><w:t> one</w:t></w:r></w:p><w:p/><w:tbl><w:tr>{cell.format('a')}{cell.format('b')}</w:tr></w:tbl></w:body></w:document>"
     odt = '<x xmlns:t="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><t:p>two</t:p><t:p>three</t:p></x>'
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = io.BytesIO()
+    with zipfile.ZipFile(sheet, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {m}><si><t>first</t></si><si><t> </t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {m}><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c><c><v>7</v></c></row><row><c t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>')
     (tmp_path / "in").mkdir()
-    for name, data in {"a.DOCX": packed("word/document.xml", doc), "in/b.odt": packed("content.xml", odt), "c.docx": b"broken", "d.doc": packed("x", ""), "~$a.docx": b"", "e.txt": b"no"}.items():
+    for name, data in {"f.xlsx": sheet.getvalue(), "a.DOCX": packed("word/document.xml", doc), "in/b.odt": packed("content.xml", odt), "c.docx": b"broken", "d.doc": packed("x", ""), "~$a.docx": b"", "e.txt": b"no"}.items():
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[-1]: (r.text, r.extract_error) for r in files.extract_text(files.scan_corpus(spark, f"file://{tmp_path}")).collect()}
-    assert got == {"a.DOCX": ("one\na | b", None), "b.odt": ("two\nthree", None), "c.docx": (None, "BadZipFile"), "d.doc": (None, "unsupported")}
+    assert got == {"f.xlsx": ("first | 7\nin", None), "a.DOCX": ("one\na | b", None), "b.odt": ("two\nthree", None), "c.docx": (None, "BadZipFile"), "d.doc": (None, "unsupported")}
 
 
 def test_streamed_documents_equal_the_batch(spark, tmp_path):
-    rows = flows.notes(spark, SF)
+    rows = corpus.varied_notes(spark, SF)
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.ingest(stream, "doc_ref", flows.MARKER, str(tmp_path / "out")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out" / "rows")).groupBy("doc_ref").count().agg(F.count(F.lit(1)), F.sum("count")).first()
-    assert tuple(got) == (rows.count(), 3 * rows.count())
+    base = str(tmp_path / "out")
+    streams.ingest(stream, "doc_ref", notes._chunks, lambda: ingest.letter_model, base).awaitTermination()
+    assert spark.read.parquet(f"{base}/points").select("batch").distinct().count() == 3
+    whole = ingest.ingest_corpus(rows, "doc_ref", None, notes._chunks, lambda: ingest.letter_model, source="user_upload")
+    kept = ["point_id", "text", "doc_type", "embedding"]
+    key = lambda df: sorted(map(str, df.select(*kept).collect()))
+    assert key(streams.uploaded_points(spark, base)) == key(whole.points)
+    assert spark.read.parquet(f"{base}/quarantine").count() == whole.quarantine.count() > 0
+    stats = {r.counter: r.value for r in whole.stats.collect()}
+    assert stats["seen"] == rows.count() and stats["skipped_extract"] + stats["blocked_pii"] == whole.quarantine.count()
+    again = ingest.ingest_corpus(rows, "doc_ref", whole.points, notes._chunks, lambda: ingest.letter_model, source="user_upload")
+    assert again.points.count() == whole.points.count()
+
+
+def test_vectors_of_texts(spark):
+    rows = spark.createDataFrame([("a b b",), (None,), ("",)] * 20, "text string")
+    model = ingest.hashing_model(8)
+    got = ingest.embed(rows, lambda: ingest.hashing_model(8)).collect()
+    want = model(["a b b"])[0]
+    assert np.allclose(got[0].embedding, want / np.linalg.norm(want)) and got[1].embedding is None and got[2].embedding == [0.0] * 8
