@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import ann, bpe, chunk_dedup, langid, mixing, neardup, quality, search, sharding, token_counts
+from chartweave.llm import ann, bpe, chunk_dedup, langid, mixing, neardup, oracle, quality, search, sharding, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -98,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

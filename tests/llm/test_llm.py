@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chartweave.llm import ann, bpe, chunk_dedup, entries, langid, mixing, neardup, quality, search, sharding, token_counts
+from chartweave.llm import ann, bpe, chunk_dedup, entries, langid, mixing, neardup, oracle, quality, search, sharding, token_counts
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, Score double, tokens string"
@@ -293,6 +293,19 @@ def test_languages_on_held_out_rows(spark, odd, empty):
     assert abs(p[0] - grid) < 0.01
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
+def test_queries_equal_their_sql(spark, name, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    want = con.sql(oracle.SQL[name]).df()
+    got = entries.queries()[name](spark, f"/root/testdata/{sf}").toPandas()[list(want.columns)]
+    plain = lambda df: sorted(tuple(x.item() if hasattr(x, "item") else x for x in r) for r in df.itertuples(index=False))
+    assert len(want) > 0 and plain(got) == plain(want)
+
+
 def brute_classes(rows):
     sets = []
     for r in rows:
