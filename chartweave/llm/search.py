@@ -27,6 +27,9 @@ from chartweave.llm._shared import LOWER, span_hashes, stash, steps, text_bytes,
 
 K1, B = 1.2, 0.75
 BLOCK = 64
+#: Postings at which a shard is closed, however few its documents: its dense rows, of terms in
+#: a sixteenth of the documents, then hold 128 bytes a posting at most.
+SHARD_POSTINGS = 4_000_000
 #: Decimals of a score; sums in another order agree in them.
 DECIMALS = 9
 _BETWEEN = np.ones(256, bool)
@@ -218,7 +221,7 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 20_0
                 ids.clear(), parts.clear(), lengths.clear()
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (q_col, d_col, s_col)], names=["query_id", "doc_id", "score"])
 
-            held = 0
+            held = postings = 0
             for batch in batches:
                 own_ids = batch.column(0).to_numpy()
                 for low, length, row, term, count in term_counts(batch.column(1)):
@@ -227,14 +230,16 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 20_0
                     ids.append(own_ids[low : low + len(length)])
                     parts.append(((row[hit] + held).astype(np.int32), at[hit].astype(np.int32), count[hit].astype(np.int32)))
                     lengths.append(length)
-                    held += len(length)
-                    if held >= shard_rows:
+                    held, postings = held + len(length), postings + int(hit.sum())
+                    if held >= shard_rows or postings >= SHARD_POSTINGS:
                         yield answer()
-                        held = 0
+                        held = postings = 0
             if held:
                 yield answer()
 
-        found = found.unionByName(docs.where("doc_id IS NOT NULL").coalesce(shards).mapInArrow(search, schema))
+        # a block's answers are written before the next block is sent out, and its queries let go
+        found = found.unionByName(stash(docs.where("doc_id IS NOT NULL").coalesce(shards).mapInArrow(search, schema), "search-found"))
+        shared.destroy()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     once = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
