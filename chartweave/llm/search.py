@@ -27,9 +27,6 @@ from chartweave.llm._shared import LOWER, span_hashes, stash, steps, text_bytes,
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: Postings at which a shard is closed, however few its documents: its dense rows, of terms in
-#: a sixteenth of the documents, then hold 128 bytes a posting at most.
-SHARD_POSTINGS = 4_000_000
 #: Decimals of a score; sums in another order agree in them.
 DECIMALS = 9
 _BETWEEN = np.ones(256, bool)
@@ -221,7 +218,7 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 20_0
                 ids.clear(), parts.clear(), lengths.clear()
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (q_col, d_col, s_col)], names=["query_id", "doc_id", "score"])
 
-            held = postings = 0
+            held = 0
             for batch in batches:
                 own_ids = batch.column(0).to_numpy()
                 for low, length, row, term, count in term_counts(batch.column(1)):
@@ -230,10 +227,10 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 20_0
                     ids.append(own_ids[low : low + len(length)])
                     parts.append(((row[hit] + held).astype(np.int32), at[hit].astype(np.int32), count[hit].astype(np.int32)))
                     lengths.append(length)
-                    held, postings = held + len(length), postings + int(hit.sum())
-                    if held >= shard_rows or postings >= SHARD_POSTINGS:
+                    held += len(length)
+                    if held >= shard_rows:
                         yield answer()
-                        held = postings = 0
+                        held = 0
             if held:
                 yield answer()
 
