@@ -18,9 +18,11 @@ _SPACES = r"\t\n\f\r "
 
 def spelled(pattern: str) -> str:
     """``pattern`` without its leading (?i), with \\b, \\w, \\d and \\s spelled out. A border that
-    a digit follows, or that ends the pattern behind a digit, needs one look only."""
+    a digit or a Cyrillic letter follows, or that ends the pattern behind a digit, needs one
+    look only."""
     body = pattern.removeprefix("(?i)")
     body = re.sub(r"\\b(?=(?:\(\?:)?\\d)", f"(?<![{WORD}])", body)
+    body = re.sub(r"\\b(?=\(\?:[^A-Za-z()]*\)|[А-Яа-яЁё])", f"(?<=[{WORD}])", body)
     body = re.sub(r"(\\d(?:\{[0-9,]+\}|\+)?(?:\)\?)?\)?)\\b$", lambda m: f"{m[1]}(?![{WORD}])", body)
     body = body.replace(r"\b", BORDER).replace(r"\w", f"[{WORD}]")
     body = body.replace(r"[\d", "[0-9").replace(r"\d", "[0-9]")

@@ -64,7 +64,7 @@ class Redactor:
 
     def __init__(self, lexicon: known.Lexicon = known.USUAL, clock_time: bool = False, boundary: str = "ascii"):
         names = [n for n in known.DETECTORS if clock_time or n not in known.ON_REQUEST]
-        self.detectors = [(known.DETECTORS[n][0], compiled(known.DETECTORS[n][1], boundary), n in known.NUMERIC) for n in names]
+        self.detectors = [(known.DETECTORS[n][0], compiled(known.DETECTORS[n][1], boundary), n in known.NUMERIC, known.NEEDS.get(n)) for n in names]
         self.protected = [compiled(p, boundary) for p in known.PROTECTED]
         self.residual = [compiled(p) for p in known.RESIDUAL.values()]
         self.roles = [(k, compiled(p)) for k, p in known.ROLES]
@@ -122,8 +122,9 @@ class Redactor:
                 run = []
 
     def spans(self, text: str) -> list[Span]:
-        cyrillic = re.search("[А-Яа-яЁё]", text) is not None
-        found = [Span(m.start(), m.end(), kind) for kind, p, numeric in self.detectors if numeric or cyrillic for m in p.finditer(text)]
+        cyrillic, low = re.search("[А-Яа-яЁё]", text) is not None, text.lower()
+        may_hold = lambda needs: needs is None or any(x in low for x in needs)
+        found = [Span(m.start(), m.end(), kind) for kind, p, numeric, needs in self.detectors if (numeric or cyrillic) and may_hold(needs) for m in p.finditer(text)]
         if cyrillic:
             found += [Span(m.start(), m.end(), "institution") for p in self.institutions for m in p.finditer(text)]
             found += self.name_spans(text)
