@@ -65,8 +65,11 @@ def cosine_top_k(queries: DataFrame, points: DataFrame, k: int = 7, block: int =
     """(query_id, rank, point_id, score): exact cosine top-k of each query over the points that
     pass its filter fields (null: any). Queries go to the points in blocks of ``block`` (what
     is broadcast at once is bounded); every batch of points keeps its k best per query, and
-    only these are shuffled. Ties go to the smaller point_id."""
+    only these are shuffled. Ties go to the smaller point_id. Vectors that are null, empty or
+    hold a null take no part."""
     spark = points.sparkSession
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & (F.size("embedding") > 0)
+    queries, points = queries.where(whole), points.where(whole)
     total = queries.count()
     found = None
     for part in range(max(1, -(-total // block))):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chartweave.operators import chunks as c
-from chartweave.operators import ingest
+from chartweave.operators import ingest, vectors
 from chartweave.plans import corpus, flows, notes
 from chartweave.sources import files
 from chartweave.streaming import streams
@@ -132,3 +132,10 @@ def test_vectors_of_texts(spark):
     got = ingest.embed(rows, lambda: ingest.hashing_model(8)).collect()
     want = model(["a b b"])[0]
     assert np.allclose(got[0].embedding, want / np.linalg.norm(want)) and got[1].embedding is None and got[2].embedding == [0.0] * 8
+
+
+def test_vectors_without_values_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, []), (5, [0.6, 0.8])]
+    points = spark.createDataFrame(rows, "point_id long, embedding array<double>").select("*", *[F.lit(None).cast("string").alias(f) for f in vectors.FIELDS])
+    got = vectors.cosine_top_k(points.withColumnRenamed("point_id", "query_id"), points).collect()
+    assert {(r.query_id, r.point_id) for r in got} == {(1, 1), (1, 5), (5, 5), (5, 1)}
