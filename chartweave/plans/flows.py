@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chartweave.operators import chunks as c
@@ -10,7 +12,7 @@ from chartweave.operators import stays as s
 from chartweave.operators import text as t
 from chartweave.functions import personal_data as known
 from chartweave.plans.corpus import DONE, NOTES, REMOVED, VARIED, notes, varied_notes
-from chartweave.plans.history import table
+from chartweave.plans.history import THREADS, table
 from chartweave.streaming import streams
 
 HEADINGS = [("complaints", r"Общее"), ("diagnosis", r"\[ДАТА\]")]
@@ -132,7 +134,25 @@ def w5_removed_counts(spark, d):
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "type", "removed")
 
 
-QUERIES = {f.__name__: f for f in (c9_chunk_documents, c9_chunk_notes, c12_ingest_stats, e7_format_samples, h8_normalize_titles, p6_extract_facts, p7_dated_snippets, p9_anchor_dates, p13_take_unused, p15_forbidden_items, p18_speech_levels, r14_label_counts, r16_recall_report, t2_exam_stamps, t3_substitutions, t9_line_kinds, w2_dedup_points, w5_removed_counts)}
+def w3_stream_threads(spark, d):
+    """Conversations as they come: a message is an event, every third one a read too."""
+    rows = spark.readStream.schema(spark.read.parquet(f"{d}/conversations.parquet").schema).parquet(f"{d}/conversations.parquet*")
+    side = F.when(F.col("role") == "user", "user").otherwise("support")
+    read = F.when(F.col("turn") % 3 == 1, F.when(F.col("turn") % 2 == 1, "admin_read").otherwise("user_read"))
+    told = rows.select(F.col("conv_id").alias("thread_id"), F.col("turn").cast("long").alias("at"), F.col("turn").cast("long").alias("id"), F.col("text").alias("body"), F.explode(F.array_compact(F.array(side, read))).alias("kind"))
+    base = f"{streams.shared_folder(spark)}/threads-{uuid.uuid4().hex}"
+    streams.stream_threads(told, base).awaitTermination()
+    return streams.current_threads(spark, base)
+
+
+def w4_stream_sessions(spark, d):
+    kind = F.when(F.col("event_type") == "signup", "login").when(F.col("event_type") == "error", "logout").when(F.col("event_type") == "purchase", "refresh").otherwise("use")
+    rows = _events(spark, d).select(F.floor(F.col("event_id") / 3).alias("session_id"), F.col("user_id").cast("long").alias("doctor_id"), kind.alias("kind"), "ts")
+    done = streams.run_available(streams.stream_sessions(rows), "sessions")
+    return done.select("session_id", "doctor_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("issued_at", "closed_at")], "reason")
+
+
+QUERIES = {f.__name__: f for f in (w3_stream_threads, w4_stream_sessions, c9_chunk_documents, c9_chunk_notes, c12_ingest_stats, e7_format_samples, h8_normalize_titles, p6_extract_facts, p7_dated_snippets, p9_anchor_dates, p13_take_unused, p15_forbidden_items, p18_speech_levels, r14_label_counts, r16_recall_report, t2_exam_stamps, t3_substitutions, t9_line_kinds, w2_dedup_points, w5_removed_counts)}
 
 SQL = {
     "c9_chunk_notes": f"""WITH {NOTES}, p AS (SELECT doc_ref, unnest(string_split(replace(replace(text, chr(10) || '[ДАТА]', chr(1) || '[ДАТА]'), chr(10) || '[ПЕРИОД]', chr(1) || '[ПЕРИОД]'), chr(1))) AS text FROM notes)
@@ -155,4 +175,10 @@ SQL = {
     "t9_line_kinds": rf"WITH {VARIED}, l AS (SELECT doc_ref, unnest(string_split('Diagnosis : one: two ' || chr(10) || ' ' || chr(10) || text, chr(10))) AS line FROM varied WHERE text IS NOT NULL), h AS (SELECT doc_ref, line, regexp_extract(line, '^\s*([^:]+?)\s*:', 1) AS head FROM l), k AS (SELECT doc_ref, line, head, lower(head) IN ('diagnosis', 'жалобы', 'мать') AS known, regexp_matches(line, '^\s*$') AS bare FROM h) SELECT doc_ref, CASE WHEN bare THEN 'blank' WHEN known THEN 'labelled' ELSE 'text' END AS kind, count(*) AS n, max(head) FILTER (WHERE known) AS label, CAST(sum(length(regexp_replace(CASE WHEN known THEN regexp_replace(line, '^[^:]*:', '') ELSE line END, '^\s+|\s+$', '', 'g'))) AS BIGINT) AS chars FROM k GROUP BY 1, 2",
     "w2_dedup_points": "SELECT DISTINCT user_id || '-' || event_type AS point_id FROM events",
     "w5_removed_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS type, count(*) AS removed FROM events GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)",
+    "w3_stream_threads": f"WITH {THREADS} SELECT * FROM threads",
+    "w4_stream_sessions": """WITH e AS (SELECT event_id // 3 AS session_id, user_id, ts, event_type = 'signup' AS begun FROM events WHERE event_type IN ('signup', 'error', 'purchase')),
+ x AS (SELECT session_id, arg_min(user_id, ts) FILTER (WHERE begun) AS doctor_id, min(ts) FILTER (WHERE begun) AS a, min(ts) FILTER (WHERE NOT begun) AS b FROM e GROUP BY 1),
+ y AS (SELECT session_id, doctor_id, a, CASE WHEN b < a + INTERVAL 3 DAY THEN greatest(a, b) END AS b FROM x WHERE a IS NOT NULL)
+ SELECT session_id, doctor_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS issued_at, strftime(coalesce(b, a + INTERVAL 3 DAY), '%Y-%m-%d %H:%M:%S') AS closed_at, CASE WHEN b IS NULL THEN 'expired' ELSE 'revoked' END AS reason FROM y
+ WHERE b IS NOT NULL OR a + INTERVAL 3 DAY + INTERVAL 2 HOUR < (SELECT max(ts) FROM events WHERE event_type IN ('signup', 'error', 'purchase'))""",
 }

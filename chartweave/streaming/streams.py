@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chartweave.operators import redaction
+from chartweave.operators.history import message_preview
 from chartweave.operators.ingest import new_points
 
 _own_folder: list[str] = []
@@ -64,3 +68,86 @@ def uploaded_points(spark: SparkSession, base: str) -> DataFrame:
     rows = spark.read.parquet(f"{base}/points")
     last = Window.partitionBy("point_id").orderBy(F.col("batch").desc())
     return rows.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", "batch")
+
+
+THREAD = "thread_id long, last_message_at long, last_id long, body string, unread_by_admin long, unread_by_user long"
+
+
+def thread_changes(events: DataFrame) -> DataFrame:
+    """What a set of events (thread_id, at, id, kind, body: kind is user or support for
+    messages, admin_read or user_read) does to each thread: its last message, the messages of
+    either side behind the last read, and whether the other side read at all. Maxima and
+    counts only; all are taken in part before the shuffle."""
+    reads = events.where(F.col("kind").isin("admin_read", "user_read")).groupBy("thread_id")
+    last = reads.agg(*[F.max(F.when(F.col("kind") == f"{who}_read", F.col("at"))).alias(f"_{who}") for who in ("admin", "user")])
+    rows = events.join(last, "thread_id", "left")
+    unseen = lambda side, read: F.count_if((F.col("kind") == side) & (F.col(read).isNull() | (F.col("at") > F.col(read))))
+    message = F.col("kind").isin("user", "support")
+    newest = F.max(F.when(message, F.struct(F.col("at"), F.col("id"), F.col("body")))).alias("_m")
+    made = rows.groupBy("thread_id").agg(newest, unseen("user", "_admin").alias("by_admin"), unseen("support", "_user").alias("by_user"), F.max("_admin").isNotNull().alias("admin_read"), F.max("_user").isNotNull().alias("user_read"))
+    return made.select("thread_id", F.col("_m.at").alias("at"), F.col("_m.id").alias("id"), F.col("_m.body").alias("text"), "by_admin", "by_user", "admin_read", "user_read")
+
+
+def stream_threads(stream: DataFrame, base: str):
+    """Start keeping every thread's last message and unread counters. Each micro-batch is
+    folded by itself and laid over the threads of the batch before; the result is a folder of
+    its own under ``base``, so that a batch run again after a failure writes the same. Inside a
+    batch times decide; a read covers all that came in earlier batches."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(THREAD).parquet(f"{base}/threads/{number - 1}") if number else spark.createDataFrame([], THREAD)
+        both = before.join(thread_changes(batch), "thread_id", "full")
+        fresh = F.col("at").isNotNull() & (F.col("last_message_at").isNull() | (F.struct("at", "id") >= F.struct("last_message_at", "last_id")))
+        kept = lambda new, old: F.when(fresh, F.col(new)).otherwise(F.col(old)).alias(old)
+        count = lambda side: (F.coalesce(f"by_{side}", F.lit(0)) + F.when(F.coalesce(f"{side}_read", F.lit(False)), 0).otherwise(F.coalesce(f"unread_by_{side}", F.lit(0)))).cast("long").alias(f"unread_by_{side}")
+        both.select("thread_id", kept("at", "last_message_at"), kept("id", "last_id"), kept("text", "body"), count("admin"), count("user")).write.mode("overwrite").parquet(f"{base}/threads/{number}")
+        batch.sparkSession.createDataFrame([(number,)], "batch long").write.mode("overwrite").parquet(f"{base}/last")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+
+
+def current_threads(spark: SparkSession, base: str) -> DataFrame:
+    """The threads after the last batch; one that was only read so far has no message."""
+    number = spark.read.parquet(f"{base}/last").first()["batch"]
+    rows = spark.read.schema(THREAD).parquet(f"{base}/threads/{number}")
+    return rows.select("thread_id", "last_message_at", message_preview(F.col("body")).alias("last_message_preview"), "unread_by_admin", "unread_by_user")
+
+
+def stream_sessions(stream: DataFrame, days: float = 3, delay: str = "2 hours") -> DataFrame:
+    """Closed sessions (session_id, doctor_id, issued_at, closed_at, reason) from events
+    (session_id, doctor_id, kind, ts) as they come: a session begins with its first login and
+    is closed by the first refresh or logout (revoked; one logged before the login closes it at
+    once), else when event time passes its life of ``days`` (expired). Each is told once, if no event comes more than ``delay`` late: what is
+    remembered of a closed one goes when its life is over. State is three values a session;
+    events of a session come in batches of rows and are not held."""
+    life, never = int(days * 86_400_000_000), 1 << 62  # microseconds
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        doctor, issued, ended, told = state.get if state.exists else (0, never, never, False)
+        row = lambda at, reason: pd.DataFrame({"session_id": [key[0]], "doctor_id": [doctor], "issued": [issued], "closed": [at], "reason": [reason]})
+        if state.hasTimedOut:
+            state.remove()
+            if issued < never and not told:
+                yield row(issued + life, "expired")
+            return
+        for f in frames:
+            begun, over = f[f["kind"] == "login"], f[f["kind"] != "login"]
+            if len(begun) and begun["at"].min() < issued:
+                doctor, issued = (int(x) for x in begun.loc[begun["at"].idxmin(), ["doctor_id", "at"]])
+            ended = min([ended, *map(int, over["at"].nsmallest(1))])
+        if issued < never and ended < issued + life and not told:
+            yield row(max(ended, issued), "revoked")
+            told = True
+        state.update((doctor, issued, ended, told))
+        last = min(issued, ended) + life
+        # what event time has passed already is over with the next batch
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs() + 1))
+
+    rows = stream.where(F.col("kind").isin("login", "refresh", "logout")).select("session_id", "doctor_id", "kind", "ts", F.unix_micros("ts").alias("at"))
+    closed = (
+        rows.withWatermark("ts", delay)
+        .groupBy("session_id")
+        .applyInPandasWithState(step, "session_id long, doctor_id long, issued long, closed long, reason string", "doctor long, issued long, ended long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+    return closed.select("session_id", "doctor_id", F.timestamp_micros("issued").alias("issued_at"), F.timestamp_micros("closed").alias("closed_at"), "reason")
