@@ -7,12 +7,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from chartweave.plans import answers, corpus, flows, history, notes
+from chartweave.plans import answers, corpus, exports, flows, history, notes
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = history.SQL | corpus.SQL | answers.SQL | flows.SQL | notes.SQL
-QUERIES = history.QUERIES | corpus.QUERIES | answers.QUERIES | flows.QUERIES | notes.QUERIES
+SQL = history.SQL | corpus.SQL | answers.SQL | flows.SQL | notes.SQL | exports.SQL
+QUERIES = history.QUERIES | corpus.QUERIES | answers.QUERIES | flows.QUERIES | notes.QUERIES | exports.QUERIES
 
 
 def plain(df: pd.DataFrame) -> list:
