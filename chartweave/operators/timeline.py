@@ -83,10 +83,19 @@ def sentence_kind(sentence: Column) -> Column:
     return F.coalesce(*[F.when(is_visit(low) if p is None else low.rlike(p), F.lit(k)) for p, k in KINDS], F.lit("laterBehaviors"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def first_of_each(items: Column, key) -> Column:
+    """``items`` without those whose key an earlier one has."""
+    return bound(items, lambda xs: bound(F.transform(xs, key), lambda ks: F.filter(xs, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)))
+
+
 def unique(items: Column) -> Column:
     """``items`` without those that begin like an earlier one."""
-    keys = F.transform(items, lambda x: F.lower(F.substring(x, 1, SAME)))
-    return F.filter(items, lambda x, i: F.array_position(keys, F.lower(F.substring(x, 1, SAME))) == i + 1)
+    return first_of_each(items, lambda x: F.lower(F.substring(x, 1, SAME)))
 
 
 def _closed(text: Column) -> Column:
@@ -107,7 +116,9 @@ def narrative_facts(stays: DataFrame, text: str = "narrative") -> DataFrame:
     once. Null and blank narratives tell nothing."""
 
     def told(sentence: Column) -> Column:
-        kind = sentence_kind(sentence)
+        return bound(sentence_kind(sentence), lambda kind: of_kind(sentence, kind))
+
+    def of_kind(sentence: Column, kind: Column) -> Column:
         parts = F.split(sentence, f"(?iu){LATER}")
         clean = lambda x: trim_space(F.regexp_replace(x, r"^[,.\s]+", ""))
         early = _closed(clean(F.regexp_replace(parts[0], "(?iu)в первые дни|при поступлении|с первых дней", "")))
@@ -143,7 +154,7 @@ def day_marks(text: Column, year: Column) -> Column:
         longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["iso"].alias("iso"), F.concat(last["snippet"], m["snippet"]).alias("snippet"))))
         return F.when(m["iso"].isNotNull(), F.concat(done, F.array(m))).when(F.size(done) > 0, longer).otherwise(done)
 
-    marks = F.aggregate(F.transform(parts, told), none, laid)
+    marks = F.when(text.rlike(DAY_MARK), F.aggregate(F.transform(parts, told), none, laid)).when(text.isNotNull(), none)
     bare = F.transform(marks, lambda m: F.struct(m["iso"].alias("iso"), trim_space(F.regexp_replace(m["snippet"], r"[;,.\s]+$", "")).alias("snippet")))
     return F.filter(bare, lambda m: F.length(m["snippet"]) > 8)
 
@@ -168,7 +179,9 @@ def assign_timed(stays: DataFrame, days: DataFrame, text: str = "narrative") ->
         begin = F.greatest(at - 140, F.lit(0))
         around = F.lower(F.substr(F.col(text), begin + 1, at + F.length(s) + 80 - begin))
         share = F.floor(at / (F.length(text) - 1) * (n - 1) + 0.5).cast("int")
-        marks = day_marks(s, year)
+        return bound(day_marks(s, year), lambda marks: known(s, marks, at, around, share))
+
+    def known(s: Column, marks: Column, at: Column, around: Column, share: Column) -> Column:
         low = F.lower(s)
         anchor = (
             F.when(F.size(marks) > 0, F.try_to_date(marks[0]["iso"]))
@@ -312,6 +325,7 @@ def stay_pools(stays: DataFrame, days: DataFrame, text: str = "narrative") -> Da
         "stay_id", *FACTS, speech.alias("speech_level"), trim_space(blank("final_state")).alias("final_state"), day_marks(sources, F.col("_year")).alias("doses"), "overall_dynamics",
         unique(F.filter(F.concat("timed", split_sentences(blank(text))), lambda s: is_visit(low(s)))).alias("visits"),
         F.filter("laterBehaviors", lambda s: low(s).rlike(FIELD_ACT)).alias("field"),
+        first_of_each(F.filter("laterBehaviors", lambda s: low(s).rlike(FIELD_ACT)), field_key).alias("acts"),
         F.filter("laterBehaviors", lambda s: ~low(s).rlike(FIELD_ACT) & ~low(s).rlike(OCCUPATION)).alias("calm"),
         unique(F.filter(F.concat("laterBehaviors", "traits", "improvement"), lambda s: low(s).rlike(OCCUPATION))).alias("occupations"),
         low(F.concat_ws(" ", "traits", "laterBehaviors", "improvement")).alias("_blob"),
@@ -358,9 +372,7 @@ def compile_briefs(stays: DataFrame, days: DataFrame, text: str = "narrative", m
     rows = rows.withColumns({"_n": F.count(F.lit(1)).over(stay), "_turn": F.count_if(takes).over(stay.orderBy("day")), "_exam_at": F.min(F.when(F.col("doc_type") == "exam_10d", i)).over(stay)})
 
     none = F.array().cast(TEXTS)
-    keys = F.transform("field", field_key)
-    fresh = F.filter("field", lambda x, at: F.array_position(keys, field_key(x)) == at + 1)
-    taken = F.when(takes & (F.col("_turn") <= F.size(fresh)), F.array(F.get(fresh, F.col("_turn").cast("int") - 1))).otherwise(none)
+    taken = F.when(takes & (F.col("_turn") <= F.size("acts")), F.array(F.get("acts", F.col("_turn").cast("int") - 1))).otherwise(none)
     of_period = lambda xs: F.transform(xs, lambda x: F.concat(F.lit(FOR_PERIOD), x))
     count = F.when(quiet, 1).otherwise(2)
     own = (
