@@ -175,13 +175,12 @@ def assign_timed(stays: DataFrame, days: DataFrame, text: str = "narrative") ->
 
     def placed(raw: Column) -> Column:
         s = _closed(raw)
-        at = F.position(s, F.col(text)) - 1
+        return bound(F.position(s, F.col(text)) - 1, lambda at: bound(day_marks(s, year), lambda marks: known(s, marks, at)))
+
+    def known(s: Column, marks: Column, at: Column) -> Column:
         begin = F.greatest(at - 140, F.lit(0))
         around = F.lower(F.substr(F.col(text), begin + 1, at + F.length(s) + 80 - begin))
         share = F.floor(at / (F.length(text) - 1) * (n - 1) + 0.5).cast("int")
-        return bound(day_marks(s, year), lambda marks: known(s, marks, at, around, share))
-
-    def known(s: Column, marks: Column, at: Column, around: Column, share: Column) -> Column:
         low = F.lower(s)
         anchor = (
             F.when(F.size(marks) > 0, F.try_to_date(marks[0]["iso"]))
@@ -200,12 +199,12 @@ def assign_timed(stays: DataFrame, days: DataFrame, text: str = "narrative") ->
     rows = rows.withColumn("_named", named)
 
     def nearest(fits) -> Column:
-        near = F.array_min(F.transform(F.filter("_days", fits), lambda d: F.struct(F.coalesce(F.abs(F.datediff(d, F.col("anchor"))), F.lit(0)).alias("gap"), d.alias("day"))))
-        return F.when(near.isNotNull(), F.array(near["day"])).otherwise(F.array().cast("array<date>"))
+        gaps = F.transform(F.filter("_days", fits), lambda d: F.struct(F.coalesce(F.abs(F.datediff(d, F.col("anchor"))), F.lit(0)).alias("gap"), d.alias("day")))
+        return F.transform(F.slice(F.array_sort(gaps), 1, 1), lambda x: x["day"])
 
     def whole_weekend(hit: Column) -> Column:
-        saturday = F.date_sub(hit[0], F.pmod(F.dayofweek(hit[0]), F.lit(7)))
-        return F.when(F.size(hit) > 0, F.filter("_days", lambda d: (d == saturday) | (d == F.date_add(saturday, 1)))).otherwise(hit)
+        saturday = F.transform(hit, lambda d: F.date_sub(d, F.pmod(F.dayofweek(d), F.lit(7))))
+        return F.flatten(F.transform(saturday, lambda a: F.filter("_days", lambda d: (d == a) | (d == F.date_add(a, 1)))))
 
     dated = F.filter("_days", lambda d: F.array_contains(F.col("isos"), F.date_format(d, "yyyy-MM-dd")))
     weekday = nearest(lambda d: F.array_contains(F.col("_named"), F.dayofweek(d)))
