@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import ann, bpe, chunk_dedup, langid, mixing, neardup, oracle, quality, search, sharding, token_counts, toxicity
+from chartweave.llm import ann, bpe, chunk_dedup, langid, mixing, neardup, oracle, quality, search, sharding, spelling, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -79,6 +79,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source", "times", "shards")
 
 
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_documents(spark, sf_dir))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_documents(docs.select("doc_id", "text"), toxicity.fit_on_labels(docs, labels))
@@ -96,6 +100,7 @@ ALL = (
     op8_language_mixture,
     op9_near_duplicates,
     op10_source_mix,
+    op12_spelling_forms,
     op13_toxicity,
 )
 

@@ -23,4 +23,34 @@ BM25 = rf"""WITH said AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[a-z0-9\x
  scores AS (SELECT a.query_id, c.doc_id, round(sum(a.weight * c.tf * 2.2 / (c.tf + 1.2 * (0.25 + 0.75 * c.size / s.mean))), 9) AS score FROM asked a JOIN counts c USING (term), stats s GROUP BY 1, 2)
  SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, score FROM scores WHERE score > 0 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10"""
 
-SQL = {"op2_bm25_top_k": BM25, "op9_near_duplicates": NEAR_DUPLICATES}
+#: The 256 remainders of CRC-32 (reversed polynomial 0xEDB88320), as a list, and the checksum of a list of bytes.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def _crc32(codes: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda x, y: xor(x >> 8, crc.t[CAST(xor(x, y) & 255 AS BIGINT) + 1])), 4294967295)"
+
+
+def _bytes(text: str) -> str:
+    """UTF-8 bytes of characters below U+0800."""
+    return f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+
+
+_DELETED = "concat(substr({0}, 1, {1} - 1), substr({0}, {1} + 1))"
+
+SPELLING = rf"""WITH RECURSIVE {_CRC_TABLE},
+ runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents),
+ seen AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY 1, 2),
+ hashed AS (SELECT run, n, CAST({_crc32(_bytes("concat(doc_id, ':', run)"))} AS BIGINT) AS h FROM seen, crc),
+ results AS (SELECT CASE WHEN h % 31 = 0 THEN {_DELETED.format("run", "(h % length(run) + 1)")} ELSE run END AS word, n FROM hashed),
+ words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+ holes AS (SELECT word, n, i, {_DELETED.format("word", "i")} AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+ near AS (SELECT x.word, y.word AS other, y.n FROM holes x JOIN holes y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM holes x JOIN words y ON x.rest = y.word UNION SELECT y.word, x.word, x.n FROM holes x JOIN words y ON x.rest = y.word),
+ best AS (SELECT word, count(*) AS n_near, max(n) AS most, list(other ORDER BY n DESC, other)[1] AS other FROM near GROUP BY 1),
+ forms AS (SELECT w.word, CASE WHEN b.most >= 10 * w.n THEN b.other END AS form, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 10 * w.n THEN b.most END AS form_n FROM words w LEFT JOIN best b USING (word)),
+ walk AS (SELECT word, form AS place FROM forms WHERE form IS NOT NULL UNION SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.place WHERE f.form IS NOT NULL),
+ ends AS (SELECT w.word, w.place AS root FROM walk w JOIN forms f ON f.word = w.place WHERE f.form IS NULL)
+ SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN ends e USING (word)"""
+
+SQL = {"op12_spelling_forms": SPELLING, "op2_bm25_top_k": BM25, "op9_near_duplicates": NEAR_DUPLICATES}

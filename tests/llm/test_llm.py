@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -302,7 +303,7 @@ def test_queries_equal_their_sql(spark, name, sf):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
     want = con.sql(oracle.SQL[name]).df()
     got = entries.queries()[name](spark, f"/root/testdata/{sf}").toPandas()[list(want.columns)]
-    plain = lambda df: sorted(tuple(x.item() if hasattr(x, "item") else x for x in r) for r in df.itertuples(index=False))
+    plain = lambda df: sorted((tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in r) for r in df.itertuples(index=False)), key=repr)
     assert len(want) > 0 and plain(got) == plain(want)
 
 
