@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import ann, bpe, chunk_dedup, langid, mixing, neardup, oracle, quality, search, sharding, spelling, token_counts, toxicity
+from chartweave.llm import ann, bpe, chunk_dedup, langid, merkle, mixing, neardup, oracle, quality, search, sharding, spelling, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -79,6 +79,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "source", "times", "shards")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    folded = merkle.fold(merkle.build(merkle.document_leaves(_documents(spark, sf_dir), tampered)))
+    return folded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(_documents(spark, sf_dir))
 
@@ -100,6 +106,7 @@ ALL = (
     op8_language_mixture,
     op9_near_duplicates,
     op10_source_mix,
+    op11_merkle_manifest,
     op12_spelling_forms,
     op13_toxicity,
 )

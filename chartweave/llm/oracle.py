@@ -53,4 +53,38 @@ SPELLING = rf"""WITH RECURSIVE {_CRC_TABLE},
  ends AS (SELECT w.word, w.place AS root FROM walk w JOIN forms f ON f.word = w.place WHERE f.form IS NULL)
  SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN ends e USING (word)"""
 
-SQL = {"op12_spelling_forms": SPELLING, "op2_bm25_top_k": BM25, "op9_near_duplicates": NEAR_DUPLICATES}
+def _fields(*columns: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')" for c in columns) + "))"
+
+
+def _tree(name: str, base: str) -> str:
+    """Levels of the trees over ``base`` (tree, slot, d, n), and the children of every parent."""
+    return f"""{name} AS (SELECT tree, 0 AS level, slot, d, n FROM {base} UNION ALL
+  SELECT tree, level + 1, slot // 16, sha256(string_agg(d, '' ORDER BY slot)), (n + 15) // 16 FROM {name} WHERE n > 1 GROUP BY tree, level, n, slot // 16),
+ {name}_kids AS (SELECT tree, level, slot // 16 AS parent, list(d ORDER BY slot) AS ds FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _fold(name: str, tree: str, base: str) -> str:
+    """From ``base`` (doc, tree, slot, d, n, siblings) up to the top of its tree."""
+    return f"""{name} AS (SELECT doc, tree, 0 AS level, slot, d, n, siblings FROM {base} UNION ALL
+  SELECT f.doc, f.tree, f.level + 1, f.slot // 16, sha256(array_to_string(list_concat(list_append(k.ds[1:f.slot % 16], f.d), k.ds[f.slot % 16 + 2:]), '')), (f.n + 15) // 16,
+   concat(f.siblings, array_to_string(list_concat(k.ds[1:f.slot % 16], k.ds[f.slot % 16 + 2:]), ''))
+  FROM {name} f JOIN {tree}_kids k ON k.tree = f.tree AND k.level = f.level AND k.parent = f.slot // 16 WHERE f.n > 1)"""
+
+
+MERKLE = f"""WITH RECURSIVE {_CRC_TABLE},
+ hashed AS (SELECT row_number() OVER () AS doc, doc_id, source, {_fields("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+  {_fields("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low, coalesce({_crc32(_bytes("CAST(doc_id AS VARCHAR)"))} % 5 = 0, false) AS hit FROM documents, crc),
+ leaves AS (SELECT doc, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY source) AS n, leaf, CASE WHEN hit THEN low ELSE leaf END AS other FROM hashed),
+ nodes AS (SELECT tree, slot, leaf AS d, n FROM leaves),
+ {_tree("low", "nodes")},
+ tops AS (SELECT 0 AS tree, tree AS slot, d, count(*) OVER () AS n FROM low WHERE n = 1),
+ {_tree("high", "tops")},
+ changed AS (SELECT doc, tree, slot, other AS d, n, '' AS siblings FROM leaves),
+ {_fold("up", "low", "changed")},
+ reached AS (SELECT u.doc, 0 AS tree, u.tree AS slot, u.d, t.n, u.siblings FROM up u JOIN tops t ON t.slot = u.tree WHERE u.n = 1),
+ {_fold("further", "high", "reached")}
+ SELECT l.doc_id, l.leaf, s.d AS subroot, r.d AS root, sha256(f.siblings) AS proof_sha256, f.d AS folded_root, f.d = r.d AS verified
+ FROM leaves l JOIN tops s ON s.slot = l.tree JOIN further f ON f.doc = l.doc AND f.n = 1 CROSS JOIN (SELECT d FROM high WHERE n = 1) r"""
+
+SQL = {"op11_merkle_manifest": MERKLE, "op12_spelling_forms": SPELLING, "op2_bm25_top_k": BM25, "op9_near_duplicates": NEAR_DUPLICATES}
