@@ -1,16 +1,10 @@
-"""Vectors: normalising, upserts, exact filtered top-k with staged relaxation of filters."""
+"""Vectors: normalising, upserts, samples for an audit. Retrieval is in ``retrieval``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIELDS = ("doc_type", "syndrome", "diagnosis_class", "section")
-
 
 def l2_normalize(v: Column) -> Column:
     """The unit vector; a zero vector stays."""
@@ -28,92 +22,3 @@ def upsert_points(existing: DataFrame, incoming: DataFrame, arrival: str = "arri
 def sample_for_audit(points: DataFrame, n: int) -> DataFrame:
     """Payloads of the first ``n`` points by id, without vectors."""
     return points.drop("embedding").orderBy("point_id").limit(max(n, 1))
-
-
-def fallback_levels(queries: DataFrame) -> DataFrame:
-    """(query_id, level, fields): the filters to try in turn. All fields; type and class; only
-    without a class: type alone, then nothing. Of equal filters the first level stays."""
-    q = queries.withColumns({f: F.nullif(F.col(f), F.lit("")) for f in FIELDS})
-    none = F.lit(None).cast("string")
-    make = lambda level, on, *cols: F.when(on, F.struct(F.lit(level).alias("level"), *[c.alias(f) for f, c in zip(FIELDS, cols)]))
-    free = F.col("diagnosis_class").isNull()
-    every = F.lit(True)
-    tries = F.array(
-        make(0, every, *[F.col(f) for f in FIELDS]),
-        make(1, every, F.col("doc_type"), none, F.col("diagnosis_class"), none),
-        make(2, free, F.col("doc_type"), none, none, none),
-        make(3, free, none, none, none, none),
-    )
-    rows = q.select("query_id", F.explode(F.array_compact(tries)).alias("t")).select("query_id", "t.*")
-    first = Window.partitionBy("query_id", *FIELDS).orderBy("level")
-    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-
-
-def chosen_level(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """Each query's first level that any point passes. Levels meet the small table of facets
-    (distinct field values), never the points."""
-    facets = points.groupBy(*FIELDS).count()
-    levels = fallback_levels(queries).alias("q")
-    passes = F.lit(True)
-    for f in FIELDS:
-        passes = passes & (F.col(f"q.{f}").isNull() | (F.col(f"q.{f}") == F.col(f"f.{f}")))
-    met = levels.join(F.broadcast(facets.alias("f")) if facets.limit(10_001).count() <= 10_000 else facets.alias("f"), passes)
-    return met.groupBy("q.query_id").agg(F.min_by(F.struct(*[F.col(f"q.{c}").alias(c) for c in ("level", *FIELDS)]), F.col("q.level")).alias("t")).select("query_id", "t.*")
-
-
-def cosine_top_k(queries: DataFrame, points: DataFrame, k: int = 7, block: int = 4096) -> DataFrame:
-    """(query_id, rank, point_id, score): exact cosine top-k of each query over the points that
-    pass its filter fields (null: any). Queries go to the points in blocks of ``block`` (what
-    is broadcast at once is bounded); every batch of points keeps its k best per query, and
-    only these are shuffled. Ties go to the smaller point_id. Vectors that are null, empty or
-    hold a null take no part."""
-    spark = points.sparkSession
-    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & (F.size("embedding") > 0)
-    queries, points = queries.where(whole), points.where(whole)
-    total = queries.count()
-    found = None
-    for part in range(max(1, -(-total // block))):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // block)))) == part).select("query_id", "embedding", *FIELDS).toPandas()
-        if not len(mine):
-            continue
-        q = np.stack(mine["embedding"].to_numpy()).astype(float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((mine["query_id"].to_numpy(), q, [mine[f].to_numpy() for f in FIELDS]))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q, wanted = shared.value
-            for f in frames:
-                if not len(f):
-                    continue
-                x = np.stack(f["embedding"].to_numpy()).astype(float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                own = [f[c].to_numpy() for c in FIELDS]
-                point = f["point_id"].to_numpy()
-                order = np.argsort(point, kind="stable")
-                out = []
-                for at in range(0, len(q), 256):
-                    score = q[at : at + 256] @ x.T
-                    for values, has in zip(wanted, own):
-                        for i, v in enumerate(values[at : at + 256]):
-                            if v is not None:
-                                score[i, has != v] = -np.inf
-                    for i, row in enumerate(np.round(score, 12)):
-                        best = order[np.argsort(-row[order], kind="stable")[:k]]
-                        best = best[np.isfinite(row[best])]
-                        out.append(pd.DataFrame({"query_id": ids[at + i], "point_id": point[best], "score": row[best]}))
-                yield pd.concat(out)
-
-        kinds = dict(queries.dtypes)["query_id"], dict(points.dtypes)["point_id"]
-        rows = points.select("point_id", "embedding", *FIELDS).mapInPandas(run, f"query_id {kinds[0]}, point_id {kinds[1]}, score double")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, point_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "point_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "score")
-
-
-def retrieve_with_fallback(queries: DataFrame, points: DataFrame, k: int = 7) -> DataFrame:
-    """Top-k at each query's first level that is not empty; levels never mix."""
-    level = chosen_level(queries, points)
-    ready = queries.select("query_id", "embedding").join(level, "query_id")
-    return cosine_top_k(ready, points, k).join(level.select("query_id", "level"), "query_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chartweave.functions import personal_data as known
 from chartweave.operators import redaction as r
+from chartweave.operators import retrieval
 from chartweave.operators import stays as s
 from chartweave.operators import text as t
 from chartweave.operators import vectors as v
@@ -271,16 +272,16 @@ def e2_l2_normalize(spark, d):
 
 
 def e3_cosine_top_k(spark, d):
-    plain = points(spark, d).where("point_id % 10 = 0").select(F.col("point_id").alias("query_id"), "embedding", *[F.lit(None).cast("string").alias(f) for f in v.FIELDS])
-    return v.cosine_top_k(plain, points(spark, d)).withColumn("score", F.round("score", 6))
+    plain = points(spark, d).where("point_id % 10 = 0").select(F.col("point_id").alias("query_id"), "embedding", *[F.lit(None).cast("string").alias(f) for f in retrieval.FIELDS])
+    return retrieval.cosine_top_k(plain, points(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def e5_fallback_levels(spark, d):
-    return v.fallback_levels(asked(spark, d))
+    return retrieval.fallback_levels(asked(spark, d))
 
 
 def e6_retrieve_with_fallback(spark, d):
-    return v.retrieve_with_fallback(asked(spark, d), points(spark, d)).withColumn("score", F.round("score", 6))
+    return retrieval.retrieve_with_fallback(asked(spark, d), points(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def e8_collection_count(spark, d):
@@ -334,7 +335,7 @@ SQL = {
     "p2_plan_days": f"WITH {STAYS} SELECT stay_id, CAST(day AS VARCHAR) AS day, day_number, doc_type FROM days",
     "p3_plan_counts": f"WITH {STAYS} SELECT stay_id, count(*) FILTER (WHERE doc_type = 'daily') AS daily, count(*) FILTER (WHERE doc_type = 'exam_10d') AS exams FROM days GROUP BY 1",
     "p4_sentences": r"WITH a AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1))) AS x FROM documents), b AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS x FROM a), c AS (SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM b) SELECT doc_id AS stay_id, count(*) AS n, CAST(sum(length(x)) AS BIGINT) AS chars FROM c WHERE x <> '' GROUP BY 1",
-    "p8_nearest_days": f"WITH {STAYS}, m AS (SELECT l_orderkey AS stay_id, l_linenumber AS item, CAST(l_shipdate AS DATE) AS anchor, day FROM lineitem JOIN days ON stay_id = l_orderkey) SELECT stay_id, item, CAST(anchor AS VARCHAR) AS anchor, CAST(arg_min(day, (abs(day - anchor), day)) AS VARCHAR) AS day FROM m GROUP BY 1, 2, m.anchor",
+    "p8_nearest_days": f"WITH {STAYS}, i AS (SELECT row_number() OVER () AS line, l_orderkey, l_linenumber AS item, CAST(l_shipdate AS DATE) AS anchor FROM lineitem), m AS (SELECT line, stay_id, item, anchor, day FROM i JOIN days ON stay_id = l_orderkey) SELECT stay_id, item, CAST(anchor AS VARCHAR) AS anchor, CAST(arg_min(day, (abs(day - anchor), day)) AS VARCHAR) AS day FROM m GROUP BY line, stay_id, item, m.anchor",
     "p10_period_percent": f"WITH {STAYS}, x AS (SELECT stay_id, day, row_number() OVER (PARTITION BY stay_id ORDER BY day) AS place, count(*) OVER (PARTITION BY stay_id) AS n FROM days) SELECT stay_id, CAST(day AS VARCHAR) AS day, place, CASE WHEN n > 1 THEN round((place - 1) * 100.0 / (n - 1)) ELSE 0.0 END AS percent FROM x",
     "p16_weekend_notes": f"WITH {STAYS} SELECT stay_id, CAST(day AS VARCHAR) AS day, CAST(day - CASE WHEN dayofweek(day) = 0 THEN 1 ELSE 0 END AS VARCHAR) AS weekend_from FROM days WHERE day_number > 3 AND dayofweek(day) IN (0, 6)",
     "p17_weekend_recap": f"WITH {STAYS} SELECT stay_id, CAST(day AS VARCHAR) AS day FROM days WHERE dayofweek(day) = 1 AND day - 2 >= date_from",

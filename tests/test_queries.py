@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives DuckDB's rows at the smallest scale."""
+"""Every registered query with SQL gives DuckDB's rows at the scale that the driver compares."""
 
 import os
 
@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from chartweave.plans import answers, corpus, exports, flows, history, notes, timelines
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = history.SQL | corpus.SQL | answers.SQL | flows.SQL | notes.SQL | exports.SQL | timelines.SQL
 QUERIES = history.QUERIES | corpus.QUERIES | answers.QUERIES | flows.QUERIES | notes.QUERIES | exports.QUERIES | timelines.QUERIES
