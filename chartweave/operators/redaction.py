@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.functions import personal_data as known
 from chartweave.functions.boundaries import compiled, java
+from chartweave.functions.places import Markers, Places, lower
 from chartweave.operators.text import normalize_text, trim_space
 
 
@@ -56,42 +58,47 @@ def resolve(spans: list[Span]) -> list[Span]:
     return [s for s in kept if s.kind is not None]
 
 
+_CYRILLIC, _MARK = re.compile("[А-Яа-яЁё]"), re.compile(known.PLACEHOLDER_MARK)
 _TOKEN = re.compile(r"[A-Za-zЀ-ԯ][A-Za-zЀ-ԯ-]*\.?")
 
 
+class Stems:
+    """Names by what a form of them has to share: the common beginning of a word and a name is
+    of four letters at least and reaches all but the last two letters of the name and all but
+    the last three of the word. Sets of beginnings answer that in a few lookups, however many
+    names there are."""
+
+    def __init__(self, names: Iterable[str]):
+        names = {n for n in map(plain, names) if len(n) >= 4}
+        # names whose own bound decides, and names that end where the word's bound is, or one behind
+        self.stems = {n[: max(4, len(n) - 2)] for n in names}
+        self.whole = {n[:k] for n in names for k in (len(n), len(n) - 1) if k >= 4}
+        self.listed = functools.lru_cache(100_000)(self._listed)
+
+    def _listed(self, word: str) -> bool:
+        word = plain(word)
+        least = max(4, len(word) - 3)
+        return len(word) >= 4 and (any(word[:k] in self.stems for k in range(least, len(word) + 1)) or word[:least] in self.whole)
+
+
 class Redactor:
     """The compiled form of patterns and word lists, once per worker."""
 
     def __init__(self, lexicon: known.Lexicon = known.USUAL, clock_time: bool = False, boundary: str = "ascii"):
         names = [n for n in known.DETECTORS if clock_time or n not in known.ON_REQUEST]
-        self.detectors = [(known.DETECTORS[n][0], compiled(known.DETECTORS[n][1], boundary), n in known.NUMERIC, known.NEEDS.get(n)) for n in names]
-        self.protected = [compiled(p, boundary) for p in known.PROTECTED]
-        self.residual = [compiled(p) for p in known.RESIDUAL.values()]
+        self.detectors = [(known.DETECTORS[n][0], compiled(known.DETECTORS[n][1], boundary), n in known.NUMERIC) for n in names]
+        self.detected = Places([p for _, p, _ in self.detectors], [known.ANCHORS[n] for n in names], boundary)
+        self.protected = Places([compiled(p, boundary) for p in known.PROTECTED], list(known.PROTECTED_ANCHORS), boundary)
+        self.residual = Places([compiled(p) for p in known.RESIDUAL.values()], [known.RESIDUAL_ANCHORS[k] for k in known.RESIDUAL])
         self.roles = [(k, compiled(p)) for k, p in known.ROLES]
         self.initials = [compiled(known.SURNAME_INITIALS), compiled(known.INITIALS_SURNAME)]
         self.patronymic = re.compile(known.PATRONYMIC)
         tail = compiled(known.INSTITUTION_TAIL if boundary == "ascii" else known.INSTITUTION_TAIL_NAMED).pattern
-        upper = [w for w in lexicon.institutions if w.upper() == w]
-        lower = [w for w in lexicon.institutions if w.upper() != w]
-        # a border here is any letter or digit, Cyrillic too; the longest marker comes first
-        form = lambda words: rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))})(?![^\W_]){tail}"
-        self.institutions = [re.compile(form(w), f) for w, f in ((upper, 0), (lower, re.IGNORECASE)) if w]
+        capitals = [w for w in lexicon.institutions if w.upper() == w]
+        others = [w for w in lexicon.institutions if w.upper() != w]
+        self.institutions = [Markers(capitals, re.compile(tail), False), Markers(others, re.compile(tail, re.IGNORECASE), True)]
         self.no_names = {plain(w) for w in lexicon.no_names}
-        self.by_start: dict[str, list[str]] = {}
-        for word in map(plain, (*lexicon.first_names, *lexicon.surnames)):
-            self.by_start.setdefault(word[:4], []).append(word)
-        self.listed = functools.lru_cache(100_000)(self._listed)
-
-    def _listed(self, word: str) -> bool:
-        """Whether a word is a form of a listed name: four letters and all but the endings agree."""
-        word = plain(word)
-        if len(word) < 4:
-            return False
-        for name in self.by_start.get(word[:4], ()):
-            shared = next((i for i, (a, b) in enumerate(zip(name, word)) if a != b), min(len(name), len(word)))
-            if shared >= max(4, len(name) - 2, len(word) - 3):
-                return True
-        return False
+        self.listed = Stems([*lexicon.first_names, *lexicon.surnames]).listed
 
     def skipped(self, word: str) -> bool:
         return plain(word.rstrip(".")) in self.no_names
@@ -122,11 +129,11 @@ class Redactor:
                 run = []
 
     def spans(self, text: str) -> list[Span]:
-        cyrillic, low = re.search("[А-Яа-яЁё]", text) is not None, text.lower()
-        may_hold = lambda needs: needs is None or any(x in low for x in needs)
-        found = [Span(m.start(), m.end(), kind) for kind, p, numeric, needs in self.detectors if (numeric or cyrillic) and may_hold(needs) for m in p.finditer(text)]
+        cyrillic = _CYRILLIC.search(text) is not None
+        found = [Span(m.start(), m.end(), self.detectors[k][0]) for k, m in self.detected.matches(text) if cyrillic or self.detectors[k][2]]
         if cyrillic:
-            found += [Span(m.start(), m.end(), "institution") for p in self.institutions for m in p.finditer(text)]
+            low = lower(text)
+            found += [Span(start, end, "institution") for markers in self.institutions for start, end in markers.spans(text, low)]
             found += self.name_spans(text)
         return found
 
@@ -135,7 +142,7 @@ class Redactor:
         found = [*self.spans(text), *entities]
         if not found:
             return text, {}
-        found += [Span(m.start(), m.end(), None) for p in self.protected for m in p.finditer(text)]
+        found += [Span(m.start(), m.end(), None) for _, m in self.protected.matches(text)]
         out, at, counts = [], 0, {}
         for s in resolve(found):
             out += [text[at : s.start], known.PLACEHOLDERS[s.kind]]
@@ -145,16 +152,16 @@ class Redactor:
 
     def suspicions(self, text: str) -> list[tuple[str, int, str]]:
         """(type, position, reason) of what still looks like personal data; placeholders do not
-        count. Anything structured is told as a date, names as a person."""
-        masked = re.sub(known.PLACEHOLDER_MARK, lambda m: " " * len(m[0]), text)
-        found = [("date", m.start(), "residual structured pattern") for p in self.residual for m in p.finditer(masked)]
+        count. Anything structured is told as a date, names as a person. Clinical text that is never replaced is no name."""
+        masked = _MARK.sub(lambda m: " " * len(m[0]), text)
+        found = [("date", m.start(), "residual structured pattern") for _, m in self.residual.matches(masked)]
         for m in _TOKEN.finditer(masked):
             word = m[0]
             if word[0] < "Ѐ" or not word[0].isupper() or self.skipped(word):
                 continue
             if self.patronymic.fullmatch(word.rstrip(".")):
                 found.append(("person", m.start(), "residual patronymic"))
-            elif self.listed(word):
+            elif self.listed(word) and not any(p.fullmatch(word) for p in self.protected.patterns):
                 found.append(("person", m.start(), "residual dictionary name"))
         return found
 
@@ -163,19 +170,64 @@ def plain(word: str) -> str:
     return word.strip().lower().replace("ё", "е")
 
 
+def lexicon_of(words: DataFrame, most_bytes: int = 64 << 20) -> known.Lexicon:
+    """The lexicon in a table (kind, word): kinds are first_name, surname, institution and
+    no_name; others, nulls and blanks are passed over, repeats count once. Word lists go to
+    every worker, so their size is looked at first: more than ``most_bytes`` is an error."""
+    kinds = ("first_name", "surname", "institution", "no_name")
+    rows = words.where(F.col("kind").isin(*kinds) & (F.trim("word") != "")).select("kind", "word").distinct()
+    size = rows.agg(F.sum(F.octet_length("word"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"word lists of {size} bytes; the bound is {most_bytes}")
+    of: dict[str, list[str]] = {k: [] for k in kinds}
+    for row in rows.orderBy("kind", "word").collect():
+        of[row["kind"]].append(row["word"])
+    return known.Lexicon(tuple(of["first_name"]), tuple(of["surname"]), tuple(of["institution"]), frozenset(of["no_name"]))
+
+
+def plain_word(word: Column) -> Column:
+    """A word as names are compared: trimmed, in lower case, ё as е."""
+    return F.replace(F.lower(F.trim(word)), F.lit("ё"), F.lit("е"))
+
+
+def stem_matches(words: DataFrame, names: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """(word, name) for each of the ``words`` and each of the ``names`` that it is a form of:
+    their common beginning is of four letters at least and reaches all but the last two letters
+    of the name and all but the last three of the word. They meet by their first four letters;
+    the names are broadcast if they are small by their bytes, joined by shuffle if not. Nulls,
+    shorter words and repeats give nothing more; one result for equal rows."""
+    name = plain_word(F.col("name"))
+    index = names.where(F.length(name) >= 4).select("name", name.alias("_name"), F.left(name, F.lit(4)).alias("_start")).distinct()
+    size = index.agg(F.sum(F.octet_length("_name") + F.octet_length("name"))).first()[0] or 0
+    word = plain_word(F.col("word"))
+    asked = words.where(F.length(word) >= 4).select("word", word.alias("_word"), F.left(word, F.lit(4)).alias("_start")).distinct()
+    met = asked.join(F.broadcast(index) if size <= most_bytes else index, "_start")
+    least = F.greatest(F.lit(4), F.length("_name") - 2, F.length("_word") - 3)
+    whole = F.least(F.length("_name"), F.length("_word")) >= least
+    return met.where(whole & (F.left("_name", least) == F.left("_word", least))).select("word", "name")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores, where they come in fewer parts (as of one row group): what is
+    sequential inside a row should not be so for all rows."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 _OUT = "text string, counts map<string,int>, suspicions array<struct<type:string,position:int,reason:string>>"
 
 
-def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon = known.USUAL, clock_time: bool = False, boundary: str = "ascii", entities: str | None = None) -> DataFrame:
+def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon | DataFrame = known.USUAL, clock_time: bool = False, boundary: str = "ascii", entities: str | None = None) -> DataFrame:
     """``docs`` with the text normalised and redacted, ``removed_count``, ``removed_by_type``
     (map), ``suspicions`` and ``clean`` from the gate. ``entities`` names a column of further
     spans, array<struct<start:int,end:int,type:string>> by characters of the normalised text.
-    Null and blank texts are not clean. No shuffle."""
+    Null and blank texts are not clean. ``lexicon`` may be a table (see ``lexicon_of``). No shuffle."""
+    lists = docs.sparkSession.sparkContext.broadcast(lexicon_of(lexicon) if isinstance(lexicon, DataFrame) else lexicon)
     whole = F.coalesce(normalize_text(F.col(text)), F.lit(""))
     more = F.col(entities) if entities else F.array().cast("array<struct<start:int,end:int,type:string>>")
     # without a digit, a number sign or a Cyrillic letter nothing can be found: such texts stay here
     asked = whole.rlike("[0-9№°А-Яа-яЁё]") | (F.size(more) > 0)
-    found = docs.withColumns({text: whole, "_more": more}).withColumn("_red", _pass(lexicon, clock_time, boundary)(F.when(asked, whole), F.col("_more")))
+    found = docs.withColumns({text: whole, "_more": more}).withColumn("_red", _pass(lists, clock_time, boundary)(F.when(asked, whole), F.col("_more")))
     rows = found.withColumns({
         text: F.coalesce("_red.text", text), "removed_by_type": F.coalesce("_red.counts", F.create_map().cast("map<string,int>")),
         "suspicions": F.coalesce("_red.suspicions", F.array().cast("array<struct<type:string,position:int,reason:string>>")),
@@ -184,10 +236,10 @@ def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon
     return rows.withColumns({"removed_count": total, "clean": (F.size("suspicions") == 0) & (trim_space(F.col(text)) != "")})
 
 
-def _pass(lexicon: known.Lexicon, clock_time: bool, boundary: str):
+def _pass(lists: Broadcast[known.Lexicon], clock_time: bool, boundary: str):
     @F.pandas_udf(_OUT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        redactor = Redactor(lexicon, clock_time, boundary)
+        redactor = Redactor(lists.value, clock_time, boundary)
         for texts, entities in batches:
             rows = []
             for t, own in zip(texts, entities):

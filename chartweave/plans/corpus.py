@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartweave.functions import personal_data as known
 from chartweave.operators import redaction as r
-from chartweave.operators import retrieval
+from chartweave.operators import retrieval, spans
 from chartweave.operators import stays as s
 from chartweave.operators import text as t
 from chartweave.operators import vectors as v
@@ -114,8 +114,24 @@ def r7_protected_text(spark, d):
     return varied_notes(spark, d).select("doc_ref", r.protected_count(F.col("text")).cast("long").alias("n"))
 
 
+def r9_structured_notes(spark, d):
+    """Structured data only, in plain expressions."""
+    done = spans.redact_structured(r.spread(varied_notes(spark, d)))
+    return done.select("doc_ref", "text", "removed_count", F.array_join(F.array_sort(F.map_keys("removed_by_type")), ",").alias("types"))
+
+
+CAPITALISED = "[А-ЯЁ][а-яё]+"
+
+
+def r5_stem_matches(spark, d):
+    """Capitalised words of the notes and the listed names that they are forms of."""
+    words = varied_notes(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(0))).alias("word"))
+    names = spark.createDataFrame([(n,) for n in (*known.USUAL.first_names, *known.USUAL.surnames)], "name string")
+    return r.stem_matches(words, names)
+
+
 def r10_redact_notes(spark, d):
-    return r.redact_documents(varied_notes(spark, d)).select("doc_ref", "text", "removed_count", "clean")
+    return r.redact_documents(r.spread(varied_notes(spark, d))).select("doc_ref", "text", "removed_count", "clean")
 
 
 def r11_suspicions(spark, d):
@@ -124,7 +140,7 @@ def r11_suspicions(spark, d):
 
 
 def r12_quarantine(spark, d):
-    return r.gate_split(r.redact_documents(varied_notes(spark, d)))[1].select("doc_ref", "reason")
+    return r.gate_split(r.redact_documents(r.spread(varied_notes(spark, d))))[1].select("doc_ref", "reason")
 
 
 def r12_documents_held_back(spark, d):
@@ -133,7 +149,7 @@ def r12_documents_held_back(spark, d):
 
 
 def r13_removed_by_type(spark, d):
-    return r.removed_by_type_report(r.redact_documents(varied_notes(spark, d)))
+    return r.removed_by_type_report(r.redact_documents(r.spread(varied_notes(spark, d))))
 
 
 def f1_select_paths(spark, d):
@@ -301,18 +317,26 @@ def s7_sample_for_audit(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        r1_normalize_text, r2_detector_counts, r2_all_detectors, r7_protected_text, r10_redact_notes, r11_suspicions, r12_quarantine, r12_documents_held_back, r13_removed_by_type, f1_select_paths, f2_source_ref, c1_split_records, c5_icd_class, c7_syndromes, c8_dynamics, c10_point_id,
+        r1_normalize_text, r2_detector_counts, r2_all_detectors, r7_protected_text, r9_structured_notes, r5_stem_matches, r10_redact_notes, r11_suspicions, r12_quarantine, r12_documents_held_back, r13_removed_by_type, f1_select_paths, f2_source_ref, c1_split_records, c5_icd_class, c7_syndromes, c8_dynamics, c10_point_id,
         t1_fix_typos, t11_paragraphs, s4_upsert_points, s5_export_batches, s6_export_filename, s7_sample_for_audit, p1_validate_periods, p2_plan_days, p3_plan_counts, p4_sentences, p8_nearest_days, p10_period_percent,
         p16_weekend_notes, p17_weekend_recap, e2_l2_normalize, e3_cosine_top_k, e5_fallback_levels, e6_retrieve_with_fallback, e8_collection_count,
     )
 }
 
+_STRUCTURED = "coalesce(text, '')"
+for _pattern, _placeholder in _STEPS[-len([n for n in known.DETECTORS if n not in known.ON_REQUEST]):]:
+    _STRUCTURED = f"regexp_replace({_STRUCTURED}, '{_pattern}', '{_placeholder}', 'g')"
+_KINDS = sorted({known.DETECTORS[n][0] for n in known.DETECTORS if n not in known.ON_REQUEST})
+_PLAIN = "replace(lower(trim({0})), 'ё', 'е')"
+
 _Q = "'"
 SQL = {
     "r1_normalize_text": "SELECT doc_id, md5(replace(text, chr(13), '') || chr(10) || 'x' || chr(10) || 'y') AS digest FROM documents",
     "r2_detector_counts": "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{known.DETECTORS[n][1]}')) AS BIGINT) AS \"{k}\"" for k, n in NUMBERED.items()) + " FROM documents",
     "r2_all_detectors": f"WITH {VARIED} SELECT doc_ref, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS {n}" for n, (_, p) in known.DETECTORS.items()) + " FROM varied",
     "r7_protected_text": f"WITH {VARIED} SELECT doc_ref, CAST(" + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in known.PROTECTED) + " AS BIGINT) AS n FROM varied",
+    "r9_structured_notes": f"WITH {VARIED}, found AS (SELECT doc_ref, {_STRUCTURED} AS done, {', '.join(f'len(regexp_extract_all({_STRUCTURED}, {_Q}{chr(92)}[{_MARKS[k]}{chr(92)}]{_Q})) - len(regexp_extract_all(coalesce(text, {_Q}{_Q}), {_Q}{chr(92)}[{_MARKS[k]}{chr(92)}]{_Q})) AS n_{k}' for k in _KINDS)} FROM varied) SELECT doc_ref, done AS text, CAST({' + '.join(f'n_{k}' for k in _KINDS)} AS INT) AS removed_count, concat_ws(',', {', '.join(f'CASE WHEN n_{k} > 0 THEN {_Q}{k}{_Q} END' for k in _KINDS)}) AS types FROM found",
+    "r5_stem_matches": f"WITH {VARIED}, words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{CAPITALISED}')) AS word FROM varied), w AS (SELECT word, {_PLAIN.format('word')} AS p FROM words), names AS (SELECT DISTINCT unnest([{', '.join(_Q + n + _Q for n in (*known.USUAL.first_names, *known.USUAL.surnames))}]) AS name), n AS (SELECT name, {_PLAIN.format('name')} AS q FROM names) SELECT word, name FROM w JOIN n ON left(p, 4) = left(q, 4) AND least(length(p), length(q)) >= greatest(4, length(q) - 2, length(p) - 3) AND left(p, greatest(4, length(q) - 2, length(p) - 3)) = left(q, greatest(4, length(q) - 2, length(p) - 3))",
     "r11_suspicions": f"WITH {VARIED} SELECT doc_ref, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN '{k}' END" for k, p in known.RESIDUAL.items()) + f") AS kinds FROM (SELECT doc_ref, regexp_replace(text, '{known.PLACEHOLDER_MARK}', ' ', 'g') AS x FROM varied)",
     "r10_redact_notes": f"WITH {DONE} SELECT doc_ref, done AS text, CAST({_TOTAL} AS INT) AS removed_count, clean FROM done",
     "r12_quarantine": f"WITH {DONE} SELECT doc_ref, CASE WHEN trim(done, ' ' || chr(9) || chr(10)) = '' THEN 'empty' ELSE 'residual' END AS reason FROM done WHERE NOT clean",

@@ -32,7 +32,7 @@ def c9_chunk_notes(spark, d):
 
 
 def c12_ingest_stats(spark, d):
-    docs = r.redact_documents(varied_notes(spark, d))
+    docs = r.redact_documents(r.spread(varied_notes(spark, d)))
     return c.ingest_stats(docs, t.paragraphs(r.gate_split(docs)[0].select("doc_ref", "text")), "doc_ref")
 
 
@@ -42,11 +42,11 @@ def e7_format_samples(spark, d):
 
 
 def r14_label_counts(spark, d):
-    return c.label_counts(r.removed_by_type_report(r.redact_documents(varied_notes(spark, d))), spark.createDataFrame(LABELS, "type string, label string"))
+    return c.label_counts(r.removed_by_type_report(r.redact_documents(r.spread(varied_notes(spark, d)))), spark.createDataFrame(LABELS, "type string, label string"))
 
 
 def r16_recall_report(spark, d):
-    marked = r.redact_documents(varied_notes(spark, d))
+    marked = r.redact_documents(r.spread(varied_notes(spark, d)))
     found = marked.select("doc_ref", F.explode("removed_by_type").alias("type", "n"))
     raw = varied_notes(spark, d).where("text IS NOT NULL")
     values = {"date": F.regexp_extract("text", r"\d\d\.\d\d\.\d{4}", 0), "patient": F.lit("Иванов"), "doc_number": F.regexp_extract("text", r"\d{8}", 0), "age": F.lit("14 лет")}

@@ -1,3 +1,7 @@
+import re
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,9 +78,7 @@ def test_python_and_spark_agree_on_detectors(spark):
         got = rows.select("text", *[r.detector_count(F.col("text"), n).alias(n) for n in known.DETECTORS]).collect()
         red = r.Redactor(clock_time=True, boundary=boundary)
         for row in got:
-            assert [row[n] for n in known.DETECTORS] == [len(p.findall(row.text)) for _, p, *_ in red.detectors]
-            # what a detector needs is in every text that it finds something in
-            assert all(needs is None or any(x in row.text.lower() for x in needs) for _, p, _, needs in red.detectors if p.search(row.text))
+            assert [row[n] for n in known.DETECTORS] == [len(p.findall(row.text)) for _, p, _ in red.detectors]
     assert spark.sql("SELECT 'аб' AS x").where(F.col("x").rlike(java(r"\bаб", boundary="unicode"))).count() == 1
 
 
@@ -114,3 +116,113 @@ def test_answers_block_as_a_whole(spark, monkeypatch):
     assert {(x.response_id, x.passed, tuple(x.blocked)) for x in verdicts.collect()} == {(1, True, ()), (2, False, ("c[3].custom_text",))}
     with pytest.raises(ValueError):
         r.redact_answers(table, scope="none")
+
+
+def pieces(rng):
+    parts = "5 мая|«06» октября|2025 г.|2024-2025 гг.|с 5 мая по 6 июня 2024 г.|x с 12 янв по 3 фев|7мая 2024 г.|+7 812 123-45-67|8-911-123-45-67|8|+7|карта № 7/2|истории болезни №5|протокол ВК № 44.3|N° 15|№|12345678|123-456-789 00|xпаспорт 4010 123456|aполис 1234567|14 лет|14-ти лет|в  возрасте до пяти лет|проживает по адресу: дом, кв. 7|адрес д. 5|aул. Ленина, д. 5|xг. Москва|10 час. 18 мин.|23:00|1.02-9.02.2024|2024-01-09|3/4/24|25 мг|3,5 г|F20.0|Tab. Aspirin|Litii|ЭКГ|T|АД|qtc|\n|  |.|,|, |ГБУЗ|ГБУЗ № 7 «Первая»|больницы №3|больницах|ПНД1|Больница|İ|ß|²|٣ мая"
+    words = parts.split("|")
+    return "".join(words[k] + [" ", "", "\t", "  "][rng.integers(4)] for k in rng.integers(0, len(words), rng.integers(1, 12)))
+
+
+@pytest.mark.parametrize("boundary", ["ascii", "unicode"])
+def test_places_are_those_of_a_full_search(boundary):
+    """What the automaton lets be tried finds what searching everywhere finds."""
+    rng = np.random.default_rng(4)
+    red = r.Redactor(clock_time=True, boundary=boundary)
+    for _ in range(4000):
+        text = pieces(rng)
+        for places in (red.detected, red.protected, red.residual):
+            got = [(k, *m.span()) for k, m in places.matches(text)]
+            assert got == [(k, *m.span()) for k, p in enumerate(places.patterns) for m in p.finditer(text)], text
+
+
+def test_markers_are_those_of_an_alternation():
+    rng = np.random.default_rng(6)
+    words = ["больница", "больницы", "Дом", "дом отдыха", "дом отдыха мира"]
+    tail = re.compile(known.INSTITUTION_TAIL, re.IGNORECASE)
+    slow = re.compile(rf"(?<![^\W_])(?:{'|'.join(sorted(map(re.escape, words), key=lambda w: -len(w)))})(?![^\W_])(?:{tail.pattern})", re.IGNORECASE)
+    quick = r.Markers(words, tail, True)
+    parts = ["больница", "Больницы", "дом", "ДОМ отдыха", "дом отдыха мира", " № 3", "«Мир»", "_", "1", " ", " ", "а", ","]
+    for _ in range(3000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), 8))
+        assert list(quick.spans(text, r.lower(text))) == [m.span() for m in slow.finditer(text)]
+
+
+def slow_listed(names, word):
+    word = r.plain(word)
+    for name in map(r.plain, names):
+        shared = next((i for i, (a, b) in enumerate(zip(name, word)) if a != b), min(len(name), len(word)))  # noqa: B905
+        if len(word) >= 4 and shared >= max(4, len(name) - 2, len(word) - 3):
+            return True
+    return False
+
+
+def test_stems_equal_the_rule():
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("аб"), rng.integers(1, 11)))
+    for _ in range(300):
+        names = [word() for _ in range(rng.integers(0, 4))]
+        stems = r.Stems(names)
+        for _ in range(20):
+            w = word()
+            assert stems.listed(w) == slow_listed(names, w), (names, w)
+
+
+def test_time_does_not_grow_with_the_lists():
+    rng = np.random.default_rng(9)
+    made = tuple("".join(rng.choice(list("абвгдежзик"), 9)) for _ in range(100_000))
+    notes = [pieces(rng) + " Иванов Пётр и Кабанова" for _ in range(400)]
+    took = []
+    for names in (made[:1000], made):
+        red = r.Redactor(known.Lexicon(names, (), names, frozenset()))
+        began = time.perf_counter()
+        for note in notes:
+            red.redact(note)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 4 * took[0]
+
+
+def test_recall_of_made_up_names():
+    """Names in all roles and cases, half of them beyond the default lists: most are found."""
+    rng = np.random.default_rng(10)
+    men, women, sur = known._MEN.split(), known._WOMEN.split(), list(known.made_surnames())
+    rare = ["Тимофеев", "Аверин", "Погодин", "Щеглов", "Лаврентьев", "Белозёров", "Кудинов", "Зотов", "Ширяев", "Маклаков"]
+    pick = lambda options: options[rng.integers(len(options))]
+    found = 0
+    for k in range(1000):
+        his = bool(k % 2)
+        first, last = pick(men if his else women), pick(rare if k % 4 < 2 else sur) + ("" if his else "а")
+        middle = pick(["Петрович", "Ильич", "Сергеевич"] if his else ["Петровна", "Ильинична", "Сергеевна"])
+        form = pick([f"{first} {last}", f"{last} {first}", f"{last} {first} {middle}", f"{last} {first[0]}.{middle[0]}.", f"{first} {middle}", f"{first[0]}. {middle[0]}. {last}"])
+        text, _ = R.redact(pick(["Мать пациента, {}", "врач {} осмотрел", "пациент {}, жалоб нет", "в присутствии: {}."]).format(form))
+        found += not any(len(w) > 3 and w in text for w in form.split())
+    assert found >= 850, found
+    assert R.redact("Мать пациента, Евдокия Тимофеева")[0] == "Мать пациента, [РОДИТЕЛЬ]"
+
+
+def test_clinical_text_is_no_residue():
+    red = r.Redactor(known.Lexicon(("Литии", "F20x"), ("Узиков",), (), frozenset()))
+    assert [k for k, *_ in red.suspicions("Узиков") ] == ["person"]
+    red.protected.patterns.append(re.compile("Узиков"))
+    assert red.suspicions("Узиков") == []
+
+
+def test_word_lists_as_tables(spark):
+    rows = [("first_name", "Зигфрид"), ("first_name", "Зигфрид"), ("surname", "Кнехтов"), ("institution", "НИИ"), ("institution", "лечебница"), ("no_name", "Осмотр"), ("other", "x"), (None, "y"), ("surname", None), ("surname", " ")]
+    table = spark.createDataFrame(rows, "kind string, word string")
+    assert r.lexicon_of(table) == known.Lexicon(("Зигфрид",), ("Кнехтов",), ("НИИ", "лечебница"), frozenset({"Осмотр"}))
+    with pytest.raises(ValueError):
+        r.lexicon_of(table, most_bytes=10)
+    docs = spark.createDataFrame([(1, "Осмотр. Зигфриду дали отдых в лечебница № 3, а Иванову нет")], "doc_id long, text string")
+    assert r.redact_documents(docs, lexicon=table).first().text == "Осмотр. [ФИО] дали отдых в [УЧРЕЖДЕНИЕ], а Иванову нет"
+    assert r.lexicon_of(table.limit(0)) == known.Lexicon((), (), (), frozenset())
+
+
+@pytest.mark.parametrize("most_bytes", [0, 1 << 20])
+def test_stem_join_equals_the_rule(spark, most_bytes):
+    rng = np.random.default_rng(14)
+    make = lambda: "".join(rng.choice(list("абё"), rng.integers(2, 9)))
+    names, words = sorted({make() for _ in range(60)}), sorted({make().capitalize() for _ in range(200)})
+    got = r.stem_matches(spark.createDataFrame([(w, 1) for w in [*words, None, words[0]]], "word string, name int"), spark.createDataFrame([(n,) for n in [*names, None, names[0]]], "name string"), most_bytes)
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(w, n) for w in words for n in names if slow_listed([n], w)}
