@@ -15,6 +15,7 @@ from chartweave.functions import personal_data as known
 from chartweave.functions.boundaries import java
 from chartweave.operators.text import normalize_text
 
+_CUT = "\x01"
 SPAN = "struct<start:int,end:int,kind:string,priority:int,nth:int>"
 
 
@@ -26,8 +27,6 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 def match_spans(text: Column, pattern: str, kind: str | None, nth: int) -> Column:
     """array<SPAN> of a pattern's matches, by characters; ``kind`` null is protected text.
     ``pattern`` is for Spark's functions and matches nothing empty."""
-    regex = F.lit(pattern)
-    lengths = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, regex, F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
     none = F.array().cast(f"array<{SPAN}>")
     priority = known.PRIORITY.get(kind, 10)
 
@@ -37,8 +36,13 @@ def match_spans(text: Column, pattern: str, kind: str | None, nth: int) -> Colum
         # behind the last match only text is left
         return F.when(x["hit"].isNull(), seen).otherwise(F.struct((start + x["hit"]).alias("end"), F.concat(seen["spans"], F.array(span)).alias("spans")))
 
-    found = F.aggregate(lengths, F.struct(F.lit(0).alias("end"), none.alias("spans")), add)["spans"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def placed(hits: Column) -> Column:
+        # a pattern that is split by is compiled for every text, one that is replaced is not
+        gaps = F.split(F.regexp_replace(F.translate(text, _CUT, " "), F.lit(pattern), F.lit(_CUT)), _CUT, -1)
+        lengths = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+        return F.when(F.size(hits) > 0, F.aggregate(lengths, F.struct(F.lit(0).alias("end"), none.alias("spans")), add)["spans"]).otherwise(none)
+
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def resolve_spans(spans: Column) -> Column:
@@ -60,15 +64,24 @@ def resolve_spans(spans: Column) -> Column:
 
 
 def structured_spans(text: Column, clock_time: bool = False, boundary: str = "ascii") -> Column:
-    """All spans of the detectors and of protected text, with overlaps."""
+    """All spans of the detectors and of protected text, with overlaps. A pattern looks only at
+    texts that hold one of its anchors."""
     cyrillic = text.rlike("[А-Яа-яЁё]")
     none = F.array().cast(f"array<{SPAN}>")
+    digit = text.rlike("[0-9]" if boundary == "ascii" else r"\p{N}")
+
+    def guarded(found: Column, anchors: tuple | None, more: Column) -> Column:
+        if anchors is None:
+            return found
+        held = digit if anchors[0] == known.DIGITS else text.rlike("(?iu)" + "|".join(w.replace(".", "[.]") for w in anchors[0]))
+        return F.when(more & held, found).otherwise(none)
+
     parts = []
     for nth, (name, (kind, pattern)) in enumerate(known.DETECTORS.items()):
         if clock_time or name not in known.ON_REQUEST:
-            found = match_spans(text, java(pattern, boundary=boundary), kind, nth)
-            parts.append(found if name in known.NUMERIC else F.when(cyrillic, found).otherwise(none))
-    parts += [match_spans(text, java(p, boundary=boundary), None, len(known.DETECTORS) + k) for k, p in enumerate(known.PROTECTED)]
+            parts.append(guarded(match_spans(text, java(pattern, boundary=boundary), kind, nth), known.ANCHORS[name], F.lit(True) if name in known.NUMERIC else cyrillic))
+    for k, (p, anchors) in enumerate(zip(known.PROTECTED, known.PROTECTED_ANCHORS, strict=True)):
+        parts.append(guarded(match_spans(text, java(p, boundary=boundary), None, len(known.DETECTORS) + k), anchors, F.lit(True)))
     return F.flatten(F.array(*parts))
 
 
