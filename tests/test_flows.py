@@ -114,7 +114,7 @@ def test_streamed_documents_equal_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     base = str(tmp_path / "out")
     streams.ingest(stream, "doc_ref", notes._chunks, lambda: ingest.letter_model, base).awaitTermination()
-    assert spark.read.parquet(f"{base}/points").select("batch").distinct().count() == 3
+    assert spark.read.parquet(f"{base}/quarantine").select("batch").distinct().count() == 3
     whole = ingest.ingest_corpus(rows, "doc_ref", None, notes._chunks, lambda: ingest.letter_model, source="user_upload")
     kept = ["point_id", "text", "doc_type", "embedding"]
     key = lambda df: sorted(map(str, df.select(*kept).collect()))
