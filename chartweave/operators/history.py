@@ -22,11 +22,6 @@ def page(df: DataFrame, *order: Column, limit: int = 20, offset: int = 0, usual:
     return (rows.offset(offset) if offset else rows).limit(limit)
 
 
-def after_key(df: DataFrame, created_at: Column, row_id: Column) -> DataFrame:
-    """Keyset paging, newest first: rows behind the last row of the page before."""
-    return df.where((F.col("created_at") < created_at) | ((F.col("created_at") == created_at) & (F.col("id") < row_id)))
-
-
 def top_level_only(requests: DataFrame) -> DataFrame:
     return requests.where("parent_request_id IS NULL")
 

@@ -5,10 +5,13 @@ conversations for support threads, events for sessions, feedback and audit count
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartweave.operators import history as h
+from chartweave.operators import paging
 
 # -- tables ------------------------------------------------------------------------------
 
@@ -110,6 +113,18 @@ def h1_children_of_all(spark, d):
     return h.with_children(requests(spark, d)).select("id", "title_safe", "children_count")
 
 
+def h1_page_directory(spark, d):
+    """All pages of 20 of every doctor's requests, by their first key."""
+    rows = paging.page_directory(h.top_level_only(requests(spark, d)), "doctor_id", paging.NEWEST, 20)
+    return rows.select("doctor_id", "page", "total", "rows", "created_at", F.col("id").alias("first_id"))
+
+
+def h1_history_after(spark, d):
+    """The page behind a key in the middle of the year."""
+    key = {"created_at": datetime(1996, 7, 1), "id": 0}
+    return paging.history_after(requests(spark, d), None, key, 200).select("id", "doctor_id", "created_at", "children_count")
+
+
 def h2_history_detail(spark, d):
     return h.history_detail(h.top_level_only(requests(spark, d)), documents(spark, d)).select("id", "status", "content_anonymized", "tokens_used")
 
@@ -232,6 +247,14 @@ def f9_search_titles(spark, d):
     return h.search_titles(h.top_level_only(requests(spark, d)), "urg").select("id", "title_safe")
 
 
+def f9_search_many_titles(spark, d):
+    """Texts of documents as titles; searched for are all first words of the benchmark's items."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, d, "benchmark").select(F.split("text", " ")[0].alias("query"))
+    titles = rows.withColumn("title_safe", F.left("text", F.lit(80)))
+    return paging.search_many_titles(titles, paging.title_index(titles), asked).select("query", "id", F.md5("title").alias("title"))
+
+
 def h13_message_preview(spark, d):
     return messages(spark, d).select("thread_id", "id", h.message_preview(F.col("body")).alias("preview"))
 
@@ -245,7 +268,7 @@ def p21_days_to_resume(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        h1_history_list, h1_children_of_all, h2_history_detail, h3_history_children, h4_merge_documents, h5_patch_requests, h6_delete_cascade, h7_batch_status, h9_status_labels,
+        h1_history_list, h1_children_of_all, h1_page_directory, h1_history_after, f9_search_many_titles, h2_history_detail, h3_history_children, h4_merge_documents, h5_patch_requests, h6_delete_cascade, h7_batch_status, h9_status_labels,
         h10_feedback_latest, h11_feedback_inbox, h12_fold_threads, h13_message_preview, h14_thread_inbox, h15_support_summary, h16_thread_messages, h17_rotate_sessions, h17_last_logins,
         h18_update_profiles, h19_upload_log, h20_usage_rollup, h21_register_doctors, f4_owner_top_level, f5_validate_feedback, f6_validate_message, f7_validate_upload, f8_active_sessions,
         f9_search_titles, p21_days_to_resume,
@@ -259,6 +282,9 @@ _LATEST = f"{FEEDBACK}, latest AS (SELECT request_id, doctor_id, arg_max(rating,
 SQL = {
     "h1_history_list": f"WITH {REQUESTS}, {_COUNTS} SELECT id, doctor_id, title_safe, status, created_at, coalesce(n, 0) AS children_count, (SELECT count(*) FROM orders) AS total FROM requests LEFT JOIN kids ON p = id WHERE parent_request_id IS NULL ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 10",
     "h1_children_of_all": f"WITH {REQUESTS}, {_COUNTS} SELECT id, title_safe, coalesce(n, 0) AS children_count FROM requests LEFT JOIN kids ON p = id WHERE parent_request_id IS NULL",
+    "h1_page_directory": f"WITH {REQUESTS}, n AS (SELECT doctor_id, created_at, id, row_number() OVER (PARTITION BY doctor_id ORDER BY created_at DESC, id DESC) - 1 AS k, count(*) OVER (PARTITION BY doctor_id) AS total FROM requests WHERE parent_request_id IS NULL) SELECT doctor_id, k // 20 AS page, total, least(20, total - k) AS rows, created_at, id AS first_id FROM n WHERE k % 20 = 0",
+    "h1_history_after": f"WITH {REQUESTS}, {_COUNTS} SELECT id, doctor_id, created_at, coalesce(n, 0) AS children_count FROM requests LEFT JOIN kids ON p = id WHERE parent_request_id IS NULL AND (created_at, id) < (TIMESTAMP '1996-07-01', 0) ORDER BY created_at DESC, id DESC LIMIT 200",
+    "f9_search_many_titles": "SELECT q.query, d.doc_id AS id, md5(left(d.text, 80)) AS title FROM (SELECT DISTINCT lower(trim(split_part(text, ' ', 1))) AS query FROM benchmark WHERE text IS NOT NULL) q JOIN documents d ON contains(lower(left(d.text, 80)), q.query)",
     "h2_history_detail": f"WITH {REQUESTS}, {DOCUMENTS} SELECT id, status, content_anonymized, tokens_used FROM requests LEFT JOIN docs ON request_id = id WHERE parent_request_id IS NULL",
     "h3_history_children": f"WITH {REQUESTS} SELECT parent_request_id, id, row_number() OVER (PARTITION BY parent_request_id ORDER BY created_at, id) AS position, '' AS content_anonymized FROM requests WHERE parent_request_id IS NOT NULL",
     "h4_merge_documents": f"WITH {DOCUMENTS}, inc AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'exam_10d' END AS t FROM orders WHERE o_orderkey % 5 = 0) SELECT coalesce(inc.request_id, docs.request_id) AS request_id, coalesce(nullif(t, ''), document_type_code) AS document_type_code, CASE WHEN inc.request_id IS NOT NULL THEN 'new' ELSE content_anonymized END AS content_anonymized, CASE WHEN inc.request_id IS NOT NULL THEN 1 ELSE tokens_used END AS tokens_used FROM docs FULL JOIN inc ON docs.request_id = inc.request_id",
