@@ -54,7 +54,7 @@ def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     counted = token_counts.count_tokens(docs, tokenizer("word_bpe_49k.json"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", token_counts.words_within("word_end_tokens", 2048).alias("words_within_limit"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within_limit")
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ For a word s of the vocabulary's alphabet, ``last[i]`` is the one token that can
 encoding of s[:i]: it ends at i and fits the token that ends the encoding before it. So
 ``count[i] = count[start of last[i]] + 1``. A word that ends at i carries the end mark on its
 last token; that token is found the same way among the tokens with the mark. A text's
-counts are sums over its words; the sums at all word ends are kept, and counts inside a word
-come from that word's table, so the count of any prefix, the longest prefix within a budget
-and the number of windows need no further encoding.
+counts are sums over its words. The table of a text has, for each character, by how much the
+count of the prefix that ends there differs from the one before (two bytes a character), and
+everything is read from it: the count of any prefix, of the whole text, the longest prefix
+within a budget. Tables of words are remembered, so a text's table is theirs end to end.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartweave.llm._shared import append_columns, list_array, texts_of
+from chartweave.llm._shared import append_columns, texts_of
 from chartweave.llm.bpe import Splitter
 
 #: Entries of the per-worker memories of words and of token pairs; a full memory starts anew
@@ -67,6 +67,8 @@ class PrefixCounter:
         self.special_at = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.fit: dict[tuple[str, str, bool], bool] = {}
         self.counts: dict[str, int] = {}
+        self.steps: dict[str, bytes] = {}
+        self.older_steps: dict[str, bytes] = {}
         self.older: dict[str, int] = {}  # what the memory held before it was full
 
     def merged(self, parts: list[str]) -> list[str]:
@@ -142,17 +144,27 @@ class PrefixCounter:
 
     def word_prefix_counts(self, word: str) -> list[int]:
         """Tokens of each prefix of a word, 0 to len(word) characters, each prefix standing
-        as a text of its own (a cut contraction falls into two words)."""
+        as a text of its own (a cut contraction, of three characters at most, falls into two words)."""
         s, ends = self.spell(word), [0]
         for ch in word:
             ends.append(ends[-1] + len(ch.encode("utf-8")))
         last, count = self._inner_table(s, len(s))
         out = [0]
         for k in range(1, len(word) + 1):
-            again = self.split(word[:k])
-            out.append(self._closed(s, last, count, ends[k]) if again == [word[:k]] else sum(map(self.word_count, again)))
+            again = self.split(word[:k]) if len(word) <= 4 else None
+            out.append(self._closed(s, last, count, ends[k]) if again is None or again == [word[:k]] else sum(map(self.word_count, again)))
         return out
 
+    def word_steps(self, word: str) -> bytes:
+        """The table of one word (memoised)."""
+        known = self.older_steps.get(word)
+        if known is None:
+            known = np.diff(self.word_prefix_counts(word)).astype(STEP).tobytes()
+        if len(self.steps) >= WORD_MEMORY:
+            self.older_steps, self.steps = self.steps, {}
+        self.steps[word] = known
+        return known
+
     def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).translate(LOWER_CASE)
@@ -181,24 +193,41 @@ class PrefixCounter:
         sums = np.cumsum(np.array(counts, np.int64)) if counts else np.zeros(0, np.int64)
         return sums, int(sums[-1]) if counts else 0
 
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """The count of every prefix, 0 to n characters, of the normalised text: entry i is
-        what encoding the first i characters gives (a cut special token is ordinary text)."""
-        out, base = [0], 0
+    def text_steps(self, text: str) -> bytes:
+        """The table of a text, a step for each character of the normalised text (a cut special
+        token is ordinary text)."""
+        out: list[bytes] = []
         for part, special in self.parts(text):
             if special:
-                inside = [self.total(part[:k])[1] for k in range(1, len(part))]
-                out += [base + c for c in inside] + [base + 1]
-                base += 1
+                inside = [self.total(part[:k])[1] for k in range(len(part))] + [1]
+                out.append(np.diff(inside).astype(STEP).tobytes())
                 continue
             s, at = self.normal(part), 0
-            for m in self.finditer(s):
-                out += [base] * (m.start() - at)
-                inside = self.word_prefix_counts(m[0])[1:]
-                out += [base + c for c in inside]
-                base, at = base + inside[-1], m.end()
-            out += [base] * (len(s) - at)
-        return np.array(out, np.int32)
+            known, find = self.steps.get, s.find
+            for word in self.split(s):
+                # only white space stands between words
+                start = find(word, at)
+                if start > at:
+                    out.append(bytes((start - at) * WIDTH))
+                out.append(known(word) or self.word_steps(word))
+                at = start + len(word)
+            out.append(bytes((len(s) - at) * WIDTH))
+        return b"".join(out)
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """The count of every prefix, 0 to n characters, of the normalised text: entry i is
+        what encoding the first i characters gives."""
+        return counts_of(self.text_steps(text))
+
+
+#: Type of a table's steps.
+STEP = np.dtype("<i2")
+WIDTH = STEP.itemsize
+
+
+def counts_of(table: bytes) -> np.ndarray:
+    """Counts of all prefixes, 0 to n characters, from a table."""
+    return np.r_[0, np.cumsum(np.frombuffer(table, STEP), dtype=np.int64)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -208,52 +237,35 @@ def load(path: str) -> PrefixCounter:
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 2048) -> DataFrame:
-    """``df`` with ``n_bytes``, ``n_tokens``, ``over_limit`` and ``word_end_tokens``: the
-    prefix table, array<int> of the running token counts at the ends of the words (special
-    tokens count as words).
+    """``df`` with ``prefix_steps`` (binary), the table of every prefix of the normalised text,
+    and what is read from it: ``n_tokens``, ``over_limit``, and ``chars_within_limit``, the
+    characters of the longest prefix of at most ``limit`` tokens before any prefix exceeds it
+    (counts of prefixes may fall again inside a word). ``n_bytes`` is of the text as it is.
 
     A null or empty text has 0 bytes, 0 tokens and an empty table. Whole texts of any length
     count; repeated rows count alike; columns of the new names (any case) are replaced. No shuffle."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         counter = load(path)
-        tables = [counter.total(t)[0] for t in texts_of(batch, text)]
-        lengths = np.fromiter((len(t) for t in tables), np.int64, len(tables))
-        flat = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-        total = pa.array([int(t[-1]) if len(t) else 0 for t in tables], pa.int64())
-        return [list_array(flat.astype(np.int32), lengths, pa.int32()), total]
+        tables = [counter.text_steps(t) for t in texts_of(batch, text)]
+        read = [read_table(t, limit) for t in tables]
+        return [pa.array(tables, pa.binary()), pa.array([n for n, _ in read], pa.int64()), pa.array([k for _, k in read], pa.int64())]
 
-    fields = [T.StructField("word_end_tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+    fields = [T.StructField("prefix_steps", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("chars_within_limit", T.LongType())]
     counted = append_columns(df, fields, run)
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
     return counted.withColumns({"n_bytes": size, "over_limit": F.col("n_tokens") > F.lit(limit)})
 
 
-def words_within(table: str | F.Column, budget: int) -> F.Column:
-    """How many whole words fit ``budget`` tokens, from the stored table alone."""
-    column = F.col(table) if isinstance(table, str) else table
-    return F.size(F.filter(column, lambda c: c <= F.lit(budget)))
-
-
-def windows_needed(table: str | F.Column, budget: int) -> F.Column:
-    """Windows of ``budget`` tokens that hold the text, from the stored table alone."""
-    column = F.col(table) if isinstance(table, str) else table
-    return F.ceil(F.coalesce(F.element_at(column, -1), F.lit(0)) / F.lit(float(budget))).cast("long")
-
-
-def prefix_table(df: DataFrame, path: str, text: str = "text", counts: str = "prefix_tokens") -> DataFrame:
-    """``df`` with the full table: tokens of every prefix of the normalised text (array<int>,
-    one entry more than it has characters). Null and empty texts have the table [0]."""
-
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        tables = [load(path).prefix_counts(t) for t in texts_of(batch, text)]
-        lengths = np.fromiter((len(t) for t in tables), np.int64, len(tables))
-        return [list_array(np.concatenate(tables) if tables else np.zeros(0, np.int32), lengths, pa.int32())]
-
-    return append_columns(df, [T.StructField(counts, T.ArrayType(T.IntegerType()))], run)
+def read_table(table: bytes, budget: int) -> tuple[int, int]:
+    """Tokens of the whole text, and characters within the budget, from its table alone."""
+    counts = counts_of(table)
+    total = int(counts[-1])
+    return total, truncation_point(counts, budget)
 
 
-def truncation_point(table: np.ndarray | list[int], budget: int) -> int:
+def truncation_point(counts: np.ndarray | list[int], budget: int) -> int:
     """Characters of the longest prefix with at most ``budget`` tokens before any prefix
-    exceeds it. Counts of prefixes may fall again inside a word, so the running maximum rules."""
-    return bisect_right(np.maximum.accumulate(np.asarray(table)).tolist(), budget) - 1
+    exceeds it."""
+    over = np.flatnonzero(np.asarray(counts) > budget)
+    return int(over[0]) - 1 if len(over) else len(counts) - 1

@@ -574,3 +574,47 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.where("NOT round_trip").count() == 0
+
+
+def test_prefix_tables_hold_every_count(spark):
+    """What is stored gives the library's count of every prefix and the cut at any budget."""
+    from tokenizers import Tokenizer
+
+    path = entries.tokenizer("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    counter = token_counts.load(path)
+    texts = ["", " ", "it's they'll we've 'r 're", "unbelievable  12345\tÜbergrößen ﬁn", "a<|endoftext|>b  <|endoftext", "x" * 300, "\n\nnaïve été!! ?!", "中文字 🙂🙂", None]
+    rows = token_counts.count_tokens(spark.createDataFrame([(t,) for t in texts], "text string"), path, limit=5).collect()
+    for r in rows:
+        normal = "".join(p if special else counter.normal(p) for p, special in counter.parts(r.text or ""))
+        counts = token_counts.counts_of(bytes(r.prefix_steps))
+        assert len(counts) == len(normal) + 1
+        assert counts.tolist() == [len(library.encode(normal[:i], add_special_tokens=False).ids) for i in range(len(normal) + 1)], r.text
+        assert r.n_tokens == counts[-1] and r.over_limit == (r.n_tokens > 5)
+        within = [i for i in range(len(counts)) if counts[: i + 1].max() <= 5]
+        assert r.chars_within_limit == within[-1]
+
+
+def test_many_languages(spark):
+    words = ["".join(RNG.choice(list("abcdefghijklmnop"), 6)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([w] * 5), f"l{i:03}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    langs, table = langid.learn(docs)
+    assert len(langs) == 300 and table.shape[0] == 300
+    got = langid.predict_languages(docs, langs, table).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 290
+
+
+def test_scratch_deletes_its_own(spark):
+    import threading
+
+    from chartweave.llm import _shared
+
+    other = []
+    with _shared.scratch():
+        worker = threading.Thread(target=lambda: other.append(_shared.stash(spark.range(3).toDF("id"), "other")))
+        worker.start()
+        worker.join()
+        mine = _shared.stash(spark.range(2).toDF("id"), "mine")
+        assert mine.count() == 2
+    assert other[0].count() == 3 and mine not in _shared._folder_of
+    _shared.drop(*other)
