@@ -243,10 +243,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
             yield pd.DataFrame(out)
 
     queries = rows.where(is_query)
-    # a group meets its queries block by block
-    query_blocks = max(1, -(-queries.count() // s.query_rows))
-    asked = queries.mapInPandas(ask, "grp int, vec_id long, v array<double>, lists array<int>").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = stash(queries.mapInPandas(ask, "grp int, vec_id long, v array<double>, lists array<int>"), "ann-asked")
+    # a group meets its own queries block by block: its vectors are sent once for each
+    # ``query_rows`` queries that search it, and not at all where none does
+    blocks = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(s.query_rows)).cast("int").alias("_blocks"))
+    asked = asked.join(F.broadcast(blocks), "grp").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    dealt = dealt.join(F.broadcast(blocks), "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
 
     def search(key: tuple, held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         ids, found_q, found_v, found_s = held["vec_id"].to_numpy(), [], [], []
