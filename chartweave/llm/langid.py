@@ -21,8 +21,6 @@ from chartweave.llm._shared import LOWER, append_columns, steps, text_bytes
 
 #: Buckets of hashed trigrams.
 BUCKETS = 1 << 16
-#: Languages that a model may hold; the table to the driver has LANGUAGES * BUCKETS rows at most.
-LANGUAGES = 256
 _LETTERS = np.zeros(256, np.uint8)
 _LETTERS[128:] = np.arange(128, 256)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -49,7 +47,11 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and log probabilities (language x bucket) from (text, lang) rows,
     over all rows. Counts are summed in the tasks before the shuffle; the table that reaches
-    the driver is bounded by LANGUAGES * BUCKETS."""
+    the driver and the workers has BUCKETS numbers for each language, however many rows there are.
+
+    Rows with a null text or language teach nothing, empty texts name their language only by
+    rows of others; repeated rows count again. Without rows there are no languages. Languages
+    are ordered by their names, so ties later go to the first of these."""
     kind = "lang string, bucket int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +74,6 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     named = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     rows = named.mapInArrow(run, kind).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(rows["lang"].unique())
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     table = np.zeros((len(langs), BUCKETS))
     for i, lang in enumerate(langs):
         mine = rows[rows["lang"] == lang]
