@@ -4,6 +4,7 @@ appending columns in Arrow batches, and numpy views of whole texts."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -21,6 +22,7 @@ STEP_ROWS = 1000
 
 _own_folder: list[str] = []
 _folder_of: dict[DataFrame, str] = {}
+_open = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +46,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _folder_of[table] = path
+    for held in getattr(_open, "held", [])[-1:]:
+        held.append(table)
     return table
 
 
@@ -62,14 +66,12 @@ def drop(*tables: DataFrame | None) -> None:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Deletes, at its end, what was stashed inside."""
-    before = set(_folder_of.values())
+    """Deletes, at its end, what this thread stashed inside."""
+    _open.held = [*getattr(_open, "held", []), []]
     try:
         yield
     finally:
-        for table, path in list(_folder_of.items()):
-            if path not in before:
-                drop(table)
+        drop(*_open.held.pop())
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], total: int, rows: str = "_rows", part: int = 1000) -> DataFrame:
