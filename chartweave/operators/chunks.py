@@ -92,14 +92,22 @@ def ingest_stats(docs: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     return seen.select(F.inline(F.array(*counters[0]))).unionByName(made.select(F.inline(F.array(*counters[1]))))
 
 
+# The layout of samples in a prompt, without any and with blank ones only.
+SAMPLE_TAGS, SAMPLE_HEAD = ("syndrome", "diagnosis_class", "dynamics"), "--- Образец %d%s ---\n%s"
+NO_SAMPLES, BLANK_SAMPLES = "(образцы из корпуса отсутствуют — опирайся только на шаблон и ответы опросника)", "(образцы пусты)"
+
+
 def format_samples(samples: DataFrame, by: str = "query_id", rank: str = "rank") -> DataFrame:
-    """(by, block): retrieved samples (text, doc_type, section) numbered in rank order with
-    their metadata in brackets; blank ones are left out and keep their number. A query has
-    at most k samples."""
-    tags = F.concat_ws(", ", "doc_type", "section")
-    entry = F.when(t.trim_space(F.coalesce("text", F.lit(""))) != "", F.concat(F.col(rank).cast("string"), F.lit(". ["), tags, F.lit("]\n"), t.trim_space(F.col("text"))))
+    """(by, block): retrieved samples (text, syndrome, diagnosis_class, dynamics) in rank order,
+    each under its number and what is known of it; blank ones are left out and keep their
+    number. A query has at most k samples. A query without any has no row here: its block is
+    ``NO_SAMPLES``."""
+    known = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in SAMPLE_TAGS])), ", ")
+    text = t.trim_space(F.coalesce("text", F.lit("")))
+    entry = F.when(text != "", F.format_string(SAMPLE_HEAD, F.col(rank), F.when(known != "", F.concat(F.lit(" ("), known, F.lit(")"))).otherwise(""), text))
     ordered = F.sort_array(F.collect_list(F.when(entry.isNotNull(), F.struct(F.col(rank), entry.alias("entry")))))
-    return samples.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["entry"]), "\n\n").alias("block"))
+    block = F.array_join(F.transform(ordered, lambda x: x["entry"]), "\n\n")
+    return samples.groupBy(by).agg(block.alias("_block")).select(by, F.when(F.col("_block") == "", BLANK_SAMPLES).otherwise(F.col("_block")).alias("block"))
 
 
 def label_counts(removed: DataFrame, labels: DataFrame) -> DataFrame:

@@ -269,6 +269,7 @@ def weekend_duty_note(day: Column, day_number: Column, first_days: int = 3) -> C
 # Codes of the answers.
 DAILY_DYNAMICS, EXAM_DYNAMICS = {"positive": "positive", "negative": "worsening"}, {"positive": "improvement", "wavy": "slight_improvement", "negative": "no_improvement"}
 EVENT_LABELS = {"specialist_consult": "консультации специалистов", "therapy_change": "изменение терапии", "exacerbation": "эпизоды ухудшения состояния", "ecg_eeg": "инструментальное обследование (ЭКГ/ЭЭГ)"}
+BEHAVIOR_DETAILS = {"aggression": "агресс", "protest": "каприз|протест|раздраж"}
 BASE = {"productive_symptoms": "not_detected", "mood": "even", "behavior": "ordered", "sleep": "not_disturbed", "appetite": "preserved", "tolerance": "good"}
 EXAM = {"physical_status": "unremarkable", "neuro_status": "no_acute", "criticism": "formal", "thinking": "no_gross", "attention_memory": "no_gross", "suicidal": "not_detected", "prescriptions": "see_list"}
 
@@ -276,7 +277,7 @@ EXAM = {"physical_status": "unremarkable", "neuro_status": "no_acute", "criticis
 def day_answers(days: DataFrame) -> DataFrame:
     """``days`` (day, doc_type, and of their stay: overall_dynamics, notable_events,
     key_medications, diagnosis, leading_syndrome, patient_sex; of a brief where there is one:
-    mood, behavior, contact, therapy_today) with ``answers``, a map of text answers, and
+    mood, mood_detail, behavior, contact, observations, weekend_note, therapy_today) with ``answers``, a map of text answers, and
     ``interventions``. Exams have more of them than daily notes; what is not given is left
     out."""
     exam = F.col("doc_type") == "exam_10d"
@@ -290,6 +291,11 @@ def day_answers(days: DataFrame) -> DataFrame:
     detail = F.coalesce(F.nullif(own("therapy_today"), F.lit("")), F.when(exam, F.nullif(F.concat_ws(" ", period, F.concat(F.lit("Терапия: "), drugs, F.lit("."))), F.lit(""))))
     intellect = F.when(diagnosis.rlike("(?iu)F71|F72|F73|умеренн[0-9a-z_]* умственн|выраженн[0-9a-z_]* умственн"), "reduced").when(diagnosis.rlike("(?iu)F70|лёгк[0-9a-z_]* (?:умственн|УО)|легк[0-9a-z_]* (?:умственн|УО)"), "mild_id").otherwise("age_norm")
     given = {k: F.coalesce(own(k), F.lit(v)) for k, v in BASE.items()} | {"dynamics": code(DAILY_DYNAMICS), "diary_date": F.date_format("day", "yyyy-MM-dd"), "diagnosis": F.nullif(diagnosis, F.lit("")), "patient_sex": F.nullif("patient_sex", F.lit("")), "events": F.when(detail.isNotNull(), "therapy_correction"), "events_detail": detail}
+    note, seen = F.nullif(own("weekend_note"), F.lit("")), F.lower(F.array_join(F.coalesce(own("observations", TEXTS), F.array().cast(TEXTS)), " "))
+    hard = F.coalesce(own("behavior").isin("violates", "restless"), F.lit(False))
+    detailed = F.array_compact(F.array(*[F.when(hard & seen.rlike(p), F.lit(k)) for k, p in BEHAVIOR_DETAILS.items()]))
+    listed = lambda codes: F.nullif(F.array_join(codes, ","), F.lit(""))
+    given |= {"additional_info": F.when(note.isNotNull(), "present"), "additional_info_detail": note, "behavior_detail": listed(detailed), "mood_detail": listed(own("mood_detail", TEXTS))}
     given |= {"contact": F.coalesce(F.array_join(own("contact", TEXTS), ","), F.lit("calm_distance"))}
     more = {k: F.lit(v) for k, v in EXAM.items()} | {"intellect": intellect, "syndrome": F.coalesce("leading_syndrome", F.lit("anxious")), "comorbidities": F.lit("none"), "period_dynamics": code(EXAM_DYNAMICS)}
     pairs = [F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (given | {k: F.when(exam, v) for k, v in more.items()}).items()]

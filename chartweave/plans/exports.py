@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartweave.operators import export as e
+from chartweave.operators.redaction import spread
 from chartweave.plans.history import table
 
 # The lines of a note, as Spark and as DuckDB make them from an order: (condition, line).
@@ -61,7 +62,7 @@ def t7_daily_form(spark, d):
 
 def t10_transform_documents(spark, d):
     values = F.create_map(F.lit(e.DOCTOR), F.lit("Сидоров С. С."), F.lit(e.POSITION), F.lit("врач"), F.lit(e.CASE_KEY), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey").cast("string")))
-    return e.transform_documents(export_notes(spark, d).withColumn("substitutions", values), [("F1", "F01")]).select("o_orderkey", "text")
+    return e.transform_documents(spread(export_notes(spark, d)).withColumn("substitutions", values), [("F1", "F01")]).select("o_orderkey", "text")
 
 
 QUERIES = {f.__name__: f for f in (t5_canonical_signatures, t6_drop_empty_sections, t7_daily_form, t10_transform_documents)}

@@ -22,7 +22,7 @@ LABELS = [("date", "dates"), ("period", "dates"), ("phone", "phones")]
 
 
 def c9_chunk_documents(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = r.spread(table(spark, d, "documents").select("doc_id", "text"))
     return c.chunk_documents(docs, "doc_id", MARKER, HEADINGS, "осмотр", "тревожн", [("тревожн", "тревожный")], DYNAMICS)
 
 
@@ -37,8 +37,11 @@ def c12_ingest_stats(spark, d):
 
 
 def e7_format_samples(spark, d):
+    """Turns as samples; users' ones are blank in every third conversation, the first in all."""
     s = table(spark, d, "conversations")
-    return c.format_samples(s.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.when(F.col("turn") == 1, " ").otherwise(F.col("text")).alias("text"), F.col("role").alias("doc_type"), F.lit("full").alias("section")).distinct())
+    blank = (F.col("turn") == 1) | ((F.col("conv_id") % 3 == 0) & (F.col("turn") != 2))
+    rows = s.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.when(blank, " ").otherwise(F.col("text")).alias("text"), F.col("role").alias("syndrome"), F.when(F.col("turn") % 2 == 0, "F2x").alias("diagnosis_class"), F.when(F.col("turn") % 2 == 1, "").otherwise("same").alias("dynamics"))
+    return c.format_samples(rows.distinct())
 
 
 def r14_label_counts(spark, d):
@@ -158,7 +161,9 @@ SQL = {
     "c9_chunk_notes": f"""WITH {NOTES}, p AS (SELECT doc_ref, unnest(string_split(replace(replace(text, chr(10) || '[ДАТА]', chr(1) || '[ДАТА]'), chr(10) || '[ПЕРИОД]', chr(1) || '[ПЕРИОД]'), chr(1))) AS text FROM notes)
  SELECT doc_ref, 'daily' AS doc_type, 'full' AS section, CAST(NULL AS VARCHAR) AS syndrome, CASE WHEN text LIKE '%Диагноз: F%' THEN 'F' || regexp_extract(text, 'F(\\d)', 1) || 'x' END AS diagnosis_class, CASE WHEN text LIKE '%улучш%' THEN 'better' WHEN text LIKE '%без динамики%' THEN 'same' END AS dynamics, text FROM p WHERE length(text) >= 40""",
     "c12_ingest_stats": rf"WITH {DONE}, x AS (SELECT clean, trim(done, ' ' || chr(9) || chr(10)) = '' AS bare, greatest(len(list_filter(regexp_split_to_array(done, '\n\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10)) <> '')), 1) AS parts FROM done), n AS (SELECT count(*) AS a, count(*) FILTER (WHERE NOT bare) AS b, count(*) FILTER (WHERE bare) AS c, count(*) FILTER (WHERE NOT bare AND NOT clean) AS d, CAST(coalesce(sum(parts) FILTER (WHERE clean), 0) AS BIGINT) AS e, count(*) FILTER (WHERE clean) AS f FROM x) SELECT unnest(['seen', 'extracted', 'skipped_extract', 'blocked_pii', 'chunks_built', 'documents_cut']) AS counter, unnest([a, b, c, d, e, f]) AS value FROM n",
-    "e7_format_samples": r"SELECT conv_id AS query_id, coalesce(string_agg((turn + 1) || '. [' || role || ', full]' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY turn, (turn + 1) || '. [' || role || ', full]' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g')) FILTER (WHERE turn <> 1 AND trim(coalesce(text, '')) <> ''), '') AS block FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY 1",
+    "e7_format_samples": rf"""WITH s AS (SELECT DISTINCT conv_id, turn, role, CASE WHEN turn = 1 OR (conv_id % 3 = 0 AND turn <> 2) THEN '' ELSE regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') END AS text FROM conversations),
+ e AS (SELECT conv_id, turn, CASE WHEN text <> '' THEN '--- Образец ' || (turn + 1) || CASE WHEN turn % 2 = 0 THEN ' (' || CASE WHEN coalesce(role, '') <> '' THEN 'syndrome=' || role || ', ' ELSE '' END || 'diagnosis_class=F2x, dynamics=same)' WHEN coalesce(role, '') <> '' THEN ' (syndrome=' || role || ')' ELSE '' END || ' ---' || chr(10) || text END AS entry FROM s)
+ SELECT conv_id AS query_id, coalesce(string_agg(entry, chr(10) || chr(10) ORDER BY turn, entry), '{c.BLANK_SAMPLES}') AS block FROM e GROUP BY 1""",
     "h8_normalize_titles": "SELECT o_orderkey, o_orderpriority || ' new' AS title FROM orders",
     "p9_anchor_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '1999-09-09' ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 10 * 2 AS INT) AS VARCHAR) END AS anchor FROM orders",
     "p18_speech_levels": "SELECT doc_id, CASE WHEN lower(text) LIKE '%zzz%' THEN 'sounds' WHEN lower(text) LIKE '%stra%' THEN 'words' WHEN lower(text) LIKE '%the%' THEN 'expanded' ELSE 'unknown' END AS level FROM documents",

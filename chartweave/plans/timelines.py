@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartweave.operators import timeline as t
+from chartweave.operators.redaction import spread
 from chartweave.plans.corpus import STAYS, days_of, iso
 from chartweave.plans.history import table
 
@@ -38,7 +39,7 @@ def narrative(order: str = "o_orderkey", customer: str = "o_custkey") -> str:
 
 
 def told_stays(spark, d):
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"))
     pick = lambda key, *values: F.get(F.array(*map(F.lit, values)), (key % len(values)).cast("int"))
     key, who = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
@@ -76,7 +77,22 @@ def p20_day_answers(spark, d):
     return t.day_answers(rows).select("stay_id", iso("day"), told.alias("answers"), F.array_join("interventions", ",").alias("interventions"))
 
 
-QUERIES = {f.__name__: f for f in (p6_narrative_facts, p8_assign_timed, p14_compile_briefs, p16_duty_notes, p19_context_for_day, p20_day_answers)}
+def p20_brief_answers(spark, d):
+    """Answers of days with a brief laid over them."""
+    rows = days_of(spark, d).join(told_stays(spark, d), "stay_id")
+    key = F.col("stay_id")
+    brief = {
+        "behavior": F.when(key % 3 == 0, "restless").when(key % 3 == 1, "violates").otherwise("ordered"), "mood": F.lit("unstable"), "contact": F.array(F.lit("isolated"), F.lit("calm_distance")),
+        "mood_detail": F.when(key % 2 == 0, F.array(F.lit("lability"))).otherwise(F.array().cast("array<string>")), "therapy_today": F.lit(None).cast("string"), "weekend_note": t.weekend_duty_note(F.col("day"), F.col("day_number")),
+        "observations": F.array_compact(F.array(F.when(key % 4 == 0, "Проявил Агрессию"), F.when(key % 5 == 0, "Капризничал днём"), F.lit("спал"))),
+    }
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("answers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    kept = F.split(F.lit("additional_info,additional_info_detail,behavior,behavior_detail,contact,mood,mood_detail"), ",")
+    out = t.day_answers(rows.withColumns(brief)).withColumn("answers", F.map_filter("answers", lambda k, v: F.array_contains(kept, k)))
+    return out.select("stay_id", iso("day"), told.alias("answers"))
+
+
+QUERIES = {f.__name__: f for f in (p20_brief_answers, p6_narrative_facts, p8_assign_timed, p14_compile_briefs, p16_duty_notes, p19_context_for_day, p20_day_answers)}
 
 _ANY = lambda words: "regexp_matches(low, '" + "|".join(words) + "')"
 _NAMED = [f"CASE WHEN {_ANY(words)} THEN {d - 1} END" for d, words in t.WEEKDAY_WORDS.items()]
@@ -97,6 +113,9 @@ SQL = {
  d AS (SELECT *, count(*) OVER (PARTITION BY stay_id) AS total FROM days),
  k AS (SELECT d.stay_id, d.day, x, pos, always, always OR CASE WHEN weekend THEN dayofweek(day) IN (0, 6) WHEN len(list_filter(named, lambda v: v IS NOT NULL)) > 0 THEN coalesce(list_contains(named, CAST(dayofweek(day) AS INT)), false) WHEN visit THEN dayofweek(day) = 3 WHEN early THEN day_number <= 3 WHEN late THEN day_number >= total - 1 WHEN number <> '' THEN day_number = TRY_CAST(number AS INT) WHEN before THEN day_number >= 2 ELSE true END AS fits FROM d LEFT JOIN r USING (stay_id))
  SELECT stay_id, CAST(day AS VARCHAR) AS day, coalesce(string_agg(x, ' ' ORDER BY NOT always, pos) FILTER (WHERE fits), '') AS context FROM k GROUP BY 1, 2""",
+    "p20_brief_answers": f"""WITH {STAYS}, x AS (SELECT stay_id, day, stay_id % 3 AS b, {_SATURDAY} AS a, day_number FROM days), y AS (SELECT *, CASE WHEN a IS NOT NULL AND day_number > 3 THEN 'за период выходных дней с ' || CASE WHEN month(a) = month(a + 1) THEN day(a) || '-' || strftime(a + 1, '%-d.%m') ELSE strftime(a, '%-d.%m') || '-' || strftime(a + 1, '%-d.%m') END || ' под наблюдением дежурного мед персонала.' END AS note FROM x)
+ SELECT stay_id, CAST(day AS VARCHAR) AS day, concat_ws(';', CASE WHEN note IS NOT NULL THEN 'additional_info=present;additional_info_detail=' || note END, 'behavior=' || CASE b WHEN 0 THEN 'restless' WHEN 1 THEN 'violates' ELSE 'ordered' END,
+  CASE WHEN b < 2 AND (stay_id % 4 = 0 OR stay_id % 5 = 0) THEN 'behavior_detail=' || concat_ws(',', CASE WHEN stay_id % 4 = 0 THEN 'aggression' END, CASE WHEN stay_id % 5 = 0 THEN 'protest' END) END, 'contact=isolated,calm_distance', 'mood=unstable', CASE WHEN stay_id % 2 = 0 THEN 'mood_detail=lability' END) AS answers FROM y""",
     "p20_day_answers": f"""WITH {STAYS}, x AS (SELECT d.stay_id, day, doc_type = 'exam_10d' AS exam, o_orderkey AS k, o_custkey AS c FROM days d JOIN orders ON o_orderkey = d.stay_id),
  y AS (SELECT *, concat_ws(', ', CASE WHEN k % 2 = 0 THEN 'инструментальное обследование (ЭКГ/ЭЭГ)' END, CASE WHEN c % 2 = 0 THEN 'изменение терапии' END, CASE WHEN c % 3 = 0 THEN 'visit' END) AS seen FROM x),
  z AS (SELECT *, CASE WHEN exam THEN concat_ws(' ', CASE WHEN seen <> '' THEN 'В данный период: ' || seen || '.' END, CASE WHEN k % 3 = 1 THEN 'Терапия: сонапакс с 10.01 и далее.' END) ELSE '' END AS detail FROM y)
