@@ -65,6 +65,11 @@ def _cut():
     return cut
 
 
+def soft_split(text: Column) -> Column:
+    """array<string>: the soft pieces of a text, null of null."""
+    return _cut()(text)
+
+
 def chunk_documents(docs: DataFrame, key: str, marker: str, headings: list[tuple[str, str]], exam_signal: str, syndrome: str, stems: list[tuple[str, str]], dynamics: list[tuple[str, str]]) -> DataFrame:
     """(key, record, part, pos, doc_type, section, syndrome, diagnosis_class, dynamics, text): the
     chunks of every document. Metadata is read from the whole record. Null, empty and too

@@ -15,6 +15,12 @@ def clamp_page(limit: int, offset: int, usual: int = 20, most: int = 200) -> tup
     return (limit if 0 < limit <= most else usual), max(offset, 0)
 
 
+def clamped_page(limit: Column, offset: Column, usual: int = 20, most: int = 200) -> Column:
+    """``clamp_page`` for columns: struct<limit, offset>; nulls count as outside."""
+    fine = F.coalesce(limit.between(1, most), F.lit(False))
+    return F.struct(F.when(fine, limit).otherwise(F.lit(usual)).alias("limit"), F.greatest(F.coalesce(offset, F.lit(0)), F.lit(0)).alias("offset"))
+
+
 def page(df: DataFrame, *order: Column, limit: int = 20, offset: int = 0, usual: int = 20, most: int = 200) -> DataFrame:
     """One page of ``df`` in the given order; Spark keeps limit + offset rows per task."""
     limit, offset = clamp_page(limit, offset, usual, most)

@@ -7,12 +7,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from chartweave.plans import answers, corpus, exports, flows, history, notes, timelines
+from chartweave.plans import answers, corpus, exports, flows, history, inputs, notes, timelines
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = history.SQL | corpus.SQL | answers.SQL | flows.SQL | notes.SQL | exports.SQL | timelines.SQL
-QUERIES = history.QUERIES | corpus.QUERIES | answers.QUERIES | flows.QUERIES | notes.QUERIES | exports.QUERIES | timelines.QUERIES
+SQL = history.SQL | corpus.SQL | answers.SQL | flows.SQL | notes.SQL | exports.SQL | timelines.SQL | inputs.SQL
+QUERIES = history.QUERIES | corpus.QUERIES | answers.QUERIES | flows.QUERIES | notes.QUERIES | exports.QUERIES | timelines.QUERIES | inputs.QUERIES
 
 
 def plain(df: pd.DataFrame) -> list:
