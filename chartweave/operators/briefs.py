@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartweave.operators import text as t
+from chartweave.operators.chunks import NO_SAMPLES
 from chartweave.operators.stays import period_percent
 
 # Up to which share of the period a phase lasts; the first three days are admission.
@@ -87,3 +89,65 @@ def assemble_prompts(responses: DataFrame, lines: DataFrame, samples: DataFrame,
     system = F.concat_ws("\n\n", "system", "skeleton", F.nullif(brief, F.lit("")))
     user = F.concat_ws("\n\n", F.coalesce("_samples", "no_samples"), F.coalesce("_lines", "no_lines"))
     return rows.select("response_id", system.alias("system"), user.alias("user"))
+
+
+#: Prose of prompts, in our own words, with the captions of the forms: what a deployment does
+#: not give itself.
+PROSE = {
+    "daily": ("Ты пишешь ежедневный осмотр врача по ответам опросника. Держись строк бланка и их порядка, пиши только то, что следует из ответов и брифа дня.", ("Дата:", "Жалобы:", "Психический статус:", "Соматический статус:", "Диагноз:", "Назначения:", "Дополнительные сведения о заболевании:")),
+    "exam_10d": ("Ты пишешь осмотр за десять дней с этапным эпикризом по ответам опросника. Держись строк бланка и их порядка, эпикриз охватывает период до этого дня.", ("Дата:", "Жалобы:", "Психический статус (его изменение):", "Диагноз:", "Синдром:", "Назначения:", "План лечения:", "Этапный эпикриз:")),
+}
+NO_LINES = "- (ответы не предоставлены)"
+
+
+def default_prose(spark: SparkSession) -> DataFrame:
+    """The table that ``assemble_prompts`` takes, from ``PROSE``."""
+    rows = [(kind, system, "\n".join(captions), NO_LINES, NO_SAMPLES) for kind, (system, captions) in PROSE.items()]
+    return spark.createDataFrame(rows, "doc_type string, system string, skeleton string, no_lines string, no_samples string")
+
+
+# Words of a brief, our own. What stands for a missing diagnosis is a fixed value.
+PHASE_WORDS = {"admission": "первые сутки, адаптация", "field": "поведение неустойчиво, лечение ещё не держит", "titration": "терапия подбирается", "improving": "на лечении спокойнее", "residual": "остаются отдельные трудности"}
+ROLE_WORDS = {"quiet": "тихий, одно-два наблюдения", "event": "событийный, два-три наблюдения", "exam": "осмотр за десять дней с эпикризом"}
+CALENDAR_WORDS = {"weekday": "будний день", "wednesday": "среда, день встреч с родственниками", "saturday": "суббота, выходной", "sunday": "воскресенье, выходной", "monday": "понедельник"}
+NO_DIAGNOSIS = "[ОСНОВНОЙ_ДИАГНОЗ]"
+SEX_WORDS = {"male": "Пиши о пациенте в мужском роде.", "female": "Пиши о пациентке в женском роде."}
+#: Forbidden items that a brief names, and characters of each.
+FORBIDDEN_ITEMS, FORBIDDEN_CHARS = 12, 180
+
+
+def brief_text(rows: DataFrame, name: str = "brief") -> DataFrame:
+    """``rows`` (a brief's columns, ``periods``: days of the period, and of the stay: diagnosis,
+    patient_sex, final_state, discharge) with the brief as one text for a prompt: a line for
+    each thing that the day's note must hold, keep to or leave out. Nulls and blanks leave
+    their line out or take the line for what is not known; no line is empty."""
+
+    def given(column: Column | str) -> Column:
+        return F.nullif(t.trim_space(F.coalesce(column, F.lit(""))), F.lit(""))
+
+    def named(words: dict[str, str], column: str) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.col(column)), F.col(column))
+
+    def bullets(head: str, items: Column) -> Column:
+        some = F.filter(items, lambda x: F.coalesce(t.trim_space(x), F.lit("")) != "")
+        return F.when(F.size(some) > 0, F.concat(F.lit(head), F.array_join(F.transform(some, lambda x: F.concat(F.lit("\n• "), x)), "")))
+
+    line = lambda head, value: F.concat(F.lit(head), value, F.lit("."))
+    weekend, note, monday = F.col("calendar").isin("saturday", "sunday"), given("weekend_note"), F.col("calendar") == "monday"
+    lines = [
+        F.concat(F.lit("Сутки в стационаре: "), F.col("day_number").cast("string"), F.lit("; день периода: "), F.col("place").cast("string"), F.lit(" из "), F.col("periods").cast("string"), F.lit(" ("), F.format_string("%.0f", F.col("percent").cast("double")), F.lit("%).")),
+        line("Фаза: ", named(PHASE_WORDS, "phase")), line("День: ", named(ROLE_WORDS, "role")), line("Календарь: ", named(CALENDAR_WORDS, "calendar")),
+        F.when(weekend & note.isNotNull(), F.concat(F.lit("В дополнительные сведения о заболевании внеси дословно: «"), note, F.lit("» — и только туда."))),
+        F.when(weekend & note.isNull(), F.lit("Выходной первых трёх дней: дополнительных сведений о заболевании нет.")),
+        F.when(monday, F.when(F.coalesce("weekend_recap", F.lit(False)), "Скажи одной-двумя фразами о прошедших выходных, если они следуют из наблюдений.").otherwise("О выходных не пиши: в этом периоде их ещё не было.")),
+        F.concat(F.lit("Диагноз дословно: "), F.coalesce(given("diagnosis"), F.lit(NO_DIAGNOSIS)), F.lit(". Других кодов не подставляй.")),
+        F.when(F.coalesce(F.col("speech_level"), F.lit("unknown")) != "unknown", line("Уровень речи: ", F.col("speech_level"))),
+        F.try_element_at(F.create_map(*[F.lit(x) for pair in SEX_WORDS.items() for x in pair]), F.coalesce("patient_sex", F.lit(""))),
+        F.when(given("discharge").isNotNull(), line("Ориентировочная выписка: ", given("discharge"))),
+        bullets("Сегодня опиши только это:", F.col("observations")),
+        F.coalesce(line("Назначения сегодня меняются: ", given("therapy_today")), F.lit("Назначения: см. лист назначений; о смене схемы не пиши.")),
+        F.when(F.coalesce("include_final_state", F.lit(False)), line("Состояние к концу периода: ", given("final_state"))).otherwise(F.lit("Состояния к выписке сегодня не называй.")),
+        bullets("Сегодня не повторяй и не пересказывай:", F.transform(F.slice("forbidden", 1, FORBIDDEN_ITEMS), lambda x: F.substring(x, 1, FORBIDDEN_CHARS))),
+        F.lit("Не выдумывай событий, встреч, прогулок, консультаций и смены лечения, которых здесь нет."),
+    ]
+    return rows.withColumn(name, F.array_join(F.array_compact(F.array(*lines)), "\n"))

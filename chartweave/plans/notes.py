@@ -73,6 +73,16 @@ def q11_assemble_prompts(spark, d):
     return b.assemble_prompts(responses, lines, turns.where("role <> 'user'").select("response_id", F.col("turn").alias("rank"), F.col("text").alias("block")), prose)
 
 
+def q11_default_prompts(spark, d):
+    """Prompts with the library's own prose, for all conversations as responses."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("response_id"), "turn", "role", "text").distinct()
+    responses = turns.select("response_id", F.when(F.col("response_id") % 2 == 0, "daily").otherwise("exam_10d").alias("doc_type")).distinct()
+    lines = turns.where("role = 'user'").select("response_id", F.col("turn").alias("ord"), F.col("text").alias("line"))
+    samples = turns.where("false").select("response_id", F.col("turn").alias("rank"), F.col("text").alias("block"))
+    done = b.assemble_prompts(responses, lines, samples, b.default_prose(spark))
+    return done.select("response_id", F.md5("system").alias("system"), F.md5("user").alias("user"))
+
+
 def h8_automatic_titles(spark, d):
     o = table(spark, d, "orders")
     day = F.date_format("o_orderdate", "dd.MM.yyyy")
@@ -106,7 +116,7 @@ def t12_build_substitutions(spark, d):
     return made.select("o_orderkey", F.array_join(F.transform(F.array_sort(F.map_entries("substitutions")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("pairs"))
 
 
-QUERIES = {f.__name__: f for f in (c11_ingest_corpus, e1_embed, s3_read_history, s6_batch_filenames, p10_phase_role, p11_interpolate_state, p12_pick_rotated, p22_unpack_batch_meta, q11_assemble_prompts, h8_automatic_titles, t4_date_headers, t8_case_numbers, t12_build_substitutions)}
+QUERIES = {f.__name__: f for f in (c11_ingest_corpus, e1_embed, s3_read_history, s6_batch_filenames, p10_phase_role, p11_interpolate_state, p12_pick_rotated, p22_unpack_batch_meta, q11_assemble_prompts, q11_default_prompts, h8_automatic_titles, t4_date_headers, t8_case_numbers, t12_build_substitutions)}
 
 _PHASE = f"""{STAYS}, x AS (SELECT stay_id, day, day_number, doc_type, row_number() OVER (PARTITION BY stay_id ORDER BY day) AS place, count(*) OVER (PARTITION BY stay_id) AS n FROM days),
  y AS (SELECT *, CASE WHEN n > 1 THEN round((place - 1) * 100.0 / (n - 1)) ELSE 100.0 END AS percent FROM x),
@@ -130,6 +140,7 @@ SQL = {
     "p12_pick_rotated": "WITH a AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber) FILTER (WHERE l_linenumber <> 1))) AS pool FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN coalesce(len(pool), 0) = 0 THEN '' ELSE pool[l_orderkey % len(pool) + 1] || ',' || pool[(l_orderkey + 1) % len(pool) + 1] END AS picks FROM a",
     "p22_unpack_batch_meta": "SELECT o_orderkey, CASE WHEN fine THEN day END AS admission_date, CASE WHEN fine THEN day END AS date_from, CASE WHEN fine THEN day END AS date_to, CASE WHEN fine THEN '' END AS director_context, CASE WHEN fine THEN o_orderpriority END AS session_title FROM (SELECT o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AS fine FROM orders)",
     "q11_assemble_prompts": "WITH c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations) SELECT conv_id AS response_id, CASE WHEN conv_id % 2 = 0 THEN 'Write a note.' || chr(10) || chr(10) || 'A:' || chr(10) || 'B:' ELSE 'Write an exam.' || chr(10) || chr(10) || 'C:' END || CASE WHEN conv_id % 3 = 0 THEN chr(10) || chr(10) || 'brief' ELSE '' END AS system, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER (WHERE role <> 'user' AND text <> ''), 'no samples') || chr(10) || chr(10) || coalesce(string_agg('- ' || text, chr(10) ORDER BY turn, text) FILTER (WHERE role = 'user' AND text <> ''), '- none') AS user FROM c GROUP BY 1",
+    "q11_default_prompts": "WITH c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations) SELECT conv_id AS response_id, md5(CASE WHEN conv_id % 2 = 0 THEN " + " ELSE ".join("'" + system + "' || chr(10) || chr(10) || '" + "' || chr(10) || '".join(captions) + "'" for system, captions in b.PROSE.values()) + f" END) AS system, md5('{b.NO_SAMPLES}' || chr(10) || chr(10) || coalesce(string_agg('- ' || text, chr(10) ORDER BY turn, text) FILTER (WHERE role = 'user' AND text <> ''), '{b.NO_LINES}')) AS user FROM c GROUP BY 1",
     "h8_automatic_titles": "SELECT o_orderkey, o_orderkey % 3 < 2 AND o_custkey % 4 <> 2 AS automatic FROM orders",
     "t4_date_headers": f"SELECT o_orderkey, 'ОСМОТР' || chr(10) || CASE WHEN odd THEN ' ** ' || said || ' время:  9:05 **' ELSE {_OFFICIAL} || ' время: 09 час. 05 мин.' END || chr(10) || 'ИБ N 12' || chr(10) || 'текст ' || said || chr(10) || 'иб №' AS text FROM ({_HEADER})",
     "t8_case_numbers": f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'ОСМОТР' || chr(10) || ' ** ' || said || ' время:  9:05 **' || chr(10) || 'ИБ N 12' || chr(10) || 'текст ' || said || chr(10) || 'иб №' ELSE 'ОСМОТР' || chr(10) || 'без номера' END WHEN o_orderkey % 2 = 0 THEN 'ОСМОТР' || chr(10) || ' ** ' || said || ' время:  9:05 **' || chr(10) || line || chr(10) || 'текст ' || said ELSE line || chr(10) || 'ОСМОТР' || chr(10) || 'без номера' END AS text FROM (SELECT *, 'ИБ №' || CASE WHEN o_custkey % 3 = 1 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS line FROM ({_HEADER}))",

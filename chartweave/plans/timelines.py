@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chartweave.operators import briefs as b
 from chartweave.operators import timeline as t
 from chartweave.operators.redaction import spread
 from chartweave.plans.corpus import STAYS, days_of, iso
@@ -63,6 +65,14 @@ def p14_compile_briefs(spark, d):
     return rows.select("stay_id", iso("day"), "phase", "role", "speech_level", "mood", "behavior", *joined, "therapy_today", "include_final_state", "weekend_recap", "weekend_note")
 
 
+def p14_brief_texts(spark, d):
+    """The briefs of all days as texts for prompts."""
+    stays = told_stays(spark, d)
+    made = t.compile_briefs(stays, days_of(spark, d)).withColumn("periods", F.count(F.lit(1)).over(Window.partitionBy("stay_id")))
+    known = stays.select("stay_id", "diagnosis", "patient_sex", "final_state", F.lit(None).cast("string").alias("discharge"))
+    return b.brief_text(made.join(known, "stay_id")).select("stay_id", iso("day"), "brief")
+
+
 def p16_duty_notes(spark, d):
     return days_of(spark, d).select("stay_id", iso("day"), t.weekend_duty_note(F.col("day"), F.col("day_number")).alias("note")).where("note IS NOT NULL")
 
@@ -92,7 +102,7 @@ def p20_brief_answers(spark, d):
     return out.select("stay_id", iso("day"), told.alias("answers"))
 
 
-QUERIES = {f.__name__: f for f in (p20_brief_answers, p6_narrative_facts, p8_assign_timed, p14_compile_briefs, p16_duty_notes, p19_context_for_day, p20_day_answers)}
+QUERIES = {f.__name__: f for f in (p14_brief_texts, p20_brief_answers, p6_narrative_facts, p8_assign_timed, p14_compile_briefs, p16_duty_notes, p19_context_for_day, p20_day_answers)}
 
 _ANY = lambda words: "regexp_matches(low, '" + "|".join(words) + "')"
 _NAMED = [f"CASE WHEN {_ANY(words)} THEN {d - 1} END" for d, words in t.WEEKDAY_WORDS.items()]

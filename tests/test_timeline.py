@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import pytest
 
+from chartweave.operators import briefs
 from chartweave.operators import timeline as t
 from chartweave.plans import timelines
 from chartweave.plans.corpus import days_of
@@ -215,3 +216,16 @@ def test_briefs(spark, told):
     assert set(got) == set(days)
     for k in days:
         assert got[k] == brief_days(stays[k], days[k]), stays[k]
+
+
+def test_brief_as_text(spark):
+    schema = "day_number int, place int, periods int, percent double, phase string, role string, calendar string, weekend_note string, weekend_recap boolean, diagnosis string, speech_level string, patient_sex string, discharge string, observations array<string>, therapy_today string, include_final_state boolean, final_state string, forbidden array<string>, day date"
+    full = (5, 2, 9, 12.0, "field", "event", "saturday", "за период выходных", False, "F71.1", "words", "male", "10.02.2024", ["пел", " ", "рисовал"], "рисперидон 2 мг", True, "ровный", [f"{k}" + "я" * 300 for k in range(20)], None)
+    bare = (1, 1, 1, 0.0, "odd", "quiet", "monday", None, None, " ", None, None, None, [], None, None, None, None, None)
+    first, second = (r.brief.split("\n") for r in briefs.brief_text(spark.createDataFrame([full, bare], schema)).collect())
+    assert first[0] == "Сутки в стационаре: 5; день периода: 2 из 9 (12%)." and "Диагноз дословно: F71.1. Других кодов не подставляй." in first
+    assert [x for x in first if x.startswith("• ")][:2] == ["• пел", "• рисовал"] and sum(x.startswith("• ") for x in first) == 2 + briefs.FORBIDDEN_ITEMS
+    assert max(len(x) for x in first if x.startswith("• ")) == briefs.FORBIDDEN_CHARS + 2
+    assert any("«за период выходных»" in x for x in first) and "Состояние к концу периода: ровный." in first and "Назначения сегодня меняются: рисперидон 2 мг." in first
+    assert "Фаза: odd." in second and any(briefs.NO_DIAGNOSIS in x for x in second) and "Назначения: см. лист назначений; о смене схемы не пиши." in second
+    assert "О выходных не пиши: в этом периоде их ещё не было." in second and not any(x.startswith("• ") or not x for x in second)
