@@ -88,14 +88,20 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def first_of_each(items: Column, key) -> Column:
-    """``items`` without those whose key an earlier one has."""
-    return bound(items, lambda xs: bound(F.transform(xs, key), lambda ks: F.filter(xs, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)))
+def first_of_each(items: Column, key, most: int | None = None) -> Column:
+    """``items`` without those whose key an earlier one has; the first ``most`` of them. Keys are
+    told apart by hashing, and only those that stay are looked up."""
 
+    def kept(xs: Column, ks: Column) -> Column:
+        once = F.array_distinct(ks)
+        return F.transform(once if most is None else F.slice(once, 1, most), lambda k: F.get(xs, (F.array_position(ks, k) - 1).cast("int")))
 
-def unique(items: Column) -> Column:
-    """``items`` without those that begin like an earlier one."""
-    return first_of_each(items, lambda x: F.lower(F.substring(x, 1, SAME)))
+    return bound(items, lambda xs: bound(F.transform(xs, key), lambda ks: kept(xs, ks)))
+
+
+def unique(items: Column, most: int | None = None) -> Column:
+    """``items`` without those that begin like an earlier one; the first ``most`` of them."""
+    return first_of_each(items, lambda x: F.lower(F.substring(x, 1, SAME)), most)
 
 
 def _closed(text: Column) -> Column:
@@ -159,9 +165,15 @@ def day_marks(text: Column, year: Column) -> Column:
     return F.filter(bare, lambda m: F.length(m["snippet"]) > 8)
 
 
+def dealt(rows: DataFrame, key: str = "stay_id") -> DataFrame:
+    """``rows`` by key in as many parts as the session shuffles into: parts that hold few bytes
+    but much work for each row are not put together, as adaptive execution would."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _with_days(stays: DataFrame, days: DataFrame) -> DataFrame:
     """Stays with the sorted array of their planned days; those without days go."""
-    return stays.join(days.groupBy("stay_id").agg(F.array_sort(F.collect_set("day")).alias("_days")), "stay_id")
+    return dealt(stays).join(days.groupBy("stay_id").agg(F.array_sort(F.collect_set("day")).alias("_days")), "stay_id")
 
 
 def assign_timed(stays: DataFrame, days: DataFrame, text: str = "narrative") -> DataFrame:
@@ -320,7 +332,7 @@ def stay_pools(stays: DataFrame, days: DataFrame, text: str = "narrative") -> Da
     of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "fact")))), lambda x: x["fact"])
     pools = narrative_facts(stays, text).groupBy("stay_id").agg(*[of(k).alias(k) for k in FACTS])
     first = days.groupBy("stay_id").agg(F.year(F.min("day")).alias("_year"))
-    rows = stays.join(first, "stay_id").join(pools, "stay_id", "left").withColumns({k: F.coalesce(k, F.array().cast(TEXTS)) for k in FACTS})
+    rows = dealt(stays).join(first, "stay_id").join(pools, "stay_id", "left").withColumns({k: F.coalesce(k, F.array().cast(TEXTS)) for k in FACTS})
     low = lambda x: F.lower(x)
     blank = lambda name: F.coalesce(name, F.lit(""))
     sources = F.concat_ws("\n", F.nullif("key_medications", F.lit("")), F.nullif(F.array_join("therapy", "\n"), F.lit("")))
@@ -368,7 +380,7 @@ def compile_briefs(stays: DataFrame, days: DataFrame, text: str = "narrative", m
     planned = days.select("stay_id", "day", "day_number", "doc_type")
     pools = stay_pools(stays, planned, text)
     placed = assign_timed(stays, planned, text).groupBy("stay_id", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("_timed"))
-    rows = planned.join(pools, "stay_id").join(placed, ["stay_id", "day"], "left").withColumn("_timed", F.coalesce("_timed", F.array().cast(TEXTS)))
+    rows = dealt(planned.join(pools, "stay_id").join(placed, ["stay_id", "day"], "left")).withColumn("_timed", F.coalesce("_timed", F.array().cast(TEXTS)))
     rows = weekend_recap(briefs.interpolate_state(briefs.day_phase_role(rows), "overall_dynamics"))
     stay = Window.partitionBy("stay_id")
     i, phase, role = F.col("place") - 1, F.col("phase"), F.col("role")
@@ -410,8 +422,10 @@ def compile_briefs(stays: DataFrame, days: DataFrame, text: str = "narrative", m
     rows = rows.withColumns({"observations": unique(F.concat("_reserved", F.slice(rest, F.lit(1), cap))), "therapy_today": therapy, "include_final_state": final})
 
     told = F.lower(F.array_join("observations", " "))
-    everyone = F.array_sort(F.collect_list(F.struct("day", "observations")).over(stay))
-    others = F.flatten(F.transform(F.filter("_everyone", lambda x: x["day"] != F.col("day")), lambda x: x["observations"]))
+    # what other days tell: those before and those behind, in order
+    by_day = stay.orderBy("day")
+    told_by = lambda low, high: F.flatten(F.collect_list("observations").over(by_day.rowsBetween(low, high)))
+    everyone = F.concat(told_by(Window.unboundedPreceding, -1), told_by(1, Window.unboundedFollowing))
     door = F.lit(True), F.lit(True), ~F.col("include_final_state")
     stops = F.array_compact(F.array(*[F.when(~told.rlike(p) & on, F.lit(stop)) for (p, stop), on in zip(FIELD_STOPS, door)]))
     extra = F.concat(
@@ -421,10 +435,10 @@ def compile_briefs(stays: DataFrame, days: DataFrame, text: str = "narrative", m
         F.when(~exam, F.filter("visits", lambda x: ~F.array_contains("_timed", x))).otherwise(none),
         F.when(phase.isin("admission", "field"), F.concat("improvement", "residual")).when(late, F.concat("field", "early")).otherwise(none),
     )
-    rows = rows.withColumn("_everyone", everyone).withColumn("_forbidden", F.concat(stops, extra, others))
+    rows = rows.withColumn("_everyone", everyone).withColumn("_forbidden", F.concat(stops, extra, F.col("_everyone")))
     calendar = F.when(F.dayofweek("day") == 7, "saturday").when(F.dayofweek("day") == 1, "sunday").when(F.dayofweek("day") == 2, "monday").when(F.dayofweek("day") == 4, "wednesday").otherwise("weekday")
     return rows.select(
         "stay_id", "day", "day_number", "doc_type", "place", "percent", "phase", "role", calendar.alias("calendar"), "speech_level", "mood", "mood_detail", "behavior",
-        contact_codes(F.col("_blob"), phase, role, F.col("speech_level")).alias("contact"), "observations", F.slice(unique(F.col("_forbidden")), 1, most_forbidden).alias("forbidden"), "therapy_today", "include_final_state",
+        contact_codes(F.col("_blob"), phase, role, F.col("speech_level")).alias("contact"), "observations", unique(F.col("_forbidden"), most_forbidden).alias("forbidden"), "therapy_today", "include_final_state",
         F.when(exam, "exam").when(quiet, "short").otherwise("medium").alias("length_hint"), F.col("recap").alias("weekend_recap"), weekend_duty_note(F.col("day"), F.col("day_number")).alias("weekend_note"),
     )
