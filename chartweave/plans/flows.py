@@ -52,7 +52,7 @@ def r16_recall_report(spark, d):
     marked = r.redact_documents(r.spread(varied_notes(spark, d)))
     found = marked.select("doc_ref", F.explode("removed_by_type").alias("type", "n"))
     raw = varied_notes(spark, d).where("text IS NOT NULL")
-    values = {"date": F.regexp_extract("text", r"\d\d\.\d\d\.\d{4}", 0), "patient": F.lit("Иванов"), "doc_number": F.regexp_extract("text", r"\d{8}", 0), "age": F.lit("14 лет")}
+    values = {"date": F.regexp_extract("text", r"\d\d\.\d\d\.\d{4}", 0), "patient": F.lit("Иванов"), "doc_number": F.regexp_extract("text", r"\d{8}", 0), "age": F.lit("14 лет"), "id_doc": F.regexp_extract("text", r"4010 \d{6}", 0)}
     wanted = raw.select("doc_ref", F.explode(F.array(*[F.struct(F.lit(k).alias("type"), v.alias("value")) for k, v in values.items()])).alias("w")).select("doc_ref", "w.*")
     report = c.recall_report(wanted, found, "doc_ref", marked)
     return report.select("doc_ref", "expected", F.round("recall", 6).alias("recall"), F.array_join("missed", ",").alias("missed"), "leaked")
@@ -168,7 +168,7 @@ SQL = {
     "p9_anchor_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '1999-09-09' ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 10 * 2 AS INT) AS VARCHAR) END AS anchor FROM orders",
     "p18_speech_levels": "SELECT doc_id, CASE WHEN lower(text) LIKE '%zzz%' THEN 'sounds' WHEN lower(text) LIKE '%stra%' THEN 'words' WHEN lower(text) LIKE '%the%' THEN 'expanded' ELSE 'unknown' END AS level FROM documents",
     "r14_label_counts": f"WITH {DONE}, removed AS ({REMOVED}) SELECT CASE WHEN type IN ('date', 'period') THEN 'dates' WHEN type = 'phone' THEN 'phones' ELSE type END AS label, CAST(sum(n) AS BIGINT) AS removed FROM removed GROUP BY 1 HAVING sum(n) > 0",
-    "r16_recall_report": rf"WITH {DONE}, w AS (SELECT doc_ref, done, unnest(['date', 'patient', 'doc_number', 'age']) AS type, unnest([n_date, n_patient, n_doc_number, n_age]) > 0 AS hit, unnest([regexp_extract(text, '\d\d\.\d\d\.\d{{4}}'), 'Иванов', regexp_extract(text, '\d{{8}}'), '14 лет']) AS value FROM done WHERE text IS NOT NULL) SELECT doc_ref, count(*) AS expected, round(count(*) FILTER (WHERE hit) / 4.0, 6) AS recall, coalesce(string_agg(type, ',' ORDER BY type) FILTER (WHERE NOT hit), '') AS missed, count(*) FILTER (WHERE value <> '' AND contains(done, value)) AS leaked FROM w GROUP BY 1",
+    "r16_recall_report": rf"WITH {DONE}, w AS (SELECT doc_ref, done, unnest(['date', 'patient', 'doc_number', 'age', 'id_doc']) AS type, unnest([n_date, n_patient, n_doc_number, n_age, n_id_doc]) > 0 AS hit, unnest([regexp_extract(text, '\d\d\.\d\d\.\d{{4}}'), 'Иванов', regexp_extract(text, '\d{{8}}'), '14 лет', regexp_extract(text, '4010 \d{{6}}')]) AS value FROM done WHERE text IS NOT NULL) SELECT doc_ref, count(*) AS expected, round(count(*) FILTER (WHERE hit) / 5.0, 6) AS recall, coalesce(string_agg(type, ',' ORDER BY type) FILTER (WHERE NOT hit), '') AS missed, count(*) FILTER (WHERE value <> '' AND contains(done, value)) AS leaked FROM w GROUP BY 1",
     "p6_extract_facts": r"""WITH r AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), '[\x01\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS xs FROM documents), e AS (SELECT doc_id AS stay_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM r),
  k AS (SELECT stay_id, pos, CASE WHEN regexp_matches(lower(x), '\bthe\b') AND regexp_matches(lower(x), '\band\b') THEN 'contrast' WHEN lower(x) LIKE '%stra%' THEN 'skip' WHEN lower(x) LIKE '%the%' THEN 'early' ELSE 'later' END AS kind, regexp_replace(x, '[.;]+$', '') AS fact FROM e),
  f AS (SELECT stay_id, kind, min(pos) AS pos, arg_min(fact, pos) AS fact FROM k WHERE kind <> 'skip' GROUP BY stay_id, kind, lower(substr(fact, 1, 48))) SELECT stay_id, kind, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places, CAST(sum(length(fact)) AS BIGINT) AS chars FROM f GROUP BY 1, 2""",

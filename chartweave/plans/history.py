@@ -130,7 +130,10 @@ def h2_history_detail(spark, d):
 
 
 def h3_history_children(spark, d):
-    return h.history_children(requests(spark, d), documents(spark, d)).select("parent_request_id", "id", "position", "content_anonymized")
+    """Every second child has a document."""
+    made = table(spark, d, "lineitem").where("l_linenumber % 2 = 0").select((F.lit(1_000_000_000) + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.concat("l_returnflag", F.lit("-"), F.col("l_linenumber").cast("string")).alias("text"))
+    docs = made.groupBy("request_id").agg(F.min("text").alias("content_anonymized"), F.lit(1).cast("long").alias("tokens_used"))
+    return h.history_children(requests(spark, d), docs).select("parent_request_id", "id", "position", "content_anonymized")
 
 
 def h4_merge_documents(spark, d):
@@ -286,7 +289,7 @@ SQL = {
     "h1_history_after": f"WITH {REQUESTS}, {_COUNTS} SELECT id, doctor_id, created_at, coalesce(n, 0) AS children_count FROM requests LEFT JOIN kids ON p = id WHERE parent_request_id IS NULL AND (created_at, id) < (TIMESTAMP '1996-07-01', 0) ORDER BY created_at DESC, id DESC LIMIT 200",
     "f9_search_many_titles": "SELECT q.query, d.doc_id AS id, md5(left(d.text, 80)) AS title FROM (SELECT DISTINCT lower(trim(split_part(text, ' ', 1))) AS query FROM benchmark WHERE text IS NOT NULL) q JOIN documents d ON contains(lower(left(d.text, 80)), q.query)",
     "h2_history_detail": f"WITH {REQUESTS}, {DOCUMENTS} SELECT id, status, content_anonymized, tokens_used FROM requests LEFT JOIN docs ON request_id = id WHERE parent_request_id IS NULL",
-    "h3_history_children": f"WITH {REQUESTS} SELECT parent_request_id, id, row_number() OVER (PARTITION BY parent_request_id ORDER BY created_at, id) AS position, '' AS content_anonymized FROM requests WHERE parent_request_id IS NOT NULL",
+    "h3_history_children": f"WITH {REQUESTS}, made AS (SELECT 1000000000 + l_orderkey * 10 + l_linenumber AS request_id, min(l_returnflag || '-' || l_linenumber) AS content FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1) SELECT parent_request_id, id, row_number() OVER (PARTITION BY parent_request_id ORDER BY created_at, id) AS position, coalesce(content, '') AS content_anonymized FROM requests LEFT JOIN made ON request_id = id WHERE parent_request_id IS NOT NULL",
     "h4_merge_documents": f"WITH {DOCUMENTS}, inc AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'exam_10d' END AS t FROM orders WHERE o_orderkey % 5 = 0) SELECT coalesce(inc.request_id, docs.request_id) AS request_id, coalesce(nullif(t, ''), document_type_code) AS document_type_code, CASE WHEN inc.request_id IS NOT NULL THEN 'new' ELSE content_anonymized END AS content_anonymized, CASE WHEN inc.request_id IS NOT NULL THEN 1 ELSE tokens_used END AS tokens_used FROM docs FULL JOIN inc ON docs.request_id = inc.request_id",
     "h5_patch_requests": f"WITH {REQUESTS} SELECT id, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN 'renamed' ELSE title_safe END AS title_safe, status FROM requests WHERE parent_request_id IS NULL",
     "h6_delete_cascade": f"WITH {REQUESTS}, {DOCUMENTS} SELECT 'request' AS kind, id FROM requests WHERE coalesce(parent_request_id, id) % 10 <> 3 OR (parent_request_id IS NOT NULL AND parent_request_id NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'document', request_id FROM docs WHERE request_id % 10 <> 3",
