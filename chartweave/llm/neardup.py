@@ -42,6 +42,8 @@ SMALL = 256
 CERTAINTY = 3.5
 #: Rows of a bucket above which it is dealt into cells of about so many rows.
 SPLIT_BUCKET = 3000
+#: Rows of keys, ids and counts that are broadcast at most (some 40 bytes each).
+FEW_ROWS = 1_000_000
 #: Low bits of a table key that hold the number of the table; up to 16 bands.
 TABLE_BITS = 8
 #: Sets of a round's hubs that are broadcast at most; beyond, join by shuffle.
@@ -293,6 +295,12 @@ def table_of(key: Column) -> Column:
     return key.bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int")
 
 
+def few_rows(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows (keys, ids, counts), to be broadcast if it has at most
+    ``FEW_ROWS``; a longer one is joined by shuffle, whose skewed parts Spark splits."""
+    return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table
+
+
 def dealt_rows(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, _key, _table, _tied) of the buckets, oversize ones as cells, and the links confirmed on
     the way. ``_tied`` is the label that such a link gives a node; nodes of one label are known
@@ -303,11 +311,11 @@ def dealt_rows(docs: DataFrame, nodes: DataFrame, percent: int, bands: int) -> t
     tuples = stash(tuples.where(F.col("_n") > SPLIT_BUCKET).drop("_n"), "near-tuples")
     links, cells, tied = None, None, None
     if not tuples.isEmpty():
-        counts = rows.join(F.broadcast(tuples), ["_i", "_l"]).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+        counts = rows.join(few_rows(tuples), ["_i", "_l"]).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
         oversize = stash(counts.where(F.col("_n") > SPLIT_BUCKET).drop("_n"), "near-oversize")
         if not oversize.isEmpty():
-            hot = stash(rows.join(F.broadcast(oversize), "_key").select("doc_id", "_label", "_key"), "near-hot")
-            rows = rows.join(F.broadcast(oversize), "_key", "left_anti")
+            hot = stash(rows.join(few_rows(oversize), "_key").select("doc_id", "_label", "_key"), "near-hot")
+            rows = rows.join(few_rows(oversize), "_key", "left_anti")
             tied, links = _tied(docs, hot, percent)
             cells = _cells(tied)
             drop(hot)
@@ -332,7 +340,7 @@ def _tied(docs: DataFrame, hot: DataFrame, percent: int) -> tuple[DataFrame, Dat
         hubs = stash(hubs.where(F.col("_n") > SPLIT_BUCKET).select("_key", F.col("_hub.doc_id").alias("_hub"), F.col("_hub._label").alias("_own")), "near-hubs")
         if hubs.isEmpty():
             break
-        asked = rest.join(F.broadcast(hubs), "_key")
+        asked = rest.join(few_rows(hubs), "_key")
         pairs = stash(asked.where("doc_id <> _hub AND _label <> _own").select(F.col("_hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-asked")
         found = confirmed_links(docs, pairs, percent, hubs=True)
         drop(pairs)
@@ -340,7 +348,7 @@ def _tied(docs: DataFrame, hot: DataFrame, percent: int) -> tuple[DataFrame, Dat
         linked = asked.join(found, (asked["_hub"] == found["a"]) & (asked["doc_id"] == found["b"]), "left")
         ties = linked.withColumn("_tie", F.col("b").isNotNull() | (F.col("doc_id") == F.col("_hub")) | (F.col("_label") == F.col("_own")))
         ties = stash(ties.select("_key", "doc_id", F.when(F.col("_tie"), F.col("_own")).otherwise(F.col("_label")).alias("_label"), "_tie"), "near-ties")
-        done += [ties.where("_tie").drop("_tie"), rest.join(F.broadcast(hubs.select("_key")), "_key", "left_anti")]
+        done += [ties.where("_tie").drop("_tie"), rest.join(few_rows(hubs.select("_key")), "_key", "left_anti")]
         rest = ties.where("NOT _tie").drop("_tie")
         if 10 * ties.where("_tie").count() < ties.count():
             break
@@ -357,7 +365,7 @@ def _cells(hot: DataFrame) -> DataFrame:
     half = F.lit(max(SPLIT_BUCKET // 2, 1))
     count = lambda n: F.ceil(n / half).cast("int")
     sizes = stash(sizes.where("_all > _m").select("_key", "_main", count(F.col("_m")).alias("_p"), count(F.col("_all") - F.col("_m")).alias("_q")), "near-sizes")
-    rows = hot.join(F.broadcast(sizes), "_key")
+    rows = hot.join(few_rows(sizes), "_key")
     main = F.col("_label") == F.col("_main")
     block = F.pmod(F.xxhash64("doc_id"), F.when(main, F.col("_p")).otherwise(F.col("_q"))).cast("int")
     rows = rows.withColumn("_block", block)

@@ -618,3 +618,12 @@ def test_scratch_deletes_its_own(spark):
         assert mine.count() == 2
     assert other[0].count() == 3 and mine not in _shared._folder_of
     _shared.drop(*other)
+
+
+def test_hot_buckets_without_broadcasts(docs, monkeypatch):
+    """Beyond the bound the same classes come out of joins by shuffle."""
+    monkeypatch.setattr(neardup, "SPLIT_BUCKET", 3)
+    some = docs.where("doc_id < 120")
+    want = {(r.doc_id, r.component_id) for r in neardup.near_classes(some).collect()}
+    monkeypatch.setattr(neardup, "FEW_ROWS", 0)
+    assert {(r.doc_id, r.component_id) for r in neardup.near_classes(some).collect()} == want
