@@ -249,8 +249,9 @@ def _usual_width(points: DataFrame) -> tuple[int, int]:
     return (found["w"], found["count"]) if found else (0, 0)
 
 
-def plan_search(queries: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """Tiles of the queries, tiles of the points and their pairs, each a written table."""
+def plan_search(queries: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
+    """Tiles of the queries, tiles of the points and their pairs, each a written table, and the
+    length of the vectors; null without points."""
     queries, points = queries.where(sound(F.col("embedding"))), points.where(sound(F.col("embedding")))
     width, rows = _usual_width(points)
     if not width:
@@ -258,7 +259,7 @@ def plan_search(queries: DataFrame, points: DataFrame, k: int) -> tuple[DataFram
     queries, points = queries.where(F.size("embedding") == width), points.where(F.size("embedding") == width)
     pivots = pivots_of(points, rows)
     asked, stored = stash(tiles_of(queries, "query_id", pivots), "asked"), stash(tiles_of(points, "point_id", pivots), "stored")
-    return asked, stored, stash(tile_pairs(asked, stored, k), "pairs")
+    return asked, stored, stash(tile_pairs(asked, stored, k), "pairs"), width
 
 
 def scored_share(pairs: DataFrame) -> DataFrame:
@@ -280,9 +281,7 @@ def cosine_top_k(queries: DataFrame, points: DataFrame, k: int = 7) -> DataFrame
     if planned is None:
         none = queries.sparkSession.createDataFrame([], schema)
         return none.select("query_id", F.lit(1).alias("rank"), "point_id", "score")
-    asked, stored, pairs = planned
-    width = stored.first()
-    width = len(width["matrix"]) // 8 // width["n"]
+    asked, stored, pairs, width = planned
     place = Window.partitionBy("asked").orderBy("stored")
     kept = pairs.where("kept").select("asked", "stored", F.floor((F.row_number().over(place) - 1) / SLICE).cast("int").alias("slice"))
     slices = kept.select("asked", "slice").distinct().join(asked.select(F.col("tile").alias("asked"), F.col("ids").alias("queries"), F.col("matrix").alias("q_matrix")), "asked")

@@ -58,7 +58,7 @@ def test_tiles_are_dropped_exactly(spark, clustered, monkeypatch):
     queries, points = clustered
     apart = [(i, v, (None,) * 4) for i, v, _ in queries if any(v)]
     plain = [(i, v, (None,) * 4) for i, v, _ in points if any(v)]
-    _, _, pairs = retrieval.plan_search(table(spark, apart, "query_id"), table(spark, plain, "point_id"), 5)
+    _, _, pairs, _ = retrieval.plan_search(table(spark, apart, "query_id"), table(spark, plain, "point_id"), 5)
     share = retrieval.scored_share(pairs).first()
     assert share["pairs"] == len(apart) * len(plain) and share["scored"] < 0.5 * share["pairs"] and share["share"] == share["scored"] / share["pairs"]
 
