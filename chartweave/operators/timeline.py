@@ -31,6 +31,7 @@ OTHER_WORDS = (
     "вчера", "сегодня утром", "в этот день", "в тот день", "на прогулке", "во время", "после визита", "после встречи", "на этой неделе", "в начале недели", "в конце недели",
     "на второй день", "на третий день", "на четвёртый день", "на пятый день", "на шестой день", "на седьмой день", "на 2-й день", "на 3-й день",
 )
+# Patterns of what sentences tell.
 WEEKDAY_STEMS = {1: "воскресень", 2: "понедельник", 3: "вторник", 4: "сред[ауые]", 5: "четверг", 6: "пятниц", 7: "суббот"}
 VISIT_DAY, MEETING, RELATIVE = r"родительск\w* дн|на свидан", "встреч|визит|приход|приехала|приехал", "мам[аоыуе]|матер|отц[аеу]|родител|родствен"
 FIRST, LAST = "в первые дни|при поступлении|с первых дней|в начале госпитал", "перед выпиской|в последние дни|ближе к выписке|накануне выписки"
@@ -47,7 +48,7 @@ SPEECH = (
 )
 GRAVE = r"F72|выраженн\w* умственн"
 ISOLATED, SOCIABLE, REMARKS = "не взаимодейств|обособлен|практически не обща", "активно обща|с детьми обща|сверстник|весел|шумн|подвижн", "коррекци|замечан|каприз|плак"
-# the kinds of sentences, the first that fits; visits and dates are told apart below
+# The kinds of sentences, the first that fits; visits and dates are told apart below
 KINDS = (
     ("выходн|понедельник|вторник|сред[ауы]|четверг|пятниц|суббот|воскресень", "timed"),
     (None, "timed"),
@@ -60,6 +61,7 @@ KINDS = (
     ("надзор|под наблюдением", "skip"),
     ("когнитивн|гигиеническ|ест самостоятельно|не взаимодейств|аппетит и сон|режимные моменты", "traits"),
 )
+# Phrases of briefs.
 FOR_PERIOD = "За период (не новый эпизод сегодня): "
 FIELD_STOPS = (("простын", "простыни / стаскивание белья — не сегодня"), ("обув", "обувь / обирание обуви — не сегодня"), ("двер|за руку", "ведёт к двери / «гулять по отделению» — не сегодня"))
 SO_FAR = "Схема к СЕГОДНЯШНЕЙ дате (события позже этой даты не включай): "
