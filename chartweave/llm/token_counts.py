@@ -15,6 +15,8 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from array import array
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -144,22 +146,47 @@ class PrefixCounter:
 
     def word_prefix_counts(self, word: str) -> list[int]:
         """Tokens of each prefix of a word, 0 to len(word) characters, each prefix standing
-        as a text of its own (a cut contraction, of three characters at most, falls into two words)."""
-        s, ends = self.spell(word), [0]
-        for ch in word:
-            ends.append(ends[-1] + len(ch.encode("utf-8")))
-        last, count = self._inner_table(s, len(s))
-        out = [0]
-        for k in range(1, len(word) + 1):
-            again = self.split(word[:k]) if len(word) <= 4 else None
-            out.append(self._closed(s, last, count, ends[k]) if again is None or again == [word[:k]] else sum(map(self.word_count, again)))
+        as a text of its own (a cut contraction, of three characters at most, falls into two
+        words). One pass finds for each end the token inside the word and the one that ends it."""
+        s = self.spell(word)
+        n, longest, inner, final, fits, known = len(s), self.longest, self.inner, self.final, self.fits, self.fit.get
+        last, count, closed = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            inside = ends = False
+            for j in range(i - longest if i > longest else 0, i):
+                t = s[j:i]
+                if not inside and t in inner:
+                    ok = known((last[j], t, False))
+                    if ok or (ok is None and fits(last[j], t, False)):
+                        last[i], count[i], inside = t, count[j] + 1, True
+                if not ends and t in final:
+                    ok = known((last[j], t, True))
+                    if ok or (ok is None and fits(last[j], t, True)):
+                        closed[i], ends = count[j] + 1, True
+                if inside and ends:
+                    break
+        if n == len(word):
+            out = closed
+        else:
+            out, at = [0], 0
+            for ch in word:
+                at += len(ch.encode("utf-8"))
+                out.append(closed[at])
+        if 0 in out[1:]:
+            raise ValueError("the vocabulary lacks single bytes with the end mark")
+        if len(word) <= 4:
+            for k in range(1, len(word) + 1):
+                again = self.split(word[:k])
+                if again != [word[:k]]:
+                    out[k] = sum(map(self.word_count, again))
         return out
 
     def word_steps(self, word: str) -> bytes:
         """The table of one word (memoised)."""
         known = self.older_steps.get(word)
         if known is None:
-            known = np.diff(self.word_prefix_counts(word)).astype(STEP).tobytes()
+            counts = self.word_prefix_counts(word)
+            known = array("h", map(sub, counts[1:], counts)).tobytes()
         if len(self.steps) >= WORD_MEMORY:
             self.older_steps, self.steps = self.steps, {}
         self.steps[word] = known
@@ -203,13 +230,13 @@ class PrefixCounter:
                 out.append(np.diff(inside).astype(STEP).tobytes())
                 continue
             s, at = self.normal(part), 0
-            known, find = self.steps.get, s.find
+            known, find, add, fresh = self.steps.get, s.find, out.append, self.word_steps
             for word in self.split(s):
-                # only white space stands between words
+                # only white space stands between words, most often one blank
                 start = find(word, at)
                 if start > at:
-                    out.append(bytes((start - at) * WIDTH))
-                out.append(known(word) or self.word_steps(word))
+                    add(_BLANK if start == at + 1 else bytes((start - at) * WIDTH))
+                add(known(word) or fresh(word))
                 at = start + len(word)
             out.append(bytes((len(s) - at) * WIDTH))
         return b"".join(out)
@@ -221,8 +248,9 @@ class PrefixCounter:
 
 
 #: Type of a table's steps.
-STEP = np.dtype("<i2")
+STEP = np.dtype(np.int16)
 WIDTH = STEP.itemsize
+_BLANK = bytes(WIDTH)
 
 
 def counts_of(table: bytes) -> np.ndarray:
