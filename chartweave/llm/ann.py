@@ -2,11 +2,14 @@
 
 Centroids are fitted on a bounded sample with a penalty on size, so lists are balanced. Every
 vector is written to the list of its nearest centroid and, if it lies near a border, to
-further lists whose distance is within a ratio of the nearest. A query walks a graph of
-neighbouring centroids, held in memory, and searches the lists whose distance is within a
-ratio of the nearest one found; nothing else limits the walk. The ratio is fitted on the sample:
-the smallest one at which a wanted share of its true neighbours stands in searched lists. Largest inner product becomes smallest distance by one more
-coordinate, which lifts all vectors to the same norm.
+further lists whose distance is within a ratio of the nearest. A query is held against all
+centroids (a bounded table) and searches the lists whose distance is within a ratio of the
+nearest one. The ratio is fitted on a bounded number of the queries themselves, whose true
+neighbours among all rows are found by brute force: the smallest one at which a wanted share of
+those neighbours stands in searched lists. Largest inner product becomes smallest distance by
+one more coordinate, which lifts all vectors to the same norm; queries, whose length ranks
+nothing, are brought to that norm. The few longest vectors, near to every query that points
+their way, stand in a list of their own that all queries search.
 
 Lists are cut into parts of bounded size and dealt into groups; a task gets one group of
 parts and the queries that need it, multiplies them in blocks and keeps each query's best.
@@ -30,8 +33,10 @@ from chartweave.llm._shared import stash
 class Settings:
     """Sample rows the centroids are fitted on, at most; lists, at most; rows of a group.
     ``replica_ratio`` and ``replicas`` rule the copies of border vectors, ``search_ratio`` the
-    lists of a query; None: fitted so that ``recall`` of the neighbours of ``probes`` sample
-    rows are found. ``query_rows`` queries meet a group at once."""
+    lists of a query; None: fitted so that ``recall`` of the neighbours of ``probes`` queries
+    are found. ``query_rows`` queries meet a group at once. Of ``head_share`` rows the first, at
+    most ``head_rows`` of them, stand in the list of the longest vectors. ``neighbours`` is not
+    used any more: no graph of centroids is walked."""
 
     sample_rows: int = 20_000
     lists: int = 4096
@@ -45,14 +50,15 @@ class Settings:
     probes: int = 400
     query_rows: int = 20_000
     neighbours: int = 24
+    head_share: int = 64
+    head_rows: int = 2048
 
 
 @dataclass
 class Centroids:
-    """Centroids in the lifted space and, for each, its nearest fellow centroids."""
+    """Centroids in the lifted space, and the norm that vectors are lifted to."""
 
     points: np.ndarray
-    graph: np.ndarray
     top_norm: float
 
     def lift(self, x: np.ndarray) -> np.ndarray:
@@ -64,27 +70,14 @@ class Centroids:
         d = (x * x).sum(axis=1)[:, None] - 2 * x @ self.points.T + (self.points * self.points).sum(axis=1)
         return np.sqrt(np.maximum(d, 0))
 
+    def aim(self, q: np.ndarray) -> np.ndarray:
+        """Queries (rows, lifted by a coordinate 0) brought to the largest norm."""
+        return q * (self.top_norm / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))
+
     def walk(self, q: np.ndarray, ratio: float) -> list[int]:
-        """Centroids near ``q``, nearest first: best-first search over the graph, ended when
-        the frontier lies beyond ``ratio`` times the nearest distance."""
-        near = ((self.points[self.entry] - q) ** 2).sum(axis=1)
-        seen = np.zeros(len(self.points), bool)
-        seen[self.entry] = True
-        frontier = [(float(d), int(c)) for d, c in zip(near, self.entry)]
-        heapq.heapify(frontier)
-        best, found = frontier[0][0], []
-        while frontier:
-            d, c = heapq.heappop(frontier)
-            best = min(best, d)
-            if d > best * ratio * ratio:
-                break
-            found.append((d, c))
-            fresh = self.graph[c][~seen[self.graph[c]]]
-            seen[fresh] = True
-            for e, k in zip(((self.points[fresh] - q) ** 2).sum(axis=1).tolist(), fresh.tolist()):
-                heapq.heappush(frontier, (e, k))
-        found.sort()
-        return [c for d, c in found if d <= best * ratio * ratio]
+        """Centroids within ``ratio`` times the distance of the nearest to a query, nearest first."""
+        d = self.distances(self.aim(q[None]))[0]
+        return [int(c) for c in d.argsort(kind="stable") if d[c] <= max(d.min(), 1e-12) * ratio]
 
     def lists_of(self, x: np.ndarray, replicas: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and lists of the postings of vectors ``x``."""
@@ -96,9 +89,9 @@ class Centroids:
 
     def fitted_ratio(self, sample: np.ndarray, s: Settings, k: int) -> float:
         """The smallest search ratio that finds ``recall`` of the sample's own neighbours of up
-        to ``probes`` of its rows. In the whole table neighbours are nearer than in a sample."""
+        to ``probes`` of its rows: what ``ratio_for`` gives for rows held in memory."""
         probes = sample[:: max(1, len(sample) // s.probes)]
-        replicas, needed = min(s.replicas, len(self.points)), []
+        replicas, pairs = min(s.replicas, len(self.points)), []
         owners: list[list[int]] = [[] for _ in sample]
         for at in range(0, len(sample), 2048):
             r, c = self.lists_of(sample[at : at + 2048], replicas, s.replica_ratio)
@@ -108,9 +101,16 @@ class Centroids:
             scores = sample @ q
             scores[i * max(1, len(sample) // s.probes)] = -np.inf
             found = np.argpartition(-scores, min(k, len(scores) - 1))[:k]
-            d = self.distances(np.append(q, 0.0)[None])[0]
-            needed += [d[owners[j]].min() / max(d.min(), 1e-12) for j in found if np.isfinite(scores[j])]
-        return float(np.quantile(needed, s.recall)) * (1 + 1e-9) if needed else 1.0
+            pairs += [(i, owners[j]) for j in found if np.isfinite(scores[j])]
+        return self.ratio_for(probes, pairs, s.recall)
+
+    def ratio_for(self, probes: np.ndarray, pairs: list[tuple[int, list[int]]], recall: float) -> float:
+        """The smallest search ratio at which a share ``recall`` of ``pairs`` (row of ``probes``,
+        lists that hold one of its neighbours; none: searched in any case) is found."""
+        d = self.distances(self.aim(np.pad(probes, ((0, 0), (0, 1)))))
+        best = np.maximum(d.min(axis=1), 1e-12)
+        needed = [max(d[i, lists].min() / best[i], 1.0) if len(lists) else 1.0 for i, lists in pairs]
+        return float(np.quantile(needed, recall, method="higher")) * (1 + 1e-9) if needed else 1.0
 
     def widen(self, q: np.ndarray, chosen: list[int], sizes: np.ndarray, enough: int) -> list[int]:
         """``chosen`` and the next nearest lists, until they hold ``enough`` rows or are all."""
@@ -119,14 +119,10 @@ class Centroids:
         held = sizes[chosen].sum() + sizes[rest].cumsum()
         return [*chosen, *rest[: int(np.searchsorted(held, enough)) + 1].tolist()]
 
-    @property
-    def entry(self) -> np.ndarray:
-        return np.arange(0, len(self.points), max(1, len(self.points) // 8))
-
 
-def fit_centroids(sample: np.ndarray, lists: int, top_norm: float, neighbours: int, rounds: int = 8) -> Centroids:
+def fit_centroids(sample: np.ndarray, lists: int, top_norm: float, _neighbours: int = 0, rounds: int = 8) -> Centroids:
     """Balanced k-means: a cluster's distance grows with its size beyond the mean."""
-    holder = Centroids(np.zeros((0, 0)), np.zeros((0, 0), int), top_norm)
+    holder = Centroids(np.zeros((0, 0)), top_norm)
     x = holder.lift(sample)
     rng = np.random.default_rng(7)
     k = max(1, min(lists, len(x)))
@@ -142,13 +138,32 @@ def fit_centroids(sample: np.ndarray, lists: int, top_norm: float, neighbours: i
         np.add.at(sums, owner, x)
         points[size > 0] = sums[size > 0] / size[size > 0, None]
         penalty += 0.02 * (size * k / len(x) - 1)
-    graph = np.empty((k, min(neighbours, max(k - 1, 1))), int)
-    for at in range(0, k, 1024):
-        part = points[at : at + 1024]
-        d = (points * points).sum(axis=1) - 2 * part @ points.T
-        d[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf if k > 1 else 0
-        graph[at : at + 1024] = np.argsort(d, axis=1, kind="stable")[:, : graph.shape[1]]
-    return Centroids(points, graph, top_norm)
+    return Centroids(points, top_norm)
+
+
+def true_neighbours(rows: DataFrame, ids: np.ndarray, probes: np.ndarray, k: int) -> DataFrame:
+    """(probe, vec_id): the ``k`` rows of largest inner product with each of a bounded number of
+    ``probes`` (their own row, of ``ids``, left out), by brute force: one pass over ``rows``."""
+    known = rows.sparkSession.sparkContext.broadcast((ids, probes))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, q = known.value
+        best_id, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for f in frames:
+            for at in range(0, len(f), 2048):
+                part = f.iloc[at : at + 2048]
+                some = part["vec_id"].to_numpy()
+                score = q @ np.stack(part["v"].to_numpy()).T
+                score[own[:, None] == some[None, :]] = -np.inf
+                score, some = np.concatenate([best, score], axis=1), np.concatenate([best_id, np.tile(some, (len(q), 1))], axis=1)
+                keep = np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.tile(np.arange(score.shape[1]), (len(q), 1))
+                best, best_id = np.take_along_axis(score, keep, axis=1), np.take_along_axis(some, keep, axis=1)
+        probe, at = np.nonzero(np.isfinite(best))
+        yield pd.DataFrame({"probe": probe, "vec_id": best_id[probe, at], "score": best[probe, at]})
+
+    order = Window.partitionBy("probe").orderBy(F.col("score").desc(), "vec_id")
+    found = rows.select("vec_id", "v").mapInPandas(run, "probe int, vec_id long, score double")
+    return found.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k).select("probe", "vec_id")
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -170,27 +185,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
     Vectors that are null, zero or have null or non-finite components take no part, nor do
     those of another length than most (of equally frequent lengths the smallest rules). Rows
     that repeat a vec_id count once (the smallest vector). An empty table and a single row give
-    no rows. The centroids are fitted on the driver, on ``sample_rows`` vectors at most."""
+    no rows. The centroids are fitted on the driver, on ``sample_rows`` vectors at most; the
+    search ratio on ``probes`` queries at most, against all rows."""
     s = settings or Settings()
     spark = vectors.sparkSession
     rows = stash(usable(vectors, vector).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-rows")
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     rows = rows.where(F.size("v") == F.lit(length["n"] if length else 0))
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
-    total, top = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
+    total = rows.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
+    # vectors longer than ``bar`` are in the list that all queries search; the others are lifted to it
+    longest = rows.select(norm.alias("_norm")).orderBy(F.col("_norm").desc()).limit(max(1, min(s.head_rows, total // s.head_share)))
+    bar = longest.agg(F.min("_norm")).first()[0]
     # a bounded sample by hash of the id; every row is indexed
     share = min(1.0, s.sample_rows / total)
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * s.sample_rows).toArrow().sort_by("vec_id")["v"].combine_chunks()
     sample = picked.flatten().to_numpy().reshape(len(picked), -1) if len(picked) else np.array([rows.first()["v"]])
     lists = int(np.clip(total // s.list_rows, 1, s.lists))
-    index = fit_centroids(sample, lists, float(np.sqrt(top)) * (1 + 1e-12), s.neighbours)
+    usual = sample[(sample * sample).sum(axis=1) <= bar * (1 + 1e-9)]
+    index = fit_centroids(usual if len(usual) else sample, lists, float(np.sqrt(bar)) * (1 + 1e-12))
     lists = len(index.points)
     known = spark.sparkContext.broadcast(index)
     replicas, ratio = min(s.replicas, lists), s.replica_ratio
-    search_ratio = s.search_ratio or index.fitted_ratio(sample, s, k)
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -198,9 +217,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
                 part = f.iloc[at : at + 2048]
                 x = np.stack(part["v"].to_numpy())
                 r, c = known.value.lists_of(x, replicas, ratio)
+                head = part["_head"].to_numpy()
+                r, c = np.r_[r[~head[r]], np.flatnonzero(head)], np.r_[c[~head[r]], np.full(int(head.sum()), lists)]
                 yield pd.DataFrame({"list": c, "vec_id": part["vec_id"].to_numpy()[r], "v": part["v"].to_numpy()[r]})
 
-    postings = stash(rows.mapInPandas(post, "list int, vec_id long, v array<double>"), "ann-postings")
+    marked = rows.withColumn("_head", norm > F.lit(bar))
+    postings = stash(marked.mapInPandas(post, "list int, vec_id long, v array<double>"), "ann-postings")
+    queries = rows.where(is_query)
+    search_ratio = s.search_ratio
+    if search_ratio is None:
+        probes = queries.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(s.probes).toArrow()
+        if not len(probes):
+            return spark.createDataFrame([], schema)
+        aims = probes["v"].combine_chunks().flatten().to_numpy().reshape(len(probes), -1)
+        held_in = postings.where(F.col("list") < lists).select("vec_id", "list")
+        near = true_neighbours(rows, probes["vec_id"].to_numpy(), aims, k).join(held_in, "vec_id", "left")
+        lists_in = near.groupBy("probe", "vec_id").agg(F.collect_list("list").alias("lists")).toArrow()  # k rows a probe
+        search_ratio = index.ratio_for(aims, list(zip(lists_in["probe"].to_pylist(), lists_in["lists"].to_pylist())), s.recall)
     sizes = postings.groupBy("list").count().toArrow().to_pandas()  # one row a list
     held = int(sizes["count"].sum())
     part_rows = max(s.part_rows, held // 65_536)
@@ -222,27 +255,30 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
     for (list_no, _), g in group_of.items():
         groups_of.setdefault(list_no, []).append(g)
     shared = spark.sparkContext.broadcast(groups_of)
-    list_sizes = np.zeros(lists, np.int64)
+    list_sizes = np.zeros(lists + 1, np.int64)
     list_sizes[sizes["list"].to_numpy()] = sizes["count"].to_numpy()
     enough = (k + 1) * max(replicas, 1)  # rows among which are k other vectors, whatever the copies
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = {"grp": [], "vec_id": [], "v": [], "lists": []}
-            for vec_id, v in zip(f["vec_id"], f["v"]):
-                q = np.append(np.asarray(v), 0.0)
-                wanted: dict[int, list[int]] = {}
-                chosen = known.value.walk(q, search_ratio)
-                if list_sizes[chosen].sum() < enough:
-                    chosen = known.value.widen(q, chosen, list_sizes, enough)
-                for c in chosen:
-                    for g in set(shared.value.get(c, ())):
-                        wanted.setdefault(g, []).append(c)
-                for g, own_lists in wanted.items():
-                    out["grp"].append(g), out["vec_id"].append(vec_id), out["v"].append(v), out["lists"].append(own_lists)
+            for at in range(0, len(f), 512):
+                part = f.iloc[at : at + 512]
+                q = known.value.aim(np.pad(np.stack(part["v"].to_numpy()), ((0, 0), (0, 1))))
+                d = known.value.distances(q)
+                within = d <= np.maximum(d.min(axis=1, keepdims=True), 1e-12) * search_ratio
+                for i, (vec_id, v) in enumerate(zip(part["vec_id"], part["v"])):
+                    wanted: dict[int, list[int]] = {}
+                    chosen = [*np.flatnonzero(within[i]).tolist(), lists]
+                    if list_sizes[chosen].sum() < enough:
+                        chosen = known.value.widen(q[i], chosen, list_sizes, enough)
+                    for c in chosen:
+                        for g in set(shared.value.get(c, ())):
+                            wanted.setdefault(g, []).append(c)
+                    for g, own_lists in wanted.items():
+                        out["grp"].append(g), out["vec_id"].append(vec_id), out["v"].append(v), out["lists"].append(own_lists)
             yield pd.DataFrame(out)
 
-    queries = rows.where(is_query)
     asked = stash(queries.mapInPandas(ask, "grp int, vec_id long, v array<double>, lists array<int>"), "ann-asked")
     # a group meets its own queries block by block: its vectors are sent once for each
     # ``query_rows`` queries that search it, and not at all where none does
@@ -257,7 +293,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vector: str = "embedding"
         x = np.stack(held["v"].to_numpy()[order]) if len(held) else np.zeros((0, 1))
         q_ids = queries["vec_id"].to_numpy()
         q = np.stack(queries["v"].to_numpy()) if len(queries) else np.zeros((0, 1))
-        wants = np.zeros((len(q), lists), bool)
+        wants = np.zeros((len(q), lists + 1), bool)
         for i, own_lists in enumerate(queries["lists"]):
             wants[i, own_lists] = True
         for at in range(0, len(q) if len(x) else 0, 128):

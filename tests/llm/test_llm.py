@@ -212,6 +212,27 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0 and ann.nearest(table.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
+def test_nearest_on_separate_clusters_and_uneven_lengths(spark):
+    """Centroids of other clusters are reached, long vectors are found, and queries unlike the
+    other rows are fitted for."""
+    rng = np.random.default_rng(11)
+    far = np.repeat(rng.normal(size=(12, 16)) * 6, 250, axis=0) + rng.normal(size=(3000, 16))
+    uneven = rng.normal(size=(3000, 16)) * rng.lognormal(0, 1.5, size=(3000, 1))
+    unlike = rng.normal(size=(3000, 16)) + 4
+    unlike[::20] = rng.normal(size=(150, 16)) * 0.01
+    for x in (far, uneven, unlike):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(table, F.col("vec_id") % 20 == 0, settings=ann.Settings(list_rows=10, replicas=2)).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q in range(0, 3000, 20):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += len(set(np.argsort(-score, kind="stable")[:20].tolist()) & got[q])
+        assert hits / 3000 >= 0.9, hits / 3000
+
+
 def test_registered_search_against_brute_force(spark):
     """Recall and scores of the query as registered, and the share of lists that it searches."""
     sf = "/root/testdata/sf0.1"
