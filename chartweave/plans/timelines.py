@@ -70,7 +70,7 @@ def p14_brief_texts(spark, d):
     stays = told_stays(spark, d)
     made = t.compile_briefs(stays, days_of(spark, d)).withColumn("periods", F.count(F.lit(1)).over(Window.partitionBy("stay_id")))
     known = stays.select("stay_id", "diagnosis", "patient_sex", "final_state", F.lit(None).cast("string").alias("discharge"))
-    return b.brief_text(made.join(known, "stay_id")).select("stay_id", iso("day"), "brief")
+    return b.brief_text(made.join(t.sorted_side(known), "stay_id")).select("stay_id", iso("day"), "brief")
 
 
 def p16_duty_notes(spark, d):
@@ -82,14 +82,14 @@ def p19_context_for_day(spark, d):
 
 
 def p20_day_answers(spark, d):
-    rows = days_of(spark, d).select("stay_id", "day", "doc_type").join(told_stays(spark, d), "stay_id")
+    rows = days_of(spark, d).select("stay_id", "day", "doc_type").join(t.sorted_side(told_stays(spark, d)), "stay_id")
     told = F.array_join(F.transform(F.array_sort(F.map_entries("answers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return t.day_answers(rows).select("stay_id", iso("day"), told.alias("answers"), F.array_join("interventions", ",").alias("interventions"))
 
 
 def p20_brief_answers(spark, d):
     """Answers of days with a brief laid over them."""
-    rows = days_of(spark, d).join(told_stays(spark, d), "stay_id")
+    rows = days_of(spark, d).join(t.sorted_side(told_stays(spark, d)), "stay_id")
     key = F.col("stay_id")
     brief = {
         "behavior": F.when(key % 3 == 0, "restless").when(key % 3 == 1, "violates").otherwise("ordered"), "mood": F.lit("unstable"), "contact": F.array(F.lit("isolated"), F.lit("calm_distance")),

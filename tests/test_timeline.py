@@ -229,3 +229,10 @@ def test_brief_as_text(spark):
     assert any("«за период выходных»" in x for x in first) and "Состояние к концу периода: ровный." in first and "Назначения сегодня меняются: рисперидон 2 мг." in first
     assert "Фаза: odd." in second and any(briefs.NO_DIAGNOSIS in x for x in second) and "Назначения: см. лист назначений; о смене схемы не пиши." in second
     assert "О выходных не пиши: в этом периоде их ещё не было." in second and not any(x.startswith("• ") or not x for x in second)
+
+
+@pytest.mark.parametrize("name", ["p14_brief_texts", "p14_compile_briefs", "p20_brief_answers", "p20_day_answers", "p19_context_for_day", "p8_assign_timed"])
+def test_stays_are_not_broadcast(spark, name):
+    """Stays with their texts grow with the table: no join sends them whole through the driver."""
+    plan = timelines.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
