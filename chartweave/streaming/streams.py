@@ -310,40 +310,64 @@ def skipped_joins(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("batch", "ids", "asked", "new", (1 - F.col("asked") / F.col("ids")).alias("skipped"))
 
 
-def stream_sessions(stream: DataFrame, days: float = 3, delay: str = "2 hours") -> DataFrame:
+#: What is kept of a session: times in microseconds, ``due`` (when it is forgotten) in milliseconds.
+_SESSION = np.dtype([("id", np.int64), ("doctor", np.int64), ("issued", np.int64), ("ended", np.int64), ("due", np.int64), ("told", np.bool_)])
+
+
+def stream_sessions(stream: DataFrame, days: float = 3, delay: str = "2 hours", buckets: int = 1024) -> DataFrame:
     """Closed sessions (session_id, doctor_id, issued_at, closed_at, reason) from events
     (session_id, doctor_id, kind, ts) as they come: a session begins with its first login and
     is closed by the first refresh or logout (revoked; one logged before the login closes it at
     once), else when event time passes its life of ``days`` (expired). Each is told once, if no event comes more than ``delay`` late: what is
-    remembered of a closed one goes when its life is over. State is three values a session;
-    events of a session come in batches of rows and are not held."""
-    life, never = int(days * 86_400_000_000), 1 << 62  # microseconds
+    remembered of a closed one goes when its life is over. State is a few numbers a session, kept
+    for ``buckets`` of sessions together, so that a call takes all rows of a bucket at once."""
+    life, never, null = int(days * 86_400_000_000), 1 << 62, -(1 << 63)  # microseconds
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        doctor, issued, ended, told = state.get if state.exists else (0, never, never, False)
-        row = lambda at, reason: pd.DataFrame({"session_id": [key[0]], "doctor_id": [doctor], "issued": [issued], "closed": [at], "reason": [reason]})
-        if state.hasTimedOut:
+        old = np.frombuffer(state.get[0], _SESSION) if state.exists else np.zeros(0, _SESSION)
+        now = state.getCurrentWatermarkMs()
+        come = [] if state.hasTimedOut else [f[["session_id", "doctor_id", "begun", "at"]] for f in frames]
+        ids = np.unique(np.concatenate([old["id"], *[f["session_id"].to_numpy() for f in come]]))
+        held = np.zeros(len(ids), _SESSION)
+        held["id"], held["issued"], held["ended"] = ids, never, never
+        held[np.searchsorted(ids, old["id"])] = old
+        touched = np.zeros(len(ids), bool)
+        for f in come:
+            at, place, begun = f["at"].to_numpy(), np.searchsorted(ids, f["session_id"].to_numpy()), f["begun"].to_numpy(bool)
+            touched[place] = True
+            np.minimum.at(held["ended"], place[~begun], at[~begun])
+            logins = np.flatnonzero(begun)
+            logins = logins[np.argsort(at[logins], kind="stable")]
+            who, first = np.unique(place[logins], return_index=True)
+            first = logins[first]
+            earlier = at[first] < held["issued"][who]
+            held["doctor"][who[earlier]], held["issued"][who[earlier]] = f["doctor_id"].to_numpy()[first[earlier]], at[first[earlier]]
+        revoked = (held["issued"] < never) & (held["ended"] < held["issued"] + life) & ~held["told"]
+        held["told"] |= revoked
+        last = np.minimum(held["issued"], held["ended"]) + life
+        # what event time has passed already is over with the next batch
+        held["due"] = np.where(touched, np.maximum(last // 1000, now + 1), held["due"])
+        over = ~touched & (held["due"] < now)
+        expired = over & (held["issued"] < never) & ~held["told"]
+        closed = np.r_[np.maximum(held["ended"], held["issued"])[revoked], held["issued"][expired] + life]
+        if len(closed):
+            out = np.r_[held[revoked], held[expired]]
+            yield pd.DataFrame({"session_id": out["id"], "doctor_id": out["doctor"], "issued": out["issued"], "closed": closed, "reason": ["revoked"] * int(revoked.sum()) + ["expired"] * int(expired.sum())})
+        kept = held[~over]
+        if not len(kept):
             state.remove()
-            if issued < never and not told:
-                yield row(issued + life, "expired")
             return
-        for f in frames:
-            begun, over = f[f["kind"] == "login"], f[f["kind"] != "login"]
-            if len(begun) and begun["at"].min() < issued:
-                doctor, issued = (int(x) for x in begun.loc[begun["at"].idxmin(), ["doctor_id", "at"]])
-            ended = min([ended, *map(int, over["at"].nsmallest(1))])
-        if issued < never and ended < issued + life and not told:
-            yield row(max(ended, issued), "revoked")
-            told = True
-        state.update((doctor, issued, ended, told))
-        last = min(issued, ended) + life
-        # what event time has passed already is over with the next batch
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs() + 1))
+        state.update((kept.tobytes(),))
+        state.setTimeoutTimestamp(max(int(kept["due"].min()), now, 1))
 
-    rows = stream.where(F.col("kind").isin("login", "refresh", "logout")).select("session_id", "doctor_id", "kind", "ts", F.unix_micros("ts").alias("at"))
+    known = lambda name: F.coalesce(F.col(name).cast("long"), F.lit(null)).alias(name)
+    rows = stream.where(F.col("kind").isin("login", "refresh", "logout") & F.col("ts").isNotNull())
+    rows = rows.select(known("session_id"), known("doctor_id"), (F.col("kind") == "login").alias("begun"), "ts", F.unix_micros("ts").alias("at"))
     closed = (
         rows.withWatermark("ts", delay)
-        .groupBy("session_id")
-        .applyInPandasWithState(step, "session_id long, doctor_id long, issued long, closed long, reason string", "doctor long, issued long, ended long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        .withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
+        .groupBy("bucket")
+        .applyInPandasWithState(step, "session_id long, doctor_id long, issued long, closed long, reason string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     )
-    return closed.select("session_id", "doctor_id", F.timestamp_micros("issued").alias("issued_at"), F.timestamp_micros("closed").alias("closed_at"), "reason")
+    given = lambda name: F.nullif(F.col(name), F.lit(null)).alias(name)
+    return closed.select(given("session_id"), given("doctor_id"), F.timestamp_micros("issued").alias("issued_at"), F.timestamp_micros("closed").alias("closed_at"), "reason")

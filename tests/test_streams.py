@@ -46,6 +46,19 @@ def test_sessions_over_batches(spark, tmp_path):
     ]
 
 
+def test_sessions_are_taken_in_groups(spark, tmp_path):
+    """The work of a batch goes by buckets of sessions, not by sessions: one bucket tells all of
+    them, in the batches in which each would be told alone."""
+    at = lambda text: pd.Timestamp(text).to_pydatetime()
+    begun = [(k, k + 1, "login", at("2024-01-01 10:00:00")) for k in range(500)]
+    ended = [(k, k + 1, "logout", at("2024-01-02 10:00:00")) for k in range(0, 500, 2)] + [(None, None, "refresh", at("2024-01-02 09:00:00")), (None, None, "login", at("2024-01-02 08:00:00"))]
+    stream = source(spark, tmp_path / "in", [begun, ended, [(900, 1, "login", at("2024-01-20 00:00:00"))]], "session_id long, doctor_id long, kind string, ts timestamp")
+    done = streams.run_available(streams.stream_sessions(stream, buckets=1), "sessions").collect()
+    told = {r.session_id: (r.doctor_id, str(r.closed_at), r.reason) for r in done}
+    want = {k: (k + 1, *(("2024-01-02 10:00:00", "revoked") if k % 2 == 0 else ("2024-01-04 10:00:00", "expired"))) for k in range(500)}
+    assert len(done) == 501 and told == want | {None: (None, "2024-01-02 09:00:00", "revoked")}
+
+
 def test_late_reads_clear_by_time(spark, tmp_path):
     """A read that comes late leaves messages newer than itself; every batch writes what it touches."""
     batches = [
