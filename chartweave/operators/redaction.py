@@ -208,10 +208,11 @@ def stem_matches(words: DataFrame, names: DataFrame, most_bytes: int = 64 << 20)
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores, where they come in fewer parts (as of one row group): what is
-    sequential inside a row should not be so for all rows."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+    """``docs`` dealt anew over all cores, in several parts each: what is sequential inside a row
+    should not be so for all rows. How many parts a file is read in tells nothing of their rows:
+    a row group falls into one of them, and the others are empty."""
+    parts = docs._jdf.queryExecution().toRdd().getNumPartitions()
+    return docs.repartition(max(4 * docs.sparkSession.sparkContext.defaultParallelism, parts))
 
 
 _OUT = "text string, counts map<string,int>, suspicions array<struct<type:string,position:int,reason:string>>"

@@ -155,7 +155,9 @@ def rewrite_date_headers(text: Column) -> Column:
         day = F.try_to_date(F.nullif(part(1), F.lit("")), "dd.MM.yyyy")
         return F.coalesce(F.concat(official_date(day), F.lit(" время: "), F.lpad(part(2), 2, "0"), F.lit(" час. "), part(3), F.lit(" мин.")), line)
 
-    return F.array_join(F.transform(F.split(text, "\n"), rewritten), "\n")
+    # most lines have no time: they are not taken apart
+    timed = lambda x: F.contains(F.replace(x, F.lit("**"), F.lit("")), F.lit("время:"))
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.when(timed(line), rewritten(line)).otherwise(line)), "\n")
 
 
 def case_number_line(text: Column, case_number: Column, daily: Column) -> Column:

@@ -226,3 +226,16 @@ def test_stem_join_equals_the_rule(spark, most_bytes):
     got = r.stem_matches(spark.createDataFrame([(w, 1) for w in [*words, None, words[0]]], "word string, name int"), spark.createDataFrame([(n,) for n in [*names, None, names[0]]], "name string"), most_bytes)
     rows = [tuple(x) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == {(w, n) for w in words for n in names if slow_listed([n], w)}
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    """A file read in many parts may have all its rows in one of them."""
+    spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        docs = spark.read.parquet(str(tmp_path / "one"))
+        assert docs.rdd.getNumPartitions() >= 4 and max(docs.rdd.glom().map(len).collect()) == 2000
+        assert max(r.spread(docs).rdd.glom().map(len).collect()) <= 500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
