@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from chartweave.operators import answers as a
 from chartweave.plans.history import table
 
+#: Parts that answers are dealt into for each part that their file is read in (128 MB at most).
+PARTS = 16
 QUESTIONS = [
     ("daily", 1, "dynamics", "Dynamics", "select", True, "N", None),
     ("daily", 2, "syndrome", "Syndrome", "select", True, None, None),
@@ -43,7 +45,10 @@ def responses(spark, d):
 
 def answers(spark, d):
     """One entry for lines 1, 2, 4 and 5 of an order; the other lines are a multiple choice."""
-    asked = table(spark, d, "lineitem").join(responses(spark, d), F.col("l_orderkey") == F.col("response_id"))
+    lines = table(spark, d, "lineitem")
+    # entries of a response stay together from here on; parts grow with the input, so that a task's rows do not
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS * lines.rdd.getNumPartitions())
+    asked = lines.repartition(parts, "l_orderkey").join(responses(spark, d), F.col("l_orderkey") == F.col("response_id"))
     qid = F.when(F.col("l_linenumber") == 1, "dynamics").when(F.col("l_linenumber") == 2, "syndrome").when(F.col("l_linenumber") == 4, "sleep").when(F.col("l_linenumber") == 5, "diagnosis").otherwise("behaviour")
     idx = F.when(qid == "behaviour", F.when(F.col("l_linenumber") == 7, 9).otherwise(F.ascii("l_returnflag") % 3)).otherwise(0)
     rows = asked.groupBy("response_id", "doc_type", qid.alias("qid"), idx.cast("int").alias("idx")).agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("state"), F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))

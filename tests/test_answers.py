@@ -1,4 +1,5 @@
 from chartweave.operators import answers as a
+from chartweave.plans import answers as plan
 from chartweave.plans.answers import config
 
 
@@ -21,3 +22,11 @@ def test_response_without_answers(spark):
     report = a.completeness_report(none, states).collect()
     assert [(r.response_id, r.answered, r.total, r.missing) for r in report] == [(1, 0, 3, ["dynamics", "syndrome", "behaviour"])]
     assert a.map_answers(none, q, o).count() == 0
+
+
+def test_parts_of_answers_grow_with_their_file(spark):
+    """A task's rows of answers stay few: parts follow the file's, not the session's setting alone."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").rdd.getNumPartitions()
+    rows = plan.answers(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= 16 * lines
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # lines and orders, none behind
