@@ -7,6 +7,10 @@ the least and the largest distance of its members to it, and so the distance of
 queries to a tile of points lies between two bounds. Tiles that begin behind the distance
 within which k points are certain are dropped, and no answer is lost.
 
+Vectors are sorted by filter and pivot before tiles are cut, so that tiles are full and their
+number grows with the table alone; a block of tiles meets a block of tiles in one task, so that
+a vector travels once for each block it meets, not once for each tile.
+
 Vectors are never collected: pivots come from a bounded sample, tiles are rows of a table."""
 
 from __future__ import annotations
@@ -24,14 +28,16 @@ from pyspark.sql import types as T
 from chartweave.sources.scratch import stash
 
 FIELDS = ("doc_type", "syndrome", "diagnosis_class", "section")
-#: Rows of a tile, and rows that a task holds before it closes its largest tile.
+#: Rows of a tile, and rows of a part that tiles are cut from.
 TILE_ROWS, HELD_ROWS = 1024, 32_768
 #: Vectors that pivots are chosen from, points per pivot, and pivots at most.
 SAMPLE, POINTS_PER_PIVOT, PIVOTS = 2000, 2048, 64
-#: Pairs of tiles that one task merges for the same queries.
-SLICE = 256
-#: What rounding may add to a bound.
-_SLACK = 1e-6
+#: Tiles of points and tiles of queries in a block.
+SLICE, ASKED_SLICE = 32, 8
+#: Tiles of points that are scored at once.
+AT_ONCE = 4
+#: What rounding may add to a bound, and to a score.
+_SLACK, _ROUNDING = 1e-6, 2e-12
 
 
 def fallback_levels(queries: DataFrame) -> DataFrame:
@@ -74,8 +80,10 @@ def _masked(rows: DataFrame, masks: list[int], *kept: str) -> DataFrame:
     return each.select(*kept, *_keys(F.col("_mask")))
 
 
-def _masks(filters: DataFrame) -> list[int]:
-    return sorted(r["m"] for r in filters.select(filter_mask().alias("m")).distinct().collect())
+def _masks(filters: DataFrame) -> dict[int, int]:
+    """The masks in use and how many rows have them."""
+    rows = filters.groupBy(filter_mask().alias("m")).count().collect()
+    return {r["m"]: r["count"] for r in sorted(rows, key=lambda r: r["m"])}
 
 
 def chosen_level(queries: DataFrame, points: DataFrame) -> DataFrame:
@@ -84,7 +92,7 @@ def chosen_level(queries: DataFrame, points: DataFrame) -> DataFrame:
     levels = fallback_levels(queries)
     if not (masks := _masks(levels)):
         return levels.limit(0)
-    facets = _masked(points.select(*FIELDS).distinct(), masks).distinct()
+    facets = _masked(points.select(*FIELDS).distinct(), list(masks)).distinct()
     met = levels.select("*", *_keys(filter_mask())).join(facets, list(KEYS))
     least = F.min_by(F.struct("level", *FIELDS), F.col("level")).alias("t")
     return met.groupBy("query_id").agg(least).select("query_id", "t.*")
@@ -122,59 +130,74 @@ def _numbers(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
-def tiles_of(rows: DataFrame, name: str, pivots: np.ndarray) -> DataFrame:
-    """Tiles of ``rows`` (``name``, ``embedding``, the fields): at most ``TILE_ROWS`` vectors of
-    equal fields next to one pivot, with ``near`` and ``far``, their distances to it, and
-    ``apart``, the pivot's distances to all pivots. Tasks build tiles from their own rows,
-    without a shuffle, and hold ``HELD_ROWS`` rows at most. Zero vectors make tiles whose
-    bounds exclude nothing."""
-    width, half = pivots.shape[1], len(FIELDS)
-    apart = np.linalg.norm(pivots[:, None] - pivots[None], axis=2)
-    strings = [T.StructField(f, T.StringType()) for f in FIELDS]
-    kind = T.ArrayType(rows.schema[name].dataType)
-    schema = T.StructType([T.StructField("tile", T.StringType()), *strings, T.StructField("pivot", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("near", T.DoubleType()), T.StructField("far", T.DoubleType()), T.StructField("apart", T.ArrayType(T.DoubleType())), T.StructField("ids", kind), T.StructField("matrix", T.BinaryType())])
+def _met() -> Column:
+    """Rows whose keys can meet any: none of them is null."""
+    return F.forall(F.array(*[F.col(k) for k in KEYS[1:]]), lambda x: x.isNotNull())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[tuple]] = {}
-        sizes: dict[tuple, int] = {}
-        task, made = TaskContext.get().partitionId(), 0
 
-        def close(key: tuple) -> pa.RecordBatch:
-            nonlocal made
-            parts = held.pop(key)
-            sizes.pop(key)
-            ids = [i for p in parts for i in p[0]]
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            x, far = np.concatenate([p[1] for p in parts])[order], np.concatenate([p[2] for p in parts])
-            made += 1
-            row = [f"{task}-{made}", *key[:half], key[half], len(ids), float(far.min()), float(far.max()), apart[key[half]].tolist() if key[half] >= 0 else [], [ids[k] for k in order], x.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
+def pivots_in_use(points: DataFrame, masks: list[int]) -> dict[int, tuple[int, int]]:
+    """For each mask, how many pivots its points are put next to, so that a filter of average
+    size has ``POINTS_PER_PIVOT`` for each, and how many points have all of its fields. Facets
+    are counted, points are not copied."""
+    facets = _masked(points.groupBy(*FIELDS).count(), masks, "count").where(_met())
+    found = facets.groupBy(*KEYS).agg(F.sum("count").alias("n")).groupBy("mask").agg(F.count(F.lit(1)).alias("filters"), F.sum("n").alias("rows")).collect()
+    return {r["mask"]: (max(1, min(PIVOTS, math.ceil(r["rows"] / r["filters"] / POINTS_PER_PIVOT))), r["rows"]) for r in found}
+
 
+def tiles_of(rows: DataFrame, name: str, pivots: np.ndarray, used: dict[int, int], total: int, block: int) -> DataFrame:
+    """Tiles of ``rows`` (``name``, ``embedding``, the keys): at most ``TILE_ROWS`` vectors of
+    equal keys next to one of the first ``used`` pivots of their mask, with ``near`` and ``far``,
+    their distances to it, and ``apart``, the pivot's distances to all pivots; ``block`` tiles
+    that follow each other make a block. Rows are sorted by keys and pivot in parts of about
+    ``HELD_ROWS``; equal ones may fall into several parts. Zero vectors make tiles whose bounds
+    exclude nothing."""
+    width = pivots.shape[1]
+    apart = np.linalg.norm(pivots[:, None] - pivots[None], axis=2)
+    order = [*KEYS, "pivot"]
+    keys = [T.StructField("mask", T.IntegerType()), *[T.StructField(k, T.StringType()) for k in KEYS[1:]]]
+    own = T.StructField(name, rows.schema[name].dataType)
+    near = T.StructType([own, *keys, T.StructField("pivot", T.IntegerType()), T.StructField("distance", T.DoubleType()), T.StructField("unit", T.BinaryType())])
+    schema = T.StructType([
+        T.StructField("tile", T.StringType()), T.StructField("block", T.StringType()), *keys, T.StructField("pivot", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("near", T.DoubleType()), T.StructField("far", T.DoubleType()),
+        T.StructField("apart", T.ArrayType(T.DoubleType())), T.StructField("ids", T.ArrayType(own.dataType)), T.StructField("matrix", T.BinaryType()),
+    ])
+    near_arrow, arrow = (pa.schema([(f.name, _arrow(f.dataType)) for f in kind.fields]) for kind in (near, schema))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(_numbers(batch.column("embedding"), width))
             zero = ~x.any(axis=1)
             gap = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
-            pivot = np.where(zero, -1, gap.argmin(axis=1))
-            distance = np.where(zero, 0.0, gap.min(axis=1))
-            ids = batch.column(name).to_pylist()
-            fields = [batch.column(f).to_pylist() for f in FIELDS]
-            groups: dict[tuple, list[int]] = {}
-            for k, key in enumerate(zip(*fields, pivot.tolist(), strict=True)):
-                groups.setdefault(key, []).append(k)
-            for key, own in groups.items():
-                for at in range(0, len(own), TILE_ROWS):
-                    some = own[at : at + TILE_ROWS]
-                    if sizes.get(key, 0) + len(some) > TILE_ROWS:
-                        yield close(key)
-                    held.setdefault(key, []).append(([ids[k] for k in some], x[some], distance[some]))
-                    sizes[key] = sizes.get(key, 0) + len(some)
-            while sum(sizes.values()) > HELD_ROWS:
-                yield close(max(sizes, key=sizes.__getitem__))
-        for key in list(held):
-            yield close(key)
+            most = np.array([used.get(m, 1) for m in batch.column("mask").to_pylist()], np.int64)
+            gap[np.arange(len(pivots)) >= most[:, None]] = np.inf
+            pivot, distance = np.where(zero, -1, gap.argmin(axis=1)), np.where(zero, 0.0, gap.min(axis=1))
+            whole = [batch.column(c) for c in (name, *KEYS)]
+            yield pa.RecordBatch.from_arrays([*whole, pa.array(pivot, pa.int32()), pa.array(distance), pa.array([v.tobytes() for v in x], pa.binary())], schema=near_arrow)
 
-    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema.fields])
-    return rows.select(name, "embedding", *FIELDS).mapInArrow(run, schema)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, made
+            ids, far, units = zip(*held, strict=True)
+            row = [f"{task}-{made}", f"{task}-{made // block}", *now, len(ids), min(far), max(far), apart[now[-1]].tolist() if now[-1] >= 0 else [], list(ids), b"".join(units)]
+            held, made = [], made + 1
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            keyed = zip(*[batch.column(c).to_pylist() for c in order], strict=True)
+            for key, *row in zip(keyed, *[batch.column(c).to_pylist() for c in (name, "distance", "unit")], strict=True):
+                if held and (key != now or len(held) == TILE_ROWS):
+                    yield close()
+                now = key
+                held.append(row)
+        if held:
+            yield close()
+
+    placed = rows.select(name, *KEYS, "embedding").mapInArrow(place, near)
+    parts = max(1, math.ceil(total / HELD_ROWS))
+    return placed.repartitionByRange(parts, *order, F.xxhash64(name)).sortWithinPartitions(*order).mapInArrow(cut, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -184,61 +207,52 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def tile_pairs(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    """(asked, stored, n_asked, n_stored, kept) for all pairs of tiles that the filters bring
+    """(asked, stored, their blocks, n_asked, n_stored, kept) for all pairs of tiles that the filters bring
     together; ``kept`` where members can be among the k nearest. Narrow rows only."""
-    masks = _masks(asked)
-    a = asked.select(F.col("tile").alias("asked"), F.col("n").alias("n_asked"), F.col("far").alias("_reach"), "apart", *_keys(filter_mask()))
-    s = _masked(stored.select(*FIELDS, F.col("tile").alias("stored"), F.col("n").alias("n_stored"), "near", "far", "pivot"), masks, "stored", "n_stored", "near", "far", "pivot")
+    a = asked.select(F.col("tile").alias("asked"), F.col("block").alias("a_block"), F.col("n").alias("n_asked"), F.col("far").alias("_reach"), "apart", *KEYS)
+    s = stored.select(F.col("tile").alias("stored"), F.col("block").alias("s_block"), F.col("n").alias("n_stored"), "near", "far", "pivot", *KEYS)
     met = a.join(s, list(KEYS))
     free = (F.size("apart") == 0) | (F.col("pivot") < 0)
     gap = F.element_at("apart", F.greatest(F.col("pivot"), F.lit(0)) + 1)
     least = F.when(free, 0.0).otherwise(F.greatest(gap - F.col("_reach") - F.col("far"), F.col("near") - gap - F.col("_reach"), F.lit(0.0)))
     most = F.when(free, 2.0).otherwise(gap + F.col("_reach") + F.col("far"))
-    bounds = met.select("asked", "stored", "n_asked", "n_stored", least.alias("least"), most.alias("most"))
+    bounds = met.select("asked", "stored", "a_block", "s_block", "n_asked", "n_stored", least.alias("least"), most.alias("most"))
     near = Window.partitionBy("asked").orderBy("most", "stored").rowsBetween(Window.unboundedPreceding, 0)
     reached = bounds.withColumn("_certain", F.sum("n_stored").over(near) >= k)
     enough = F.min(F.when(F.col("_certain"), F.col("most"))).over(Window.partitionBy("asked"))
-    return reached.withColumn("_within", enough).select("asked", "stored", "n_asked", "n_stored", (F.col("_within").isNull() | (F.col("least") <= F.col("_within") + _SLACK)).alias("kept"))
-
-
-def _best(width: int, k: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scores tile against tile and keeps the k best of each query as long as its tile stays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, queries, q, best = None, None, None, None
-
-        def told() -> pa.RecordBatch:
-            row, ids, score = best
-            return pa.RecordBatch.from_arrays([queries.take(pa.array(row)), pa.array(ids, kind), pa.array(score)], names=names)
-
-        for batch in batches:
-            kind = batch.schema.field("ids").type.value_type
-            for r in range(batch.num_rows):
-                key = (batch.column("asked")[r].as_py(), batch.column("slice")[r].as_py())
-                if key != now:
-                    if best is not None and len(best[0]):
-                        yield told()
-                    now, queries = key, batch.column("queries")[r].values
-                    q = np.frombuffer(batch.column("q_matrix")[r].as_py(), float).reshape(-1, width)
-                    best = (np.zeros(0, np.int64), None, np.zeros(0))
-                ids = np.array(batch.column("ids")[r].values.to_pylist())
-                x = np.frombuffer(batch.column("matrix")[r].as_py(), float).reshape(-1, width)
-                score = np.round(q @ x.T, 12)
-                if score.shape[1] > k:
-                    bar = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
-                    row, at = np.nonzero(score >= bar)
-                else:
-                    row, at = np.nonzero(np.ones_like(score, bool))
-                rows = np.r_[best[0], row]
-                both = ids[at] if best[1] is None else np.concatenate([best[1], ids[at]])
-                scores = np.r_[best[2], score[row, at]]
-                order = np.lexsort((both, -scores, rows))
-                rows, both, scores = rows[order], both[order], scores[order]
-                first = np.searchsorted(rows, np.arange(len(q)))
-                kept = np.arange(len(rows)) - first[rows] < k
-                best = rows[kept], both[kept], scores[kept]
-        if best is not None and len(best[0]):
-            yield told()
+    return reached.withColumn("_within", enough).select("asked", "stored", "a_block", "s_block", "n_asked", "n_stored", (F.col("_within").isNull() | (F.col("least") <= F.col("_within") + _SLACK)).alias("kept"))
+
+
+def _best(width: int, k: int, arrow: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores the tiles of a block of queries against those of a block of points that their
+    bounds leave over, and keeps the k best of each query. Behind the first tiles only scores
+    that reach a query's k-th so far are looked at."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = {c: right.column(c).combine_chunks() for c in ("stored", "ids", "matrix")}
+        ids = {name: np.array(columns["ids"][r].values.to_pylist()) for r, name in enumerate(columns["stored"].to_pylist())}
+        vectors = {name: np.frombuffer(columns["matrix"][r].as_buffer(), float).reshape(-1, width) for r, name in enumerate(columns["stored"].to_pylist())}
+        out = []
+        asked = {c: left.column(c).combine_chunks() for c in ("queries", "q_matrix", "wanted")}
+        for r in range(left.num_rows):
+            q, wanted = np.frombuffer(asked["q_matrix"][r].as_buffer(), float).reshape(-1, width), sorted(asked["wanted"][r].as_py())
+            rows, best, scores, bar = np.zeros(0, np.int64), None, np.zeros(0), np.full(len(q), -np.inf)
+            for at in range(0, len(wanted), AT_ONCE):
+                some = wanted[at : at + AT_ONCE]
+                own, score = np.concatenate([ids[t] for t in some]), q @ np.concatenate([vectors[t] for t in some]).T
+                if not at and score.shape[1] > k:
+                    bar = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                row, col = np.nonzero(score >= bar[:, None] - _ROUNDING)
+                rows = np.r_[rows, row]
+                best = own[col] if best is None else np.concatenate([best, own[col]])
+                scores = np.r_[scores, np.round(score[row, col], 12)]
+                order = np.lexsort((best, -scores, rows))
+                rows, best, scores = rows[order], best[order], scores[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(q)))[rows]
+                bar[rows[place == k - 1]] = scores[place == k - 1]
+                rows, best, scores = rows[place < k], best[place < k], scores[place < k]
+            out.append(pa.Table.from_arrays([asked["queries"][r].values.take(pa.array(rows)), pa.array(best, arrow.field("point_id").type), pa.array(scores)], schema=arrow))
+        return pa.concat_tables(out) if out else arrow.empty_table()
 
     return run
 
@@ -251,14 +265,20 @@ def _usual_width(points: DataFrame) -> tuple[int, int]:
 
 def plan_search(queries: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
     """Tiles of the queries, tiles of the points and their pairs, each a written table, and the
-    length of the vectors; null without points."""
+    length of the vectors; null if nothing can meet."""
     queries, points = queries.where(sound(F.col("embedding"))), points.where(sound(F.col("embedding")))
     width, rows = _usual_width(points)
     if not width:
         return None
     queries, points = queries.where(F.size("embedding") == width), points.where(F.size("embedding") == width)
-    pivots = pivots_of(points, rows)
-    asked, stored = stash(tiles_of(queries, "query_id", pivots), "asked"), stash(tiles_of(points, "point_id", pivots), "stored")
+    masks = _masks(queries)
+    in_use = pivots_in_use(points, list(masks)) if masks else {}
+    if not in_use:
+        return None
+    pivots, used = pivots_of(points, rows), {m: n for m, (n, _) in in_use.items()}
+    asked = tiles_of(queries.select("query_id", "embedding", *_keys(filter_mask())), "query_id", pivots, used, sum(masks.values()), ASKED_SLICE)
+    stored = tiles_of(_masked(points, list(in_use), "point_id", "embedding").where(_met()), "point_id", pivots, used, sum(n for _, n in in_use.values()), SLICE)
+    asked, stored = stash(asked, "asked"), stash(stored, "stored")
     return asked, stored, stash(tile_pairs(asked, stored, k), "pairs"), width
 
 
@@ -282,11 +302,11 @@ def cosine_top_k(queries: DataFrame, points: DataFrame, k: int = 7) -> DataFrame
         none = queries.sparkSession.createDataFrame([], schema)
         return none.select("query_id", F.lit(1).alias("rank"), "point_id", "score")
     asked, stored, pairs, width = planned
-    place = Window.partitionBy("asked").orderBy("stored")
-    kept = pairs.where("kept").select("asked", "stored", F.floor((F.row_number().over(place) - 1) / SLICE).cast("int").alias("slice"))
-    slices = kept.select("asked", "slice").distinct().join(asked.select(F.col("tile").alias("asked"), F.col("ids").alias("queries"), F.col("matrix").alias("q_matrix")), "asked")
-    placed = kept.join(stored.select(F.col("tile").alias("stored"), "ids", "matrix"), "stored").join(slices, ["asked", "slice"])
-    found = placed.select("asked", "slice", "queries", "q_matrix", "ids", "matrix").mapInArrow(_best(width, k, schema.fieldNames()), schema)
+    kept, blocks = pairs.where("kept"), ["a_block", "s_block"]
+    left = kept.groupBy("asked", *blocks).agg(F.collect_list("stored").alias("wanted")).join(asked.select(F.col("tile").alias("asked"), F.col("ids").alias("queries"), F.col("matrix").alias("q_matrix")), "asked")
+    right = kept.select("stored", F.col("a_block").alias("with_a"), F.col("s_block").alias("with_s")).distinct().join(stored.select(F.col("tile").alias("stored"), "ids", "matrix"), "stored")
+    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema.fields])
+    found = left.groupBy(*blocks).cogroup(right.groupBy("with_a", "with_s")).applyInArrow(_best(width, k, arrow), schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "point_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "point_id", "score")
 

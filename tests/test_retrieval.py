@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chartweave.operators import retrieval
 
@@ -104,3 +105,16 @@ def test_joins_are_by_equality(spark, clustered):
     for df in (retrieval.chosen_level(q, p), retrieval.retrieve_with_fallback(q, p)):
         plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tiles_are_full(spark, monkeypatch):
+    """As many tiles as vectors need, not one for each task, facet and pivot; rows of the last step grow by blocks."""
+    monkeypatch.setattr(retrieval, "POINTS_PER_PIVOT", 50)
+    rng = np.random.default_rng(7)
+    points = [(i, rng.normal(size=8).tolist(), ("daily", f"s{i % 5}", f"F{i % 10}x", "full")) for i in range(2000)]
+    asked = [(i, v, (None,) * 4) for i, v, _ in points[:200]] + [(1000 + i, v, ("daily", None, f, None)) for i, v, (_, _, f, _) in points[:50]]
+    made, stored, pairs, _ = retrieval.plan_search(table(spark, asked, "query_id").repartition(4), table(spark, points, "point_id").repartition(8), 7)
+    # one copy a mask in use; 40 pivots without a filter, 4 for each class
+    assert stored.agg(F.sum("n")).first()[0] == 4000 and stored.count() <= 80 and made.count() <= 80
+    assert pairs.count() <= 40 * 40 + 40 * 4
+    assert pairs.select("a_block", "s_block").distinct().count() <= 40
