@@ -13,6 +13,7 @@ from chartweave.operators import text as t
 from chartweave.functions import personal_data as known
 from chartweave.plans.corpus import DONE, NOTES, REMOVED, VARIED, notes, varied_notes
 from chartweave.plans.history import THREADS, table
+from chartweave.sources.scratch import stash
 from chartweave.streaming import streams
 
 HEADINGS = [("complaints", r"Общее"), ("diagnosis", r"\[ДАТА\]")]
@@ -31,8 +32,13 @@ def c9_chunk_notes(spark, d):
     return c.chunk_documents(notes(spark, d), "doc_ref", MARKER, HEADINGS, "осмотр", "тревожн", [("тревожн", "тревожный")], DYNAMICS).select("doc_ref", "doc_type", "section", "syndrome", "diagnosis_class", "dynamics", "text")
 
 
+def _redacted(spark, d):
+    """Redacted notes, written once for the queries that read them more than once."""
+    return stash(r.redact_documents(r.spread(varied_notes(spark, d))).select("doc_ref", "text", "removed_by_type", "clean"), "redacted")
+
+
 def c12_ingest_stats(spark, d):
-    docs = r.redact_documents(r.spread(varied_notes(spark, d)))
+    docs = _redacted(spark, d)
     return c.ingest_stats(docs, t.paragraphs(r.gate_split(docs)[0].select("doc_ref", "text")), "doc_ref")
 
 
@@ -49,7 +55,7 @@ def r14_label_counts(spark, d):
 
 
 def r16_recall_report(spark, d):
-    marked = r.redact_documents(r.spread(varied_notes(spark, d)))
+    marked = _redacted(spark, d)
     found = marked.select("doc_ref", F.explode("removed_by_type").alias("type", "n"))
     raw = varied_notes(spark, d).where("text IS NOT NULL")
     values = {"date": F.regexp_extract("text", r"\d\d\.\d\d\.\d{4}", 0), "patient": F.lit("Иванов"), "doc_number": F.regexp_extract("text", r"\d{8}", 0), "age": F.lit("14 лет"), "id_doc": F.regexp_extract("text", r"4010 \d{6}", 0)}
