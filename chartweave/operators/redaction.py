@@ -59,6 +59,7 @@ def resolve(spans: list[Span]) -> list[Span]:
 
 
 _CYRILLIC, _MARK = re.compile("[А-Яа-яЁё]"), re.compile(known.PLACEHOLDER_MARK)
+_INITIAL = re.compile(r"[А-ЯЁ]\.")  # stands in all names with initials
 _TOKEN = re.compile(r"[A-Za-zЀ-ԯ][A-Za-zЀ-ԯ-]*\.?")
 
 
@@ -84,7 +85,8 @@ class Stems:
 class Redactor:
     """The compiled form of patterns and word lists, once per worker."""
 
-    def __init__(self, lexicon: known.Lexicon = known.USUAL, clock_time: bool = False, boundary: str = "ascii"):
+    def __init__(self, lexicon: known.Lexicon = known.USUAL, clock_time: bool = False, boundary: str = "ascii", structured: bool = False):
+        self.structured = structured
         names = [n for n in known.DETECTORS if clock_time or n not in known.ON_REQUEST]
         self.detectors = [(known.DETECTORS[n][0], compiled(known.DETECTORS[n][1], boundary), n in known.NUMERIC) for n in names]
         self.detected = Places([p for _, p, _ in self.detectors], [known.ANCHORS[n] for n in names], boundary)
@@ -98,11 +100,9 @@ class Redactor:
         others = [w for w in lexicon.institutions if w.upper() != w]
         self.institutions = [Markers(capitals, re.compile(tail), False), Markers(others, re.compile(tail, re.IGNORECASE), True)]
         self.no_names = {plain(w) for w in lexicon.no_names}
+        self.skipped = functools.lru_cache(100_000)(lambda word: plain(word.rstrip(".")) in self.no_names)
         self.listed = Stems([*lexicon.first_names, *lexicon.surnames]).listed
 
-    def skipped(self, word: str) -> bool:
-        return plain(word.rstrip(".")) in self.no_names
-
     def role(self, text: str, start: int) -> str:
         """Whose name it is, by the words in the bytes before it."""
         before = text[max(0, start - known.ROLE_BYTES) : start].encode()[-known.ROLE_BYTES :].decode(errors="ignore")
@@ -111,7 +111,7 @@ class Redactor:
     def name_spans(self, text: str) -> Iterator[Span]:
         """Names with initials; and runs of capitalised words next to each other, the whole run
         if a patronymic stands in it, from the first listed name on otherwise."""
-        for pattern in self.initials:
+        for pattern in self.initials if _INITIAL.search(text) else ():
             for m in pattern.finditer(text):
                 yield Span(m.start(), m.end(), self.role(text, m.start()))
         run: list[re.Match] = []
@@ -131,7 +131,7 @@ class Redactor:
     def spans(self, text: str) -> list[Span]:
         cyrillic = _CYRILLIC.search(text) is not None
         found = [Span(m.start(), m.end(), self.detectors[k][0]) for k, m in self.detected.matches(text) if cyrillic or self.detectors[k][2]]
-        if cyrillic:
+        if cyrillic and not self.structured:
             low = lower(text)
             found += [Span(start, end, "institution") for markers in self.institutions for start, end in markers.spans(text, low)]
             found += self.name_spans(text)
@@ -155,7 +155,7 @@ class Redactor:
         count. Anything structured is told as a date, names as a person. Clinical text that is never replaced is no name."""
         masked = _MARK.sub(lambda m: " " * len(m[0]), text)
         found = [("date", m.start(), "residual structured pattern") for _, m in self.residual.matches(masked)]
-        for m in _TOKEN.finditer(masked):
+        for m in () if self.structured else _TOKEN.finditer(masked):
             word = m[0]
             if word[0] < "Ѐ" or not word[0].isupper() or self.skipped(word):
                 continue
@@ -218,17 +218,18 @@ def spread(docs: DataFrame) -> DataFrame:
 _OUT = "text string, counts map<string,int>, suspicions array<struct<type:string,position:int,reason:string>>"
 
 
-def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon | DataFrame = known.USUAL, clock_time: bool = False, boundary: str = "ascii", entities: str | None = None) -> DataFrame:
+def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon | DataFrame = known.USUAL, clock_time: bool = False, boundary: str = "ascii", entities: str | None = None, structured: bool = False) -> DataFrame:
     """``docs`` with the text normalised and redacted, ``removed_count``, ``removed_by_type``
     (map), ``suspicions`` and ``clean`` from the gate. ``entities`` names a column of further
     spans, array<struct<start:int,end:int,type:string>> by characters of the normalised text.
-    Null and blank texts are not clean. ``lexicon`` may be a table (see ``lexicon_of``). No shuffle."""
+    Null and blank texts are not clean. ``lexicon`` may be a table (see ``lexicon_of``). With
+    ``structured`` names and institutions are neither sought nor suspected. No shuffle."""
     lists = docs.sparkSession.sparkContext.broadcast(lexicon_of(lexicon) if isinstance(lexicon, DataFrame) else lexicon)
     whole = F.coalesce(normalize_text(F.col(text)), F.lit(""))
     more = F.col(entities) if entities else F.array().cast("array<struct<start:int,end:int,type:string>>")
     # without a digit, a number sign or a Cyrillic letter nothing can be found: such texts stay here
     asked = whole.rlike("[0-9№°А-Яа-яЁё]") | (F.size(more) > 0)
-    found = docs.withColumns({text: whole, "_more": more}).withColumn("_red", _pass(lists, clock_time, boundary)(F.when(asked, whole), F.col("_more")))
+    found = docs.withColumns({text: whole, "_more": more}).withColumn("_red", _pass(lists, clock_time, boundary, structured)(F.when(asked, whole), F.col("_more")))
     rows = found.withColumns({
         text: F.coalesce("_red.text", text), "removed_by_type": F.coalesce("_red.counts", F.create_map().cast("map<string,int>")),
         "suspicions": F.coalesce("_red.suspicions", F.array().cast("array<struct<type:string,position:int,reason:string>>")),
@@ -237,10 +238,10 @@ def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon
     return rows.withColumns({"removed_count": total, "clean": (F.size("suspicions") == 0) & (trim_space(F.col(text)) != "")})
 
 
-def _pass(lists: Broadcast[known.Lexicon], clock_time: bool, boundary: str):
+def _pass(lists: Broadcast[known.Lexicon], clock_time: bool, boundary: str, structured: bool = False):
     @F.pandas_udf(_OUT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        redactor = Redactor(lists.value, clock_time, boundary)
+        redactor = Redactor(lists.value, clock_time, boundary, structured)
         for texts, entities in batches:
             rows = []
             for t, own in zip(texts, entities):

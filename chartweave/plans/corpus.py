@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartweave.functions import personal_data as known
 from chartweave.operators import redaction as r
-from chartweave.operators import retrieval, spans
+from chartweave.operators import retrieval
 from chartweave.operators import stays as s
 from chartweave.operators import text as t
 from chartweave.operators import vectors as v
@@ -115,8 +115,9 @@ def r7_protected_text(spark, d):
 
 
 def r9_structured_notes(spark, d):
-    """Structured data only, in plain expressions."""
-    done = spans.redact_structured(r.spread(varied_notes(spark, d)))
+    """Structured data only. ``spans.redact_structured`` does the same in plain expressions, which
+    are interpreted and try each pattern on each text."""
+    done = r.redact_documents(r.spread(varied_notes(spark, d)), structured=True)
     return done.select("doc_ref", "text", "removed_count", F.array_join(F.array_sort(F.map_keys("removed_by_type")), ",").alias("types"))
 
 
