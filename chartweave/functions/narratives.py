@@ -29,14 +29,15 @@ def split(text: str) -> list[str]:
     return [s for s in map(trim, _BREAK.split(text)) if s]
 
 
-def by_sentence(kind: str, told: Callable[[str], list[tuple]]) -> Callable[[Column], Column]:
+def by_sentence(kind: str, told: Callable[[str], list[tuple]], whole: Callable[[list[tuple]], list[tuple]] = list) -> Callable[[Column], Column]:
     """A column function from narratives to array<``kind``>: what ``told`` gives for each of the
-    sentences, in order; null for a null narrative."""
+    sentences, in order; null for a null narrative. ``whole`` sees all that a
+    narrative tells and gives what stays of it."""
 
     @F.pandas_udf(f"array<{kind}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = functools.lru_cache(REMEMBERED)(told)
         for texts in batches:
-            yield pd.Series([None if t is None else [x for s in split(t) for x in known(s)] for t in texts], dtype=object)
+            yield pd.Series([None if t is None else whole([x for s in split(t) for x in known(s)]) for t in texts], dtype=object)
 
     return run
