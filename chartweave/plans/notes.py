@@ -10,6 +10,7 @@ from chartweave.operators import history as h
 from chartweave.operators import ingest as i
 from chartweave.operators import stays as s
 from chartweave.operators import text as t
+from chartweave.operators.redaction import spread
 from chartweave.plans.corpus import DONE, STAYS, days_of, iso, varied_notes
 from chartweave.plans.flows import DYNAMICS, HEADINGS, MARKER
 from chartweave.plans.history import table
@@ -21,7 +22,7 @@ def _chunks(clean):
 
 
 def c11_ingest_corpus(spark, d):
-    done = i.ingest_corpus(varied_notes(spark, d), "doc_ref", None, _chunks, lambda: i.letter_model)
+    done = i.ingest_corpus(spread(varied_notes(spark, d)), "doc_ref", None, _chunks, lambda: i.letter_model)
     norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6)
     return done.points.select("doc_type", "section", "syndrome", "diagnosis_class", "dynamics", "source", "text", norm.alias("norm"))
 
