@@ -17,16 +17,18 @@ REMEMBERED = 50_000
 # white space in Unicode's sense, as Java has it
 _SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACE = f"[{_SPACE}]"
-_ENDS, _BREAK = re.compile(rf"\A{SPACE}+|{SPACE}+\Z"), re.compile(r"(?<=\.)[ \t\n\x0b\f\r]+|(?<=\n)")
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if re.match(SPACE, c))
+_BREAK = re.compile(r"\.[ \t\n\x0b\f\r]+|\n")
 
 
 def trim(text: str) -> str:
-    return _ENDS.sub("", text)
+    return text.strip(_BLANKS)
 
 
 def split(text: str) -> list[str]:
     """Sentences as ``stays.split_sentences`` gives them."""
-    return [s for s in map(trim, _BREAK.split(text)) if s]
+    ends = [m.end() for m in _BREAK.finditer(text)]
+    return [s for a, b in zip([0, *ends], [*ends, len(text)]) if (s := text[a:b].strip(_BLANKS))]
 
 
 def by_sentence(kind: str, told: Callable[[str], list[tuple]], whole: Callable[[list[tuple]], list[tuple]] = list) -> Callable[[Column], Column]:

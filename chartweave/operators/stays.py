@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartweave.operators.history import trim_space
 
@@ -12,9 +13,10 @@ MOST_DAYS = 31
 
 def validate_periods(stays: DataFrame, most: int = MOST_DAYS) -> DataFrame:
     """``stays`` (admission, date_from, date_to as dates or ISO texts) with ``ok`` and
-    ``reason``; the three columns become dates, null where they are none."""
+    ``reason``; the three columns become dates, null where they are none. Dates stay as they
+    are, without a way through texts."""
     names = ("admission", "date_from", "date_to")
-    rows = stays.withColumns({c: F.try_to_date(F.col(c).cast("string"), "yyyy-MM-dd") for c in names})
+    rows = stays.withColumns({c: F.try_to_date(F.col(c).cast("string"), "yyyy-MM-dd") for c in names if stays.schema[c].dataType != T.DateType()})
     reason = (
         F.when(F.col("admission").isNull() | F.col("date_from").isNull() | F.col("date_to").isNull(), "invalid_date")
         .when(F.col("date_from") < F.col("admission"), "before_admission")

@@ -10,6 +10,7 @@ from chartweave.operators import retrieval
 from chartweave.operators import stays as s
 from chartweave.operators import text as t
 from chartweave.operators import vectors as v
+from chartweave.operators.timeline import dealt
 from chartweave.plans.history import table
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
@@ -223,7 +224,9 @@ def iso(column):
 
 
 def days_of(spark, d):
-    return s.plan_days(s.validate_periods(stay_table(spark, d)))
+    """The days of all stays, dealt by stay before a stay becomes days: they are made on all
+    cores, and what puts a stay's days together again needs no shuffle."""
+    return s.plan_days(s.validate_periods(dealt(stay_table(spark, d))))
 
 
 def p1_validate_periods(spark, d):

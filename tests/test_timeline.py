@@ -208,6 +208,25 @@ def test_placed_sentences(spark, told):
     assert len(want) > 1000 and dict(got) == want
 
 
+def test_placed_in_any_days(spark):
+    """Days before 1970, far apart, over the borders of masks; a stay without a real day has no rows."""
+    text = timelines.SENTENCES[6] + " " + " ".join(timelines.SENTENCES[:12] + timelines.SENTENCES[16:]) + "\x0bПеред выпиской 5.12;; ушёл домой.\nВ среду, в субботу и воскресенье дома."
+    span = lambda first, n, step=1: [dt.date.fromisoformat(first) + dt.timedelta(i * step) for i in range(n)]
+    periods = {1: span("1969-12-20", 20), 2: span("1996-02-25", 31), 3: span("1995-10-30", 200), 4: span("1600-01-01", 40, 9999 // 40), 5: span("1996-03-07", 1), 6: [None]}
+    days = spark.createDataFrame([(k, d) for k, ds in periods.items() for d in reversed(ds)] * 2, "stay_id long, day date")
+    stays = spark.createDataFrame([(k, text) for k in (*periods, 7)] + [(1, None), (2, "")], "stay_id long, narrative string")
+    got = defaultdict(list)
+    for r in t.assign_timed(stays, days).orderBy("pos").collect():
+        got[r.stay_id, r.day].append(r.sentence)
+    assert dict(got) == {(k, d): xs for k in range(1, 6) for d, xs in place(text, periods[k]).items()}
+
+
+def test_days_are_put_together_before_they_travel(spark):
+    """Stays are dealt before they become days; no set of days is gathered row by row."""
+    plan = timelines.p8_assign_timed(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_briefs(spark, told):
     stays, days = told
     got = defaultdict(list)
