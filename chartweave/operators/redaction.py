@@ -8,11 +8,12 @@ the same pass. No step shuffles."""
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,19 +239,28 @@ def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon
     return rows.withColumns({"removed_count": total, "clean": (F.size("suspicions") == 0) & (trim_space(F.col(text)) != "")})
 
 
+_SUSPICIONS = pa.list_(pa.struct([("type", pa.string()), ("position", pa.int32()), ("reason", pa.string())]))
+
+
+def _entities(column: pa.ListArray) -> Iterator[list[Span]]:
+    """The spans of each row."""
+    cells, sizes = column.flatten(), column.value_lengths().to_pylist()
+    all_spans = iter([Span(*e) for e in zip(*(cells.field(f).to_pylist() for f in ("start", "end", "type")))] if len(cells) else ())
+    return (list(itertools.islice(all_spans, n or 0)) for n in sizes)
+
+
 def _pass(lists: Broadcast[known.Lexicon], clock_time: bool, boundary: str, structured: bool = False):
-    @F.pandas_udf(_OUT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_OUT)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         redactor = Redactor(lists.value, clock_time, boundary, structured)
         for texts, entities in batches:
-            rows = []
-            for t, own in zip(texts, entities):
-                if t is None:
-                    rows.append((None, None, None))
-                    continue
-                done, counts = redactor.redact(t, [Span(e["start"], e["end"], e["type"]) for e in own])
-                rows.append((done, counts, [dict(zip(("type", "position", "reason"), s)) for s in redactor.suspicions(done)]))
-            yield pd.DataFrame(rows, columns=["text", "counts", "suspicions"])
+            done, counts, found = [], [], []
+            for t, own in zip(texts.to_pylist(), _entities(entities)):
+                text, removed = redactor.redact(t, own) if t is not None else (None, {})
+                done.append(text)
+                counts.append(None if t is None else list(removed.items()))
+                found.append(None if t is None else [dict(zip(("type", "position", "reason"), s)) for s in redactor.suspicions(text)])
+            yield pa.StructArray.from_arrays([pa.array(done, texts.type), pa.array(counts, pa.map_(pa.string(), pa.int32())), pa.array(found, _SUSPICIONS)], ["text", "counts", "suspicions"])
 
     return run
 

@@ -70,10 +70,8 @@ def structured_spans(text: Column, clock_time: bool = False, boundary: str = "as
     none = F.array().cast(f"array<{SPAN}>")
     digit = text.rlike("[0-9]" if boundary == "ascii" else r"\p{N}")
 
-    def guarded(found: Column, anchors: tuple | None, more: Column) -> Column:
-        if anchors is None:
-            return found
-        held = digit if anchors[0] == known.DIGITS else text.rlike("(?iu)" + "|".join(w.replace(".", "[.]") for w in anchors[0]))
+    def guarded(found: Column, anchors: list | tuple, more: Column) -> Column:
+        held = digit if isinstance(anchors, list) else text.rlike("(?iu)" + "|".join(w.replace(".", "[.]") for w in anchors[0]))
         return F.when(more & held, found).otherwise(none)
 
     parts = []

@@ -136,6 +136,19 @@ def test_places_are_those_of_a_full_search(boundary):
             assert got == [(k, *m.span()) for k, p in enumerate(places.patterns) for m in p.finditer(text)], text
 
 
+def test_digits_are_tried_where_they_fit():
+    """A run of digits is tried with the few patterns that can begin at it."""
+    names = [n for n in known.DETECTORS if n not in known.ON_REQUEST]
+    led = lambda text: {names[k] for k, _ in R.detected.matches(text)} | {names[k] for m in R.detected.digits.finditer(text) for k, _ in R.detected.led(len(m[0]), m[0][0], text[m.end() : m.end() + 1])}
+    assert led("02.") == {"date_range_numeric", "date_numeric"} and led("14") == led("14:") == led("512 мг") == set()
+    assert led("14 лет") == {"age_numeric", "time_clinical"} and led("8 812") == {"phone", "age_numeric", "time_clinical"} and led("2024-") == {"date_numeric", "year_abbrev"}
+
+
+def test_entities_may_be_null(spark):
+    rows = spark.createDataFrame([(1, "зубру 14 лет", None), (2, "зубру дали", [(0, 5, "person")]), (3, None, None), (4, "зубр", [])], "k long, text string, found array<struct<start:int,end:int,type:string>>")
+    assert [tuple(x) for x in r.redact_documents(rows, entities="found").orderBy("k").select("text", "removed_count").collect()] == [("зубру [ВОЗРАСТ]", 1), ("[ФИО] дали", 1), ("", 0), ("зубр", 0)]
+
+
 def test_markers_are_those_of_an_alternation():
     rng = np.random.default_rng(6)
     words = ["больница", "больницы", "Дом", "дом отдыха", "дом отдыха мира"]
