@@ -92,6 +92,8 @@ class Redactor:
         self.detectors = [(known.DETECTORS[n][0], compiled(known.DETECTORS[n][1], boundary), n in known.NUMERIC) for n in names]
         self.detected = Places([p for _, p, _ in self.detectors], [known.ANCHORS[n] for n in names], boundary)
         self.protected = Places([compiled(p, boundary) for p in known.PROTECTED], list(known.PROTECTED_ANCHORS), boundary)
+        # both in one look at the text
+        self.sought = Places(self.detected.patterns + self.protected.patterns, self.detected.anchors + self.protected.anchors, boundary)
         self.residual = Places([compiled(p) for p in known.RESIDUAL.values()], [known.RESIDUAL_ANCHORS[k] for k in known.RESIDUAL])
         self.roles = [(k, compiled(p)) for k, p in known.ROLES]
         self.initials = [compiled(known.SURNAME_INITIALS), compiled(known.INITIALS_SURNAME)]
@@ -129,21 +131,27 @@ class Redactor:
                     yield Span(start, run[-1].end(), self.role(text, start))
                 run = []
 
-    def spans(self, text: str) -> list[Span]:
+    def spans(self, text: str) -> tuple[list[Span], list[Span]]:
+        """What is found, and what is protected."""
         cyrillic = _CYRILLIC.search(text) is not None
-        found = [Span(m.start(), m.end(), self.detectors[k][0]) for k, m in self.detected.matches(text) if cyrillic or self.detectors[k][2]]
+        found, protected, low = [], [], lower(text)
+        for k, m in self.sought.matches(text, low):
+            if k >= len(self.detectors):
+                protected.append(Span(m.start(), m.end(), None))
+            elif cyrillic or self.detectors[k][2]:
+                found.append(Span(m.start(), m.end(), self.detectors[k][0]))
         if cyrillic and not self.structured:
-            low = lower(text)
             found += [Span(start, end, "institution") for markers in self.institutions for start, end in markers.spans(text, low)]
             found += self.name_spans(text)
-        return found
+        return found, protected
 
     def redact(self, text: str, entities: list[Span] = ()) -> tuple[str, dict[str, int]]:
         """The text with placeholders and how many of each kind; never a value."""
-        found = [*self.spans(text), *entities]
+        found, protected = self.spans(text)
+        found += entities
         if not found:
             return text, {}
-        found += [Span(m.start(), m.end(), None) for _, m in self.protected.matches(text)]
+        found += protected
         out, at, counts = [], 0, {}
         for s in resolve(found):
             out += [text[at : s.start], known.PLACEHOLDERS[s.kind]]
@@ -236,7 +244,7 @@ def redact_documents(docs: DataFrame, text: str = "text", lexicon: known.Lexicon
         "suspicions": F.coalesce("_red.suspicions", F.array().cast("array<struct<type:string,position:int,reason:string>>")),
     }).drop("_red", "_more")
     total = F.aggregate(F.map_values("removed_by_type"), F.lit(0), lambda a, x: a + x)
-    return rows.withColumns({"removed_count": total, "clean": (F.size("suspicions") == 0) & (trim_space(F.col(text)) != "")})
+    return rows.withColumns({"removed_count": total, "clean": (F.size("suspicions") == 0) & F.col(text).rlike(r"(?U)\S")})
 
 
 _SUSPICIONS = pa.list_(pa.struct([("type", pa.string()), ("position", pa.int32()), ("reason", pa.string())]))

@@ -56,12 +56,13 @@ _FILL = {
 }
 
 
-def varied_notes(spark, d):
-    """Notes of all forms made from orders; some are empty, blank or null."""
+def varied_notes(spark, d, deal=lambda rows: rows):
+    """Notes of all forms made from orders; some are empty, blank or null. ``deal`` deals the
+    short orders out before their notes are written."""
     text = F.element_at(F.array(*[F.lit(f).cast("string") for f in FORMS]), (F.col("o_orderkey") % len(FORMS) + 1).cast("int"))
     for name, (column, _) in _FILL.items():
         text = F.replace(text, F.lit("{" + name + "}"), column())
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_ref"), text.alias("text"))
+    return deal(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(F.col("o_orderkey").alias("doc_ref"), text.alias("text"))
 
 
 def _sql_text(value):
@@ -118,7 +119,7 @@ def r7_protected_text(spark, d):
 def r9_structured_notes(spark, d):
     """Structured data only. ``spans.redact_structured`` does the same in plain expressions, which
     are interpreted and try each pattern on each text."""
-    done = r.redact_documents(r.spread(varied_notes(spark, d)), structured=True)
+    done = r.redact_documents(varied_notes(spark, d, r.spread), structured=True)
     return done.select("doc_ref", "text", "removed_count", F.array_join(F.array_sort(F.map_keys("removed_by_type")), ",").alias("types"))
 
 
@@ -133,7 +134,7 @@ def r5_stem_matches(spark, d):
 
 
 def r10_redact_notes(spark, d):
-    return r.redact_documents(r.spread(varied_notes(spark, d))).select("doc_ref", "text", "removed_count", "clean")
+    return r.redact_documents(varied_notes(spark, d, r.spread)).select("doc_ref", "text", "removed_count", "clean")
 
 
 def r11_suspicions(spark, d):
@@ -142,7 +143,7 @@ def r11_suspicions(spark, d):
 
 
 def r12_quarantine(spark, d):
-    return r.gate_split(r.redact_documents(r.spread(varied_notes(spark, d))))[1].select("doc_ref", "reason")
+    return r.gate_split(r.redact_documents(varied_notes(spark, d, r.spread)))[1].select("doc_ref", "reason")
 
 
 def r12_documents_held_back(spark, d):
@@ -151,7 +152,7 @@ def r12_documents_held_back(spark, d):
 
 
 def r13_removed_by_type(spark, d):
-    return r.removed_by_type_report(r.redact_documents(r.spread(varied_notes(spark, d))))
+    return r.removed_by_type_report(r.redact_documents(varied_notes(spark, d, r.spread)))
 
 
 def f1_select_paths(spark, d):

@@ -34,7 +34,7 @@ def c9_chunk_notes(spark, d):
 
 def _redacted(spark, d):
     """Redacted notes, written once for the queries that read them more than once."""
-    return stash(r.redact_documents(r.spread(varied_notes(spark, d))).select("doc_ref", "text", "removed_by_type", "clean"), "redacted")
+    return stash(r.redact_documents(varied_notes(spark, d, r.spread)).select("doc_ref", "text", "removed_by_type", "clean"), "redacted")
 
 
 def c12_ingest_stats(spark, d):
@@ -51,7 +51,7 @@ def e7_format_samples(spark, d):
 
 
 def r14_label_counts(spark, d):
-    return c.label_counts(r.removed_by_type_report(r.redact_documents(r.spread(varied_notes(spark, d)))), spark.createDataFrame(LABELS, "type string, label string"))
+    return c.label_counts(r.removed_by_type_report(r.redact_documents(varied_notes(spark, d, r.spread))), spark.createDataFrame(LABELS, "type string, label string"))
 
 
 def r16_recall_report(spark, d):

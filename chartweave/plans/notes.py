@@ -22,7 +22,7 @@ def _chunks(clean):
 
 
 def c11_ingest_corpus(spark, d):
-    done = i.ingest_corpus(spread(varied_notes(spark, d)), "doc_ref", None, _chunks, lambda: i.letter_model)
+    done = i.ingest_corpus(varied_notes(spark, d, spread), "doc_ref", None, _chunks, lambda: i.letter_model)
     norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6)
     return done.points.select("doc_type", "section", "syndrome", "diagnosis_class", "dynamics", "source", "text", norm.alias("norm"))
 
