@@ -40,8 +40,8 @@ def narrative(order: str = "o_orderkey", customer: str = "o_custkey") -> str:
     return f"concat_ws(' ', {', '.join(parts)})"
 
 
-def told_stays(spark, d):
-    o = spread(table(spark, d, "orders"))
+def told_stays(spark, d, deal=spread):
+    o = deal(table(spark, d, "orders"))
     pick = lambda key, *values: F.get(F.array(*map(F.lit, values)), (key % len(values)).cast("int"))
     key, who = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
@@ -59,8 +59,13 @@ def p8_assign_timed(spark, d):
     return t.assign_timed(told_stays(spark, d), days_of(spark, d)).select("stay_id", "pos", "sentence", iso("day"))
 
 
+def by_stay(orders):
+    """Orders dealt by stay before they have narratives, which then travel no more."""
+    return t.dealt(orders, "o_orderkey")
+
+
 def p14_compile_briefs(spark, d):
-    rows = t.compile_briefs(told_stays(spark, d), days_of(spark, d))
+    rows = t.compile_briefs(told_stays(spark, d, by_stay), days_of(spark, d))
     joined = [F.array_join(c, "|").alias(c) for c in ("mood_detail", "contact", "observations", "forbidden")]
     return rows.select("stay_id", iso("day"), "phase", "role", "speech_level", "mood", "behavior", *joined, "therapy_today", "include_final_state", "weekend_recap", "weekend_note")
 
