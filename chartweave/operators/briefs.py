@@ -129,7 +129,7 @@ def brief_text(rows: DataFrame, name: str = "brief") -> DataFrame:
         return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.col(column)), F.col(column))
 
     def bullets(head: str, items: Column) -> Column:
-        some = F.filter(items, lambda x: F.coalesce(t.trim_space(x), F.lit("")) != "")
+        some = F.filter(items, lambda x: F.coalesce(x.rlike(r"(?U)\S"), F.lit(False)))
         return F.when(F.size(some) > 0, F.concat(F.lit(head), F.array_join(F.transform(some, lambda x: F.concat(F.lit("\n• "), x)), "")))
 
     line = lambda head, value: F.concat(F.lit(head), value, F.lit("."))

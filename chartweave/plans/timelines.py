@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chartweave.operators import briefs as b
@@ -72,10 +71,8 @@ def p14_compile_briefs(spark, d):
 
 def p14_brief_texts(spark, d):
     """The briefs of all days as texts for prompts."""
-    stays = told_stays(spark, d)
-    made = t.compile_briefs(stays, days_of(spark, d)).withColumn("periods", F.count(F.lit(1)).over(Window.partitionBy("stay_id")))
-    known = stays.select("stay_id", "diagnosis", "patient_sex", "final_state", F.lit(None).cast("string").alias("discharge"))
-    return b.brief_text(made.join(t.sorted_side(known), "stay_id")).select("stay_id", iso("day"), "brief")
+    made = t.compile_briefs(told_stays(spark, d, by_stay), days_of(spark, d), kept=("diagnosis", "patient_sex", "final_state"))
+    return b.brief_text(made.withColumn("discharge", F.lit(None).cast("string"))).select("stay_id", iso("day"), "brief")
 
 
 def p16_duty_notes(spark, d):

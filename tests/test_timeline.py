@@ -237,7 +237,7 @@ def test_briefs(spark, told):
         assert got[k] == brief_days(stays[k], days[k]), stays[k]
 
 
-@pytest.mark.parametrize("name", ["p14_compile_briefs"])
+@pytest.mark.parametrize("name", ["p14_brief_texts", "p14_compile_briefs"])
 def test_briefs_travel_as_stays(spark, name):
     """What is shuffled and sorted is one row a stay: nothing that stands behind the days' texts, and no narrative."""
     plan = timelines.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
