@@ -77,6 +77,27 @@ def test_token_counts_equal_library(odd, empty, docs):
     assert count(text[: token_counts.truncation_point(table, 4)]) <= 4
 
 
+def test_search_answers_by_floors(docs, odd, monkeypatch):
+    """Texts are taken apart once for all blocks of queries; behind the first documents a shard answers only what reaches the floor."""
+    written, kept = [], search.stash
+    monkeypatch.setattr(search, "stash", lambda df, name: written.append((name, kept(df, name))) or written[-1][1])
+    got, rows = {}, {}
+    for block in (8192, 3):
+        written.clear()
+        got[block] = sorted(map(tuple, search.top_k(docs, F.col("doc_id") % 20 == 0, k=3, shard_rows=10, query_block=block).collect()))
+        rows[block] = sum(t.count() for name, t in written if name == "search-found")
+        assert sum(name == "search-docs" for name, _ in written) == 2
+    assert got[3] == got[8192] and len({q for q, *_ in got[3]}) >= 8
+    assert rows[8192] < len({q for q, *_ in got[3]}) * 3 * (docs.count() // 10) / 3 and rows[3] == rows[8192]
+
+
+def test_search_of_repeated_ids(spark):
+    """Rows that repeat an id take no place of others, even where one shard has more of them than are asked for."""
+    table = spark.createDataFrame([(1, "alpha beta")] * 30 + [(k, "alpha " + "gamma " * k) for k in range(2, 9)], "doc_id long, text string").coalesce(1)
+    got = [(r.rank, r.doc_id) for r in search.top_k(table, F.col("doc_id") == 1, k=4).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
 def test_search_equals_brute_force(docs, odd, empty):
     for table, is_query in ((docs, F.col("doc_id") % 50 == 0), (odd, F.lit(True)), (empty, F.lit(True))):
         rows = table.select("doc_id", "text").collect()
